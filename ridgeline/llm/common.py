@@ -144,11 +144,12 @@ class Chunk:
     Row ``r`` owns the words ``first[r]:first[r + 1]``.
     """
 
-    __slots__ = ("rows", "buf", "starts", "ends", "first", "_hashes")
+    __slots__ = ("rows", "buf", "offsets", "starts", "ends", "first", "_hashes")
 
     def __init__(self, rows: range, buf: np.ndarray, offsets: np.ndarray):
         self.rows = rows
         self.buf = buf
+        self.offsets = offsets
         # Rows lie side by side without a separator, so cut words at row starts.
         starts, ends = find_words(buf)
         inner = offsets[1:-1]
@@ -168,6 +169,9 @@ class Chunk:
             self._hashes = hash_words(self.buf, self.starts, self.ends)
         return self._hashes
 
+    def text(self, r: int) -> bytes:
+        return self.buf[self.offsets[r] : self.offsets[r + 1]].tobytes()
+
     def words(self, r: int) -> list[bytes]:
         raw = self.buf
         return [raw[s:e].tobytes() for s, e in zip(*self.spans(r), strict=True)]
