@@ -10,8 +10,8 @@ a band share a bucket.
 Candidates are confirmed on the full sets in two rounds. The first compares
 each member of a bucket with one leader. Components of these links settle most
 buckets. In those that still hold several components, the second compares all
-members of different components, in tiles of bounded size, by their signatures,
-and confirms what may reach the threshold on the full sets again. So a linked
+members of different components, in tiles of bounded size, by their signatures
+and then on the full sets, until the tile's components are joined. So a linked
 group costs one comparison a member and no link that joins components is lost
 (but with the probability that banding misses it, below 1e-6 a pair).
 
@@ -152,33 +152,49 @@ def _setter(k: int):
     return run
 
 
-def _tiler(m: int, percent: int):
-    """Pairs of a tile, of different components, whose signatures agree enough."""
+def _tiler(rows: int, bands: int, percent: int):
+    """Links between the components of a tile, enough to join those that meet.
+
+    A pair is looked at in the first band that its documents share only, by
+    signature first and then on the full sets, and not at all once other links
+    have joined its components. So a tile emits fewer links than it has rows.
+    """
     s = percent / 100
+    m = rows * bands
     least = s - 5 * (s * (1 - s) / m) ** 0.5
 
     def run(pdf):
         import pandas as pd
 
-        left = pdf[pdf.side < 2]
-        right = pdf[pdf.side > 0]
-        sig = superminhash([np.asarray(x).view(np.uint64) for x in left["items"]], m)
-        other = superminhash([np.asarray(x).view(np.uint64) for x in right["items"]], m)
-        fa, ca, na = (left[c].to_numpy() for c in ("fp", "component", "n"))
-        fb, cb, nb = (right[c].to_numpy() for c in ("fp", "component", "n"))
-        a, b = [], []
-        for i in range(len(fa)):
-            ok = (cb != ca[i]) & (fb != fa[i])
-            ok &= (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(other[at] == sig[i]).mean(axis=1) >= least]
-                a.append(np.full(len(at), fa[i]))
-                b.append(fb[at])
-        if not a:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+        band = pdf["band"].iloc[0]
+        pdf = pdf.sort_values("side", kind="stable", ignore_index=True)
+        side = pdf["side"].to_numpy()
+        fp, comp = pdf["fp"].to_numpy(), pdf["component"].to_numpy().copy()
+        sets = [np.sort(np.asarray(x).view(np.uint64)) for x in pdf["items"]]
+        size = np.array([len(x) for x in sets])
+        sig = superminhash(sets, m)
+        keys = band_hashes(sig, rows, bands).view(np.int64)
+        n_left = int((side < 2).sum())
+        right = int((side == 0).sum())  # rows of the second side start here
+        links = []
+        for i in range(n_left):
+            at = np.arange(max(right, i + 1), len(fp))
+            at = at[comp[at] != comp[i]]
+            at = at[100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i])]
+            if not len(at):
+                continue
+            at = at[(sig[at] == sig[i]).mean(axis=1) >= least]
+            shared = keys[at] == keys[i]
+            at = at[keys[i][shared.argmax(axis=1)] == band]
+            for j in at:
+                if comp[j] == comp[i]:
+                    continue
+                x, y = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    links.append((fp[i], fp[j]))
+                    comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -245,7 +261,7 @@ def near_duplicates(
     # A bucket of two holds just the pair that was compared.
     rest = rest.where("size > 2")
     if not rest.isEmpty():
-        links = links.unionByName(materialize(_cross_links(rest, sets, pairs, rows * bands, percent), "links"))
+        links = links.unionByName(materialize(_cross_links(rest, sets, rows, bands, percent), "links"))
         comp = connected_components(links)
 
     heads = live.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -263,16 +279,14 @@ def near_duplicates(
     )
 
 
-def _cross_links(rest: DataFrame, sets: DataFrame, done: DataFrame, m: int, percent: int) -> DataFrame:
+def _cross_links(rest: DataFrame, sets: DataFrame, rows: int, bands: int, percent: int) -> DataFrame:
     """Links between members of one bucket in different components, by tiles.
 
     A member goes to one tile for each block of its bucket, so what is copied
-    is the bucket's rows times its blocks; no pair is emitted before the
-    signatures let it through.
+    is the bucket's rows times its blocks, and pairs stay inside the tile.
     """
     n = F.ceil(F.col("size") / F.lit(TILE))
     block = F.pmod(F.xxhash64("fp"), n)
-    # A document's similar buckets give the same pairs; each set travels once a tile.
     placed = rest.withColumn("blocks", n.cast("int")).withColumn("block", block.cast("int"))
     tiled = placed.select(
         "band",
@@ -286,11 +300,8 @@ def _cross_links(rest: DataFrame, sets: DataFrame, done: DataFrame, m: int, perc
             )
         ).alias("tile"),
     ).select("band", "fp", "component", "tile.i", "tile.j", "tile.side")
-    tiled = tiled.join(sets, "fp").withColumn("n", F.size("items"))
-    found = tiled.groupBy("band", "i", "j").applyInPandas(_tiler(m, percent), "a long, b long").distinct()
-    seen = done.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    found = materialize(found.join(seen, ["a", "b"], "left_anti"), "pairs")
-    return _confirm(found, sets, percent)
+    tiled = tiled.join(sets, "fp")
+    return tiled.groupBy("band", "i", "j").applyInPandas(_tiler(rows, bands, percent), "a long, b long").distinct()
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
