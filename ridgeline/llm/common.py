@@ -195,8 +195,17 @@ def string_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut a string column into chunks of about ``limit`` bytes, a row at least."""
+#: Lower-cases A-Z and turns ASCII punctuation into blanks.
+PLAIN = _LOWER.copy()
+PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
+
+
+def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES, table: np.ndarray | None = None) -> Iterator[Chunk]:
+    """Cut a string column into chunks of about ``limit`` bytes, a row at least.
+
+    ``table`` maps bytes before words are found; ``lower`` is short for A-Z.
+    """
+    table = _LOWER if lower else table
     if not len(col):
         return
     raw, offsets = string_buffers(col)
@@ -205,7 +214,7 @@ def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iter
         hi = int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1
         hi = min(max(hi, lo + 1), len(col))
         buf = raw[offsets[lo] : offsets[hi]]
-        yield Chunk(range(lo, hi), _LOWER[buf] if lower else buf, offsets[lo : hi + 1] - offsets[lo])
+        yield Chunk(range(lo, hi), buf if table is None else table[buf], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 
 
