@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op4_decontamination
 from .embeddings import OP10_SQL, op10_embedding_near_dedup
 from .lines import OP3_SQL, op3_line_dedup
 from .minhash import op1_minhash_near_dedup
@@ -14,13 +15,16 @@ from .pii import op8_pii
 from .secret_scan import op9_secret_scan
 from .substring import op2_substring_dedup
 from .toxicity import op5_toxicity
+from .warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_pivotal_mixing": op6_pivotal_mixing,
+    "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,

@@ -242,6 +242,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the model scores 0.5 or more."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for chunk in chunks(batch.column(at)):
+                keep.append(model.score([chunk.text(r) for r in range(len(chunk.rows))]) < 0.5)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    # Columns go by place, so equal names do no harm.
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return named.mapInArrow(run, named.schema).toDF(*docs.columns)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, train(docs, read_table(spark, sf_dir, "labels")))
