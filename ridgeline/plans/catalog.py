@@ -868,7 +868,7 @@ def plan_f12_optimised_edges(spark, sf_dir):
     return e.select("src", "dst", "elevation_gain", "elevation_loss", "distance", "highway", "surface", F.size("lats").cast("long").alias("n_points"))
 
 
-@query(f"""{_OPT} SELECT id, e.elevation, '50_n1' AS ptn FROM nodes JOIN elevation e USING (easting, northing)
+@query(f"""{_OPT} SELECT id, e.elevation, CASE WHEN easting = 0 THEN '50_n2' ELSE '50_n1' END AS ptn FROM nodes JOIN elevation e USING (easting, northing)
 WHERE id IN (SELECT src FROM opt WHERE sd = 0 AND dd = 0 UNION ALL SELECT dst FROM opt WHERE sd = 0 AND dd = 0)""")
 def plan_optimised_nodes(spark, sf_dir):
     return _optimised(spark, sf_dir)[0].select("id", "elevation", "ptn")
