@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .decontaminate import op4_decontamination
 from .embeddings import OP10_SQL, op10_embedding_near_dedup
 from .lines import OP3_SQL, op3_line_dedup
 from .minhash import op1_minhash_near_dedup
 from .mixing import op6_pivotal_mixing
 from .pii import op8_pii
-from .secret_scan import op9_secret_scan
+from .secret_scan import BASE_RULES, RULES, op9_secret_scan
 from .substring import op2_substring_dedup
 from .toxicity import op5_toxicity
 from .warc import op7_warc
@@ -31,6 +32,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.OP1,
+    "op2_substring_dedup": oracles.OP2,
     "op3_line_dedup": OP3_SQL,
+    "op7_warc": oracles.OP7,
+    "op9_secret_scan": oracles.secret_sql(RULES, len(BASE_RULES)),
     "op10_embedding_near_dedup": OP10_SQL,
 }
