@@ -50,6 +50,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; call it once no result
+    that was not stored yet depends on them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
