@@ -266,6 +266,7 @@ def training_examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndar
                 lambda: (rnd.choice(["", "values "]), " ".join(num(rnd.randrange(1, 4)) for _ in range(rnd.randrange(4, 9)))),
                 lambda: (rnd.choice(["", "account ", "lot "]), card(False)),
                 lambda: ("pages ", f"{num(4)}-{num(4)}"),
+                lambda: (rnd.choice(["", "number "]), f"{'0' * rnd.randrange(1, 5)}{num(rnd.randrange(9, 15))}"),
             ]
         )()
 
