@@ -4,8 +4,9 @@ Words are compared in lower case and without ASCII punctuation. Benchmark items
 are cut into pieces of at most ``PIECE`` words, documents into passages of
 ``2 * HALF`` words that overlap by half.
 
-1. Document frequencies of the benchmark's words over all half passages give
-   TF-IDF weights. The ``KEYS`` rarest words of each piece are the features;
+1. Texts are read once: of each document the places and numbers of the words
+   that occur in the benchmark are stored, and the further passes read those.
+   Document frequencies over all half passages give TF-IDF weights. The ``KEYS`` rarest words of each piece are the features;
    other words hardly tell passages apart and are left to step 4.
 2. A randomised SVD of the TF-IDF matrix ``A`` of all half passages, with the
    benchmark's own rows stacked below at equal total energy. Tasks send their
@@ -22,7 +23,7 @@ are cut into pieces of at most ``PIECE`` words, documents into passages of
    the last third of the key words, is there in order for ``ANSWER`` of them.
 
 The benchmark is the query set: it is held in blocks of ``BLOCK_ITEMS`` items,
-three passes over the documents each. Pieces of fewer than ``SHORT`` words must
+a pass over the documents' texts and three over the stored words each. Pieces of fewer than ``SHORT`` words must
 be there completely, and those below ``LEAST`` words are not searched.
 
 Defined results: null and empty texts and items match nothing. Rows are told
@@ -32,6 +33,7 @@ items each match. Repeated rows give one match. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, Chunk, chunks, materialize, read_table
+from .common import PLAIN, chunks, materialize, read_table
 
 PIECE = 48
 HALF = 32
@@ -75,6 +77,10 @@ class Piece:
     def __post_init__(self):
         answer = self.keys[-max(1, len(self.keys) // 3) :]
         self.parts = [(len(w), _masks(w)) for w in (self.words, self.keys, answer)]
+        self.kinds = frozenset(self.words if len(self.words) < SHORT else self.keys)
+        # How many different words a region must have before it can match.
+        repeats = len(self.keys) - len(self.kinds)
+        self.needed = len(self.kinds) if len(self.words) < SHORT else math.ceil(LOOSE * len(self.keys)) - repeats
 
     def shares(self, region: list[int]) -> list[float]:
         """Common parts of the words, the key words, and the answer."""
@@ -133,49 +139,115 @@ class Vocabulary:
 
 @dataclass
 class Queries:
-    """A block of benchmark items: all their words, and the key words' own
-    vocabulary with TF-IDF weights and a matrix row a piece."""
+    """A block of benchmark items: their pieces, and the key words as features
+    with TF-IDF weights and a matrix row a piece."""
 
-    words: Vocabulary
     pieces: list[Piece]
-    keys: Vocabulary
+    keys: np.ndarray  # numbers of the key words, sorted
+    number: np.ndarray  # feature of each word, or -1
     idf: np.ndarray
     matrix: np.ndarray
 
     @staticmethod
-    def of(items: list[tuple[int, str]], frequencies) -> Queries | None:
-        """``frequencies`` gives the frequency of each word of a vocabulary,
-        and the number of half passages."""
-        hashed = _hashes([t for _, t in items])
-        words = Vocabulary(np.concatenate([*hashed, np.empty(0, np.uint64)]))
-        parts = []
-        for (item, _), h in zip(items, hashed, strict=True):
-            for part in np.array_split(words.find(h)[1], max(1, -(-len(h) // PIECE))):
-                if len(part) >= LEAST:
-                    parts.append((item, part.tolist()))
-        if not parts:
-            return None
-        df, total = frequencies(words)
-        key_sets = [set(sorted(set(p), key=lambda w: (df[w], w))[:KEYS]) for _, p in parts]
-        keys = Vocabulary(words.hashes[sorted(set().union(*key_sets))])
-        number = dict(zip(words.find(keys.hashes)[1].tolist(), range(len(keys)), strict=True))
-        idf = np.log((total + 1) / (df[list(number)] + 1)) + 1e-6
-        pieces, matrix = [], np.zeros((len(parts), len(keys)))
-        for i, ((item, part), own) in enumerate(zip(parts, key_sets, strict=True)):
+    def of(cut: list[tuple[int, list[int]]], df: np.ndarray, total: int) -> Queries:
+        """``cut`` as by ``cut_items``, ``df`` the frequency of each word among
+        ``total`` half passages."""
+        key_sets = [set(sorted(set(p), key=lambda w: (df[w], w))[:KEYS]) for _, p in cut]
+        keys = np.array(sorted(set().union(*key_sets)))
+        number = np.full(len(df), -1)
+        number[keys] = np.arange(len(keys))
+        idf = np.log((total + 1) / (df[keys] + 1)) + 1e-6
+        pieces, matrix = [], np.zeros((len(cut), len(keys)))
+        for i, ((item, part), own) in enumerate(zip(cut, key_sets, strict=True)):
             pieces.append(Piece(item, part, [w for w in part if w in own]))
-            for w in part:
-                if w in number:
-                    matrix[i, number[w]] += idf[number[w]]
-        return Queries(words, pieces, keys, idf, matrix)
+            f = number[part]
+            np.add.at(matrix[i], f[f >= 0], idf[f[f >= 0]])
+        return Queries(pieces, keys, number, idf, matrix)
+
+    def key_words(self, p: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Halves and features of the key words of a part."""
+        f = self.number[p.word]
+        on = f >= 0
+        return p.half[on], f[on]
+
+
+def cut_items(items: list[tuple[int, str]]) -> tuple[Vocabulary, list[tuple[int, list[int]]]]:
+    """The words of the items, and their pieces as numbers of words."""
+    hashed = _hashes([t for _, t in items])
+    words = Vocabulary(np.concatenate([*hashed, np.empty(0, np.uint64)]))
+    cut = []
+    for (item, _), h in zip(items, hashed, strict=True):
+        for part in np.array_split(words.find(h)[1], max(1, -(-len(h) // PIECE))):
+            if len(part) >= LEAST:
+                cut.append((item, part.tolist()))
+    return words, cut
+
+
+#: Words that one round of work takes from a batch.
+PART_WORDS = 1 << 18
+STORED = "doc_id long, th long, n_words long, gaps binary, words binary"
 
 
-def halves(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """The half passage of each word of a chunk, and the row of each half."""
-    n = np.diff(chunk.first)
-    count = -(-n // HALF)
-    before = np.concatenate([[0], np.cumsum(count)])
-    place = np.arange(int(chunk.first[-1] - chunk.first[0])) - np.repeat(chunk.first[:-1] - chunk.first[0], n)
-    return np.repeat(before[:-1], n) + place // HALF, np.repeat(np.arange(len(n)), count)
+def _encode(words: Vocabulary):
+    """Gaps between, and numbers of, the known words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column(2), table=PLAIN):
+                at, f = words.find(chunk.hashes)
+                cut = np.searchsorted(at, chunk.first)
+                place = at - np.repeat(chunk.first[:-1], np.diff(cut))
+                gap = np.diff(place, prepend=0)
+                start = cut[:-1][np.diff(cut) > 0]
+                gap[start] = place[start]
+                gap, f = gap.astype(np.uint32), f.astype(np.uint32)
+                lo, n = chunk.rows.start, len(chunk.rows)
+                yield pa.record_batch(
+                    [
+                        batch.column(0).slice(lo, n),
+                        batch.column(1).slice(lo, n),
+                        pa.array(np.diff(chunk.first)),
+                        pa.array([gap[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                        pa.array([f[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                    ],
+                    names=[c.split()[0] for c in STORED.split(", ")],
+                )
+
+    return run
+
+
+class Part:
+    """Some stored rows side by side: ``place`` and ``word`` of each known
+    word, the half passage it is in, and the row of each half."""
+
+    def __init__(self, start: int, n_words: np.ndarray, gaps: list[bytes], words: list[bytes]):
+        self.start = start
+        count = np.array([len(g) // 4 for g in gaps])
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        total = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(gaps), dtype=np.uint32), dtype=np.int64)])
+        self.place = total[1:] - np.repeat(total[self.first[:-1]], count)
+        self.word = np.frombuffer(b"".join(words), dtype=np.uint32).astype(np.int64)
+        self.n_words = n_words
+        n_halves = -(-n_words // HALF)
+        self.first_half = np.concatenate([[0], np.cumsum(n_halves)])
+        self.half = np.repeat(self.first_half[:-1], count) + self.place // HALF
+        self.row = np.repeat(np.arange(len(n_words)), n_halves)
+
+    def region(self, r: int, at: int) -> list[int]:
+        """Known words of the passage at a word's place, and around it."""
+        a, b = self.first[r], self.first[r + 1]
+        lo, hi = np.searchsorted(self.place[a:b], (at - HALF // 2, at + 2 * HALF + HALF // 2))
+        return self.word[a + lo : a + hi].tolist()
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[Part]:
+    n = batch.column(2).to_numpy(zero_copy_only=False)
+    gaps, words = batch.column(3), batch.column(4)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(n[lo:]), PART_WORDS, side="right")) + lo)
+        yield Part(lo, n[lo:hi], gaps.slice(lo, hi - lo).to_pylist(), words.slice(lo, hi - lo).to_pylist())
+        lo = hi
 
 
 def _project(f: np.ndarray, half: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
@@ -187,17 +259,13 @@ def _project(f: np.ndarray, half: np.ndarray, n: int, table: np.ndarray) -> np.n
     return out
 
 
-def _frequencies(words: Vocabulary):
+def _frequencies(d: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = len(words)
         df, total = np.zeros(d, dtype=np.int64), 0
         for batch in batches:
-            for chunk in chunks(batch.column(0), table=PLAIN):
-                half, row = halves(chunk)
-                at, f = words.find(chunk.hashes)
-                if len(f):
-                    df += np.bincount(np.unique(half[at] * d + f) % d, minlength=d)
-                total += len(row)
+            for p in parts(batch):
+                df += np.bincount(np.unique(p.half * d + p.word) % d, minlength=d)
+                total += len(p.row)
         on = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(on, -1)), pa.array(np.append(df[on], total))], names=["feature", "n"])
 
@@ -211,13 +279,11 @@ def _range_part(q: Queries, table: np.ndarray):
         y = np.zeros(table.shape)
         energy = 0.0
         for batch in batches:
-            for chunk in chunks(batch.column(0), table=PLAIN):
-                half, row = halves(chunk)
-                at, f = q.keys.find(chunk.hashes)
+            for p in parts(batch):
+                half, f = q.key_words(p)
                 if not len(f):
                     continue
-                half = half[at]
-                z = _project(f, half, len(row), table)
+                z = _project(f, half, len(p.row), table)
                 order = np.argsort(f, kind="stable")
                 g = f[order]
                 first = np.flatnonzero(np.diff(g, prepend=-1))
@@ -249,27 +315,25 @@ def nystroem(y: np.ndarray, start: np.ndarray, rank: int) -> Latent:
     return Latent(u[:, :rank], s[:rank])
 
 
-def count_words(texts: DataFrame):
-    def frequencies(words: Vocabulary) -> tuple[np.ndarray, int]:
-        counts = texts.mapInArrow(_frequencies(words), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        df, total = np.zeros(len(words)), 0
-        for r in counts.collect():  # a row a word of the benchmark
-            if r.feature < 0:
-                total = r.n
-            else:
-                df[r.feature] = r.n
-        return df, total
-
-    return frequencies
+def count_words(stored: DataFrame, d: int) -> tuple[np.ndarray, int]:
+    """The frequency of each of ``d`` words, and the number of half passages."""
+    counts = stored.mapInArrow(_frequencies(d), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    df, total = np.zeros(d), 0
+    for r in counts.collect():  # a row a word of the benchmark
+        if r.feature < 0:
+            total = r.n
+        else:
+            df[r.feature] = r.n
+    return df, total
 
 
-def fit_latent(texts: DataFrame, q: Queries, rank: int = RANK, seed: int = 3) -> Latent:
-    """Randomised SVD over all half passages of the column ``text``."""
+def fit_latent(stored: DataFrame, q: Queries, rank: int = RANK, seed: int = 3) -> Latent:
+    """Randomised SVD over all half passages."""
     d = len(q.keys)
     width = min(d, rank + OVERSAMPLE)
     start = np.random.default_rng(seed).normal(size=(d, width))
-    parts = texts.mapInArrow(_range_part(q, (q.idf[:, None] * start).astype(np.float32)), "feature long, y array<double>")
-    total = parts.groupBy("feature").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y"))
+    sent = stored.mapInArrow(_range_part(q, (q.idf[:, None] * start).astype(np.float32)), "feature long, y array<double>")
+    total = sent.groupBy("feature").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y"))
     y, energy = np.zeros((d, width)), 0.0
     for r in total.collect():  # a row a feature
         if r.feature < 0:
@@ -291,48 +355,47 @@ def _search(q: Queries, latent: Latent, cosine: float):
     length = np.maximum(np.linalg.norm(target, axis=1), 1e-9)
     target = _unit(target)
 
-    def regions(chunk: Chunk) -> Iterator[tuple[int, int, int, float]]:
-        """Row, word place and piece of each candidate, with its cosine."""
-        half, row = halves(chunk)
-        at, f = q.keys.find(chunk.hashes)
+    def matches(p: Part) -> Iterator[tuple[int, int, float, int, float]]:
+        """Row, piece, common part, word place and cosine of each match."""
+        half, f = q.key_words(p)
         if not len(f):
             return
-        z = _project(f, half[at], len(row), table)
-        first = np.searchsorted(row, np.arange(len(chunk.rows)))
-        for lo in range(0, len(row), 4096):
-            hi = min(lo + 4096, len(row))
+        z = _project(f, half, len(p.row), table)
+        for lo in range(0, len(p.row), 4096):
+            hi = min(lo + 4096, len(p.row))
             block = z[lo:hi].copy()
             after = z[lo + 1 : hi + 1]
-            joined = row[lo + 1 : hi + 1] == row[lo : lo + len(after)]
+            joined = p.row[lo + 1 : hi + 1] == p.row[lo : lo + len(after)]
             block[: len(after)][joined] += after[joined]
             norm = np.linalg.norm(block, axis=1)
             live = np.flatnonzero(norm > 0)
             near = (block[live] / norm[live, None]) @ target.T
-            reach = near * norm[live, None] >= REACH * length
-            for p, k in zip(*np.nonzero((near >= cosine) & reach), strict=True):
-                i = lo + int(live[p])
-                r = int(row[i])
-                yield r, int(chunk.first[r]) + (i - int(first[r])) * HALF, int(k), float(near[p, k])
-
-    def matches(chunk: Chunk) -> Iterator[tuple[int, int, float, int, float]]:
-        for r, at, k, near in regions(chunk):
-            a, b = int(chunk.first[r]), int(chunk.first[r + 1])
-            lo, hi = max(a, at - HALF // 2), min(b, at + 2 * HALF + HALF // 2)
-            share, ok = q.pieces[k].matches(q.words.find(chunk.hashes[lo:hi])[1].tolist())
-            if ok:
-                yield r, k, share, at - a, near
+            near[near * norm[live, None] < REACH * length] = 0
+            last, region, kinds = -1, [], frozenset()
+            for i, k in zip(*np.nonzero(near >= cosine), strict=True):
+                h = lo + int(live[i])
+                r = int(p.row[h])
+                at = (h - int(p.first_half[r])) * HALF
+                if h != last:
+                    last, region = h, p.region(r, at)
+                    kinds = frozenset(region)
+                piece = q.pieces[k]
+                if len(piece.kinds & kinds) >= piece.needed:
+                    share, ok = piece.matches(region)
+                    if ok:
+                        yield r, int(k), share, at, float(near[i, k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch.column(2), table=PLAIN):
+            for p in parts(batch):
                 best: dict[tuple[int, int], tuple] = {}
-                for r, k, share, at, near in matches(chunk):
+                for r, k, share, at, near in matches(p):
                     key, value = (r, q.pieces[k].item_id), (share, -at, near)
                     if key not in best or value > best[key]:
                         best[key] = value
                 if not best:
                     continue
-                out = [(chunk.rows.start + r, i, share, -at, near) for (r, i), (share, at, near) in sorted(best.items())]
+                out = [(p.start + r, i, share, -at, near) for (r, i), (share, at, near) in sorted(best.items())]
                 take, item, share, at, near = zip(*out, strict=True)
                 take = pa.array(take, pa.int64())
                 yield pa.record_batch(
@@ -357,12 +420,13 @@ def find_leaks(
     block: list[tuple[int, str]] = []
 
     def search(items: list[tuple[int, str]]) -> DataFrame | None:
-        texts = src.select("text")
-        queries = Queries.of(items, count_words(texts))
-        if queries is None:
+        words, cut = cut_items(items)
+        if not cut:
             return None
-        latent = fit_latent(texts, queries, rank)
-        return materialize(src.mapInArrow(_search(queries, latent, cosine), schema).dropDuplicates(["doc_id", "th", "item_id"]), "leaks")
+        stored = materialize(src.mapInArrow(_encode(words), STORED), "leak-words")
+        queries = Queries.of(cut, *count_words(stored, len(words)))
+        latent = fit_latent(stored, queries, rank)
+        return materialize(stored.mapInArrow(_search(queries, latent, cosine), schema).dropDuplicates(["doc_id", "th", "item_id"]), "leaks")
 
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id", "text")
     for r in rows.toLocalIterator():

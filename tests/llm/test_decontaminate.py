@@ -7,6 +7,7 @@ from ridgeline.llm.decontaminate import (
     HALF,
     Queries,
     common_subsequence,
+    cut_items,
     decontaminate,
     find_leaks,
     nystroem,
@@ -30,20 +31,19 @@ def plain(text):
 
 def brute(docs, items):
     """Every passage against every piece, without a candidate search."""
-    halves = [plain(t)[i : i + HALF] for _, t in docs for i in range(0, len(plain(t)), HALF)]
-
-    def frequencies(words):
-        df = np.zeros(len(words))
-        for h in halves:
-            df[np.unique(words.find(_hashes([b" ".join(h).decode()])[0])[1])] += 1
-        return df, len(halves)
-
-    q = Queries.of(items, frequencies)
+    words, cut = cut_items(items)
+    df, total = np.zeros(len(words)), 0
+    for _, t in docs:
+        w = plain(t)
+        for i in range(0, len(w), HALF):
+            df[np.unique(words.find(_hashes([b" ".join(w[i : i + HALF]).decode()])[0])[1])] += 1
+            total += 1
+    q = Queries.of(cut, df, total)
     found = set()
     for d, t in docs:
         h = _hashes([t or ""])[0]
         for at in range(0, len(h), HALF):
-            region = q.words.find(h[max(0, at - HALF // 2) : at + 2 * HALF + HALF // 2])[1].tolist()
+            region = words.find(h[max(0, at - HALF // 2) : at + 2 * HALF + HALF // 2])[1].tolist()
             found |= {(d, p.item_id) for p in q.pieces if p.matches(region)[1]}
     return found
 
