@@ -245,7 +245,7 @@ def take_steps(candidates: DataFrame, edges: DataFrame, config: RouteConfig, set
     )
     both = candidates.join(e, "cur")
     home = F.col("__dst") == F.col("start")
-    left = F.coalesce(F.col("__left"), F.when(home, F.lit(0.0)))
+    left = F.when(home, F.lit(0.0)).otherwise(F.col("__left"))
     legal = ~overlaps("points", "__dst", "dist", config.min_distance, settings.finishing_overlaps) & left.isNotNull()
     legal = legal & (F.col("dist") + F.col("__d") + left <= config.max_distance)
     stepped = both.withColumn("__legal", F.coalesce(legal, F.lit(False))).select(

@@ -733,6 +733,96 @@ def f16_reachable(spark, sf_dir):
 
 ORACLE_SQL["f16_reachable"] = ORACLE_SQL["f16_reachable"].replace("WITH", "WITH RECURSIVE", 1)
 
+def _nation_config(k: int) -> rs.RouteConfig:
+    return rs.RouteConfig(49.0 + k * 0.37, -3.3 + k * 0.21, 5000.0 + 900.0 * k, distance_tolerance=0.25)
+
+
+def _far(bearing: float) -> str:
+    """SQL: latitude and longitude where a corner's great circle leads."""
+    a, t = f"(({{m}}) / 2 * sqrt(2) / {geo.SPHERE_M})", f"radians({bearing})"
+    lat = f"asin(sin(radians(y)) * cos({a}) + cos(radians(y)) * sin({a}) * cos({t}))"
+    lon = f"x + degrees(atan2(sin({t}) * sin({a}) * cos(radians(y)), cos({a}) - sin(radians(y)) * sin({lat})))"
+    return f"degrees({lat}) AS lat{int(bearing)}, {lon} AS lon{int(bearing)}".replace("{m}", "m")
+
+
+_PTN = "replace(trunc({0})::INT::VARCHAR, '-', 'n') || '_' || replace(trunc({1})::INT::VARCHAR, '-', 'n')"
+_CORNERS = ", ".join(f"({_PTN.format(a, b)})" for a, b in (("lat225", "lon225"), ("lat225", "lon45"), ("lat45", "lon225"), ("lat45", "lon45")))
+
+
+@query(f"""SELECT k AS job_id, round(lat225, 9) AS min_lat, round(lon225, 9) AS min_lon, round(lat45, 9) AS max_lat, round(lon45, 9) AS max_lon,
+  round((lat45 + lat225) / 2, 9) AS centre_lat, array_to_string(list_sort(list_distinct([{_CORNERS}])), ',') AS ptns
+FROM (SELECT k, {_far(45.0)}, {_far(225.0)} FROM (
+  SELECT n_nationkey::INT AS k, 49.0::DOUBLE + n_nationkey * 0.37::DOUBLE AS y, -3.3::DOUBLE + n_nationkey * 0.21::DOUBLE AS x, (5000.0 + 900.0 * n_nationkey)::DOUBLE * 1.25::DOUBLE AS m FROM nation))""")
+def g4_g5_g6_g26_bounding_box(spark, sf_dir):
+    rows = []
+    for k in sorted(r.k for r in fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k")).collect()):
+        c = _nation_config(k)
+        south, west, north, east = geo.bounding_box(c.start_lat, c.start_lon, c.max_distance)
+        view = geo.viewport([south, north], [west, east])
+        rows.append((k, south, west, north, east, view["centre_lat"], ",".join(sorted(geo.partitions_of_box((south, west, north, east))))))
+    df = spark.createDataFrame(rows, "job_id int, min_lat double, min_lon double, max_lat double, max_lon double, centre_lat double, ptns string")
+    return df.select("job_id", *[F.round(c, 9).alias(c) for c in ("min_lat", "min_lon", "max_lat", "max_lon", "centre_lat")], "ptns")
+
+
+@query("""SELECT way_id, step, CASE WHEN dst = pts[1] THEN false
+  WHEN len(pts) * 100 >= 300 AND len(pts) >= 2 AND list_contains(pts[1:2], dst) AND NOT list_contains(pts[len(pts) - 1:len(pts)], dst) THEN false
+  ELSE list_contains(pts, dst) END AS overlaps
+FROM (SELECT way_id, list(node ORDER BY way_inx) AS pts FROM way_nodes GROUP BY way_id) w, (SELECT unnest([1, 2, 3, 4]) AS step),
+LATERAL (SELECT coalesce(pts[step], -1) AS dst)""")
+def g10_overlap(spark, sf_dir):
+    w = fx.ways(spark, sf_dir).select(F.col("id").alias("way_id"), F.expr("transform(nodes, n -> n.nodeId)").alias("points"))
+    w = w.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    w = w.withColumns({"dst": F.expr("coalesce(try_element_at(points, step), -1L)"), "dist": (F.size("points") * 100).cast("double")})
+    return w.select("way_id", "step", rs.overlaps("points", "dst", "dist", 300.0, 2).alias("overlaps"))
+
+
+@query(f"""{TAGGED}, w AS (SELECT way_id, sum((src % 11))::DOUBLE AS dist, sum(CASE WHEN surface = 'grass' THEN src % 11 ELSE 0 END)::DOUBLE AS grass FROM tagged GROUP BY way_id)
+SELECT way_id, grass <= 0.25 * 25 AS surfaces_ok, grass <= 0.25 * 25 AND dist BETWEEN 16 AND 25 AS complete FROM w""")
+def g11_g12_g27_completion(spark, sf_dir):
+    cfg = rs.RouteConfig(0.0, 0.0, 20.0, distance_tolerance=0.25, restricted_surfaces=("grass",), restricted_surfaces_perc=0.25)
+    e = tg.highway_and_surface(_edges(spark, sf_dir)).select("way_id", "surface", (F.col("src") % 11).cast("double").alias("d"))
+    w = e.groupBy("way_id").agg(F.sum("d").alias("dist"), F.collect_list(F.struct("surface", "d")).alias("steps"))
+    total = F.aggregate("steps", F.create_map().cast("map<string,double>"), lambda acc, s: pf.add_surface(acc, s["surface"], s["d"]))
+    w = w.withColumn("s_dists", total)
+    ok = rs.surfaces_ok("s_dists", cfg)
+    return w.select("way_id", ok.alias("surfaces_ok"), (ok & F.col("dist").between(cfg.min_distance, cfg.max_distance)).alias("complete"))
+
+
+_ROUND = """, g AS (SELECT src, dst, min(d) AS distance FROM (
+  SELECT src, dst, (abs((dst * 37) % 499 - (src * 37) % 499) + abs((dst * 91) % 491 - (src * 91) % 491))::DOUBLE AS d FROM edges
+  UNION ALL SELECT dst, src, (abs((dst * 37) % 499 - (src * 37) % 499) + abs((dst * 91) % 491 - (src * 91) % 491))::DOUBLE AS d FROM edges) GROUP BY src, dst
+), one AS (SELECT src AS start, dst AS cur, distance AS dist FROM g WHERE src < 100 AND distance + (dst % 11) * 10 <= 625)
+SELECT one.start, one.cur AS via, g.dst AS cur, one.dist + g.distance AS dist,
+  CASE WHEN one.dist + g.distance + CASE WHEN g.dst = one.start THEN 0 ELSE (g.dst % 11) * 10 END > 625 THEN 'invalid'
+       WHEN g.dst = one.start THEN CASE WHEN one.dist + g.distance >= 400 THEN 'complete' ELSE 'invalid' END ELSE 'valid' END AS status
+FROM one JOIN g ON g.src = one.cur"""
+
+
+@query(_ROUND)
+def g9_g13_g14_g25_j13_two_steps(spark, sf_dir):
+    cfg = rs.RouteConfig(0.0, 0.0, 500.0, distance_tolerance=0.25)
+    e = _simple(spark, sf_dir).select("src", "dst", "distance")
+    e = e.union(e.select("dst", "src", "distance")).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+    ends = F.array(F.lit(0.0), F.lit(1.0))
+    e = e.withColumns(
+        {
+            "elevation_gain": F.lit(0.0), "elevation_loss": F.lit(0.0), "surface": F.lit("grass"),
+            "dist_to_start": ((F.col("dst") % 11) * 10).cast("double"), **{c: ends for c in ("lats", "lons", "eles", "dists")},
+        }
+    )
+    e = materialize(e, "two-steps")
+    starts = e.where("src < 100").select(F.col("src").alias("job_id"), F.col("src").alias("id")).distinct()
+    one = rs.take_steps(rs.seeds(starts), e, cfg, rs.Settings()).where("status = 'valid'").drop("status")
+    two = rs.take_steps(one, e, cfg, rs.Settings())
+    return two.select("start", F.element_at("points", -2).alias("via"), "cur", "dist", "status")
+
+
+@query("SELECT n_nationkey::INT AS n_edges, a::INT AS attempt, least(n_nationkey * a * a, 64)::INT AS width FROM nation, range(1, 4) t(a)")
+def g15_g17_beam_width(spark, sf_dir):
+    rows = [(r.k, a, rs.beam_width(r.k, a, 64)) for r in fx.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k")).collect() for a in (1, 2, 3)]
+    return spark.createDataFrame(rows, "n_edges int, attempt int, width int")
+
+
 _STEP_CONFIG = rs.RouteConfig(50.2, -1.7, 500.0, distance_tolerance=0.25)
 
 
