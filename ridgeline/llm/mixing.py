@@ -32,7 +32,7 @@ from .common import U64, materialize, mix, read_table
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Expected rows of a first-level block, and blocks that meet in one of the next.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 FAN_IN = 64
 
 WORDS = r"[^\x20\x09-\x0D]+"
