@@ -46,6 +46,8 @@ FILE_BYTES = 1 << 30
 #: Gaps up to this many bytes are read over; a read stops growing at READ_BYTES.
 GAP_BYTES = 1 << 16
 READ_BYTES = 8 << 20
+#: Bytes of an archive that one reading task takes, about.
+STRETCH_BYTES = 8 << 20
 
 INDEX = (
     "page_id long, url string, payload_digest string, payload_bytes long, record_type string, "
@@ -238,9 +240,13 @@ def read_archive(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     go forward and neighbours meet in one task; a large file is split. The
     payload of a revisit is empty: that of the response it refers to is its own.
     """
-    stretch = F.floor(F.col("offset") / F.lit(64 << 20))
+    stretch = F.floor(F.col("offset") / F.lit(STRETCH_BYTES))
     dealt = index.select("file", "offset", "length", "url", stretch.alias("stretch"))
-    dealt = dealt.repartition(F.col("file"), F.col("stretch")).sortWithinPartitions("file", "offset")
+    # Index rows are small and what they name is not: the number of tasks goes
+    # by the bytes to read, or Spark would merge them all into one.
+    total = dealt.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // STRETCH_BYTES))
+    dealt = dealt.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
     return dealt.select("file", "offset", "length", "url").mapInArrow(_reader(folder, with_payload), RECORD)
 
 
