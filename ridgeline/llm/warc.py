@@ -58,6 +58,14 @@ RECORD = (
 )
 
 
+def store_uri(spark: SparkSession, folder: str) -> str:
+    """The folder's full URI: a path alone is on the cluster's default store,
+    which ``pyarrow.fs`` would take for the local disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def base32_sha1(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
@@ -159,6 +167,7 @@ def write_archive(
     file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Write one record for each row; returns the stored index."""
+    folder = store_uri(pages.sparkSession, folder)
     src = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
@@ -240,6 +249,7 @@ def read_archive(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     go forward and neighbours meet in one task; a large file is split. The
     payload of a revisit is empty: that of the response it refers to is its own.
     """
+    folder = store_uri(index.sparkSession, folder)
     stretch = F.floor(F.col("offset") / F.lit(STRETCH_BYTES))
     dealt = index.select("file", "offset", "length", "url", stretch.alias("stretch"))
     # Index rows are small and what they name is not: the number of tasks goes
