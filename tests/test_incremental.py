@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators import incremental as inc
-from ridgeline.runtime import scratch_dir
 from ridgeline.schema import layer_schema, map_to_schema
 from ridgeline.sources import files
 
@@ -26,9 +25,9 @@ def test_refresh_without_updates_still_deletes(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(2, 6, "new"), (3, 1, "new")]
 
 
-def test_snapshots(spark):
+def test_snapshots(spark, tmp_path):
     schema = layer_schema("staging", "nodes")
-    t = inc.SnapshotTable(spark, f"{scratch_dir(spark)}/snap-test", schema)
+    t = inc.SnapshotTable(spark, f"{tmp_path}/snap", schema)
     assert t.read().count() == 0 and t.versions() == []
     one = map_to_schema(spark.createDataFrame([(1, 2.0)], "id long, lat double").withColumns({c: F.lit(None) for c in ("lon", "elevation", "timestamp")}), schema)
     assert t.write(one) == 1
@@ -46,8 +45,8 @@ def test_spatial_chunk_is_stable(spark):
     assert a == [r.id for r in inc.spatial_chunk(df.repartition(7), ["id"], 100).collect()]
 
 
-def test_files(spark):
-    root = f"{scratch_dir(spark)}/files-test"
+def test_files(spark, tmp_path):
+    root = f"{tmp_path}/files"
     with pytest.raises(FileNotFoundError):
         files.read_parquet(spark, root, "landing", "nodes")
     with pytest.raises(FileNotFoundError):
@@ -65,10 +64,10 @@ def test_files(spark):
     assert sorted(r.value for r in spark.read.text(f"{root}/tsv").collect()) == ["1\ta", "2\t\\N"]
 
 
-def test_serving_tables_prune(spark):
+def test_serving_tables_prune(spark, tmp_path):
     n = spark.createDataFrame([(1, 50.0, -1.0, "50_n1"), (2, 51.0, -1.0, "51_n1")], "id long, lat double, lon double, ptn string")
     e = spark.createDataFrame([(1, 2, 50.0, -1.0, "50_n1")], "src long, dst long, src_lat double, src_lon double, ptn string")
-    root = f"{scratch_dir(spark)}/serve-test"
+    root = f"{tmp_path}/serve"
     files.serving_tables(n, e, root)
     got = spark.read.parquet(f"{root}/nodes").where("ptn = '51_n1'")
     assert [r.id for r in got.collect()] == [2]

@@ -1,5 +1,4 @@
 from ridgeline.operators.incremental import SnapshotTable
-from ridgeline.runtime import scratch_dir
 from ridgeline.schema import layer_schema
 from ridgeline.streaming.landing import stage_stream, upsert_batch
 
@@ -10,8 +9,8 @@ def rows(spark, data):
     return spark.createDataFrame(data, layer_schema("staging", "nodes"))
 
 
-def test_stream_stages_files(spark):
-    root = f"{scratch_dir(spark)}/stream-test"
+def test_stream_stages_files(spark, tmp_path):
+    root = str(tmp_path)
     schema = layer_schema("staging", "nodes")
     table = SnapshotTable(spark, f"{root}/staged", schema)
     rows(spark, [(1, 1.0, 1.0, 5.0, 10), (2, 1.0, 1.0, 5.0, 10)]).write.parquet(f"{root}/landing/a")
