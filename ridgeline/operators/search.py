@@ -152,28 +152,26 @@ def distances_to(edges: DataFrame, starts: DataFrame, max_distance: float | None
     of each job (G7), as Bellman and Ford's rounds of joins and minima.
 
     Only nodes whose distance fell in the last round are expanded. Distances
-    above ``max_distance`` are not followed.
+    above ``max_distance`` are not followed. A round is one stored table.
     """
-    back = edges.groupBy("src", "dst").agg(F.min("distance").alias("distance"))
-    known = materialize(starts.select("job_id", "id", F.lit(0.0).alias("dist_to_start")), "dist")
-    front = known
+    back = edges.groupBy(F.col("dst").alias("id"), "src").agg(F.min("distance").alias("distance"))
+    back = materialize(back, "back")
+    state = starts.select("job_id", "id", F.lit(0.0).alias("dist_to_start"), F.lit(True).alias("fresh"))
     for _ in range(max_rounds):
-        step = front.join(back, front["id"] == back["dst"]).select(
-            "job_id", F.col("src").alias("id"), (F.col("dist_to_start") + F.col("distance")).alias("dist_to_start")
+        step = state.where("fresh").join(back, "id").select(
+            "job_id", F.col("src").alias("id"), (F.col("dist_to_start") + F.col("distance")).alias("dist_to_start"), F.lit(False).alias("old")
         )
         if max_distance is not None:
             step = step.where(F.col("dist_to_start") <= max_distance)
-        step = step.groupBy("job_id", "id").agg(F.min("dist_to_start").alias("dist_to_start"))
-        old = known.select("job_id", "id", F.col("dist_to_start").alias("__old"))
-        front = materialize(
-            step.join(old, ["job_id", "id"], "left").where("__old IS NULL OR dist_to_start < __old").select("job_id", "id", "dist_to_start"), "front"
+        both = state.select("job_id", "id", "dist_to_start", F.lit(True).alias("old")).unionByName(step)
+        least = both.groupBy("job_id", "id").agg(
+            F.min("dist_to_start").alias("dist_to_start"), F.min(F.when(F.col("old"), F.col("dist_to_start"))).alias("before")
         )
-        if front.isEmpty():
-            return known
-        known = materialize(
-            known.unionByName(front).groupBy("job_id", "id").agg(F.min("dist_to_start").alias("dist_to_start")), "dist"
-        )
-    return known
+        fresh = F.col("before").isNull() | (F.col("dist_to_start") < F.col("before"))
+        state = materialize(least.select("job_id", "id", "dist_to_start", fresh.alias("fresh")), "dist")
+        if state.where("fresh").isEmpty():
+            break
+    return state.select("job_id", "id", "dist_to_start")
 
 
 def reachable(nodes: DataFrame, edges: DataFrame, dist: DataFrame, max_distance: float) -> tuple[DataFrame, DataFrame]:
@@ -387,15 +385,23 @@ def return_paths(candidates: DataFrame, edges: DataFrame, n: int, max_distance:
     return c.join(home.distinct(), "__id", "left_semi").drop("__id")
 
 
+def bin_count(n: int, max_candidates: int, bin_size: int) -> int:
+    """How many bins ``n`` candidates fill."""
+    stripe, size = bin_shape(max_candidates, bin_size)
+    full, rest = divmod(n, stripe)
+    return full * -(-stripe // size) + -(-rest // size)
+
+
 def prune(candidates: DataFrame, n: int, width: int, config: RouteConfig, settings: Settings, edges: DataFrame | None = None) -> DataFrame:
-    """At most about ``width`` candidates, spread over the map."""
+    """At most about ``width`` candidates a job, spread over the map.
+    ``n`` is the number of candidates of the largest job."""
     if n <= width:
         return candidates
     if settings.return_path_check and edges is not None:
         candidates = materialize(return_paths(candidates, edges, settings.finishing_overlaps, config.max_distance), "returning")
+        n = candidates.groupBy("job_id").count().agg(F.max("count")).first()[0] or 0
     binned = bin_candidates(candidates, width, settings)
-    bins = binned.select("job_id", "x_bin", "y_bin").distinct().groupBy("job_id").count().agg(F.max("count")).first()[0] or 1
-    target = max(1, width // bins)
+    target = max(1, width // max(1, bin_count(n, width, settings.bin_size)))
     if settings.pruning_strategy == "naive":
         out = best_in_bins(binned, target, config.sign)
     else:
@@ -437,16 +443,18 @@ def _attempt(starts, edges, width, config, settings, until, progress) -> DataFra
         if time.monotonic() > until:
             raise SearchTimeout("the search took too long")
         out = materialize(take_steps(front, F.broadcast(edges) if small else edges, config, settings).where("status <> 'invalid'"), "steps")
-        counts = {r.status: r for r in out.groupBy("status").agg(F.count("*").alias("n"), F.avg("dist").alias("d")).collect()}
+        by_job = out.groupBy("status", "job_id").agg(F.count("*").alias("n"), F.sum("dist").alias("d"))
+        totals = by_job.groupBy("status").agg(F.sum("n").alias("n"), F.max("n").alias("most"), (F.sum("d") / F.sum("n")).alias("d"))
+        counts = {r.status: r for r in totals.collect()}
         valid = counts["valid"].n if "valid" in counts else 0
+        most = counts["valid"].most if valid else 0
         if "complete" in counts:
             done.append(out.where("status = 'complete'").drop("status"))
         progress.steps.append((valid, counts["complete"].n if "complete" in counts else 0, counts["valid"].d if valid else None))
         if not valid:
             break
-        front = prune(out.where("status = 'valid'").drop("status"), valid, width, config, settings, edges)
-        if valid > width:
-            front = materialize(front, "beam")
+        # The pruning plan is short and reads a stored table; it runs with the next step.
+        front = prune(out.where("status = 'valid'").drop("status"), most, width, config, settings, edges)
     if not done:
         return None
     whole = done[0]

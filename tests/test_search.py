@@ -65,6 +65,7 @@ def test_config():
 @pytest.mark.parametrize("cap,shape", [(1024, (256, 64)), (1280, (256, 64)), (5432, (576, 64))])
 def test_bin_shape(cap, shape):
     assert rs.bin_shape(cap, 64) == shape
+    assert rs.bin_count(cap, cap, 64) == -(-cap // 64) and rs.bin_count(1, cap, 64) == 1
 
 
 def test_bins(spark):
