@@ -1,14 +1,14 @@
 """Geodesy and grid expressions.
 
-Formulae are written once as SQL text over column names, so Spark compiles them
-and no Python runs per row. Angles come and go in degrees.
+Formulae are SQL text over column names, so Spark compiles them and no Python
+runs per row. Angles come and go in degrees.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Mean radius of the sphere, metres.
@@ -51,85 +51,80 @@ def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
     return F.expr(haversine_sql(lat1, lon1, lat2, lon2))
 
 
-def geodesic(lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 12) -> Column:
-    """Metres on the WGS84 ellipsoid by Vincenty's inverse formula.
+def _staged(df: DataFrame, stages: list[dict[str, str]], out: dict[str, str]) -> DataFrame:
+    """Evaluate ``stages`` of named SQL expressions one after the other, each
+    seeing the names before it, and add ``out``.
 
-    A fixed number of steps, each an expression over the last estimate, stands
-    for the iteration; nearly antipodal points, where it does not converge, do
-    not occur between neighbours on a path. Equal points are 0 apart.
+    Every stage is a projection of its own. Spark keeps those apart whose names
+    are used more than once, so each value is computed once and all of it
+    compiles into one loop, which lambdas over arrays would not.
     """
-    f, a = WGS84_F, WGS84_A
-    b = a * (1 - f)
-    u1 = F.atan((1 - f) * F.tan(F.radians(lat1)))
-    u2 = F.atan((1 - f) * F.tan(F.radians(lat2)))
-    big_l = F.radians(F.col(lon2) - F.col(lon1))
-    start = F.struct(
-        F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), big_l.alias("big_l")
-    )
+    kept = df
+    for stage in stages:
+        kept = kept.selectExpr("*", *[f"{e} AS __{n}" for n, e in stage.items()])
+    return kept.withColumns({n: F.expr(e) for n, e in out.items()}).select(*[c for c in df.columns if c not in out], *out)
 
-    def angles(k: Column, lam: Column) -> dict[str, Column]:
-        sin_s = F.sqrt(
-            F.pow(k["c2"] * F.sin(lam), 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2)
-        )
-        cos_s = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
-        sin_a = F.when(sin_s == 0, F.lit(0.0)).otherwise(F.try_divide(k["c1"] * k["c2"] * F.sin(lam), sin_s))
-        cos2_a = 1 - sin_a * sin_a
-        cos_2m = F.when(cos2_a == 0, F.lit(0.0)).otherwise(cos_s - F.try_divide(2 * k["s1"] * k["s2"], cos2_a))
-        return {"sin_s": sin_s, "cos_s": cos_s, "sin_a": sin_a, "cos2_a": cos2_a, "cos_2m": cos_2m}
-
-    def names(k: Column, lam: Column) -> Column:
-        return F.struct(*[v.alias(n) for n, v in angles(k, lam).items()])
-
-    def step(acc: Column, _: Column) -> Column:
-        k = acc["k"]
-        # A one-element array binds the angles once for the formula below.
-        lam = F.transform(
-            F.array(names(k, acc["lam"])),
-            lambda g: k["big_l"]
-            + (1 - f / 16 * g["cos2_a"] * (4 + f * (4 - 3 * g["cos2_a"])))
-            * f
-            * g["sin_a"]
-            * (
-                F.atan2(g["sin_s"], g["cos_s"])
-                + f / 16 * g["cos2_a"] * (4 + f * (4 - 3 * g["cos2_a"])) * g["sin_s"]
-                * (g["cos_2m"] + f / 16 * g["cos2_a"] * (4 + f * (4 - 3 * g["cos2_a"])) * g["cos_s"] * (2 * g["cos_2m"] * g["cos_2m"] - 1))
-            ),
-        )[0]
-        return F.struct(k.alias("k"), lam.alias("lam"))
-
-    def finish(acc: Column) -> Column:
-        def metres(g: Column) -> Column:
-            usq = g["cos2_a"] * ((a * a - b * b) / (b * b))
-            big_a = 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq)))
-            big_b = usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq)))
-            c2m = g["cos_2m"]
-            delta = (
-                big_b * g["sin_s"]
-                * (c2m + big_b / 4 * (g["cos_s"] * (2 * c2m * c2m - 1) - big_b / 6 * c2m * (4 * g["sin_s"] * g["sin_s"] - 3) * (4 * c2m * c2m - 3)))
-            )
-            return b * big_a * (F.atan2(g["sin_s"], g["cos_s"]) - delta)
-
-        return F.transform(F.array(names(acc["k"], acc["lam"])), metres)[0]
-
-    out = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)), F.struct(start.alias("k"), big_l.alias("lam")), step, finish
-    )
-    missing = F.col(lat1).isNull() | F.col(lon1).isNull() | F.col(lat2).isNull() | F.col(lon2).isNull()
-    return F.when(~missing, out)
 
+def with_geodesic(df: DataFrame, lat1: str, lon1: str, lat2: str, lon2: str, name: str = "distance", steps: int = 7) -> DataFrame:
+    """``df`` with metres on the WGS84 ellipsoid by Vincenty's inverse formula
+    (G3).
 
-def _bind(body: str, **values: str) -> str:
-    """SQL: ``body`` with names bound to values computed once (struct ``v``)."""
-    fields = ", ".join(f"'{k}', cast({x} as double)" for k, x in values.items())
-    return f"transform(array(named_struct({fields})), v -> {body})[0]"
-
-
-def national_grid(lat: str, lon: str) -> Column:
-    """Struct of double ``easting`` and ``northing`` on the national grid.
+    A fixed number of steps stands for the iteration: a millimetre within four
+    for points up to a hundred kilometres apart. Nearly antipodal points, where
+    it does not converge, do not occur between neighbours on a path. Equal
+    points are 0 apart, a NULL anywhere gives NULL.
+    """
+    f, a = WGS84_F, WGS84_A
+    b = a * (1 - f)
+    stages = [
+        {
+            "u1": f"atan({1 - f} * tan(radians({lat1})))",
+            "u2": f"atan({1 - f} * tan(radians({lat2})))",
+            "l0": f"radians({lon2} - {lon1})",
+        },
+        {"s1": "sin(__u1)", "c1": "cos(__u1)", "s2": "sin(__u2)", "c2": "cos(__u2)", "lam0": "__l0"},
+    ]
+    for k in range(steps):
+        last = k == steps - 1
+        stages += [
+            {f"sl{k}": f"sin(__lam{k})", f"cl{k}": f"cos(__lam{k})"},
+            {
+                f"ss{k}": f"sqrt((__c2 * __sl{k}) * (__c2 * __sl{k}) + (__c1 * __s2 - __s1 * __c2 * __cl{k}) * (__c1 * __s2 - __s1 * __c2 * __cl{k}))",
+                f"cs{k}": f"__s1 * __s2 + __c1 * __c2 * __cl{k}",
+            },
+            {f"sa{k}": f"coalesce(try_divide(__c1 * __c2 * __sl{k}, __ss{k}), 0.0D)", f"sg{k}": f"atan2(__ss{k}, __cs{k})"},
+            {f"ca{k}": f"1 - __sa{k} * __sa{k}"},
+            {f"cm{k}": f"coalesce(__cs{k} - try_divide(2 * __s1 * __s2, __ca{k}), 0.0D)", f"cc{k}": f"{f / 16} * __ca{k} * (4 + {f} * (4 - 3 * __ca{k}))"},
+        ]
+        if not last:
+            stages.append(
+                {
+                    f"lam{k + 1}": f"__l0 + (1 - __cc{k}) * {f} * __sa{k} * (__sg{k} + __cc{k} * __ss{k} * "
+                    f"(__cm{k} + __cc{k} * __cs{k} * (2 * __cm{k} * __cm{k} - 1)))"
+                }
+            )
+    k = steps - 1
+    stages += [
+        {"usq": f"__ca{k} * {(a * a - b * b) / (b * b)}"},
+        {
+            "big_a": "1 + __usq / 16384 * (4096 + __usq * (-768 + __usq * (320 - 175 * __usq)))",
+            "big_b": "__usq / 1024 * (256 + __usq * (-128 + __usq * (74 - 47 * __usq)))",
+        },
+        {
+            "delta": f"__big_b * __ss{k} * (__cm{k} + __big_b / 4 * (__cs{k} * (2 * __cm{k} * __cm{k} - 1) - __big_b / 6 * __cm{k} "
+            f"* (4 * __ss{k} * __ss{k} - 3) * (4 * __cm{k} * __cm{k} - 3)))"
+        },
+    ]
+    missing = " OR ".join(f"{c} IS NULL" for c in (lat1, lon1, lat2, lon2))
+    return _staged(df, stages, {name: f"CASE WHEN NOT ({missing}) THEN {b} * __big_a * (__sg{k} - __delta) END"})
+
+
+def with_national_grid(df: DataFrame, lat: str, lon: str, easting: str = "easting", northing: str = "northing") -> DataFrame:
+    """``df`` with double coordinates on the national grid.
 
     WGS84 to Cartesian, Helmert shift, back to latitude and longitude on the
     Airy ellipsoid, then transverse Mercator by the published series. Accurate
-    to some five metres, as the shift is.
+    to some five metres, as the shift is. NULL in, NULL out.
     """
     e2 = 2 * WGS84_F - WGS84_F**2
     airy_e2 = 1 - (AIRY_B / AIRY_A) ** 2
@@ -138,42 +133,40 @@ def national_grid(lat: str, lon: str) -> Column:
     s = 1 + SHIFT_PPM * 1e-6
     rx, ry, rz = (math.radians(x / 3600) for x in SHIFT_SEC)
     phi0, lam0 = math.radians(GRID_LAT0), math.radians(GRID_LON0)
-
-    meridian = (
-        f"({AIRY_B * GRID_F0} * ({1 + n + 1.25 * n**2 + 1.25 * n**3} * (v.p - {phi0}) "
-        f"- {3 * n + 3 * n**2 + 21 / 8 * n**3} * sin(v.p - {phi0}) * cos(v.p + {phi0}) "
-        f"+ {15 / 8 * (n**2 + n**3)} * sin(2 * (v.p - {phi0})) * cos(2 * (v.p + {phi0})) "
-        f"- {35 / 24 * n**3} * sin(3 * (v.p - {phi0})) * cos(3 * (v.p + {phi0}))))"
-    )
-    project = (
-        "named_struct('easting', "
-        f"{GRID_E0} + v.nu * v.c * v.d + v.nu / 6 * pow(v.c, 3) * (v.nu / v.rho - v.t2) * pow(v.d, 3) "
-        "+ v.nu / 120 * pow(v.c, 5) * (5 - 18 * v.t2 + v.t2 * v.t2 + 14 * v.eta2 - 58 * v.t2 * v.eta2) * pow(v.d, 5), "
-        f"'northing', v.m + {GRID_N0} + v.nu / 2 * v.s * v.c * pow(v.d, 2) "
-        "+ v.nu / 24 * v.s * pow(v.c, 3) * (5 - v.t2 + 9 * v.eta2) * pow(v.d, 4) "
-        "+ v.nu / 720 * v.s * pow(v.c, 5) * (61 - 58 * v.t2 + v.t2 * v.t2) * pow(v.d, 6))"
-    )
-    nu = f"({AIRY_A * GRID_F0} / sqrt(1 - {airy_e2} * pow(sin(v.p), 2)))"
-    rho = f"({AIRY_A * GRID_F0 * (1 - airy_e2)} * pow(1 - {airy_e2} * pow(sin(v.p), 2), -1.5))"
-    mercator = _bind(
-        project, nu=nu, rho=rho, eta2=f"({nu} / {rho} - 1)", t2="pow(tan(v.p), 2)", s="sin(v.p)", c="cos(v.p)", d=f"(v.l - ({lam0}))", m=meridian
-    )
-    # Latitude from Cartesian coordinates by fixed-point steps.
-    lat_step = f"atan2(v.z + {airy_e2} * {AIRY_A} / sqrt(1 - {airy_e2} * pow(sin(v.p), 2)) * sin(v.p), v.q)"
-    body = mercator
-    for _ in range(5):
-        body = _bind(body, p=lat_step, l="v.l", z="v.z", q="v.q")
-    body = _bind(body, p=f"atan2(v.z, v.q * {1 - airy_e2})", l="atan2(v.y, v.x)", z="v.z", q="v.q")
-    body = _bind(body, x="v.x", y="v.y", z="v.z", q="sqrt(v.x * v.x + v.y * v.y)")
-    body = _bind(
-        body,
-        x=f"{tx} + {s} * v.x - ({rz}) * v.y + ({ry}) * v.z",
-        y=f"{ty} + ({rz}) * v.x + {s} * v.y - ({rx}) * v.z",
-        z=f"{tz} - ({ry}) * v.x + ({rx}) * v.y + {s} * v.z",
-    )
-    body = _bind(body, x="v.n * cos(v.p) * cos(v.l)", y="v.n * cos(v.p) * sin(v.l)", z=f"v.n * {1 - e2} * sin(v.p)")
-    body = _bind(body, p="v.p", l="v.l", n=f"{WGS84_A} / sqrt(1 - {e2} * pow(sin(v.p), 2))")
-    return F.expr(f"CASE WHEN {lat} IS NOT NULL AND {lon} IS NOT NULL THEN {_bind(body, p=f'radians({lat})', l=f'radians({lon})')} END")
+    stages = [
+        {"sp": f"sin(radians({lat}))", "cp": f"cos(radians({lat}))", "l": f"radians({lon})"},
+        {"n": f"{WGS84_A} / sqrt(1 - {e2} * __sp * __sp)"},
+        {"x": "__n * __cp * cos(__l)", "y": "__n * __cp * sin(__l)", "z": f"__n * {1 - e2} * __sp"},
+        {
+            "x2": f"{tx} + {s} * __x - ({rz}) * __y + ({ry}) * __z",
+            "y2": f"{ty} + ({rz}) * __x + {s} * __y - ({rx}) * __z",
+            "z2": f"{tz} - ({ry}) * __x + ({rx}) * __y + {s} * __z",
+        },
+        {"q": "sqrt(__x2 * __x2 + __y2 * __y2)", "d": f"atan2(__y2, __x2) - ({lam0})"},
+        {"p0": f"atan2(__z2, __q * {1 - airy_e2})"},
+    ]
+    # Latitude on the other ellipsoid by fixed-point steps.
+    for k in range(5):
+        stages.append({f"r{k}": f"sin(__p{k})"})
+        stages.append({f"p{k + 1}": f"atan2(__z2 + {airy_e2 * AIRY_A} / sqrt(1 - {airy_e2} * __r{k} * __r{k}) * __r{k}, __q)"})
+    stages += [
+        {"s": "sin(__p5)", "c": "cos(__p5)", "u": f"__p5 - {phi0}", "v": f"__p5 + {phi0}"},
+        {
+            "w": f"1 - {airy_e2} * __s * __s",
+            "t2": "(__s / __c) * (__s / __c)",
+            "m": f"{AIRY_B * GRID_F0} * ({1 + n + 1.25 * n**2 + 1.25 * n**3} * __u - {3 * n + 3 * n**2 + 21 / 8 * n**3} * sin(__u) * cos(__v) "
+            f"+ {15 / 8 * (n**2 + n**3)} * sin(2 * __u) * cos(2 * __v) - {35 / 24 * n**3} * sin(3 * __u) * cos(3 * __v))",
+        },
+        {"nu": f"{AIRY_A * GRID_F0} / sqrt(__w)", "rho": f"{AIRY_A * GRID_F0 * (1 - airy_e2)} / (__w * sqrt(__w))", "cd": "__c * __d"},
+        {"eta2": "__nu / __rho - 1", "cd2": "__cd * __cd"},
+    ]
+    out = {
+        easting: f"{GRID_E0} + __nu * __cd * (1 + __cd2 / 6 * (__nu / __rho - __t2) "
+        "+ __cd2 * __cd2 / 120 * (5 - 18 * __t2 + __t2 * __t2 + 14 * __eta2 - 58 * __t2 * __eta2))",
+        northing: f"__m + {GRID_N0} + __nu * __s / __c * __cd2 * (0.5D + __cd2 / 24 * (5 - __t2 + 9 * __eta2) "
+        "+ __cd2 * __cd2 / 720 * (61 - 58 * __t2 + __t2 * __t2))",
+    }
+    return _staged(df, stages, out)
 
 
 def destination(lat: float, lon: float, bearing: float, metres: float) -> tuple[float, float]:

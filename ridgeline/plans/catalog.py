@@ -694,7 +694,8 @@ def x4_jaccard(spark, sf_dir):
 @query()
 def g3_edge_length(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return e.select("src", "dst", "way_id", "way_inx", F.round(geo.geodesic("src_lat", "src_lon", "dst_lat", "dst_lon"), 6).alias("distance"))
+    e = geo.with_geodesic(e.drop("tags"), "src_lat", "src_lon", "dst_lat", "dst_lon")
+    return e.select("src", "dst", "way_id", "way_inx", F.round("distance", 6).alias("distance"))
 
 
 def _search_edges(spark, sf_dir):

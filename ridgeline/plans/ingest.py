@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ridgeline.functions.geo import geodesic, national_grid, partition_key
+from ridgeline.functions.geo import partition_key, with_geodesic, with_national_grid
 from ridgeline.operators import contract, elevation, network, tags
 from ridgeline.schema import layer_schema, map_to_schema
 
 
 def land_nodes(raw: DataFrame) -> DataFrame:
     """Raw ``id, latitude, longitude, timestamp`` with grid coordinates, cut to
-    whole metres."""
-    grid = tags.rename_coordinates(raw).withColumn("__g", national_grid("lat", "lon"))
-    out = grid.withColumns({"easting": F.col("__g.easting").cast("int"), "northing": F.col("__g.northing").cast("int")})
-    return map_to_schema(out, layer_schema("landing", "nodes"))
+    whole metres by the cast to the schema."""
+    grid = with_national_grid(tags.rename_coordinates(raw), "lat", "lon")
+    return map_to_schema(grid, layer_schema("landing", "nodes"))
 
 
 def land_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,7 +37,10 @@ def sanitise_edges(edges: DataFrame, distance=None) -> DataFrame:
     out = elevation.drop_without_elevation(edges)
     out = tags.drop_unsafe(tags.keep_accessible(tags.flag_footways(out)))
     out = elevation.elevation_changes(tags.flag_flat(out))
-    out = out.withColumn("distance", geodesic("src_lat", "src_lon", "dst_lat", "dst_lon") if distance is None else distance)
+    if distance is None:
+        out = with_geodesic(out, "src_lat", "src_lon", "dst_lat", "dst_lon", "distance")
+    else:
+        out = out.withColumn("distance", distance)
     out = tags.highway_and_surface(tags.flag_oneway(out)).drop("elevation", "tags", "timestamp")
     return map_to_schema(network.reverse_edges(out), layer_schema("sanitised", "edges"))
 

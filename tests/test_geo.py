@@ -11,9 +11,9 @@ def test_national_grid_published_point(spark):
     # 52 39 28.8282 N, 1 42 57.8663 E in WGS84; the shift is good to some metres.
     lat, lon = 52 + 39 / 60 + 28.8282 / 3600, 1 + 42 / 60 + 57.8663 / 3600
     df = spark.createDataFrame([(lat, lon), (None, lon)], "lat double, lon double")
-    a, b = df.select(geo.national_grid("lat", "lon").alias("g")).collect()
-    assert abs(a.g.easting - 651409.9) < 8 and abs(a.g.northing - 313177.3) < 8
-    assert b.g is None
+    a, b = geo.with_national_grid(df, "lat", "lon").collect()
+    assert abs(a.easting - 651409.9) < 8 and abs(a.northing - 313177.3) < 8
+    assert b.easting is None and b.northing is None
 
 
 @pytest.mark.parametrize(
@@ -28,13 +28,13 @@ def test_national_grid_published_point(spark):
 )
 def test_geodesic(spark, points, metres):
     df = spark.createDataFrame([points], "a double, b double, c double, d double")
-    got = df.select(geo.geodesic("a", "b", "c", "d")).first()[0]
+    got = geo.with_geodesic(df, "a", "b", "c", "d").first().distance
     assert got == pytest.approx(metres, abs=0.05)
 
 
 def test_geodesic_null_and_haversine(spark):
     df = spark.createDataFrame([(None, 1.0, 2.0, 3.0), (50.0, -1.0, 50.1, -1.1)], "a double, b double, c double, d double")
-    v = df.select(geo.geodesic("a", "b", "c", "d").alias("v"), geo.haversine("a", "b", "c", "d").alias("h")).collect()
+    v = geo.with_geodesic(df, "a", "b", "c", "d", "v").withColumn("h", geo.haversine("a", "b", "c", "d")).collect()
     assert v[0].v is None and v[0].h is None
     assert v[1].h == pytest.approx(v[1].v, rel=0.005)
 
