@@ -73,11 +73,10 @@ def assign_tiles(points: DataFrame, bounds: DataFrame, e: str = "easting", n: st
 
 
 def tiles_of_edges(edges: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Distinct ``file_id`` of tiles at either end of an edge: two joins
-    instead of a disjunction."""
-    ends = edges.select(F.col("src_easting").alias("easting"), F.col("src_northing").alias("northing")).union(
-        edges.select("dst_easting", "dst_northing")
-    )
+    """Distinct ``file_id`` of tiles at either end of an edge: each edge gives
+    two points, so no disjunction is joined on."""
+    point = lambda end: F.struct(F.col(f"{end}_easting").alias("easting"), F.col(f"{end}_northing").alias("northing"))
+    ends = edges.select(F.inline(F.array(point("src"), point("dst"))))
     return assign_tiles(ends, bounds).select("file_id").distinct()
 
 

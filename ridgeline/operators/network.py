@@ -32,8 +32,9 @@ def edge_end_coords(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def used_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes at an end of an edge: a semi join, so the ends need no distinct."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id")))
+    """Nodes at an end of an edge: a semi join, so the ends need no distinct.
+    Both ends come out of one pass over the edges."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
     return nodes.join(ends, "id", "left_semi")
 
 
@@ -41,12 +42,11 @@ def node_degrees(edges: DataFrame) -> DataFrame:
     """``id, in_degree, out_degree, degree``: edges in and out, and distinct
     neighbours either way.
 
-    Edges are first summed by pair, in part before the shuffle, so no distinct
-    aggregate expands rows.
+    One pass over the edges sees each from both ends. They are first summed by
+    pair, in part before the shuffle, so no distinct aggregate expands rows.
     """
-    pairs = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(
-        edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), F.lit(1).alias("i"), F.lit(0).alias("o"))
-    )
+    seen = lambda a, b, i: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(i).alias("i"), F.lit(1 - i).alias("o"))
+    pairs = edges.select(F.inline(F.array(seen("src", "dst", 0), seen("dst", "src", 1))))
     by_pair = pairs.groupBy("id", "other").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     return by_pair.groupBy("id").agg(
         F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("other").alias("degree")
@@ -71,11 +71,16 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
         "src_easting": "dst_easting", "src_northing": "dst_northing",
     }
     swap |= {v: k for k, v in swap.items()}
-    back = [
-        (-F.col(c)).cast(t).alias(c) if c in ("way_id", "way_inx") else F.col(swap.get(c, c) if swap.get(c, c) in edges.columns else c).alias(c)
-        for c, t in edges.dtypes
-    ]
-    return edges.unionByName(edges.where(~F.col("oneway")).select(back)).drop("oneway")
+    kept = [(c, t) for c, t in edges.dtypes if c != "oneway"]
+    there = F.struct(*[F.col(c) for c, _ in kept])
+    back = F.struct(
+        *[
+            (-F.col(c)).cast(t).alias(c) if c in ("way_id", "way_inx") else F.col(swap[c] if swap.get(c) in edges.columns else c).alias(c)
+            for c, t in kept
+        ]
+    )
+    # Both directions come out of one pass over the edges.
+    return edges.select(F.inline(F.when(F.col("oneway"), F.array(there)).otherwise(F.array(there, back))))
 
 
 def swap_columns(df: DataFrame, a: str, b: str) -> DataFrame:
