@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import bound_batches, read_table
 from .gbt import Booster, Isotonic
 
 KINDS = ("email", "ip", "card", "phone")
@@ -363,6 +363,7 @@ def find_pii(docs: DataFrame, selector: Selector, id_col: str = "doc_id", text_c
                     names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "redacted"],
                 )
 
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return src.mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, redacted string")

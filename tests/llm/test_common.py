@@ -60,3 +60,14 @@ def test_scratch_is_cleared(spark):
         read_table(spark, "/nowhere", "documents")
     clear_scratch(spark)
     assert np.array_equal(common.powers(3, 4), np.array([1, 3, 9, 27], dtype=np.uint64))
+
+
+def test_batches_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    common.bound_batches(spark)
+    assert spark.conf.get(key) == str(common.BATCH_ROWS)
+    spark.conf.set(key, "7")
+    common.bound_batches(spark)
+    assert spark.conf.get(key) == "7"
+    spark.conf.unset(key)
