@@ -248,7 +248,8 @@ def _parse(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
         "doc_id", "th", "i", "b.k1", "b.k2", "b.lo", "b.hi"
     )
     owner = block.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    owner = owner.where("owner < last").select("k1", "k2", "owner")
+    # Stored, the aggregate meets its rows in a join that Spark can split at hot keys.
+    owner = materialize(owner.where("owner < last").select("k1", "k2", "owner"), "rlz-owners")
     factor = block.join(owner, ["k1", "k2"]).where("owner < doc_id").select("doc_id", "th", "i", "lo", "hi")
     factors = materialize(
         factor.distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "i"))).alias("factors")),
@@ -266,6 +267,7 @@ def _parse(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     )
     anchor = rest.select("doc_id", "th", F.explode("anchors").alias("anchor"))
     shared = anchor.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
+    shared = materialize(shared, "rlz-anchors")
     wanted = anchor.join(shared, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("anchors"))
 
     # Texts that matter further travel once; the join builds on the narrow side.
@@ -279,7 +281,7 @@ def _parse(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
         "rlz-windows",
     )
     owner = opened.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    owner = owner.where("owner < last").select("k1", "k2", "owner")
+    owner = materialize(owner.where("owner < last").select("k1", "k2", "owner"), "rlz-owners")
     hit = opened.join(owner, ["k1", "k2"]).where("owner < doc_id")
     starts = hit.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
     found = marked.join(starts.hint("shuffle_hash"), ["doc_id", "th"], "left").where("factors IS NOT NULL OR starts IS NOT NULL")
