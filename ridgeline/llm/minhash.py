@@ -235,7 +235,9 @@ def near_duplicates(
     live = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     keyed = live.select("fp", F.explode("bands").alias("band"))
     buckets = keyed.groupBy("band").agg(F.min("fp").alias("leader"), F.max("fp").alias("last")).where("leader <> last")
-    members = materialize(keyed.join(buckets.select("band", "leader"), "band").distinct(), "buckets")
+    # Stored, the aggregate meets its rows in a join that Spark can split at hot keys.
+    buckets = materialize(buckets.select("band", "leader"), "leaders")
+    members = materialize(keyed.join(buckets, "band").distinct(), "buckets")
 
     involved = members.select("fp").distinct()
     owners = live.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(involved, "fp", "left_semi")
