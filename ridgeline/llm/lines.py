@@ -73,7 +73,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     seen = materialize(src.mapInArrow(_windows(span), "k1 long, k2 long, doc_id long, th long, line int"), "line-windows")
     place = F.struct("doc_id", "line")
     first = seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where("first < last").select("k1", "k2", "first")
+    # Stored, the aggregate meets its rows in a join that Spark can split at hot keys.
+    first = materialize(first.where("first < last").select("k1", "k2", "first"), "line-firsts")
     later = seen.join(first, ["k1", "k2"]).where(F.struct("doc_id", "line") > F.col("first"))
     return later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("starts"))
 
