@@ -14,9 +14,11 @@ are cut into pieces of at most ``PIECE`` words, documents into passages of
    cluster; ``Y`` and ``R`` give the leading right singular vectors in one pass
    (Nystroem's approximation of ``A^T A``). What is sent depends on the
    vocabulary and the rank, not on the documents.
-3. A passage is a candidate for a piece if their latent vectors have a cosine
-   of ``COSINE`` or more, and the passage reaches ``REACH`` of the piece's
-   length along it, so that one shared word does not do.
+3. A passage is a candidate for a piece if it holds, with its surroundings, as
+   many of the piece's key words as step 4 asks for at least, counted through an
+   index from key words to pieces. That is necessary for confirmation, so no
+   passage is lost, however many items there are. The latent vectors exclude
+   nothing: their cosine is reported, and decides between equal passages' rows.
 4. A candidate is confirmed by longest common subsequences of the piece and the
    passage with its surroundings: at least ``COMMON`` of the piece's words and
    of its key words; or, for a paraphrase, ``LOOSE`` of them, if the answer,
@@ -47,8 +49,6 @@ from .common import PLAIN, chunks, materialize, read_table
 PIECE = 48
 HALF = 32
 KEYS = 12
-COSINE = 0.45
-REACH = 0.25
 COMMON = 0.6
 LOOSE = 0.5
 ANSWER = 0.75
@@ -57,6 +57,8 @@ LEAST = 4
 BLOCK_ITEMS = 4096
 RANK = 96
 OVERSAMPLE = 16
+#: Counts of shared key words that are held or added up at once.
+SHARED = 1 << 22
 
 
 def _masks(words: list[int]) -> dict[int, int]:
@@ -77,10 +79,8 @@ class Piece:
     def __post_init__(self):
         answer = self.keys[-max(1, len(self.keys) // 3) :]
         self.parts = [(len(w), _masks(w)) for w in (self.words, self.keys, answer)]
-        self.kinds = frozenset(self.words if len(self.words) < SHORT else self.keys)
-        # How many different words a region must have before it can match.
-        repeats = len(self.keys) - len(self.kinds)
-        self.needed = len(self.kinds) if len(self.words) < SHORT else math.ceil(LOOSE * len(self.keys)) - repeats
+        # How many of the key words, with repeats, a region must have to match.
+        self.needed = len(self.keys) if len(self.words) < SHORT else math.ceil(LOOSE * len(self.keys))
 
     def shares(self, region: list[int]) -> list[float]:
         """Common parts of the words, the key words, and the answer."""
@@ -140,13 +140,13 @@ class Vocabulary:
 @dataclass
 class Queries:
     """A block of benchmark items: their pieces, and the key words as features
-    with TF-IDF weights and a matrix row a piece."""
+    with TF-IDF weights and a sparse matrix row a piece."""
 
     pieces: list[Piece]
     keys: np.ndarray  # numbers of the key words, sorted
     number: np.ndarray  # feature of each word, or -1
     idf: np.ndarray
-    matrix: np.ndarray
+    entries: tuple[np.ndarray, np.ndarray]  # piece and feature of each key word in its place
 
     @staticmethod
     def of(cut: list[tuple[int, list[int]]], df: np.ndarray, total: int) -> Queries:
@@ -157,12 +157,32 @@ class Queries:
         number = np.full(len(df), -1)
         number[keys] = np.arange(len(keys))
         idf = np.log((total + 1) / (df[keys] + 1)) + 1e-6
-        pieces, matrix = [], np.zeros((len(cut), len(keys)))
+        pieces, rows, features = [], [], []
         for i, ((item, part), own) in enumerate(zip(cut, key_sets, strict=True)):
             pieces.append(Piece(item, part, [w for w in part if w in own]))
             f = number[part]
-            np.add.at(matrix[i], f[f >= 0], idf[f[f >= 0]])
-        return Queries(pieces, keys, number, idf, matrix)
+            rows.append(np.full((f >= 0).sum(), i))
+            features.append(f[f >= 0])
+        return Queries(pieces, keys, number, idf, (np.concatenate(rows), np.concatenate(features)))
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """The matrix times ``x``."""
+        row, f = self.entries
+        out = np.zeros((len(self.pieces), x.shape[1]))
+        np.add.at(out, row, self.idf[f, None] * x[f])
+        return out
+
+    def transposed_times(self, x: np.ndarray) -> np.ndarray:
+        row, f = self.entries
+        out = np.zeros((len(self.keys), x.shape[1]))
+        np.add.at(out, f, self.idf[f, None] * x[row])
+        return out
+
+    def energy(self) -> float:
+        """Sum of the squares of the matrix."""
+        row, f = self.entries
+        cell, n = np.unique(row * len(self.keys) + f, return_counts=True)
+        return float(((n * self.idf[cell % len(self.keys)]) ** 2).sum())
 
     def key_words(self, p: Part) -> tuple[np.ndarray, np.ndarray]:
         """Halves and features of the key words of a part."""
@@ -340,8 +360,8 @@ def fit_latent(stored: DataFrame, q: Queries, rank: int = RANK, seed: int = 3) -
             energy = r.y[0]
         else:
             y[r.feature] = r.y
-    weight = energy / max(float((q.matrix**2).sum()), 1e-30) if energy else 1.0
-    return nystroem(y + weight * (q.matrix.T @ (q.matrix @ start)), start, rank)
+    weight = energy / max(q.energy(), 1e-30) if energy else 1.0
+    return nystroem(y + weight * q.transposed_times(q.times(start)), start, rank)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -349,11 +369,58 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _search(q: Queries, latent: Latent, cosine: float):
+class Index:
+    """The pieces of each key word, with its number of places in them."""
+
+    def __init__(self, q: Queries):
+        held = [np.unique(q.number[p.keys], return_counts=True) for p in q.pieces]
+        f = np.concatenate([f for f, _ in held])
+        piece = np.repeat(np.arange(len(held)), [len(f) for f, _ in held])
+        order = np.argsort(f, kind="stable")
+        self.piece, self.times = piece[order], np.concatenate([n for _, n in held])[order]
+        self.first = np.searchsorted(f[order], np.arange(len(q.keys) + 1))
+        self.needed = np.array([p.needed for p in q.pieces])
+
+    def candidates(self, region: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Regions and pieces that share enough, from the different key words
+        ``f`` of each region, sorted by region."""
+        n = len(self.needed)
+        start = np.flatnonzero(np.diff(region, prepend=-1))
+        count = np.diff(self.first)[f]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ends = np.append(start, len(region))
+        lo = 0
+        while lo < len(start):
+            hi = int(np.searchsorted(total[ends], total[ends[lo]] + SHARED, side="right")) - 1
+            hi = max(lo + 1, min(hi, lo + max(1, SHARED // n), len(start)))
+            a, b = ends[lo], ends[hi]
+            own = np.repeat(np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), count[a:b])
+            at = np.arange(total[b] - total[a]) + np.repeat(self.first[f[a:b]] - (total[a:b] - total[a]), count[a:b])
+            shared = np.bincount(own * n + self.piece[at], self.times[at], (hi - lo) * n).reshape(hi - lo, n)
+            i, k = np.nonzero(shared >= self.needed)
+            yield region[start[lo + i]], k
+            lo = hi
+
+
+def _regions(q: Queries, p: Part) -> tuple[np.ndarray, np.ndarray]:
+    """Halves at which a passage starts, and the different key words of the
+    passage and its surroundings, sorted."""
+    f = q.number[p.word]
+    on = np.flatnonzero(f >= 0)
+    row = p.row[p.half[on]]
+    last = p.half[on] + (p.place[on] % HALF >= HALF // 2)
+    keys = []
+    for back in range(3):
+        h = last - back
+        ok = (h >= p.first_half[row]) & (h < p.first_half[row + 1])
+        keys.append(h[ok] * len(q.keys) + f[on][ok])
+    return np.divmod(np.unique(np.concatenate(keys)), len(q.keys))
+
+
+def _search(q: Queries, latent: Latent):
     table = (q.idf[:, None] * latent.basis).astype(np.float32)
-    target = (q.matrix @ latent.basis).astype(np.float32)
-    length = np.maximum(np.linalg.norm(target, axis=1), 1e-9)
-    target = _unit(target)
+    target = _unit(q.times(latent.basis).astype(np.float32))
+    index = Index(q)
 
     def matches(p: Part) -> Iterator[tuple[int, int, float, int, float]]:
         """Row, piece, common part, word place and cosine of each match."""
@@ -361,29 +428,17 @@ def _search(q: Queries, latent: Latent, cosine: float):
         if not len(f):
             return
         z = _project(f, half, len(p.row), table)
-        for lo in range(0, len(p.row), 4096):
-            hi = min(lo + 4096, len(p.row))
-            block = z[lo:hi].copy()
-            after = z[lo + 1 : hi + 1]
-            joined = p.row[lo + 1 : hi + 1] == p.row[lo : lo + len(after)]
-            block[: len(after)][joined] += after[joined]
-            norm = np.linalg.norm(block, axis=1)
-            live = np.flatnonzero(norm > 0)
-            near = (block[live] / norm[live, None]) @ target.T
-            near[near * norm[live, None] < REACH * length] = 0
-            last, region, kinds = -1, [], frozenset()
-            for i, k in zip(*np.nonzero(near >= cosine), strict=True):
-                h = lo + int(live[i])
+        last, region, near = -1, [], np.empty(0)
+        for halves, pieces in index.candidates(*_regions(q, p)):
+            for h, k in zip(halves.tolist(), pieces.tolist(), strict=True):
                 r = int(p.row[h])
                 at = (h - int(p.first_half[r])) * HALF
                 if h != last:
                     last, region = h, p.region(r, at)
-                    kinds = frozenset(region)
-                piece = q.pieces[k]
-                if len(piece.kinds & kinds) >= piece.needed:
-                    share, ok = piece.matches(region)
-                    if ok:
-                        yield r, int(k), share, at, float(near[i, k])
+                    near = _unit(z[h : min(h + 2, int(p.first_half[r + 1]))].sum(axis=0, keepdims=True))[0]
+                share, ok = q.pieces[k].matches(region)
+                if ok:
+                    yield r, k, share, at, float(near @ target[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,7 +463,7 @@ def _search(q: Queries, latent: Latent, cosine: float):
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cosine: float = COSINE, rank: int = RANK
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK
 ) -> DataFrame:
     """``doc_id, th, item_id, share, at_word, cosine``: a row for each document
     and item that match, with the best passage (first of equals) and the part
@@ -426,7 +481,7 @@ def find_leaks(
         stored = materialize(src.mapInArrow(_encode(words), STORED), "leak-words")
         queries = Queries.of(cut, *count_words(stored, len(words)))
         latent = fit_latent(stored, queries, rank)
-        return materialize(stored.mapInArrow(_search(queries, latent, cosine), schema).dropDuplicates(["doc_id", "th", "item_id"]), "leaks")
+        return materialize(stored.mapInArrow(_search(queries, latent), schema).dropDuplicates(["doc_id", "th", "item_id"]), "leaks")
 
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id", "text")
     for r in rows.toLocalIterator():

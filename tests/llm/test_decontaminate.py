@@ -113,3 +113,22 @@ def test_nystroem_finds_leading_vectors():
     _, s, vt = np.linalg.svd(a)
     assert np.allclose(got.values, s[:5], rtol=0.02)
     assert np.linalg.norm(got.basis.T @ vt[:5].T) > 2.2
+
+
+def test_no_passage_is_lost(spark):
+    """More items than the basis has directions, of words that many share."""
+    rnd = random.Random(6)
+    words = [f"v{i}" for i in range(900)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(6, 90)))) for i in range(700)]
+    items.append((700, "twice " * 30 + "once more"))
+    docs = []
+    for i in range(300):
+        t = [rnd.choice(words) for _ in range(rnd.randrange(0, 300))]
+        x = items[rnd.randrange(len(items))][1].split()
+        t[len(t) // 2 : len(t) // 2] = x if i % 2 else [w for w in x if rnd.random() < 0.8]
+        docs.append((i, " ".join(t)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()}
+    want = brute(docs, items)
+    assert got == want and len(want) > 250
