@@ -1,8 +1,9 @@
 """Personal data by candidate spans and gradient-boosted selection.
 
 Base spans are exact formats of four kinds and always stay. Generators of high
-recall propose further spans of the same kinds, which may overlap: numbers in
-many groupings, spelled-out addresses, card numbers in unusual groups. Boosted
+recall propose further spans of the same kinds, which may overlap: every
+sequence of neighbouring groups of digits that has a fitting number of them,
+spelled-out addresses, card numbers in unusual groups. Boosted
 trees judge each candidate by its format and its context, isotonic regression
 turns the margin into a probability, and a threshold for each kind, chosen for
 precision on rows that the trees have not seen, selects redactions.
@@ -20,7 +21,9 @@ ids each keep their row. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -116,6 +119,7 @@ _DOT_WORD = re.compile(r"[\x20]?(?:\[dot\]|\(dot\)|\{dot\}|<dot>|\x20dot\x20|\x2
 _NAME_CHUNK = re.compile(r"[A-Za-z0-9-]{1,63}")
 #: Digits in groups with mild separators, and brackets as in an area code.
 _GROUPED = re.compile(r"(?:\(0?[0-9]{2,4}\)|[0-9]+)(?:[\x20./-]?\x20?(?:\([0-9]{1,4}\)|[0-9]+))*")
+_GROUP = re.compile(r"\([0-9]+\)|[0-9]+")
 _BRACKETED_IP = re.compile(r"[0-9]{1,3}(?:\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}(?:\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}(?:\[\.\]|\(\.\)|\x20\.\x20)[0-9]{1,3}")
 
 CUES = (
@@ -170,11 +174,28 @@ def candidates(text: str) -> Iterator[Candidate]:
     for m in _GROUPED.finditer(text):
         if m.end() - m.start() < 7:
             continue
-        n = len(only_digits(m[0]))
-        if 13 <= n <= 19:
-            yield Candidate(2, m.start(), m.end(), 3)
-        if 7 <= n <= 15:
-            yield Candidate(3, m.start(), m.end(), 4)
+        groups = [(g.start(), g.end(), g.end() - g.start() - 2 * (g[0][0] == "(")) for g in _GROUP.finditer(text, m.start(), m.end())]
+        for i, (start, *_) in enumerate(groups):
+            n = 0
+            for _, stop, size in groups[i : i + 19]:
+                n += size
+                if n > 19:
+                    break
+                if n >= 13:
+                    yield Candidate(2, start, stop, 3)
+                if 7 <= n <= 15:
+                    plus = start > 0 and text[start - 1] == "+"
+                    yield Candidate(3, start - plus, stop, 4 + plus)
+
+
+_BEFORE = re.compile(r"([0-9]+)\)?([\x20./-]?\x20?)\Z")
+_AFTER = re.compile(r"([\x20./-]?\x20?)\(?([0-9]+)")
+_SEPARATORS = {"": 0, " ": 1, "  ": 2, ". ": 3, "- ": 4, "/ ": 5, "-": 6, ".": 7, "/": 8}
+
+
+def _neighbour(m: re.Match | None, digits: int, separator: int) -> list[float]:
+    """Size of, and way to, the digits beside a span."""
+    return [len(m[digits]), _SEPARATORS[m[separator]]] if m else [0, -1]
 
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
@@ -190,6 +211,8 @@ def features(text: str, c: Candidate) -> list[float]:
     cue = [len(words) - i for i, w in enumerate(words) if w in CUES[c.kind]]
     groups = [len(g) for g in _NUMBER.findall(span)]
     prev, nxt = before[-1:], after[:1]
+    inner = [_SEPARATORS.get(g, 9) for g in _NUMBER.split(span)[1:-1]]
+    shape = (groups[:4] + [0] * 4)[:4]
     return [
         c.kind,
         c.how,
@@ -217,11 +240,18 @@ def features(text: str, c: Candidate) -> list[float]:
         float(span[-4:].lower().lstrip(".") in ("com", "org", "net", "edu", "gov", "info", "com.")),
         float(" dot " in span.lower() or "dot" in span.lower()),
         float(any(ch in span for ch in "[](){}<>")),
+        *_neighbour(_BEFORE.search(before), 1, 2),
+        *_neighbour(_AFTER.match(after), 2, 1),
+        *shape[1:],
+        len(set(inner)),
+        max(inner, default=-1),
+        sum(i in (2, 3, 4, 5) for i in inner),
     ]
 
 
 def training_examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of ``n`` written examples, the same on every run."""
+    """Features and labels of the candidates in ``n`` written texts, the same on
+    every run. Some numbers stand beside others."""
     rnd = random.Random(seed)
     num = lambda k, first="0123456789": rnd.choice(first) + "".join(rnd.choice("0123456789") for _ in range(k - 1))
     name = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randrange(3, 9)))
@@ -241,15 +271,21 @@ def training_examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndar
         at, dot = rnd.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" [at] ", "."), ("[at]", "."), (" at ", " dot ")])
         return f"{name()}{rnd.choice(['', '.', '_'])}{name()}{at}{name()}{dot}{rnd.choice(['com', 'org', 'net', 'de', 'fr'])}"
 
-    def yes() -> tuple[str, str]:
+    def abroad() -> str:
+        a, b, c = num(3, "23456789"), num(3), num(4)
+        return "+" + rnd.choice([f"1 ({a}) {b}-{c}", f"{num(2, '1234')} {num(3)} {num(7)}", f"1 {a}-{b}-{c}", f"{num(2, '1234')} {a} {b} {c}"])
+
+    def yes() -> tuple[str, str, int]:
         k = rnd.randrange(4)
         if k == 0:
-            return rnd.choice(["", "mail ", "contact: ", "write to ", "email "]), spelled()
+            return rnd.choice(["", "mail ", "contact: ", "write to ", "email "]), spelled(), k
         if k == 1:
-            return rnd.choice(["", "server ", "from host ", "ip "]), rnd.choice(["[.]", "(.)"]).join(str(rnd.randrange(256)) for _ in range(4))
+            return rnd.choice(["", "server ", "from host ", "ip "]), rnd.choice(["[.]", "(.)"]).join(str(rnd.randrange(256)) for _ in range(4)), k
         if k == 2:
-            return rnd.choice(["card ", "visa ", "card number: ", "credit card "]), card(True)
-        return rnd.choice(["call ", "phone: ", "tel ", "fax ", "mobile ", "call me on ", "telefon "]), phone()
+            return rnd.choice(["", "card ", "visa ", "card number: ", "credit card "]), card(True), k
+        if rnd.random() < 0.2:
+            return rnd.choice(["", "", "call ", "tel "]), abroad(), k
+        return rnd.choice(["call ", "phone: ", "tel ", "fax ", "mobile ", "call me on ", "telefon "]), phone(), k
 
     def no() -> tuple[str, str]:
         return rnd.choice(
@@ -263,25 +299,47 @@ def training_examples(n: int = 3000, seed: int = 5) -> tuple[np.ndarray, np.ndar
                 lambda: (rnd.choice(["total ", "price ", "population "]), f"{num(3, '123')}.{num(3)}.{num(3)}"),
                 lambda: ("version ", f"{num(1)}.{num(2)}.{num(4)}.{num(3)}"),
                 lambda: ("", f"{num(4)} {num(4)} {num(4)} {num(2)}"),
-                lambda: (rnd.choice(["", "values "]), " ".join(num(rnd.randrange(1, 4)) for _ in range(rnd.randrange(4, 9)))),
+                *[lambda: (rnd.choice(["", "values "]), " ".join(num(rnd.randrange(1, 4)) for _ in range(rnd.randrange(4, 12))))] * 2,
                 lambda: (rnd.choice(["", "account ", "lot "]), card(False)),
                 lambda: ("pages ", f"{num(4)}-{num(4)}"),
                 lambda: (rnd.choice(["", "number "]), f"{'0' * rnd.randrange(1, 5)}{num(rnd.randrange(9, 15))}"),
             ]
         )()
 
+    def beside(kind: int | None) -> tuple[str, bool]:
+        """Something with digits to stand beside a span, and if it is one of the kind too."""
+        pick = rnd.choice([0, 0, 1, 2, 3, 3])
+        if pick == 0 and kind is not None:
+            return (card(True) if kind == 2 else phone()), True
+        if pick == 1:
+            return ".".join(str(rnd.randrange(256)) for _ in range(4)), False
+        if pick == 2:
+            return f"{num(2, '01')}/{num(2, '23')} {num(3)}", False
+        return num(rnd.randrange(1, 5)), False
+
     x, y = [], []
-    while len(x) < n:
+    for _ in range(n):
         label = rnd.random() < 0.5
-        cue, span = yes() if label else no()
-        head = filler(rnd.randrange(1, 6)) + " " + cue
-        text = head + span + rnd.choice([" ", ". ", ", "]) + filler(3)
+        cue, span, kind = yes() if label else (*no(), None)
+        text = filler(rnd.randrange(1, 6)) + " " + cue
+        spans = []
+        around = rnd.random() if kind not in (0, 1) else 0.5
+        if around < 0.15:
+            text += num(rnd.randrange(1, 4)) + rnd.choice([" ", ". ", ", "])
+        spans.append((len(text), len(text) + len(span)))
+        text += span
+        pair = kind == 2 and not cue  # a card without a word for it is known by another one
+        if around > 0.6 or pair:
+            other, same = (card(True), True) if pair else beside(kind)
+            text += rnd.choice([" ", " ", " ", ". ", ", "])
+            if same:
+                spans.append((len(text), len(text) + len(other)))
+            text += other
+        text += rnd.choice([" ", ". ", ", "]) + filler(3)
         for c in candidates(text):
-            inside = len(head) <= c.start and c.stop <= len(head) + len(span)
-            whole = (c.start, c.stop) == (len(head), len(head) + len(span))
             x.append(features(text, c))
-            y.append(float(label and whole and inside and not (c.kind == 3 and cue.strip().startswith(("card", "visa", "credit")))))
-    return np.array(x[:n]), np.array(y[:n])
+            y.append(float((c.start, c.stop) in spans and c.kind == kind))
+    return np.array(x), np.array(y)
 
 
 @dataclass
@@ -294,21 +352,25 @@ class Selector:
         if not found:
             return []
         x = np.array([features(text, c) for c in found])
-        p = self.calibration.apply(self.booster.margin(x))
-        best = sorted((-v, i) for i, v in enumerate(p) if v >= self.thresholds[found[i].kind])
+        margin = self.booster.margin(x)
+        p = self.calibration.apply(margin)
+        best = sorted((-v, -margin[i], i) for i, v in enumerate(p) if v >= self.thresholds[found[i].kind])
         kept: list[Candidate] = []
-        for _, i in best:  # of overlapping spans of a kind the likelier stays
-            c = found[i]
-            if all(c.kind != k.kind or c.stop <= k.start or k.stop <= c.start for k in kept):
+        taken: list[list[tuple[int, int]]] = [[] for _ in KINDS]
+        for *_, i in best:  # of overlapping spans of a kind the likelier stays
+            c, own = found[i], taken[found[i].kind]
+            at = bisect.bisect_left(own, (c.stop,))
+            if at == 0 or own[at - 1][1] <= c.start:
+                own.insert(at, (c.start, c.stop))
                 kept.append(c)
         return kept
 
 
-def train(n: int = 3000, precision: float = 0.97) -> Selector:
-    """Trees on two thirds of the examples; calibration and the least threshold
+def train(n: int = 6000, precision: float = 0.97) -> Selector:
+    """Trees on the first two thirds of the examples; calibration and the least threshold
     of each kind that reaches ``precision`` on the rest."""
     x, y = training_examples(n)
-    seen = np.arange(len(y)) % 3 != 0
+    seen = np.arange(len(y)) < len(y) * 2 // 3  # candidates of a text stay together
     booster = Booster(rounds=50, depth=4).fit(x[seen], y[seen])
     margin = booster.margin(x[~seen])
     calibration = Isotonic().fit(margin, y[~seen])
@@ -328,10 +390,10 @@ def all_spans(text: str, selector: Selector) -> tuple[list, list]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
-    ends = np.maximum.accumulate([b for _, b in taken]) if taken else []
+    ends = list(itertools.accumulate((b for _, b in taken), max))
 
     def free(c: Candidate) -> bool:
-        i = int(np.searchsorted(starts, c.stop, side="left"))
+        i = bisect.bisect_left(starts, c.stop)
         return i == 0 or ends[i - 1] <= c.start
 
     extra = selector.select(text, [c for c in candidates(text) if free(c)])

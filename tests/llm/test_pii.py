@@ -76,3 +76,22 @@ def test_redaction(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd now"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.redacted for r in find_pii(df, train()).collect()}
     assert got == {1: "mail [email] now", 2: ""}
+
+
+def test_numbers_beside_numbers():
+    from ridgeline.llm.pii import all_spans
+
+    for text in ("call 555-123-4567 555-987-6543", "tel 555-123-4567. 3 items", "card 4111.1111.1111.1111 12/27 123"):
+        proposed = {text[c.start : c.stop] for c in candidates(text)}
+        groups = [m.span() for m in re.finditer("[0-9]+", text)]
+        every = {text[a:b] for i, (a, _) in enumerate(groups) for _, b in groups[i:] if 7 <= len(digits(text[a:b])) <= 19}
+        assert proposed == every
+    model = train()
+    for text, want in (
+        ("call 555-123-4567 555-987-6543", [("phone", "555-123-4567"), ("phone", "555-987-6543")]),
+        ("tel 555-123-4567. 3 items", [("phone", "555-123-4567")]),
+        ("card 4111.1111.1111.1111 12/27 123", [("card", "4111.1111.1111.1111")]),
+        ("auxai 7536784127813050 4845168114407329 oile", [("card", "7536784127813050"), ("card", "4845168114407329")]),
+        ("Des +1 (826) 555-4081 190.137.223.204 du", [("ip", "190.137.223.204"), ("phone", "+1 (826) 555-4081")]),
+    ):
+        assert [(KINDS[k], text[a:b]) for k, a, b in all_spans(text, model)[1]] == want
