@@ -39,6 +39,22 @@ def query(sql: str | None = None):
     return register
 
 
+def query_whole(name: str, *cuts: tuple[str, str]):
+    """Register a function that does for whole tables what the query ``name``
+    does for part of them; its oracle is that query's, with texts replaced."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        sql = ORACLE_SQL[name]
+        for cut, put in cuts:
+            assert cut in sql, cut
+            sql = sql.replace(cut, put)
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     import uuid
 
@@ -440,6 +456,11 @@ def j7_x3_edge_tiles(spark, sf_dir):
     return el.tiles_of_edges(_edges(spark, sf_dir).where("way_id % 50 = 7"), fx.bounds(spark))
 
 
+@query_whole("j7_x3_edge_tiles", ("(SELECT * FROM edges WHERE way_id % 50 = 7)", "edges"))
+def j7_x3_edge_tiles_whole(spark, sf_dir):
+    return el.tiles_of_edges(_edges(spark, sf_dir), fx.bounds(spark))
+
+
 @query("SELECT id, e.elevation FROM nodes LEFT JOIN elevation e USING (easting, northing)")
 def j8_node_elevation(spark, sf_dir):
     return el.node_elevation(fx.nodes(spark, sf_dir), fx.elevation(spark)).select("id", "elevation")
