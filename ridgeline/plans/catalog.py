@@ -719,9 +719,9 @@ def g3_edge_length(spark, sf_dir):
     return e.select("src", "dst", "way_id", "way_inx", F.round("distance", 6).alias("distance"))
 
 
-def _search_edges(spark, sf_dir):
-    """Part of the ways as a graph with lengths in grid steps."""
-    e = _simple(spark, sf_dir).where("way_id % 4 = 1")
+def _search_edges(spark, sf_dir, ways):
+    """Some of the ways as a graph with lengths in grid steps."""
+    e = _simple(spark, sf_dir).where(ways)
     one = net.loaded_graph(fx.nodes(spark, sf_dir), e.select("src", "dst", "distance"))[1]
     return one
 
@@ -738,9 +738,14 @@ walk(id, dist) AS (
 
 @query(f"{_HOPS} SELECT id, min(dist) AS dist_to_start FROM walk GROUP BY id")
 def g7_g8_distance_to_start(spark, sf_dir):
-    e = materialize(_search_edges(spark, sf_dir), "search")
+    return _from_busiest(spark, sf_dir, "way_id % 4 = 1")[1].select("id", "dist_to_start")
+
+
+def _from_busiest(spark, sf_dir, ways):
+    """Edges, and distances to the node where most of them end."""
+    e = materialize(_search_edges(spark, sf_dir, ways), "search")
     start = e.groupBy("dst").count().orderBy(F.col("count").desc(), "dst").limit(1).select(F.lit(0).cast("long").alias("job_id"), F.col("dst").alias("id"))
-    return rs.distances_to(e, start, 900.0).select("id", "dist_to_start")
+    return e, rs.distances_to(e, start, 900.0)
 
 
 ORACLE_SQL["g7_g8_distance_to_start"] = ORACLE_SQL["g7_g8_distance_to_start"].replace("WITH", "WITH RECURSIVE", 1)
@@ -748,13 +753,27 @@ ORACLE_SQL["g7_g8_distance_to_start"] = ORACLE_SQL["g7_g8_distance_to_start"].re
 
 @query(f"{_HOPS}, near AS (SELECT id, min(dist) AS d FROM walk GROUP BY id HAVING min(dist) <= 450) SELECT src, dst FROM g WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)")
 def f16_reachable(spark, sf_dir):
-    e = materialize(_search_edges(spark, sf_dir), "search")
-    start = e.groupBy("dst").count().orderBy(F.col("count").desc(), "dst").limit(1).select(F.lit(0).cast("long").alias("job_id"), F.col("dst").alias("id"))
-    return rs.reachable(fx.nodes(spark, sf_dir), e, rs.distances_to(e, start, 900.0), 900.0)[1].select("src", "dst")
+    e, dist = _from_busiest(spark, sf_dir, "way_id % 4 = 1")
+    return rs.reachable(fx.nodes(spark, sf_dir), e, dist, 900.0)[1].select("src", "dst")
 
 
 ORACLE_SQL["f16_reachable"] = ORACLE_SQL["f16_reachable"].replace("WITH", "WITH RECURSIVE", 1)
 
+
+# Over all ways; recursive SQL enumerates walks, so these are tested by brute force.
+
+
+@query()
+def g7_g8_distance_to_start_whole(spark, sf_dir):
+    return _from_busiest(spark, sf_dir, "true")[1].select("id", "dist_to_start")
+
+
+@query()
+def f16_reachable_whole(spark, sf_dir):
+    e, dist = _from_busiest(spark, sf_dir, "true")
+    return rs.reachable(fx.nodes(spark, sf_dir), e, dist, 900.0)[1].select("src", "dst")
+
+
 def _nation_config(k: int) -> rs.RouteConfig:
     return rs.RouteConfig(49.0 + k * 0.37, -3.3 + k * 0.21, 5000.0 + 900.0 * k, distance_tolerance=0.25)
 

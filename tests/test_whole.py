@@ -44,3 +44,30 @@ def test_tiles_of_every_way(spark, tmp_path):
     want = {at(n) for nodes in ways.values() for n in nodes}
     assert {at(8), at(12)} < want
     assert {r.file_id for r in run(spark, save(spark, tmp_path, ways), "j7_x3_edge_tiles_whole")} == want
+
+
+def lengths(ways):
+    out = {}
+    for a, b, _ in steps(ways):
+        out[a, b] = float(abs(place(a)[0] - place(b)[0]) + abs(place(a)[1] - place(b)[1]))
+    return out
+
+
+def test_distances_over_every_way(spark, town):
+    sf_dir, ways = town
+    edges = lengths(ways)
+    into = defaultdict(int)
+    for _, b in edges:
+        into[b] += 1
+    dist = {min(into, key=lambda n: (-into[n], n)): 0.0}
+    for _ in range(len(into)):
+        for (a, b), d in edges.items():
+            if b in dist and dist[b] + d <= min(900.0, dist.get(a, 900.0)):
+                dist[a] = dist[b] + d
+    got = {r.id: r.dist_to_start for r in run(spark, sf_dir, "g7_g8_distance_to_start_whole")}
+    assert got == dist
+    part = {r.id: r.dist_to_start for r in run(spark, sf_dir, "g7_g8_distance_to_start")}
+    assert got != part
+    near = {n for n, d in dist.items() if d <= 450}
+    want = {(a, b) for a, b in edges if a in near and b in near}
+    assert {tuple(r) for r in run(spark, sf_dir, "f16_reachable_whole")} == want
