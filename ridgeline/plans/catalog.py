@@ -639,8 +639,8 @@ _CANDS_SQL = """, c AS (
 y AS (SELECT *, (row_number() OVER (PARTITION BY x_bin ORDER BY lon, p) - 1) // 64 AS y_bin FROM x)"""
 
 
-def _cands(spark, sf_dir):
-    w = fx.ways(spark, sf_dir).where("id % 3 = 0")
+def _cands(spark, sf_dir, ways="id % 3 = 0"):
+    w = fx.ways(spark, sf_dir).where(ways)
     return w.select(
         F.lit(0).cast("long").alias("job_id"),
         F.col("id").alias("way_id"),
@@ -664,6 +664,17 @@ def w6_t2_t4_best_in_bins(spark, sf_dir):
     return rs.best_in_bins(binned, 5, 1).select("way_id", "x_bin", "y_bin")
 
 
+@query_whole("w5_g19_g20_bins", (" WHERE way_id % 3 = 0", ""))
+def w5_g19_g20_bins_whole(spark, sf_dir):
+    return rs.bin_candidates(_cands(spark, sf_dir, "true"), 1024, rs.Settings()).select("way_id", "x_bin", "y_bin")
+
+
+@query_whole("w6_t2_t4_best_in_bins", (" WHERE way_id % 3 = 0", ""))
+def w6_t2_t4_best_in_bins_whole(spark, sf_dir):
+    binned = rs.bin_candidates(_cands(spark, sf_dir, "true"), 1024, rs.Settings())
+    return rs.best_in_bins(binned, 5, 1).select("way_id", "x_bin", "y_bin")
+
+
 # --------------------------------------------------------------------------
 # sorts and sets
 

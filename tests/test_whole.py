@@ -71,3 +71,18 @@ def test_distances_over_every_way(spark, town):
     near = {n for n, d in dist.items() if d <= 450}
     want = {(a, b) for a, b in edges if a in near and b in near}
     assert {tuple(r) for r in run(spark, sf_dir, "f16_reachable_whole")} == want
+
+
+def test_every_way_has_a_bin(spark, town):
+    sf_dir, ways = town
+    mean = lambda w, m: sum(n % m for n in ways[w]) / len(ways[w])
+    by_lat = sorted(ways, key=lambda w: (mean(w, 90), str(w)))
+    assert len(by_lat) <= 256  # one stripe
+    by_lon = sorted(ways, key=lambda w: (mean(w, 70), str(w)))
+    bins = {w: (0, i // 64) for i, w in enumerate(by_lon)}
+    assert {r.way_id: (r.x_bin, r.y_bin) for r in run(spark, sf_dir, "w5_g19_g20_bins_whole")} == bins
+    want = set()
+    for b in set(bins.values()):
+        rank = lambda w: (-(sum(n % 1500 for n in ways[w]) // 1000), -(len(ways[w]) * 13 % 29), str(w))
+        want |= set(sorted((w for w in bins if bins[w] == b), key=rank)[:5])
+    assert {r.way_id for r in run(spark, sf_dir, "w6_t2_t4_best_in_bins_whole")} == want
