@@ -426,6 +426,12 @@ def j3_x1_used_nodes(spark, sf_dir):
     return net.used_nodes(fx.nodes(spark, sf_dir), e).select("id", "easting")
 
 
+@query(f"{TAGGED} SELECT id, easting FROM nodes WHERE id IN (SELECT src FROM tagged WHERE highway = 'footway' UNION ALL SELECT dst FROM tagged WHERE highway = 'footway')")
+def j3_x1_used_nodes_of_footways(spark, sf_dir):
+    e = tg.highway_and_surface(_edges(spark, sf_dir)).where("highway = 'footway'")
+    return net.used_nodes(fx.nodes(spark, sf_dir), e).select("id", "easting")
+
+
 @query("SELECT DISTINCT src, dst FROM staged s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = s.src AND e.dst = s.dst)")
 def j4_removals(spark, sf_dir):
     return inc.removals(fx.staged_edges(spark, sf_dir), fx.plain_edges(spark, sf_dir), ["src", "dst"])
@@ -500,6 +506,14 @@ def j12_loaded_graph(spark, sf_dir):
     return inside.select("src", "dst", F.col("distance").alias("way_id"))
 
 
+@query("""SELECT src, dst, min(CAST(way_id AS BIGINT)) AS way_id FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst
+WHERE a.easting BETWEEN 50 AND 399 AND a.northing BETWEEN 50 AND 399 AND b.easting BETWEEN 50 AND 399 AND b.northing BETWEEN 50 AND 399 GROUP BY src, dst""")
+def j12_loaded_graph_in_box(spark, sf_dir):
+    e = fx.plain_edges(spark, sf_dir).select("src", "dst", F.col("way_id").alias("distance"), "way_inx")
+    box = fx.nodes(spark, sf_dir).where("easting BETWEEN 50 AND 399 AND northing BETWEEN 50 AND 399")
+    return net.loaded_graph(box, e)[1].select("src", "dst", F.col("distance").alias("way_id"))
+
+
 # --------------------------------------------------------------------------
 # aggregations
 
@@ -828,6 +842,13 @@ def g10_overlap(spark, sf_dir):
     return w.select("way_id", "step", rs.overlaps("points", "dst", "dist", 300.0, 2).alias("overlaps"))
 
 
+@query_whole("g10_overlap", ("(SELECT unnest([1, 2, 3, 4]) AS step)", "(SELECT DISTINCT way_inx::INT AS step FROM way_nodes)"), ("AS dst)", "AS dst) WHERE step <= len(pts)"))
+def g10_overlap_whole(spark, sf_dir):
+    w = fx.ways(spark, sf_dir).select(F.col("id").alias("way_id"), F.expr("transform(nodes, n -> n.nodeId)").alias("points"))
+    w = w.select("way_id", "points", F.posexplode("points").alias("at", "dst"), (F.size("points") * 100).cast("double").alias("dist"))
+    return w.select("way_id", (F.col("at") + 1).alias("step"), rs.overlaps("points", "dst", "dist", 300.0, 2).alias("overlaps"))
+
+
 @query(f"""{TAGGED}, w AS (SELECT way_id, sum((src % 11))::DOUBLE AS dist, sum(CASE WHEN surface = 'grass' THEN src % 11 ELSE 0 END)::DOUBLE AS grass FROM tagged GROUP BY way_id)
 SELECT way_id, grass <= 0.25 * 25 AS surfaces_ok, grass <= 0.25 * 25 AND dist BETWEEN 16 AND 25 AS complete FROM w""")
 def g11_g12_g27_completion(spark, sf_dir):
@@ -852,6 +873,15 @@ FROM one JOIN g ON g.src = one.cur"""
 
 @query(_ROUND)
 def g9_g13_g14_g25_j13_two_steps(spark, sf_dir):
+    return _two_steps(spark, sf_dir, "src < 100")
+
+
+@query_whole("g9_g13_g14_g25_j13_two_steps", ("src < 100 AND ", ""))
+def g9_g13_g14_g25_j13_two_steps_whole(spark, sf_dir):
+    return _two_steps(spark, sf_dir, "true")
+
+
+def _two_steps(spark, sf_dir, starts):
     cfg = rs.RouteConfig(0.0, 0.0, 500.0, distance_tolerance=0.25)
     e = _simple(spark, sf_dir).select("src", "dst", "distance")
     e = e.union(e.select("dst", "src", "distance")).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
@@ -863,7 +893,7 @@ def g9_g13_g14_g25_j13_two_steps(spark, sf_dir):
         }
     )
     e = materialize(e, "two-steps")
-    starts = e.where("src < 100").select(F.col("src").alias("job_id"), F.col("src").alias("id")).distinct()
+    starts = e.where(starts).select(F.col("src").alias("job_id"), F.col("src").alias("id")).distinct()
     one = rs.take_steps(rs.seeds(starts), e, cfg, rs.Settings()).where("status = 'valid'").drop("status")
     two = rs.take_steps(one, e, cfg, rs.Settings())
     return two.select("start", F.element_at("points", -2).alias("via"), "cur", "dist", "status")

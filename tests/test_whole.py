@@ -86,3 +86,35 @@ def test_every_way_has_a_bin(spark, town):
         rank = lambda w: (-(sum(n % 1500 for n in ways[w]) // 1000), -(len(ways[w]) * 13 % 29), str(w))
         want |= set(sorted((w for w in bins if bins[w] == b), key=rank)[:5])
     assert {r.way_id for r in run(spark, sf_dir, "w6_t2_t4_best_in_bins_whole")} == want
+
+
+def test_steps_from_every_node(spark, town):
+    sf_dir, ways = town
+    both = lengths(ways) | {(b, a): d for (a, b), d in lengths(ways).items()}
+    one = {(a, b): d for (a, b), d in both.items() if d + b % 11 * 10 <= 625}
+    want = {(a, b, c) for a, b in one for (x, c) in both if x == b}
+    got = run(spark, sf_dir, "g9_g13_g14_g25_j13_two_steps_whole")
+    assert sorted((r.start, r.via, r.cur) for r in got) == sorted(want) and max(r.start for r in got) >= 100
+
+
+def test_every_point_of_a_way(spark, town):
+    sf_dir, ways = town
+
+    def overlap(p, d):
+        nearly = len(p) * 100 >= 300 and len(p) >= 2 and d in p[:2] and d not in p[-2:]
+        return d != p[0] and not nearly
+
+    got = {(r.way_id, r.step): r.overlaps for r in run(spark, sf_dir, "g10_overlap_whole")}
+    assert got == {(w, i + 1): overlap(p, d) for w, p in ways.items() for i, d in enumerate(p)}
+
+
+def test_semi_joins_by_attributes(spark, town):
+    sf_dir, ways = town
+    foot = {n for a, b, w in steps(ways) if w % 5 == 0 for n in (a, b)}
+    assert {r.id for r in run(spark, sf_dir, "j3_x1_used_nodes_of_footways")} == foot
+    inside = lambda n: all(50 <= x <= 399 for x in place(n))
+    want = defaultdict(lambda: 10**9)
+    for a, b, w in steps(ways):
+        if inside(a) and inside(b):
+            want[a, b] = min(want[a, b], w)
+    assert {(r.src, r.dst): r.way_id for r in run(spark, sf_dir, "j12_loaded_graph_in_box")} == want
