@@ -909,9 +909,9 @@ _STEP_CONFIG = rs.RouteConfig(50.2, -1.7, 500.0, distance_tolerance=0.25)
 
 
 def _lattice(spark, sf_dir):
-    """Customers on a grid of streets: a graph with many loops."""
+    """A grid of as many streets as customers allow: a graph with many loops."""
     n = fx.table(spark, sf_dir, "customer").count()
-    side = max(6, min(40, int(n**0.5)))
+    side = max(6, int(n**0.5))
     cells = spark.range(side * side).select(F.col("id"), (F.col("id") % side).cast("int").alias("x"), F.floor(F.col("id") / side).cast("int").alias("y"))
     node = cells.select("id", (F.lit(50.2) + F.col("y") * 0.001).alias("lat"), (F.lit(-1.7) + F.col("x") * 0.0015).alias("lon"), ((F.col("x") * 7 + F.col("y") * 13) % 40).cast("double").alias("elevation"))
     node = node.withColumn("ptn", geo.partition_key("lat", "lon"))
@@ -947,20 +947,27 @@ def _three(e, start):
     return front.select("job_id", "cur", F.array_join("points", ",").alias("points"), "dist", "gain", "loss", "status")
 
 
+def _loop_config(mode: str = "hilly", **restricted) -> rs.RouteConfig:
+    """A loop on the network, whose ways go far: a step is 40 km on average."""
+    return rs.RouteConfig(50.2, -1.7, 100_000.0, mode, 0.25, **restricted)
+
+
+def _network(spark, sf_dir):
+    """The optimised tables with the lengths of edges in metres."""
+    n, e = _optimised(spark, sf_dir, metres=True)
+    return materialize(n, "network-nodes"), materialize(e, "network-edges")
+
+
 @query()
 def g16_g18_route_search_naive(spark, sf_dir):
-    n, e = _lattice(spark, sf_dir)
-    s = rs.Settings(max_candidates=128, max_routes=8, pruning_strategy="naive")
-    out = rs.find_routes(spark, n, e, rs.RouteConfig(50.205, -1.69, 900.0, distance_tolerance=0.15), s)
+    out = rs.find_routes(spark, *_network(spark, sf_dir), _loop_config(), rs.Settings(pruning_strategy="naive"))
     return out.select("id", "dist", "gain", "loss", F.array_join("points", ",").alias("points"))
 
 
 @query()
 def g21_g24_route_search_fuzzy(spark, sf_dir):
-    n, e = _lattice(spark, sf_dir)
-    s = rs.Settings(max_candidates=128, max_routes=8)
-    cfg = rs.RouteConfig(50.205, -1.69, 900.0, "flat", 0.15, restricted_surfaces=("grass",), restricted_surfaces_perc=0.5)
-    out = rs.find_routes(spark, n, e, cfg, s)
+    cfg = _loop_config("flat", restricted_surfaces=("grass",), restricted_surfaces_perc=0.5)
+    out = rs.find_routes(spark, *_network(spark, sf_dir), cfg, rs.Settings())
     return out.select("id", "dist", "gain", "bbox.min_lat", "bbox.max_lat", "centre.lat", F.array_join("points", ",").alias("points"))
 
 
@@ -1017,9 +1024,9 @@ def plan_sanitised_edges(spark, sf_dir):
     return out.select("src", "dst", "way_id", "way_inx", "highway", "surface", "elevation_gain", "elevation_loss")
 
 
-def _optimised(spark, sf_dir):
+def _optimised(spark, sf_dir, metres=False):
     n = ingest.stage_nodes(fx.nodes(spark, sf_dir), fx.elevation(spark))
-    e = ingest.sanitise_edges(ingest.stage_edges(_edges(spark, sf_dir), fx.elevation(spark)), F.lit(1.0))
+    e = ingest.sanitise_edges(ingest.stage_edges(_edges(spark, sf_dir), fx.elevation(spark)), None if metres else F.lit(1.0))
     e = materialize(e, "sanitised")
     return ingest.optimise(ingest.sanitise_nodes(n, e), e)
 

@@ -1,11 +1,14 @@
 """Queries over whole tables against brute force on small ones."""
 
+import math
 import random
 from collections import defaultdict
 from datetime import date, timedelta
 
 import pytest
 
+from ridgeline.functions import geo
+from ridgeline.operators import search as rs
 from ridgeline.plans import catalog
 from ridgeline.sources import fixtures as fx
 
@@ -118,3 +121,67 @@ def test_semi_joins_by_attributes(spark, town):
         if inside(a) and inside(b):
             want[a, b] = min(want[a, b], w)
     assert {(r.src, r.dst): r.way_id for r in run(spark, sf_dir, "j12_loaded_graph_in_box")} == want
+
+
+def loops(nodes, edges, cfg, surfaces, overlap=3):
+    """Every circular route, by walking all of them; points, length and climb."""
+    south, west, north, east = geo.bounding_box(cfg.start_lat, cfg.start_lon, cfg.max_distance)
+    inside = {n.id for n in nodes if south <= n.lat <= north and west <= n.lon <= east}
+    edges = [e for e in edges if e.src in inside and e.dst in inside]
+    scale = math.cos(math.radians(cfg.start_lat))
+    start = min((n for n in nodes if n.id in inside), key=lambda n: ((n.lat - cfg.start_lat) ** 2 + ((n.lon - cfg.start_lon) * scale) ** 2, n.id)).id
+    left = {start: 0.0}
+    for _ in inside:
+        for e in edges:
+            if e.dst in left and left[e.dst] + e.distance < left.get(e.src, math.inf):
+                left[e.src] = left[e.dst] + e.distance
+    near = {n for n, d in left.items() if d <= cfg.max_distance / 2}  # what F16 loads
+    out = defaultdict(list)
+    for e in edges:
+        if e.src in near and e.dst in near:
+            out[e.src].append(e)
+    found, front = {}, [((start,), 0.0, 0.0, 0.0)]
+    while front:
+        points, dist, gain, bad = front.pop()
+        for e in out[points[-1]]:
+            d, g, s = dist + e.distance, gain + e.elevation_gain, bad + e.distance * (e.surface in surfaces)
+            nearly = dist >= cfg.min_distance and len(points) >= overlap and e.dst in points[:overlap] and e.dst not in points[-overlap:]
+            if e.dst != start and e.dst in points and not nearly:
+                continue
+            if e.dst not in left or d + left[e.dst] > cfg.max_distance or (surfaces and s > 0.5 * cfg.max_distance):
+                continue
+            if e.dst != start:
+                front.append((points + (e.dst,), d, g, s))
+            elif cfg.min_distance <= d:
+                found[points + (start,)] = d, g
+    return found
+
+
+@pytest.mark.parametrize("name,sign,surfaces", [("g16_g18_route_search_naive", 1, ()), ("g21_g24_route_search_fuzzy", -1, ("grass",))])
+def test_routes_on_the_network(spark, name, sign, surfaces):
+    sf_dir = "/root/testdata/sf0.001"
+    nodes, edges = (df.collect() for df in catalog._network(spark, sf_dir))
+    cfg = catalog._loop_config("hilly" if sign > 0 else "flat")
+    want = loops(nodes, edges, cfg, surfaces)
+    got = [(tuple(map(int, r.points.split(","))), r.dist, r.gain) for r in run(spark, sf_dir, name)]
+    assert 0 < len(got) <= 32 and len({p for p, *_ in got}) == len(got)
+    for points, dist, gain in got:
+        assert (dist, gain) == pytest.approx(want[points])
+    ratios = [sign * gain / dist for _, dist, gain in got]
+    assert ratios == sorted(ratios, reverse=True)
+
+
+def test_a_wide_beam_finds_every_route(spark, monkeypatch):
+    n, e = catalog._network(spark, "/root/testdata/sf0.001")
+    cfg, progress = rs.RouteConfig(50.2, -1.7, 80_000.0, "hilly", 0.25), rs.Progress()
+    want = loops(n.collect(), e.collect(), cfg, ())
+    monkeypatch.setattr(rs, "beam_width", lambda n_edges, attempt, most: most)
+    got = rs.find_routes(spark, n, e, cfg, rs.Settings(), progress).collect()
+    assert sum(done for _, done, _ in progress.steps) == len(want) > 20
+    assert {tuple(r.points) for r in got} <= set(want)
+    assert got[0].gain / got[0].dist == pytest.approx(max(g / d for d, g in want.values()))
+
+
+def test_lattice_grows_with_the_customers(spark, tmp_path):
+    spark.range(2500).select("id").write.parquet(f"{tmp_path}/customer.parquet")
+    assert catalog._lattice(spark, str(tmp_path))[0].count() == 2500
