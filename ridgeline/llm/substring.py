@@ -1,6 +1,7 @@
-"""Repeated passages by a relative Lempel-Ziv parse against every document.
+"""Repeated passages by blocks and windows shared with any other document.
 
-The reference of the parse is the whole corpus, indexed by content:
+This stands in for a relative Lempel-Ziv parse: factors are whole blocks, not
+longest matches. The reference is the whole corpus, indexed by content:
 
 * A window is ``window`` consecutive words. Its anchor is the word gram with
   the least hash in it, so equal windows have equal anchors wherever they lie.
