@@ -17,7 +17,7 @@ from ridgeline.operators import network as net
 from ridgeline.operators import search as rs
 from ridgeline.operators import tags as tg
 from ridgeline.plans import ingest
-from ridgeline.runtime import materialize, scratch_dir
+from ridgeline.runtime import materialize, scratch_path
 from ridgeline.schema import map_to_schema
 from ridgeline.sources import files
 from ridgeline.sources import fixtures as fx
@@ -55,12 +55,6 @@ def query_whole(name: str, *cuts: tuple[str, str]):
     return register
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{scratch_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def _edges(spark, sf_dir):
     return fx.edges(spark, sf_dir)
 
@@ -123,7 +117,7 @@ CHAINS = """, ends AS (
 
 @query("SELECT way_id, count(*) AS n_nodes, sum(way_inx * (node % 1009))::BIGINT AS check_sum FROM way_nodes GROUP BY way_id")
 def s4_read_raw_ways(spark, sf_dir):
-    path = _scratch(spark, "raw")
+    path = scratch_path(spark, "raw")
     fx.ways(spark, sf_dir).write.parquet(f"{path}/area.way.parquet")
     fx.nodes(spark, sf_dir).write.parquet(f"{path}/area.node.parquet")
     _, ways = files.read_raw(spark, path)
@@ -133,7 +127,7 @@ def s4_read_raw_ways(spark, sf_dir):
 
 @query("SELECT id, easting, northing, timestamp FROM nodes")
 def s5_s6_parquet_round_trip(spark, sf_dir):
-    root = _scratch(spark, "layers")
+    root = scratch_path(spark, "layers")
     files.write_parquet(fx.nodes(spark, sf_dir), root, "landing", "nodes")
     return files.read_parquet(spark, root, "landing", "nodes").select("id", "easting", "northing", "timestamp")
 
@@ -141,7 +135,7 @@ def s5_s6_parquet_round_trip(spark, sf_dir):
 @query("SELECT src, dst, way_id, way_inx::INT AS way_inx, timestamp FROM staged")
 def s7_versioned_read(spark, sf_dir):
     rows = fx.staged_edges(spark, sf_dir).select("src", "dst", "way_id", "way_inx", "timestamp")
-    table = inc.SnapshotTable(spark, _scratch(spark, "staged"), rows.schema)
+    table = inc.SnapshotTable(spark, scratch_path(spark, "staged"), rows.schema)
     table.write(rows.limit(0))
     table.write(rows)
     return table.read()
@@ -192,14 +186,14 @@ def s18_rejected_rasters(spark, sf_dir):
 @query("SELECT file_id, min_easting, min_northing, max_easting, max_northing FROM bounds")
 def s19_s20_merge_bounds(spark, sf_dir):
     b = fx.bounds(spark)
-    path = _scratch(spark, "bounds")
+    path = scratch_path(spark, "bounds")
     el.merge_bounds(b.where("file_id < 'D'"), b.where("file_id > 'A'")).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
 @query("""SELECT e.easting, e.northing, e.elevation FROM elevation e WHERE e.easting >= 250 AND e.northing < 250""")
 def s17_s22_tile_pruned_read(spark, sf_dir):
-    path = _scratch(spark, "elevation")
+    path = scratch_path(spark, "elevation")
     fx.elevation(spark).repartition("file_id").write.partitionBy("file_id").parquet(path)
     wanted = fx.bounds(spark).where("min_easting = 250 AND min_northing = 0")
     return el.read_tiles(spark.read.parquet(path), wanted).select("easting", "northing", "elevation")
@@ -210,7 +204,7 @@ FROM (SELECT id, northing::VARCHAR AS lat_m, easting::VARCHAR AS lon_m FROM node
 def s23_p13_tsv_export(spark, sf_dir):
     values = F.array(F.col("northing"), F.expr("CASE WHEN id % 2 <> 0 THEN easting END"))
     rows = fx.nodes(spark, sf_dir).select("id", pf.array_literal(values).alias("geom"), F.expr("CASE WHEN id % 3 <> 0 THEN id % 7 END").alias("rest"))
-    path = _scratch(spark, "tsv")
+    path = scratch_path(spark, "tsv")
     files.export_tsv(rows, path)
     return spark.read.schema("id long, geom string, rest long").option("sep", "\t").option("nullValue", "\\N").option("quote", "").csv(path)
 
@@ -226,7 +220,7 @@ IN_BOX = f"lat BETWEEN {_BOX[0]!r} AND {_BOX[2]!r} AND lon BETWEEN {_BOX[1]!r} A
 @query(f"SELECT id, easting, northing FROM nodes WHERE {IN_BOX}")
 def s24_s27_p9_node_window(spark, sf_dir):
     n = fx.nodes(spark, sf_dir).withColumn("ptn", geo.partition_key("lat", "lon"))
-    path = _scratch(spark, "serving")
+    path = scratch_path(spark, "serving")
     n.repartition("ptn").sortWithinPartitions("lat", "lon").write.partitionBy("ptn").parquet(path)
     return rs.nodes_window(spark.read.parquet(path), _config()).select("id", "easting", "northing")
 
@@ -979,7 +973,7 @@ def g21_g24_route_search_fuzzy(spark, sf_dir):
 UNION ALL SELECT k.src, k.dst, k.way_id, k.timestamp FROM kept k JOIN landed l USING (src, dst) WHERE k.timestamp >= l.timestamp""")
 def u1_u2_u3_u6_refresh(spark, sf_dir):
     landed, staged = _keyed(fx.plain_edges(spark, sf_dir)), _keyed(fx.staged_edges(spark, sf_dir))
-    table = inc.SnapshotTable(spark, _scratch(spark, "refresh"), staged.schema)
+    table = inc.SnapshotTable(spark, scratch_path(spark, "refresh"), staged.schema)
     assert not table.exists()
     table.write(staged)
     table.write(inc.refresh(table.read(), landed, ["src", "dst"], lambda rows: rows), files=4)
@@ -996,7 +990,7 @@ def u3_delete(spark, sf_dir):
 @query("SELECT string_agg(file_id, ',' ORDER BY file_id) AS manifest FROM bounds")
 def u5_s2_manifest(spark, sf_dir):
     now = files.manifest(fx.bounds(spark))
-    path = _scratch(spark, "manifest")
+    path = scratch_path(spark, "manifest")
     text = now.first().manifest
     assert files.changed(spark, path, text)
     files.remember(spark, path, text)

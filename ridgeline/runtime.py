@@ -9,14 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one if unset."""
+    """The shared folder for intermediate tables, named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine, as in tests, gets a temporary
+    folder, which is remembered; a cluster is an error, as its executors share
+    no local folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.ridgeline.scratch", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
         spark.conf.set("spark.ridgeline.scratch", path)
     return path.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table of this application."""
+    return f"{scratch_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; call it once no result
     that was not stored yet depends on them."""
@@ -25,8 +38,11 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage."""
+    """Write ``df`` to the shared folder and read it back, which cuts lineage.
+
+    The files outlive any executor, so a lost one costs only its running tasks.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
