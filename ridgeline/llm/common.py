@@ -7,8 +7,6 @@ those bytes inside a longer character, so tokenising works on raw bytes.
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline import runtime
+from ridgeline.runtime import scratch_path  # noqa: F401
+
 U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 _MIX1 = U64(0xBF58476D1CE4E5B9)
@@ -31,32 +32,6 @@ CHUNK_BYTES = 1 << 20
 # scratch tables
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
-
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in
-    tests on one machine, a temporary folder is made and remembered.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.ridgeline.scratch", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
-        spark.conf.set("spark.ridgeline.scratch", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables; call it once no result
-    that was not stored yet depends on them."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Rows that Spark hands to Python at once. Texts are long, and each batch lies
 #: in memory several times: Spark's default of 10,000 rows takes up to 64 MB each.
 BATCH_ROWS = 1000
@@ -70,15 +45,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage.
+    """``runtime.materialize``, with batches bounded for the Python in ``df``.
 
-    The files outlive any executor, so a lost one costs only its running tasks.
+    The bound holds for the session from its first call on: Spark reads it when
+    a plan runs, which for a result of this package is after it was returned.
     """
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bound_batches(df.sparkSession)
+    return runtime.materialize(df, name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -297,8 +270,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     ``edges`` has two long columns ``a`` and ``b``; null ends and loops are
     left out, and so is a node without an edge. Alternates large-star and
-    small-star steps, each an aggregate of minima joined back, so the centre of
-    a huge star is pre-aggregated and its join can be split by Spark.
+    small-star steps, each a stored aggregate of minima joined back: Spark
+    splits a join at a hot key only where both sides come straight from a
+    shuffle, so the centre of a huge star needs its minimum stored first.
     """
     e = materialize(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -312,11 +286,11 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
     last = state(e)
     while last[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, name)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(least, name)
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = (
             large.join(least, "u")
             .where("v <> m")

@@ -1,21 +1,28 @@
 """Near-duplicate vectors by quantised tiles with rigorous error bounds.
 
-Vectors of one label and length are dealt into blocks, and each pair of blocks
-is a tile of bounded size. In a tile every unit vector is rounded to int8 with
-its own scale, and the norm of what rounding took away is kept. With
-``x = X + ex`` and ``y = Y + ey``,
+Every unit vector is rounded to int8 with its own scale, and the norm of what
+rounding took away is kept. With ``x = X + ex`` and ``y = Y + ey``,
 
     |x.y - X.Y|  <=  |X| |ey| + |ex| |y|
 
-holds for every pair, so products of the codes tell which pairs cannot reach
-the threshold. Only the others are recomputed in double precision. (Codes are
-multiplied as float32, which is exact for them up to 1024 dimensions; longer
-vectors use float64.)
+holds for every pair, so products of the codes tell which pairs surely reach
+the threshold and which surely do not. The distinct vectors of one label and
+length are dealt into blocks, and each pair of blocks is a tile of bounded
+size. What travels to the tiles is the codes, a byte a component.
+
+1. A tile multiplies codes. Pairs that surely reach the threshold are links at
+   once; vectors with a pair for which the bounds leave it open are named.
+2. Only these vectors' full components travel to their tile again, and their
+   open pairs are recomputed in double precision.
+
+Codes are multiplied as float32, whose products of codes are exact up to 1024
+components; longer vectors use float64. So both passes see the same bounds.
 
 A tile gives each vector its number of links and one link to the least vector
-of its component within the tile; pairs are never emitted. Equal vectors are
-one vector with a count before they meet, so a large group of copies costs one
-row.
+of its component within the tile; pairs are never emitted. Equal vectors of a
+label are one vector with a count before they meet, so a large group of copies
+costs one row. Distinct vectors are told apart by a number of their own, not by
+their id, so an id that occurs twice, also under two labels, joins nothing.
 
 Defined results: vectors that are null, empty, zero, or that hold null or
 non-finite components, and rows with a null label or id, link with nothing and
@@ -36,43 +43,67 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from .common import connected_components, materialize, read_table
 
-BLOCK = 1024
+#: Distinct vectors of a block; a tile holds two blocks' codes.
+BLOCK = 2048
+#: Rows of a tile that are multiplied at once.
+STRIP = 256
 #: Slack for the rounding of the bound's own arithmetic.
 SLACK = 1e-6
 PAIRS = 1 << 16
 
 
-def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales, norms of the decoded rows, norms of the errors."""
-    scale = np.abs(unit).max(axis=1) / 127.0
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes, scales, and norms of the rounding errors, rounded up.
+
+    Scales and norms are values of float32, so they are the same after a
+    journey as four bytes.
+    """
+    scale = (np.abs(unit).max(axis=1) / 127.0).astype(np.float32)
     scale[scale == 0] = 1.0
-    code = np.rint(unit / scale[:, None]).astype(np.int8)
-    back = code * scale[:, None]
-    return code, scale, np.linalg.norm(back, axis=1), np.linalg.norm(unit - back, axis=1)
+    code = np.clip(np.rint(unit / scale[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    error = np.linalg.norm(unit - code * scale[:, None].astype(np.float64), axis=1)
+    return code, scale, np.nextafter(error.astype(np.float32), np.float32(np.inf))
+
+
+class Codes:
+    """The quantised rows of a tile's side."""
+
+    def __init__(self, code: np.ndarray, scale: np.ndarray, error: np.ndarray):
+        kind = np.float32 if code.shape[1] <= 1024 else np.float64
+        self.code = code.astype(kind)
+        self.scale = scale.astype(np.float64)
+        self.norm = np.sqrt((self.code.astype(np.float64) ** 2).sum(axis=1)) * self.scale
+        self.error = error.astype(np.float64)
 
+    def __len__(self) -> int:
+        return len(self.scale)
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (i of a, j of b) with a cosine of ``threshold`` or more;
-    with ``b`` None, pairs i < j within a. Rows are unit vectors in doubles."""
+    def __getitem__(self, rows) -> Codes:
+        out = object.__new__(Codes)
+        out.code, out.scale, out.norm, out.error = self.code[rows], self.scale[rows], self.norm[rows], self.error[rows]
+        return out
+
+
+def judge(a: Codes, b: Codes | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i of a, j of b) that may have a cosine of ``threshold`` or more,
+    and whether they surely do; with ``b`` None, pairs i < j within a."""
     same = b is None
     b = a if same else b
-    kind = np.float32 if a.shape[1] <= 1024 else np.float64
-    ca, sa, na, ea = quantise(a)
-    cb, sb, nb, eb = (ca, sa, na, ea) if same else quantise(b)
-    ca, cb = ca.astype(kind), cb.astype(kind)
-    for lo in range(0, len(a), 256):
-        hi = min(lo + 256, len(a))
-        near = (ca[lo:hi] @ cb.T).astype(np.float64) * sa[lo:hi, None] * sb[None, :]
-        near += na[lo:hi, None] * eb[None, :] + ea[lo:hi, None] * (nb + eb)[None, :] + SLACK
-        i, j = np.nonzero(near >= threshold)
+    for lo in range(0, len(a), STRIP):
+        s = a[lo : lo + STRIP]
+        about = (s.code @ b.code.T).astype(np.float64) * s.scale[:, None] * b.scale[None, :]
+        off = s.norm[:, None] * b.error[None, :] + s.error[:, None] * (b.norm + b.error)[None, :] + SLACK
+        i, j = np.nonzero(about + off >= threshold)
         if same:
             up = j > i + lo
             i, j = i[up], j[up]
-        for k in range(0, len(i), PAIRS):
-            p, q = i[k : k + PAIRS] + lo, j[k : k + PAIRS]
-            hit = np.einsum("ij,ij->i", a[p], b[q]) >= threshold
-            if hit.any():
-                yield p[hit], q[hit]
+        yield i + lo, j, about[i, j] - off[i, j] >= threshold
 
 
 def least_reachable(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -91,33 +122,83 @@ def least_reachable(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _vectors(col, kind) -> np.ndarray:
-    x = np.frombuffer(b"".join(col), dtype=kind).reshape(len(col), -1).astype(np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+class Links:
+    """Link counts and the components of a tile, strip by strip."""
+
+    def __init__(self, copies: np.ndarray):
+        self.copies = copies
+        self.links = np.zeros(len(copies), dtype=np.int64)
+        self.root = np.arange(len(copies))
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        if not len(p):
+            return
+        n = len(self.copies)
+        self.links += np.bincount(p, self.copies[q], n).astype(np.int64) + np.bincount(q, self.copies[p], n).astype(np.int64)
+        # Pairs that earlier strips have joined add nothing to the components.
+        new = self.root[p] != self.root[q]
+        if new.any():
+            at = np.arange(n)
+            self.root = least_reachable(n, np.concatenate([at, p[new]]), np.concatenate([self.root, q[new]]))
+
+    def frame(self, pdf: pd.DataFrame, open_: np.ndarray | None = None) -> pd.DataFrame:
+        """The rows that have links, or are open, with a link to their head."""
+        vid = pdf["vid"].to_numpy()
+        out = pd.DataFrame({"vid": vid, "links": self.links, "head": vid[self.root]})
+        if open_ is None:
+            return out[self.links > 0]
+        return out.assign(open=open_, i=pdf["i"], j=pdf["j"], side=pdf["side"])[(self.links > 0) | open_]
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, Codes, int | None]:
+    """Rows by side and number, their codes, and where the second side begins,
+    or None if the tile is of one block."""
+    pdf = pdf.sort_values(["side", "vid"], ignore_index=True)
+    side = pdf["side"].to_numpy()
+    code = np.frombuffer(b"".join(pdf["code"]), dtype=np.int8).reshape(len(pdf), -1)
+    return pdf, Codes(code, pdf["scale"].to_numpy(), pdf["error"].to_numpy()), None if (side == 1).all() else int((side == 0).sum())
+
 
+def _judged(c: Codes, k: int | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``judge`` over a tile's rows, of which the second side begins at ``k``."""
+    for p, q, sure in judge(c, None, threshold) if k is None else judge(c[:k], c[k:], threshold):
+        yield p, q if k is None else q + k, sure
+
+
+def _coarse(threshold: float):
+    """Sure links of a tile, and the vectors with open pairs."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, c, k = _sides(pdf)
+        out, open_ = Links(pdf["copies"].to_numpy()), np.zeros(len(pdf), dtype=bool)
+        for p, q, sure in _judged(c, k, threshold):
+            out.add(p[sure], q[sure])
+            open_[p[~sure]] = open_[q[~sure]] = True
+        return out.frame(pdf, open_)
+
+    return run
+
+
+def exact_links(x: np.ndarray, c: Codes, k: int | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The open pairs that are links, by the unit rows ``x`` in doubles."""
+    for p, q, sure in _judged(c, k, threshold):
+        p, q = p[~sure], q[~sure]
+        for at in range(0, len(p), PAIRS):
+            a, b = p[at : at + PAIRS], q[at : at + PAIRS]
+            hit = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+            yield a[hit], b[hit]
+
+
+def _fine(threshold: float, kind: str):
+    """Links among the open pairs of a tile, from full vectors."""
 
-def _tile(threshold: float, kind: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "rep"], ignore_index=True)
-        x = _vectors(pdf["full"], kind)
-        side = pdf["side"].to_numpy()
-        if (side == 1).all():
-            found = list(tile_links(x, None, threshold))
-        else:
-            k = int((side == 0).sum())
-            found = [(p, q + k) for p, q in tile_links(x[:k], x[k:], threshold)]
-        rep, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-        links = np.zeros(len(x), dtype=np.int64)
-        if found:
-            p, q = (np.concatenate(c) for c in zip(*found, strict=True))
-            np.add.at(links, p, copies[q])
-            np.add.at(links, q, copies[p])
-            root = least_reachable(len(x), p, q)
-        else:
-            root = np.arange(len(x))
-        on = links > 0
-        return pd.DataFrame({"rep": rep[on], "links": links[on], "head": rep[root][on]})
+        pdf, c, k = _sides(pdf)
+        x = unit_rows(np.frombuffer(b"".join(pdf["full"]), dtype=kind).reshape(len(pdf), -1))
+        out = Links(pdf["copies"].to_numpy())
+        for p, q in exact_links(x, c, k, threshold):
+            out.add(p, q)
+        return out.frame(pdf)
 
     return run
 
@@ -140,6 +221,28 @@ def _packer(kind: str):
     return run
 
 
+def _quantiser(kind: str):
+    """Numbers of distinct vectors with their codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["label", "full", "rep", "copies", "vid", "dim"]
+        for batch in batches:
+            full = batch.column(1).to_pylist()
+            code, scale, error = [b""] * len(full), np.zeros(len(full), np.float32), np.zeros(len(full), np.float32)
+            size = np.array([len(v) for v in full])
+            for n in np.unique(size):
+                at = np.flatnonzero(size == n)
+                x = unit_rows(np.frombuffer(b"".join(full[i] for i in at), dtype=kind).reshape(len(at), -1))
+                c, scale[at], error[at] = quantise(x)
+                for i, row in zip(at, c, strict=True):
+                    code[i] = row.tobytes()
+            yield pa.record_batch(
+                [*batch.columns, pa.array(code, pa.binary()), pa.array(scale), pa.array(error)], names=[*names, "code", "scale", "error"]
+            )
+
+    return run
+
+
 def near_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -159,40 +262,43 @@ def near_vectors(
     packed = materialize(src.mapInArrow(_packer(kind), "vec_id long, label string, full binary"), "vectors")
     live = "vec_id IS NOT NULL AND label IS NOT NULL AND full IS NOT NULL"
     one = packed.where(live).groupBy("label", "full").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    one = materialize(one.withColumn("dim", F.length("full")), "distinct-vectors")
+    # The number is stored with its vector, so no later task sees another one.
+    one = one.select("label", "full", "rep", "copies", F.monotonically_increasing_id().alias("vid"), F.length("full").alias("dim"))
+    schema = "label string, full binary, rep long, copies long, vid long, dim int, code binary, scale float, error float"
+    one = materialize(one.mapInArrow(_quantiser(kind), schema), "distinct-vectors")
 
     sizes = one.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("full"), F.col("blocks")).cast("int")
-    placed = one.join(sizes, ["label", "dim"]).withColumn("block", block)
-    tiled = placed.select(
-        "label",
-        "dim",
-        "rep",
-        "copies",
-        "full",
-        F.explode(
-            F.expr(
-                "transform(sequence(0, blocks - 1), t -> named_struct("
-                "'i', least(t, block), 'j', greatest(t, block), "
-                "'side', CASE WHEN t = block THEN 1 WHEN block < t THEN 0 ELSE 2 END))"
-            )
-        ).alias("tile"),
-    ).select("label", "dim", "rep", "copies", "full", "tile.i", "tile.j", "tile.side")
-    found = materialize(
-        tiled.groupBy("label", "dim", "i", "j").applyInPandas(_tile(threshold, kind), "rep long, links long, head long"), "tiles"
+    # Stored, the aggregate meets its rows in a join that Spark can split at a hot label.
+    sizes = materialize(sizes, "label-sizes")
+    placed = one.select("label", "dim", "vid", "copies", "code", "scale", "error").join(sizes, ["label", "dim"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    tile = F.expr(
+        "transform(sequence(0, blocks - 1), t -> named_struct("
+        "'i', least(t, block), 'j', greatest(t, block), "
+        "'side', CASE WHEN t = block THEN 1 WHEN block < t THEN 0 ELSE 2 END))"
     )
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = connected_components(found.select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    known = one.join(links, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("label", "full", "rep", "copies", "links", "component")
+    key = ["label", "dim", "i", "j"]
+    tiled = placed.select(*key[:2], "vid", "copies", "code", "scale", "error", F.explode(tile).alias("t"))
+    tiled = tiled.select(*key[:2], "t.i", "t.j", "t.side", "vid", "copies", "code", "scale", "error")
+    links = "vid long, links long, head long"
+    coarse = materialize(tiled.groupBy(*key).applyInPandas(_coarse(threshold), f"{links}, open boolean, i int, j int, side int"), "tiles")
+    again = coarse.where("open").select("vid", "i", "j", "side").join(one.drop("rep"), "vid")
+    fine = materialize(again.groupBy(*key).applyInPandas(_fine(threshold, kind), links), "open-tiles")
+
+    found = coarse.where("links > 0").select("vid", "links", "head").unionByName(fine)
+    comp = connected_components(found.select(F.col("vid").alias("a"), F.col("head").alias("b")))
+    total = found.groupBy("vid").agg(F.sum("links").alias("links"))
+    placed = one.select("vid", "rep", "copies").join(total, "vid", "left").join(comp.withColumnRenamed("node", "vid"), "vid", "left")
+    placed = placed.select("vid", "rep", F.coalesce("component", "vid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    placed = materialize(placed, "placed")
+    least = materialize(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    known = one.select("label", "full", "vid").join(placed.join(least, "component").select("vid", "n_links", "component_id"), "vid")
+    known = known.select("label", "full", "n_links", "component_id")
     return packed.join(known, ["label", "full"], "left").select(
         "vec_id",
-        F.when(F.expr(live), F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
-        .otherwise(F.lit(0))
-        .cast("long")
-        .alias("n_links"),
-        F.when(F.expr(live), F.coalesce("component", "rep", "vec_id")).otherwise(F.col("vec_id")).alias("component_id"),
-        F.coalesce(F.when(F.expr(live), F.coalesce("component", "rep") == F.col("vec_id")), F.lit(True)).alias("kept"),
+        F.when(F.expr(live), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.expr(live), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
+        F.coalesce(F.when(F.expr(live), F.col("component_id") == F.col("vec_id")), F.lit(True)).alias("kept"),
     )
 
 

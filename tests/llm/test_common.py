@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from ridgeline.llm import common
-from ridgeline.llm.common import chunks, clear_scratch, connected_components, materialize, read_table, scratch_dir
+from ridgeline.llm.common import chunks, connected_components, materialize, read_table
+from ridgeline.runtime import clear_scratch, scratch_dir
 
 
 @settings(max_examples=150, deadline=None)
