@@ -1,10 +1,11 @@
 import hashlib
 import random
 import re
+import time
 
 from ridgeline.llm import secret_scan
 from ridgeline.llm.common import scratch_path
-from ridgeline.llm.secret_scan import BASE_RULES, _joined, read_ledger, scan
+from ridgeline.llm.secret_scan import BASE_RULES, read_ledger, scan
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -65,4 +66,27 @@ def test_query_digest(spark, tmp_path):
         assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == x for _, _, k, _ in want) for x in ("assign", "access", "hex"))
         assert set(base.split(",")) <= set(got[i].spans.split(",")) | {""}
-    assert _joined is not None
+
+
+def test_one_row_is_scanned_a_blob(spark, tmp_path):
+    rows = [(1, "token=abcdefgh1")] * 50 + [(i, "token=abcdefgh1") for i in range(20)] + [(None, None), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    ledger = scratch_path(spark, "ledger")
+    spark.conf.set("spark.ridgeline.ledger", ledger)
+    try:
+        for _ in range(2):
+            got = secret_scan.op9_secret_scan(spark, str(tmp_path)).collect()
+            assert len(got) == len(rows) and sum(r.n_assign for r in got) == 70
+            assert read_ledger(spark, ledger).count() == 2
+    finally:
+        spark.conf.unset("spark.ridgeline.ledger")
+
+
+def test_many_matches_in_one_text(spark):
+    text = "x token=abcdefgh1 é" * 32_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    scan(df.limit(0), scratch_path(spark, "ledger"), "doc_id", "text").collect()
+    began = time.perf_counter()
+    spans = scan(df, scratch_path(spark, "ledger"), "doc_id", "text").first().spans
+    assert time.perf_counter() - began < 5
+    assert [tuple(s) for s in spans] == brute(text)
