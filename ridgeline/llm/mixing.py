@@ -11,11 +11,17 @@ Documents of a source are spread over blocks by a hash, and paired in the order
 of their sizes, which keeps the taken words close to the target. Each block
 leaves one undecided document; these are combined over a tree of blocks of
 blocks until one is left for each source. Blocks and draws come from the seed
-and the rows' own hashes, so reruns agree however the rows are partitioned.
+and a hash of the row and of its ordinal among rows that are equal to it, so
+reruns agree however the rows are partitioned, and equal rows are spread too.
+
+The ordinal is counted in two steps, so that many equal rows are never numbered
+by one task: rows are numbered within the partitions of a stored table, and the
+partitions' counts, a row for each key and partition, are summed before.
 
 Defined results: a null text has size 0. A null source is a source of its own,
 the last. Repeated rows are decided one by one. If all sizes are 0 nothing is
-taken. Null ids are allowed. Other columns of the input are not read.
+taken. Null ids are allowed. Rows equal in id, source and text are drawn for
+one by one. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +44,21 @@ FAN_IN = 64
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def _in_order(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the ``place`` of each source in the order of the names,
+    null last: sorted by ranges, and numbered within them from the stored
+    table's numbers and the counts of the ranges before."""
+    by_name = F.col("source").asc_nulls_last()
+    s = sizes.repartitionByRange(by_name).sortWithinPartitions(by_name)
+    s = materialize(s.withColumn("number", F.monotonically_increasing_id()), "source-order")
+    part = F.shiftright("number", 33)
+    counts = s.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("number").alias("low"))
+    # A row a range, of which there are as many as shuffle partitions.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", "low", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return s.withColumn("part", part).join(starts, "part").withColumn("place", F.col("number") - F.col("low") + F.col("before")).drop("number", "part", "low", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: float = MAX_COPIES) -> DataFrame:
     """``source, source_size, rows, target`` from ``source, source_size, rows``.
 
@@ -46,10 +67,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
     ``max_copies`` times its source's size stops there, and the excess is
     shared again by weight, until none is above. One row a source.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
-    s = materialize(sizes.withColumn("weight", weight), "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    s = materialize(_in_order(sizes).withColumn("weight", weight).drop("place"), "sources")
     top = F.col("source_size") * F.lit(float(max_copies))
     total = float(s.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     share, full = 0.0, -1
@@ -110,6 +129,26 @@ def _pivot(seed: int):
     return run
 
 
+def _spread_equal(sized: DataFrame) -> DataFrame:
+    """``sized`` without ``number``, with a key of its own for each of equal rows.
+
+    Equal rows are told apart only by their ordinals, so it does not matter
+    which of them gets which.
+    """
+    part = F.shiftright("number", 33)  # the partition of the stored table
+    counts = sized.groupBy("key", part.alias("part")).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("key"))})
+    repeated = materialize(counts.where("all > 1").select("key", "part", "before"), "repeated")
+    placed = sized.withColumn("part", part).join(repeated, ["key", "part"])
+    ordinal = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy("number")) - 1
+    placed = placed.withColumn("ordinal", ordinal)
+    placed = placed.withColumn("key", F.when(F.col("ordinal") > 0, F.xxhash64("key", "ordinal")).otherwise(F.col("key")))
+    single = sized.join(repeated.select("key").distinct(), "key", "left_anti")
+    names = [c for c in sized.columns if c != "number"]
+    return single.select(names).unionByName(placed.select(names))
+
+
 _ROW = "doc_id long, size long, sid long, source_size long, target double, whole long, p double, key long, block long"
 
 
@@ -131,8 +170,9 @@ def mix_sources(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
-            F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("key"),
+            F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col), F.lit(seed)).alias("key"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "sizes",
     )
@@ -144,7 +184,7 @@ def mix_sources(
     named = targets.select(
         F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "source_size", "target", "rows", "sid"
     )
-    rows = sized.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
+    rows = _spread_equal(sized).withColumn("name", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # A hair below an integer is that integer.
     rows = rows.join(named, ["name", "none"]).withColumn("copies", copies).withColumn("whole", F.floor(F.col("copies") + 1e-12))

@@ -83,4 +83,21 @@ def test_weights_resharing(spark):
     got = {r.source: r.target for r in source_targets(s).collect()}
     want = fill({"a": 10, "b": 1000, "c": 1, "d": 3000})
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
-    assert F is not None
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """A third of all rows are one row: they get keys of their own, blocks stay
+    small, and reruns agree however the rows lie."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    data = [(7, "a b c", "a")] * 900 + [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(1800)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    sized = mixing.materialize(df.select("*", F.xxhash64("doc_id").alias("key"), F.monotonically_increasing_id().alias("number")), "t")
+    spread = mixing._spread_equal(sized)
+    assert spread.count() == 2700 and spread.select("key").distinct().count() == 2700
+    got = [sorted(tuple(r) for r in mix_sources(x).collect()) for x in (df, df.repartition(3), df.coalesce(1))]
+    assert got[0] == got[1] == got[2]
+    taken = {}
+    for r in got[0]:
+        taken[r[2]] = taken.get(r[2], 0) + r[5]
+    want = fill({s: sum(len(t.split()) for _, t, x in data if x == s) for s in "a ab".split() + ["b"] if any(x == s for *_, x in data)})
+    assert all(abs(taken[s] - want[s]) <= 10 for s in want)
