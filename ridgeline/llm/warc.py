@@ -174,8 +174,9 @@ def write_archive(
         F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("html"),
     )
     src = src.select("page_id", "url", "html", F.sha1("html").alias("sha"), F.octet_length("html").alias("n"))
-    first = src.groupBy("sha").agg(F.min("page_id").alias("first"))
-    # The narrow side builds the hash table, so no payload is sorted.
+    # Stored, the aggregate meets its pages in a join that Spark can split at a
+    # hot payload; the narrow side builds the hash table, so no payload is sorted.
+    first = materialize(src.groupBy("sha").agg(F.min("page_id").alias("first")), "warc-firsts")
     typed = src.join(first.hint("shuffle_hash"), "sha")
     revisit = (F.col("n") >= min_bytes) & F.col("first").isNotNull() & (F.coalesce("page_id", F.col("first") - 1) != F.col("first"))
     typed = typed.select(
