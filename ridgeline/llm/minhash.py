@@ -152,6 +152,20 @@ def _setter(k: int):
     return run
 
 
+def _resigner(m: int):
+    """Signatures of stored sets, once for each set however many tiles it is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                sets = [np.sort(x.values.to_numpy().view(np.uint64)) for x in part.column(1)]
+                sig = [s.tobytes() for s in superminhash(sets, m)]
+                yield pa.record_batch([*part.columns, pa.array(sig, pa.binary())], names=["fp", "items", "sig"])
+
+    return run
+
+
 def _tiler(rows: int, bands: int, percent: int):
     """Links between the components of a tile, enough to join those that meet.
 
@@ -172,7 +186,7 @@ def _tiler(rows: int, bands: int, percent: int):
         fp, comp = pdf["fp"].to_numpy(), pdf["component"].to_numpy().copy()
         sets = [np.sort(np.asarray(x).view(np.uint64)) for x in pdf["items"]]
         size = np.array([len(x) for x in sets])
-        sig = superminhash(sets, m)
+        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint64).reshape(len(pdf), m)
         keys = band_hashes(sig, rows, bands).view(np.int64)
         n_left = int((side < 2).sum())
         right = int((side == 0).sum())  # rows of the second side start here
@@ -253,15 +267,15 @@ def near_duplicates(
     placed = members.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
         "band", "fp", F.coalesce("component", "fp").alias("component")
     )
+    placed = materialize(placed, "placed")
     torn = (
         placed.groupBy("band")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-        .where("lo <> hi")
+        # A bucket of two holds just the pair that was compared.
+        .where("lo <> hi AND size > 2")
         .select("band", "size")
     )
-    rest = materialize(placed.join(torn, "band"), "torn")
-    # A bucket of two holds just the pair that was compared.
-    rest = rest.where("size > 2")
+    rest = materialize(placed.join(materialize(torn, "torn-bands"), "band"), "torn")
     if not rest.isEmpty():
         links = links.unionByName(materialize(_cross_links(rest, sets, rows, bands, percent), "links"))
         comp = connected_components(links)
@@ -270,7 +284,8 @@ def near_duplicates(
     heads = heads.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    lowest = heads.groupBy("component").agg(F.min("least").alias("component_id"))
+    heads = materialize(heads, "heads")
+    lowest = materialize(heads.groupBy("component").agg(F.min("least").alias("component_id")), "lowest")
     grouped = heads.join(lowest, "component").select("fp", "component_id")
     out = signed.select("doc_id", "n_shingles", F.expr("CASE WHEN doc_id IS NOT NULL AND n_shingles > 0 THEN fp END").alias("fp"))
     return out.join(grouped, "fp", "left").select(
@@ -302,7 +317,8 @@ def _cross_links(rest: DataFrame, sets: DataFrame, rows: int, bands: int, percen
             )
         ).alias("tile"),
     ).select("band", "fp", "component", "tile.i", "tile.j", "tile.side")
-    tiled = tiled.join(sets, "fp")
+    torn = sets.join(rest.select("fp").distinct(), "fp", "left_semi").mapInArrow(_resigner(rows * bands), "fp long, items array<long>, sig binary")
+    tiled = tiled.join(materialize(torn, "signed-sets"), "fp")
     return tiled.groupBy("band", "i", "j").applyInPandas(_tiler(rows, bands, percent), "a long, b long").distinct()
 
 
