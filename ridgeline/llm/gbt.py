@@ -1,7 +1,7 @@
 """Gradient-boosted trees on histograms, and isotonic calibration, in numpy.
 
-Models are fitted on bounded samples on the driver and are small enough to
-travel with the tasks that score. Fitting is deterministic.
+Models are fitted on bounded samples, where their operator says, and are small
+enough to travel with the tasks that score. Fitting is deterministic.
 """
 
 from __future__ import annotations

@@ -6,11 +6,14 @@ proximity to the second person, the rates of capitals, of punctuation and of
 obfuscated words, and lengths. Boosted trees give a margin; isotonic regression
 on rows that the trees have not seen turns it into a probability.
 
-The lexicon, the trees and the calibration are fitted on at most ``max_rows``
-labelled rows, those of the smallest hash of the id; rows whose
+The lexicon, the trees and the calibration are fitted in one task on at most
+``max_rows`` labelled rows, those of the smallest hash of the id; rows whose
 ``crc32(doc_id)`` is divisible by five are never among them. Every document is
 scored over its whole text, in one pass without a shuffle.
 
+Words are compared as Unicode: lower case, without marks and quotes around
+them, in whatever language.
+
 Defined results: null and empty texts are scored as texts without words. A row
 with a null id is not held out. Labels that are null, or whose id has no
 document, are not used; without any usable label the score is 0.5. Repeated
@@ -35,20 +38,22 @@ from .gbt import Booster, Isotonic
 
 #: Common insults of the languages at hand; the learned lexicon adds to them.
 SEED_LEXICON = frozenset(
-    b"idiot idiots moron morons stupid scum trash worthless pathetic disgusting loser losers clown dumb "
-    b"filth vermin imbecile bastard bitch crap damn jerk freak hate kill ugly "
-    b"connard salope imb\xc3\xa9cile ordure cr\xc3\xa9tin abruti "
-    b"arschloch dummkopf trottel abschaum schei\xc3\x9fe "
-    b"pendejo cabr\xc3\xb3n est\xc3\xbapido basura imb\xc3\xa9cil".split()
+    "idiot idiots moron morons stupid scum trash worthless pathetic disgusting loser losers clown dumb "
+    "filth vermin imbecile bastard bitch crap damn jerk freak hate kill ugly "
+    "connard salope imbécile ordure crétin abruti "
+    "arschloch dummkopf trottel abschaum scheiße "
+    "pendejo cabrón estúpido basura imbécil".split()
 )
-SECOND_PERSON = frozenset(b"you your you're yours yourself u ur tu te toi vous votre ton du dich dir dein ihr usted vos tus".split())
-#: Bytes of the word beginnings that may enter the lexicon.
+SECOND_PERSON = frozenset("you your you're yours yourself u ur tu te toi vous votre ton du dich dir dein ihr usted vos tus".split())
+#: Characters of the word beginnings that may enter the lexicon.
 STEMS = (4, 5, 6)
 MAX_LEXICON = 3000
 NEAR = 6
-_LEET = bytes.maketrans(b"013457@$!", b"oleastasi")
-_EDGE = b".,;:!?\"'()[]{}<>|*#%&$\xe2\x80\x9c\x9d\x9e\xab\xbb-_~/\\"
-_ODD = re.compile(rb"[A-Za-z][0-9@$*!#]+[A-Za-z]")
+#: Words whose judgement a task keeps.
+KNOWN_WORDS = 200_000
+_LEET = str.maketrans("013457@$!", "oleastasi")
+_EDGE = ".,;:!?\"'()[]{}<>|*#%&$-_~/\\“”„«»‘’‚‹›¡¿…–—"
+_ODD = re.compile(r"[^\W\d_][0-9@$*!#]+[^\W\d_]")
 
 FEATURES = (
     "words", "log_words", "seed", "seed_density", "learned", "learned_density", "stems", "stem_density", "distinct",
@@ -61,63 +66,90 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _core(word: bytes) -> bytes:
+def _core(word: str) -> str:
     return word.strip(_EDGE).lower()
 
 
+def _text(raw: bytes) -> str:
+    return raw.decode("utf-8", "replace")
+
+
 @dataclass
 class Lexicon:
     """Log-odds of toxic words and stems; both bounded by ``MAX_LEXICON``."""
 
-    words: dict[bytes, float] = field(default_factory=dict)
-    stems: dict[bytes, float] = field(default_factory=dict)
-
-    def features(self, text: bytes) -> list[float]:
-        raw = text.split()
-        n = len(raw)
-        count = Counter(raw)
+    words: dict[str, float] = field(default_factory=dict)
+    stems: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self._known: dict[str, tuple | None] = {}
+
+    def __getstate__(self):
+        return {"words": self.words, "stems": self.stems}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
+
+    def judge(self, word: str) -> tuple | None:
+        """What a word counts for, or None if for nothing: its core, and whether
+        it is a seed word, its learned weight, its stem's weight, if it is
+        obfuscated, obfuscates a known word, is second person, in capitals."""
+        core = _core(word)
+        seed, weight = core in SEED_LEXICON, self.words.get(core)
+        stem, odd, leet = None, False, False
+        if weight is None:
+            stem = next((self.stems[core[:k]] for k in STEMS if len(core) >= k and core[:k] in self.stems), None)
+        if not seed and weight is None and stem is None and _ODD.search(core):
+            odd = True
+            plain = core.translate(_LEET)
+            leet = plain in SEED_LEXICON or plain in self.words
+        you, capital = core in SECOND_PERSON, len(word) > 1 and word.isupper()
+        if not (seed or weight is not None or stem is not None or odd or you or capital):
+            return None
+        return core, seed, weight, stem, odd, leet, you, capital
+
+    def features(self, raw: bytes) -> list[float]:
+        text = _text(raw)
+        split = text.split()
+        n = len(split)
+        known = self._known
+        if len(known) > KNOWN_WORDS:
+            known.clear()
         hits, seed, learned, stems, leet, you = set(), 0, 0, 0, 0, 0
         strength, top, odd, capitals = 0.0, 0.0, 0, 0
         hit_words, you_words = set(), set()
-        for w, c in count.items():
-            core = _core(w)
-            weight = self.words.get(core)
-            found = core in SEED_LEXICON
-            if found:
+        for w, c in Counter(split).items():
+            try:
+                found = known[w]
+            except KeyError:
+                found = known[w] = self.judge(w)
+            if found is None:
+                continue
+            core, is_seed, weight, stem, is_odd, is_leet, is_you, capital = found
+            if is_seed:
                 seed += c
             if weight is not None:
                 learned += c
+            elif stem is not None:
+                stems += c
+                weight = stem
+            if weight is not None:
                 strength += c * weight
                 top = max(top, weight)
-                found = True
-            else:
-                for k in STEMS:
-                    s = self.stems.get(core[:k])
-                    if s is not None and len(core) >= k:
-                        stems += c
-                        strength += c * s
-                        top = max(top, s)
-                        found = True
-                        break
-            if not found and _ODD.search(core):
-                odd += c
-                plain = core.translate(_LEET)
-                if plain in SEED_LEXICON or plain in self.words:
-                    leet += c
-                    found = True
-            if found:
+            odd += c * is_odd
+            leet += c * is_leet
+            if is_seed or weight is not None or is_leet:
                 hits.add(core)
                 hit_words.add(w)
-            if core in SECOND_PERSON:
+            if is_you:
                 you += c
                 you_words.add(w)
-            if len(w) > 1 and w.isupper():
-                capitals += c
+            capitals += c * capital
         near = 0
         if hit_words and you_words:
             last = -NEAR - 1
             pending: list[int] = []
-            for i, w in enumerate(raw):
+            for i, w in enumerate(split):
                 if w in you_words:
                     last = i
                     near += sum(i - j <= NEAR for j in pending)
@@ -127,8 +159,8 @@ class Lexicon:
                         near += 1
                     else:
                         pending.append(i)
-        marks = sum(text.count(p) for p in (b".", b",", b";", b":", b"?", b"!"))
-        exclaims = text.count(b"!")
+        marks = sum(text.count(p) for p in ".,;:?!")
+        exclaims = text.count("!")
         d = max(n, 1)
         return [
             n, float(np.log1p(n)), seed, seed / d, learned, learned / d, stems, stems / d, len(hits),
@@ -137,18 +169,24 @@ class Lexicon:
         ]
 
 
-def learn_lexicon(texts: list[bytes], y: np.ndarray, least: int = 3, odds: float = 6.0) -> Lexicon:
+Cut = tuple[frozenset[str], frozenset[str]]
+
+
+def cut_words(raw: bytes) -> Cut:
+    """The different words of a text and their beginnings."""
+    words = frozenset(_core(w) for w in set(_text(raw).split())) - {""}
+    return words, frozenset(w[:k] for w in words for k in STEMS if len(w) >= k)
+
+
+def learn_lexicon(texts: list[Cut], y: np.ndarray, least: int = 3, odds: float = 6.0) -> Lexicon:
     """Words and stems that occur in several toxic texts and hardly elsewhere."""
     out = Lexicon()
     n_toxic = max(int(y.sum()), 1)
     n_clean = max(len(y) - int(y.sum()), 1)
-    counts = {True: (Counter(), Counter()), False: (Counter(), Counter())}
-    for text, label in zip(texts, y, strict=True):
-        words = {_core(w) for w in set(text.split())} - {b""}
-        counts[bool(label)][0].update(words)
-        counts[bool(label)][1].update({w[:k] for w in words for k in STEMS if len(w) >= k})
     for kind, into in ((0, out.words), (1, out.stems)):
-        toxic, clean = counts[True][kind], counts[False][kind]
+        toxic, clean = Counter(), Counter()
+        for cut, label in zip(texts, y, strict=True):
+            (toxic if label else clean).update(cut[kind])
         scored = []
         for w, c in toxic.items():
             if c >= least:
@@ -174,24 +212,25 @@ class Model:
 
 
 def fit(texts: list[bytes], y: np.ndarray) -> Model:
-    """Learn on four fifths, cross-fitted between lexicon and trees; calibrate
-    on margins of rows that the trees did not see."""
+    """Cross-fitted over thirds: a row's lexicon features come from a lexicon of
+    the other two thirds, and its calibration margin from trees that did not
+    see it. The model then has the lexicon and the trees of all rows."""
     y = np.asarray(y, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         iso = Isotonic(np.zeros(1), np.full(1, 0.5 if not len(y) else (y.sum() + 0.5) / (len(y) + 1)))
         return Model(Lexicon(), Booster().fit(np.zeros((0, 1)), y[:0]), iso)
     fold = np.arange(len(y)) % 3
-    # A row's lexicon features come from the other folds, or they would leak its label.
+    cut = [cut_words(t) for t in texts]
     x = np.zeros((len(y), len(FEATURES)))
     for f in range(3):
         other = fold != f
-        lexicon = learn_lexicon([t for t, o in zip(texts, other, strict=True) if o], y[other])
+        lexicon = learn_lexicon([c for c, o in zip(cut, other, strict=True) if o], y[other])
         x[~other] = [lexicon.features(t) for t, o in zip(texts, other, strict=True) if not o]
     margin = np.zeros(len(y))
     for f in range(3):
         margin[fold == f] = Booster().fit(x[fold != f], y[fold != f]).margin(x[fold == f])
     calibration = Isotonic().fit(margin, y)
-    return Model(learn_lexicon(texts, y), Booster().fit(x, y), calibration)
+    return Model(learn_lexicon(cut, y), Booster().fit(x, y), calibration)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
