@@ -322,5 +322,25 @@ def _cross_links(rest: DataFrame, sets: DataFrame, rows: int, bands: int, percen
     return tiled.groupBy("band", "i", "j").applyInPandas(_tiler(rows, bands, percent), "a long, b long").distinct()
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the
+    smallest id (null last); of rows that repeat it, any one.
+
+    Rows are told apart by a number, not by their id: several texts under one
+    id are several rows, each judged by its own text. Rows without words stay.
+    """
+    # Columns go by place, so no name can clash; stored, rows keep their numbers.
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows, "numbered-rows")
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    groups = near_duplicates(rows, "__row", text, shingle, percent).select(F.col("doc_id").alias("__row"), "component_id")
+    placed = rows.select("__row", F.col(key).alias("id")).join(groups, "__row")
+    # A null id sorts after every other one.
+    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first")).select("first.__row")
+    kept = rows.join(first.hint("shuffle_hash"), "__row", "left_semi").drop("__row")
+    return kept.toDF(*names)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)

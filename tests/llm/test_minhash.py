@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ridgeline.llm.minhash import bands_for, near_duplicates, superminhash
+from ridgeline.llm.minhash import keep_one, bands_for, near_duplicates, superminhash
 
 SCHEMA = "doc_id long, text string, fp string, bands string, component_id long"
 
@@ -90,3 +90,15 @@ def test_signature_estimates_similarity():
 def test_bands():
     assert bands_for(85) == (5, 25)
     assert bands_for(80) == (4, 32)
+
+
+def test_keep_one_row_of_each_group(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    rows = [(2, a), (5, a), (5, b), (7, b + " x"), (7, b + " x"), (9, None), (9, None), (None, a), (None, "c d e f g h"), (8, "")]
+    df = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, c0 string, component_id int").repartition(3)
+    out = keep_one(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(2, a), (5, b), (9, None), (9, None), (None, "c d e f g h"), (8, "")], key=str)
+    assert keep_one(df.limit(0)).count() == 0
