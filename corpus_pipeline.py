@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import materialize, read_table
 from ridgeline.llm.decontaminate import decontaminate
 from ridgeline.llm.lines import dedup_lines
-from ridgeline.llm.minhash import near_duplicates
+from ridgeline.llm.minhash import keep_one
 from ridgeline.llm.mixing import mix_sources
 from ridgeline.llm.toxicity import reject_toxic, train
 
@@ -32,10 +32,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group (five-word shingles, similarity 0.8) the document with the
-    smallest id stays."""
-    gone = near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group (five-word shingles, similarity 0.8) one row stays, that
+    of the smallest id."""
+    return keep_one(docs, shingle=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
