@@ -1,24 +1,29 @@
-"""Repeated passages by blocks and windows shared with any other document.
+"""Repeated passages by a relative Lempel-Ziv parse.
 
-This stands in for a relative Lempel-Ziv parse: factors are whole blocks, not
-longest matches. The reference is the whole corpus, indexed by content:
+The reference is the corpus itself, every piece of it once: documents are cut
+into blocks by their content, and of equal blocks the reference has that of the
+smallest document at its first place there.
 
 * A window is ``window`` consecutive words. Its anchor is the word gram with
   the least hash in it, so equal windows have equal anchors wherever they lie.
-* Anchors with every eighth hash cut a document into blocks. A block is indexed
-  with the ``window - 1`` words that follow it, so each window lies in exactly
-  one block, that in which it starts.
-
-The parse goes over a document's blocks greedily. Where a document with a
-smaller id holds the same block, the whole block is one factor. At the
-boundaries of these factors and in blocks that nobody else holds, factors end
-inside a block, and windows are looked up one by one; only those are hashed
-whose anchor occurs in another document as well. Factors of at least a window
-become duplicate spans.
+* Every ``CUT``-th anchor, by other bits of its hash, begins a block. A block is
+  indexed with the ``window - 1`` words that follow it, so each window lies in
+  exactly one block, that in which it starts.
+
+A document is parsed against the reference from left to right. Where a smaller
+document has its block, that is a match with a source and a place there; the
+factor goes on as long as the blocks that follow are the next ones at the same
+source. As the reference has every block once, that is the longest match, and
+there is no choice. Where no block matches, a factor ended inside a block or
+begins inside one: at these boundaries windows are looked up one by one, each
+again with its first place in the corpus; only those are hashed whose anchor
+occurs in another document as well. Windows that go on along one source make a
+factor, or extend that beside them. Factors of at least a window, which all of
+them are, become duplicate spans.
 
 That loses nothing: the smallest document that holds a window never has it in a
-factor, for the factor's source would be smaller still. So the windows outside
-factors hold at least one copy from that smallest document.
+factor of blocks, for the factor's source would be smaller still. So the windows
+outside factors hold at least one copy from that smallest document.
 
 Block and window keys are 128 bits wide. Defined results: null, empty and blank
 texts have no words; texts shorter than a window keep all. Rows with the same
@@ -30,6 +35,7 @@ the input are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +46,8 @@ from pyspark.sql import functions as F
 from .common import U64, Chunk, chunks, materialize, mix, powers, read_table
 
 GRAM = 10
+#: Anchors to a block, a power of two; a block has about 20 times as many words.
+CUT = 8
 _BASE_1 = 0x2545F4914F6CDD1D
 _BASE_2 = 0x9FB21C651E98DF25
 _POS = U64(0xFFFFFFFF)
@@ -74,26 +82,41 @@ class Parsed:
             gap = span - width
             least = np.minimum(least[:-gap], least[gap:]) if len(least) > gap else least[:0]
         self.anchor = (least & _POS).astype(np.int64)
+        # The range of window starts of each row.
+        self.lo = self.first[:-1]
+        self.hi = np.maximum(self.first[1:] - window + 1, self.lo)
 
     def keys(self, which: int, start: np.ndarray, length) -> np.ndarray:
         s = self.sums[which]
         with np.errstate(over="ignore"):
             return mix((s[start + length] - s[start]) * self.inv[which][start] + np.asarray(length, dtype=np.uint64))
 
-    def windows(self, r: int) -> tuple[int, int]:
-        """The range of window starts of a row."""
-        a, b = int(self.first[r]), int(self.first[r + 1])
-        return a, max(a, b - self.window + 1)
+    def row_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, side="right") - 1
+
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the blocks, and the ranges of window starts that make them."""
+        at = self.starts()
+        anchor = self.anchor[at]
+        # Anchors only go forward, so each is a run.
+        cut = anchor[np.diff(anchor, prepend=-1) > 0]
+        cut = np.unique(cut[(self.grams[cut] & U64(CUT - 1)) == 0])
+        row = self.row_of(cut)
+        cut = cut[(cut > self.lo[row]) & (cut < self.hi[row])]
+        lo = np.union1d(self.lo[self.hi > self.lo], cut).astype(np.int64)
+        row = self.row_of(lo)
+        hi = np.minimum(np.append(lo[1:], len(self.anchor) + 1), self.hi[row])
+        return row, lo, hi
+
+    def starts(self) -> np.ndarray:
+        """All window starts of all rows."""
+        count = self.hi - self.lo
+        return np.repeat(self.lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+
 
-    def blocks(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of window starts that make the blocks of a row."""
-        a, b = self.windows(r)
-        if a == b:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.unique(self.anchor[a:b])
-        cut = at[(self.grams[at] >> U64(61)) == 0]
-        cut = cut[(cut > a) & (cut < b)]
-        return np.concatenate([[a], cut]), np.concatenate([cut, [b]])
+def _lists(values: pa.Array, row: np.ndarray, n: int) -> pa.ListArray:
+    """``values``, sorted by ``row``, as one list a row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
 
 
 def _indexer(window: int):
@@ -104,47 +127,69 @@ def _indexer(window: int):
             for chunk in chunks(batch.column(2)):
                 p = Parsed(chunk, window)
                 raw = chunk.buf.tobytes()
-                n, sha, blocks = [], [], []
+                sha = []
                 for r in range(len(chunk.rows)):
                     s, e = chunk.spans(r)
-                    n.append(len(s))
-                    text = raw[s[0] : e[-1]] if len(s) else b""
-                    sha.append(hashlib.sha256(b" ".join(text.split())).digest())
-                    lo, hi = p.blocks(r)
-                    length = hi - lo + window - 1
-                    k1 = p.keys(0, lo, length).view(np.int64)
-                    k2 = p.keys(1, lo, length).view(np.int64)
-                    a = p.first[r]
-                    blocks.append(
-                        [
-                            {"k1": int(x), "k2": int(y), "lo": int(i - a), "hi": int(j - a), "anchors": np.unique(p.grams[p.anchor[i:j]]).view(np.int64)}
-                            for x, y, i, j in zip(k1, k2, lo, hi, strict=True)
-                        ]
-                    )
+                    sha.append(hashlib.sha256(b" ".join(raw[s[0] : e[-1]].split()) if len(s) else b"").digest())
+                row, lo, hi = p.blocks()
+                length = hi - lo + window - 1
+                base = p.first[row]
+                blocks = pa.StructArray.from_arrays(
+                    [
+                        pa.array(p.keys(0, lo, length).view(np.int64)),
+                        pa.array(p.keys(1, lo, length).view(np.int64)),
+                        pa.array((lo - base).astype(np.int32)),
+                        pa.array((hi - base).astype(np.int32)),
+                    ],
+                    names=["k1", "k2", "lo", "hi"],
+                )
+                at = p.starts()
+                block = np.searchsorted(lo, at, side="right") - 1
+                turn = (np.diff(block, prepend=-1) > 0) | (np.diff(p.anchor[at], prepend=-1) > 0)
+                at, block = at[turn], block[turn]
+                anchors = pa.StructArray.from_arrays(
+                    [pa.array((lo[block] - p.first[row[block]]).astype(np.int32)), pa.array(p.grams[p.anchor[at]].view(np.int64))],
+                    names=["lo", "gram"],
+                )
                 size = len(chunk.rows)
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(chunk.rows.start, size),
                         batch.column(1).slice(chunk.rows.start, size),
-                        pa.array(n, pa.int64()),
+                        pa.array(np.diff(p.first)),
                         pa.array(sha, pa.binary()),
-                        pa.array(blocks, _BLOCKS),
+                        _lists(blocks, row, size),
+                        _lists(anchors, row[block], size),
                     ],
-                    names=["doc_id", "th", "n_words", "sha", "blocks"],
+                    names=["doc_id", "th", "n_words", "sha", "blocks", "anchors"],
                 )
 
     return run
 
 
-_BLOCKS = pa.list_(
-    pa.struct(
-        [("k1", pa.int64()), ("k2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("anchors", pa.list_(pa.int64()))]
-    )
-)
 _INDEX = (
     "doc_id long, th long, n_words long, sha binary, "
-    "blocks array<struct<k1:long,k2:long,lo:int,hi:int,anchors:array<long>>>"
+    "blocks array<struct<k1:long,k2:long,lo:int,hi:int>>, anchors array<struct<lo:int,gram:long>>"
 )
+#: A match: words from ``lo`` whose windows start before ``hi``, equal to those
+#: at ``at`` of the text ``source_th`` of document ``source``.
+_MATCH = "array<struct<lo:int,hi:int,source:long,source_th:long,at:int>>"
+
+
+def _open_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different anchors of a document's blocks without a match."""
+    for batch in batches:
+        row, out = [], []
+        for r in range(batch.num_rows):
+            anchors, matches = batch.column(2)[r].values, batch.column(3)[r].values
+            gram = anchors.field("gram").to_numpy()
+            if matches is not None and len(matches):
+                gram = gram[~np.isin(anchors.field("lo").to_numpy(), matches.field("lo").to_numpy())]
+            out.append(np.unique(gram))
+            row.append(np.full(len(out[-1]), r))
+        if out:
+            take = pa.array(np.concatenate(row).astype(np.int64))
+            yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(out))], names=["doc_id", "th", "anchor"])
 
 
 def _open_windows(window: int):
@@ -161,11 +206,12 @@ def _open_windows(window: int):
                     known = shared[chunk.rows.start + r].values
                     if known is None or not len(known):
                         continue
-                    lo, hi = p.windows(r)
+                    lo, hi = p.lo[r], p.hi[r]
                     known = known.to_numpy(zero_copy_only=False).view(np.uint64)
                     want = np.isin(p.grams[p.anchor[lo:hi]], known)
-                    for s in spans[chunk.rows.start + r].as_py() or ():
-                        want[s["lo"] : s["hi"]] = False
+                    matches = spans[chunk.rows.start + r].values
+                    if matches is not None:
+                        want &= ~_cover(hi - lo, matches.field("lo").to_numpy(), matches.field("hi").to_numpy())
                     at = np.flatnonzero(want)
                     row.append(np.full(len(at), chunk.rows.start + r))
                     start.append(at + lo)
@@ -187,56 +233,103 @@ def _open_windows(window: int):
     return run
 
 
-def _covered(n: int, factors, starts, window: int) -> np.ndarray:
-    """Which of a row's words lie in a duplicate window."""
-    step = np.zeros(n + 1, dtype=np.int64)
-    for f in factors:
-        step[f["lo"]] += 1
-        step[f["hi"] + window - 1] -= 1
-    if starts is not None and len(starts):
-        np.add.at(step, starts, 1)
-        np.add.at(step, np.asarray(starts) + window, -1)
-    return np.cumsum(step[:-1]) > 0
+def _cover(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in one of the ranges."""
+    step = np.bincount(lo, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(hi, n), minlength=n + 1)[: n + 1]
+    return np.cumsum(step[:n]) > 0
+
+
+def factors(lo: np.ndarray, hi: np.ndarray, source: np.ndarray, source_th: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The greedy parse: where, among matches in order, a factor begins.
+
+    A match goes on with the factor before it if it begins where that ends and
+    is what follows at the same source.
+    """
+    if not len(lo):
+        return np.empty(0, dtype=np.int64)
+    on = (lo[1:] == hi[:-1]) & (source[1:] == source[:-1]) & (source_th[1:] == source_th[:-1]) & (at[1:] - lo[1:] == at[:-1] - lo[:-1])
+    return np.flatnonzero(np.concatenate([[True], ~on]))
+
+
+def _columns(matches: pa.StructArray | None) -> list[np.ndarray]:
+    names = ("lo", "hi", "source", "source_th", "at")
+    if matches is None:
+        return [np.empty(0, dtype=np.int64)] * len(names)
+    return [matches.field(c).to_numpy().astype(np.int64) for c in names]
+
+
+_CUT = (
+    "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,stop:int>>, "
+    "factors array<struct<start:int,stop:int,source:long,at:int>>"
+)
 
 
 def _cutter(window: int):
-    """Texts without their duplicate words, joined by one space, and the spans."""
+    """Texts without their duplicate words, joined by one space, the spans, and
+    the factors that make them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(2)):
-                out = []
+                raw = chunk.buf.tobytes()
+                ids, n, removed, text = [], [], [], []
+                edges, parsed = [], []
                 for r in range(len(chunk.rows)):
                     i = chunk.rows.start + r
-                    words = chunk.words(r)
-                    starts = batch.column(4)[i].values
-                    starts = None if starts is None else starts.to_numpy(zero_copy_only=False)
-                    gone = _covered(len(words), batch.column(3)[i].as_py() or (), starts, window)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-                    out.append(
-                        (
-                            batch.column(0)[i].as_py(),
-                            len(words),
-                            int(gone.sum()),
-                            b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode(),
-                            [{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)],
-                        )
-                    )
-                cols = list(zip(*out, strict=True))
+                    s, e = chunk.spans(r)
+                    m = [np.concatenate(c) for c in zip(_columns(batch.column(3)[i].values), _columns(batch.column(4)[i].values), strict=True)]
+                    order = np.argsort(m[0], kind="stable")
+                    lo, hi, source, source_th, at = (c[order] for c in m)
+                    gone = _cover(len(s), lo, hi + window - 1)
+                    words = raw[s[0] : e[-1]].split()
+                    n.append(len(words))
+                    removed.append(int(gone.sum()))
+                    text.append(b" ".join(itertools.compress(words, ~gone)).decode())
+                    edges.append(np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).astype(np.int32))
+                    first = factors(lo, hi, source, source_th, at)
+                    stop = hi[np.append(first[1:], len(hi)) - 1] + window - 1
+                    parsed.append((lo[first], stop, source[first], at[first]))
+                start, stop, source, at = (np.concatenate(c) for c in zip(*parsed, strict=True))
+                edge = np.concatenate(edges)
+                rows = np.arange(len(n))
                 yield pa.record_batch(
                     [
-                        pa.array(cols[0], pa.int64()),
-                        pa.array(cols[1], pa.int64()),
-                        pa.array(cols[2], pa.int64()),
-                        pa.array(cols[3], pa.string()),
-                        pa.array(cols[4], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+                        batch.column(0).slice(chunk.rows.start, len(n)),
+                        pa.array(n, pa.int64()),
+                        pa.array(removed, pa.int64()),
+                        pa.array(text, pa.string()),
+                        _lists(
+                            pa.StructArray.from_arrays([pa.array(edge[::2]), pa.array(edge[1::2])], names=["start", "stop"]),
+                            np.repeat(rows, [len(x) // 2 for x in edges]),
+                            len(n),
+                        ),
+                        _lists(
+                            pa.StructArray.from_arrays(
+                                [pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(source), pa.array(at.astype(np.int32))],
+                                names=["start", "stop", "source", "at"],
+                            ),
+                            np.repeat(rows, [len(x[0]) for x in parsed]),
+                            len(n),
+                        ),
                     ],
-                    names=["doc_id", "n_words", "n_removed", "text", "spans"],
+                    names=["doc_id", "n_words", "n_removed", "text", "spans", "factors"],
                 )
 
     return run
 
 
+def _matches(pieces: DataFrame, name: str) -> DataFrame:
+    """``doc_id, th, matches`` of ``doc_id, th, k1, k2, lo, hi``: the pieces that
+    a smaller document has, with their first place there, in order."""
+    first = pieces.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "lo")).alias("first"), F.max("doc_id").alias("last"))
+    # Stored, the aggregate meets its rows in a join that Spark can split at hot keys.
+    first = materialize(first.where("first.doc_id < last").select("k1", "k2", "first"), f"{name}-first")
+    found = pieces.join(first, ["k1", "k2"]).where("first.doc_id < doc_id")
+    match = F.struct("lo", "hi", F.col("first.doc_id").alias("source"), F.col("first.th").alias("source_th"), F.col("first.lo").alias("at"))
+    # Repeated rows give a match each time, of which one stays.
+    return found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(match)).alias("matches"))
+
+
 def _parse(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
     """The index rows of all documents; the cut texts of those with duplicates."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -244,62 +337,44 @@ def _parse(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[Da
     index = materialize(src.mapInArrow(_indexer(window), _INDEX), "rlz-index")
     named = index.where("doc_id IS NOT NULL AND size(blocks) > 0")
 
-    # Factors that are whole blocks of a smaller document.
-    block = named.select("doc_id", "th", F.posexplode("blocks").alias("i", "b")).select(
-        "doc_id", "th", "i", "b.k1", "b.k2", "b.lo", "b.hi"
-    )
-    owner = block.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    # Stored, the aggregate meets its rows in a join that Spark can split at hot keys.
-    owner = materialize(owner.where("owner < last").select("k1", "k2", "owner"), "rlz-owners")
-    factor = block.join(owner, ["k1", "k2"]).where("owner < doc_id").select("doc_id", "th", "i", "lo", "hi")
-    factors = materialize(
-        factor.distinct().groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "i"))).alias("factors")),
-        "rlz-factors",
-    )
+    # Matches of whole blocks.
+    block = named.select("doc_id", "th", F.inline("blocks"))
+    matched = materialize(_matches(block, "rlz-blocks"), "rlz-matches")
 
     # Anchors of the remaining blocks that occur in several documents.
-    rest = named.join(factors, ["doc_id", "th"], "left").select(
-        "doc_id",
-        "th",
-        F.expr(
-            "array_distinct(flatten(transform(filter(blocks, (b, i) -> factors IS NULL OR "
-            "NOT array_contains(factors.i, i)), b -> b.anchors)))"
-        ).alias("anchors"),
-    )
-    anchor = rest.select("doc_id", "th", F.explode("anchors").alias("anchor"))
+    rest = named.select("doc_id", "th", "anchors").join(matched, ["doc_id", "th"], "left")
+    anchor = materialize(rest.mapInArrow(_open_anchors, "doc_id long, th long, anchor long"), "rlz-open-anchors")
     shared = anchor.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("anchor")
     shared = materialize(shared, "rlz-anchors")
     wanted = anchor.join(shared, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("anchors"))
 
     # Texts that matter further travel once; the join builds on the narrow side.
-    marks = wanted.join(factors, ["doc_id", "th"], "full_outer")
+    marks = wanted.join(matched, ["doc_id", "th"], "full_outer")
     marked = materialize(
-        src.join(marks.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "th", "text", "factors", "anchors"),
+        src.join(marks.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "th", "text", "matches", "anchors"),
         "rlz-texts",
     )
     opened = materialize(
         marked.where("anchors IS NOT NULL").mapInArrow(_open_windows(window), "k1 long, k2 long, doc_id long, th long, start int"),
         "rlz-windows",
     )
-    owner = opened.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    owner = materialize(owner.where("owner < last").select("k1", "k2", "owner"), "rlz-owners")
-    hit = opened.join(owner, ["k1", "k2"]).where("owner < doc_id")
-    starts = hit.groupBy("doc_id", "th").agg(F.collect_set("start").alias("starts"))
-    found = marked.join(starts.hint("shuffle_hash"), ["doc_id", "th"], "left").where("factors IS NOT NULL OR starts IS NOT NULL")
-    cut = found.select("doc_id", "th", "text", "factors", "starts").mapInArrow(
-        _cutter(window), "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,stop:int>>"
-    )
-    whole = index.join(
-        factors.select("doc_id", "th").unionByName(starts.select("doc_id", "th")).distinct(), ["doc_id", "th"], "left_anti"
-    )
-    return whole, cut
+    windows = opened.select("k1", "k2", "doc_id", "th", F.col("start").alias("lo"), (F.col("start") + 1).alias("hi"))
+    ends = materialize(_matches(windows, "rlz-windows").withColumnRenamed("matches", "ends"), "rlz-ends")
+    found = marked.join(ends.hint("shuffle_hash"), ["doc_id", "th"], "left").where("matches IS NOT NULL OR ends IS NOT NULL")
+    cut = found.select("doc_id", "th", "text", "matches", "ends").mapInArrow(_cutter(window), _CUT)
+    touched = matched.select("doc_id", "th").unionByName(ends.select("doc_id", "th")).distinct()
+    return index.join(touched, ["doc_id", "th"], "left_anti"), cut
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
-    """``doc_id, n_words, n_removed, text, spans`` for documents with duplicates.
+    """``doc_id, n_words, n_removed, text, spans, factors`` for documents with
+    duplicates.
 
     ``text`` has the kept words joined by one space; ``spans`` are word ranges
-    that are covered by windows of smaller documents.
+    that are covered by windows of smaller documents; ``factors`` are those of
+    the parse, word ranges with the document and the word that they are equal
+    to. Neighbouring factors overlap by up to a window less a word, those in
+    which the windows across their boundary lie.
     """
     return _parse(docs, id_col, text_col, window)[1]
 
