@@ -4,29 +4,40 @@ Words are compared in lower case and without ASCII punctuation. Benchmark items
 are cut into pieces of at most ``PIECE`` words, documents into passages of
 ``2 * HALF`` words that overlap by half.
 
-1. Texts are read once: of each document the places and numbers of the words
-   that occur in the benchmark are stored, and the further passes read those.
-   Document frequencies over all half passages give TF-IDF weights. The ``KEYS`` rarest words of each piece are the features;
-   other words hardly tell passages apart and are left to step 4.
-2. A randomised SVD of the TF-IDF matrix ``A`` of all half passages, with the
-   benchmark's own rows stacked below at equal total energy. Tasks send their
-   part of ``Y = A^T (A R)`` for a random ``R``, summed by feature in the
-   cluster; ``Y`` and ``R`` give the leading right singular vectors in one pass
-   (Nystroem's approximation of ``A^T A``). What is sent depends on the
-   vocabulary and the rank, not on the documents.
-3. A passage is a candidate for a piece if it holds, with its surroundings, as
-   many of the piece's key words as step 4 asks for at least, counted through an
-   index from key words to pieces. That is necessary for confirmation, so no
-   passage is lost, however many items there are. The latent vectors exclude
-   nothing: their cosine is reported, and decides between equal passages' rows.
+1. Texts are read once, whatever the number of items: of each document the
+   places and numbers of the words that occur in the benchmark are stored, and
+   the further passes read those. Document frequencies over all half passages
+   give TF-IDF weights; a word in more than one of ``common_in`` of them weighs
+   nothing.
+2. A randomised SVD of the TF-IDF matrix ``A`` of all half passages, over all
+   words of the items at hand, with the items' own rows stacked below at equal
+   total energy. Tasks send their part of ``Y = A^T (A R)`` for a random ``R``,
+   summed by word in the cluster; ``Y`` and ``R`` give the leading right
+   singular vectors in one pass (Nystroem's approximation of ``A^T A``). What is
+   sent depends on the vocabulary and the rank, not on the documents.
+3. Every passage is compared with every piece by the cosine of their latent
+   vectors; those of ``near`` or more are candidates. A basis of fixed rank
+   cannot hold every direction of a large benchmark, so an exact way finds the
+   rest: an index from the ``keys`` rarest words of each piece also proposes
+   each passage that holds, with its surroundings, as many of them as a copy
+   must have at least. So no copy is lost, however many items there are.
 4. A candidate is confirmed by longest common subsequences of the piece and the
-   passage with its surroundings: at least ``COMMON`` of the piece's words and
-   of its key words; or, for a paraphrase, ``LOOSE`` of them, if the answer,
-   the last third of the key words, is there in order for ``ANSWER`` of them.
-
-The benchmark is the query set: it is held in blocks of ``BLOCK_ITEMS`` items,
-a pass over the documents' texts and three over the stored words each. Pieces of fewer than ``SHORT`` words must
-be there completely, and those below ``LEAST`` words are not searched.
+   passage with its surroundings. A copy has ``copy`` of the piece's words and
+   of its key words in order; or ``loose`` of both, if the answer, the last
+   third of the key words, is there in order for ``answer`` of them. A
+   paraphrase, which only the latent search proposes, has ``paraphrase`` of the
+   words, a third of the key words and the answer; pieces of fewer than twice
+   ``keys`` words, whose key words are not rare, have none. A piece of fewer
+   than ``short`` words must be there word by word.
+
+``Limits`` holds these numbers. Pieces below ``least_words`` are not searched:
+a phrase of three words or fewer is in any large corpus by chance. With 1 they
+are, word by word like other short ones.
+
+The benchmark is the query set. Items are searched in blocks of ``BLOCK_ITEMS``,
+two passes over the stored words each; where the vocabulary passes
+``VOCABULARY`` words, the items after that are another benchmark, with another
+pass over the texts.
 
 Defined results: null and empty texts and items match nothing. Rows are told
 apart by id and text; rows with a null id are reported with a null id. Equal
@@ -35,12 +46,13 @@ items each match. Repeated rows give one match. Other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,19 +60,32 @@ from .common import PLAIN, chunks, materialize, read_table
 
 PIECE = 48
 HALF = 32
-KEYS = 12
-COMMON = 0.6
-LOOSE = 0.5
-ANSWER = 0.75
-SHORT = 8
-LEAST = 4
 BLOCK_ITEMS = 4096
-RANK = 96
-OVERSAMPLE = 16
+VOCABULARY = 1 << 21
+RANK = 64
+OVERSAMPLE = 8
 #: Counts of shared key words that are held or added up at once.
 SHARED = 1 << 22
 
 
+@dataclass(frozen=True)
+class Limits:
+    """When a passage is a candidate for a piece, and when it is confirmed."""
+
+    keys: int = 12
+    common_in: float = 16.0
+    near: float = 0.4
+    copy: float = 0.6
+    loose: float = 0.5
+    paraphrase: float = 0.4
+    answer: float = 0.75
+    short: int = 8
+    least_words: int = 4
+
+
+LIMITS = Limits()
+
+
 def _masks(words: list[int]) -> dict[int, int]:
     out: dict[int, int] = {}
     for i, w in enumerate(words):
@@ -68,32 +93,33 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-@dataclass
 class Piece:
     """A piece's words as numbers in the vocabulary; its key words in order."""
 
-    item_id: int
-    words: list[int]
-    keys: list[int]
-
-    def __post_init__(self):
-        answer = self.keys[-max(1, len(self.keys) // 3) :]
-        self.parts = [(len(w), _masks(w)) for w in (self.words, self.keys, answer)]
-        # How many of the key words, with repeats, a region must have to match.
-        self.needed = len(self.keys) if len(self.words) < SHORT else math.ceil(LOOSE * len(self.keys))
-
-    def shares(self, region: list[int]) -> list[float]:
-        """Common parts of the words, the key words, and the answer."""
-        return [common_subsequence(region, m, n) / n if n else 0.0 for n, m in self.parts]
-
-    def matches(self, region: list[int]) -> tuple[float, bool]:
-        words = common_subsequence(region, self.parts[0][1], self.parts[0][0]) / len(self.words)
-        if len(self.words) < SHORT:
-            return words, words == 1.0
-        if words < LOOSE:
-            return words, False
-        words, keys, answer = self.shares(region)
-        return words, (words >= COMMON and keys >= COMMON) or (keys >= LOOSE and answer >= ANSWER)
+    def __init__(self, words: list[int], keys: list[int], limits: Limits = LIMITS):
+        self.words, self.limits = words, limits
+        answer = keys[-max(1, len(keys) // 3) :]
+        self.parts = [(len(w), _masks(w)) for w in (words, keys, answer)]
+
+    def _phrase(self, words: list[int], places: list[int]) -> bool:
+        n = len(self.words)
+        return any(words[i : i + n] == self.words and places[i + n - 1] - places[i] == n - 1 for i in range(len(words) - n + 1))
+
+    def matches(self, words: list[int], places: list[int], near: float = 1.0) -> tuple[float, bool]:
+        """The part of the piece's words that a region has in order, and whether
+        that makes it a copy or, with a cosine of ``near``, a paraphrase."""
+        at = self.limits
+        if len(self.words) < at.short:
+            return 1.0, self._phrase(words, places)
+        n, masks = self.parts[0]
+        share = common_subsequence(words, masks, n) / n
+        if share < min(at.loose, at.paraphrase):
+            return share, False
+        keys, answer = (common_subsequence(words, m, n) / n for n, m in self.parts[1:])
+        copy = share >= at.copy and keys >= at.copy
+        loose = share >= at.loose and keys >= at.loose and answer >= at.answer
+        para = near >= at.near and n >= 2 * at.keys and share >= at.paraphrase and 3 * keys >= 1 and answer >= at.answer
+        return share, copy or loose or para
 
 
 def common_subsequence(words: list[int], masks: dict[int, int], n: int) -> int:
@@ -137,70 +163,109 @@ class Vocabulary:
         return at[ok], f[ok]
 
 
-@dataclass
 class Queries:
-    """A block of benchmark items: their pieces, and the key words as features
-    with TF-IDF weights and a sparse matrix row a piece."""
+    """A block of benchmark items as flat arrays, small enough to broadcast.
 
-    pieces: list[Piece]
-    keys: np.ndarray  # numbers of the key words, sorted
-    number: np.ndarray  # feature of each word, or -1
-    idf: np.ndarray
-    entries: tuple[np.ndarray, np.ndarray]  # piece and feature of each key word in its place
+    Piece ``i`` is of item ``item[i]`` and owns ``words[first[i]:first[i + 1]]``,
+    of which those with ``is_key`` are its key words. Its words with a weight
+    are the features of the latent space; the key words have numbers too.
+    """
 
-    @staticmethod
-    def of(cut: list[tuple[int, list[int]]], df: np.ndarray, total: int) -> Queries:
+    def __init__(self, cut: list[tuple[int, np.ndarray]], df: np.ndarray, total: int, limits: Limits = LIMITS):
         """``cut`` as by ``cut_items``, ``df`` the frequency of each word among
         ``total`` half passages."""
-        key_sets = [set(sorted(set(p), key=lambda w: (df[w], w))[:KEYS]) for _, p in cut]
-        keys = np.array(sorted(set().union(*key_sets)))
-        number = np.full(len(df), -1)
-        number[keys] = np.arange(len(keys))
-        idf = np.log((total + 1) / (df[keys] + 1)) + 1e-6
-        pieces, rows, features = [], [], []
-        for i, ((item, part), own) in enumerate(zip(cut, key_sets, strict=True)):
-            pieces.append(Piece(item, part, [w for w in part if w in own]))
-            f = number[part]
-            rows.append(np.full((f >= 0).sum(), i))
-            features.append(f[f >= 0])
-        return Queries(pieces, keys, number, idf, (np.concatenate(rows), np.concatenate(features)))
+        self.limits = limits
+        self.item = np.array([i for i, _ in cut], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(w) for _, w in cut])]).astype(np.int64)
+        self.words = np.concatenate([w for _, w in cut]).astype(np.int64)
+        self.is_key = np.zeros(len(self.words), dtype=bool)
+        for a, b in zip(self.first[:-1], self.first[1:], strict=True):
+            own = np.unique(self.words[a:b])
+            rare = own[np.lexsort((own, df[own]))][: limits.keys]
+            self.is_key[a:b] = np.isin(self.words[a:b], rare)
+        own = np.unique(self.words)
+        idf = np.where(df[own] * limits.common_in > total, 0.0, np.log((total + 1) / (df[own] + 1)))
+        self.features = own[idf > 0]
+        self.idf = idf[idf > 0]
+        self.keys = np.unique(self.words[self.is_key])
+        self.vocabulary = len(df)
+
+    def _numbers(self, words: np.ndarray) -> np.ndarray:
+        out = np.full(self.vocabulary, -1, dtype=np.int64)
+        out[words] = np.arange(len(words))
+        return out
+
+    @cached_property
+    def feature_of(self) -> np.ndarray:
+        """The feature of each word of the vocabulary, or -1."""
+        return self._numbers(self.features)
+
+    @cached_property
+    def key_of(self) -> np.ndarray:
+        return self._numbers(self.keys)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("feature_of", "key_of", "_pieces")}
+
+    def __len__(self) -> int:
+        return len(self.item)
+
+    def piece(self, i: int) -> Piece:
+        if "_pieces" not in self.__dict__:
+            self._pieces: dict[int, Piece] = {}
+        if i not in self._pieces:
+            a, b = self.first[i], self.first[i + 1]
+            words, key = self.words[a:b], self.is_key[a:b]
+            self._pieces[i] = Piece(words.tolist(), words[key].tolist(), self.limits)
+        return self._pieces[i]
+
+    @cached_property
+    def _entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and feature of each word in its place."""
+        piece = np.repeat(np.arange(len(self)), np.diff(self.first))
+        f = self.feature_of[self.words]
+        return piece[f >= 0], f[f >= 0]
 
     def times(self, x: np.ndarray) -> np.ndarray:
-        """The matrix times ``x``."""
-        row, f = self.entries
-        out = np.zeros((len(self.pieces), x.shape[1]))
+        """The TF-IDF matrix of the pieces times ``x``."""
+        row, f = self._entries
+        out = np.zeros((len(self), x.shape[1]))
         np.add.at(out, row, self.idf[f, None] * x[f])
         return out
 
     def transposed_times(self, x: np.ndarray) -> np.ndarray:
-        row, f = self.entries
-        out = np.zeros((len(self.keys), x.shape[1]))
+        row, f = self._entries
+        out = np.zeros((len(self.features), x.shape[1]))
         np.add.at(out, f, self.idf[f, None] * x[row])
         return out
 
     def energy(self) -> float:
         """Sum of the squares of the matrix."""
-        row, f = self.entries
-        cell, n = np.unique(row * len(self.keys) + f, return_counts=True)
-        return float(((n * self.idf[cell % len(self.keys)]) ** 2).sum())
-
-    def key_words(self, p: Part) -> tuple[np.ndarray, np.ndarray]:
-        """Halves and features of the key words of a part."""
-        f = self.number[p.word]
+        row, f = self._entries
+        d = max(1, len(self.features))
+        cell, n = np.unique(row * d + f, return_counts=True)
+        return float(((n * self.idf[cell % d]) ** 2).sum())
+
+    def weighted(self, p: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Halves and features of the words of a part that weigh something."""
+        f = self.feature_of[p.word]
         on = f >= 0
         return p.half[on], f[on]
 
 
-def cut_items(items: list[tuple[int, str]]) -> tuple[Vocabulary, list[tuple[int, list[int]]]]:
-    """The words of the items, and their pieces as numbers of words."""
-    hashed = _hashes([t for _, t in items])
-    words = Vocabulary(np.concatenate([*hashed, np.empty(0, np.uint64)]))
+def vocabulary_of(items: list[tuple[int, str]]) -> np.ndarray:
+    """The hashes of the different words of items."""
+    return np.unique(np.concatenate([*_hashes([t for _, t in items]), np.empty(0, np.uint64)]))
+
+
+def cut_items(items: list[tuple[int, str]], words: Vocabulary, limits: Limits = LIMITS) -> list[tuple[int, np.ndarray]]:
+    """The pieces of the items as numbers of words."""
     cut = []
-    for (item, _), h in zip(items, hashed, strict=True):
+    for (item, _), h in zip(items, _hashes([t for _, t in items]), strict=True):
         for part in np.array_split(words.find(h)[1], max(1, -(-len(h) // PIECE))):
-            if len(part) >= LEAST:
-                cut.append((item, part.tolist()))
-    return words, cut
+            if len(part) >= max(1, limits.least_words):
+                cut.append((item, part))
+    return cut
 
 
 #: Words that one round of work takes from a batch.
@@ -208,10 +273,12 @@ PART_WORDS = 1 << 18
 STORED = "doc_id long, th long, n_words long, gaps binary, words binary"
 
 
-def _encode(words: Vocabulary):
-    """Gaps between, and numbers of, the known words of each text."""
+def _encode(shared):
+    """Gaps between, and numbers of, the known words of each text; ``shared`` is
+    a broadcast of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             for chunk in chunks(batch.column(2), table=PLAIN):
                 at, f = words.find(chunk.hashes)
@@ -253,11 +320,12 @@ class Part:
         self.half = np.repeat(self.first_half[:-1], count) + self.place // HALF
         self.row = np.repeat(np.arange(len(n_words)), n_halves)
 
-    def region(self, r: int, at: int) -> list[int]:
-        """Known words of the passage at a word's place, and around it."""
+    def region(self, r: int, at: int) -> tuple[list[int], list[int]]:
+        """Known words of the passage at a word's place, and around it, with
+        their places."""
         a, b = self.first[r], self.first[r + 1]
         lo, hi = np.searchsorted(self.place[a:b], (at - HALF // 2, at + 2 * HALF + HALF // 2))
-        return self.word[a + lo : a + hi].tolist()
+        return self.word[a + lo : a + hi].tolist(), self.place[a + lo : a + hi].tolist()
 
 
 def parts(batch: pa.RecordBatch) -> Iterator[Part]:
@@ -292,15 +360,17 @@ def _frequencies(d: int):
     return run
 
 
-def _range_part(q: Queries, table: np.ndarray):
-    """This task's part of A^T (A R), a row a feature; ``table`` is idf * R."""
+def _range_part(shared):
+    """This task's part of A^T (A R), a row a feature; ``shared`` is a broadcast
+    of the queries and idf * R."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, table = shared.value
         y = np.zeros(table.shape)
         energy = 0.0
         for batch in batches:
             for p in parts(batch):
-                half, f = q.key_words(p)
+                half, f = q.weighted(p)
                 if not len(f):
                     continue
                 z = _project(f, half, len(p.row), table)
@@ -311,8 +381,9 @@ def _range_part(q: Queries, table: np.ndarray):
                 energy += float((q.idf[f] ** 2).sum())
         y *= q.idf[:, None]
         on = np.flatnonzero(np.abs(y).max(axis=1)) if y.size else np.empty(0, np.int64)
-        rows = [*y[on], np.full(table.shape[1], energy)]
-        yield pa.record_batch([pa.array(np.append(on, -1)), pa.array(rows, pa.list_(pa.float64()))], names=["feature", "y"])
+        values = np.concatenate([y[on].reshape(-1), np.full(table.shape[1], energy)]).astype(np.float32)
+        rows = pa.FixedSizeListArray.from_arrays(pa.array(values), table.shape[1]).cast(pa.list_(pa.float32()))
+        yield pa.record_batch([pa.array(np.append(on, -1)), rows], names=["feature", "y"])
 
     return run
 
@@ -338,28 +409,29 @@ def nystroem(y: np.ndarray, start: np.ndarray, rank: int) -> Latent:
 def count_words(stored: DataFrame, d: int) -> tuple[np.ndarray, int]:
     """The frequency of each of ``d`` words, and the number of half passages."""
     counts = stored.mapInArrow(_frequencies(d), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    df, total = np.zeros(d), 0
-    for r in counts.collect():  # a row a word of the benchmark
-        if r.feature < 0:
-            total = r.n
-        else:
-            df[r.feature] = r.n
-    return df, total
+    t = counts.toArrow()  # a row a word of the benchmark, as arrays
+    f, n = t["feature"].to_numpy(), t["n"].to_numpy()
+    df = np.zeros(d, dtype=np.int64)
+    df[f[f >= 0]] = n[f >= 0]
+    return df, int(n[f < 0].sum())
 
 
 def fit_latent(stored: DataFrame, q: Queries, rank: int = RANK, seed: int = 3) -> Latent:
     """Randomised SVD over all half passages."""
-    d = len(q.keys)
+    d = len(q.features)
+    if not d:
+        return Latent(np.zeros((0, 1)), np.zeros(1))
     width = min(d, rank + OVERSAMPLE)
     start = np.random.default_rng(seed).normal(size=(d, width))
-    sent = stored.mapInArrow(_range_part(q, (q.idf[:, None] * start).astype(np.float32)), "feature long, y array<double>")
-    total = sent.groupBy("feature").agg(F.array(*[F.sum(F.col("y")[i]) for i in range(width)]).alias("y"))
+    shared = stored.sparkSession.sparkContext.broadcast((q, (q.idf[:, None] * start).astype(np.float32)))
+    sent = stored.mapInArrow(_range_part(shared), "feature long, y array<float>")
+    total = sent.groupBy("feature").agg(F.array(*[F.sum(F.col("y")[i]).cast("float") for i in range(width)]).alias("y"))
+    t = total.toArrow().combine_chunks()  # a row a feature, as arrays
     y, energy = np.zeros((d, width)), 0.0
-    for r in total.collect():  # a row a feature
-        if r.feature < 0:
-            energy = r.y[0]
-        else:
-            y[r.feature] = r.y
+    if t.num_rows:
+        f, values = t["feature"].to_numpy(), pc.list_flatten(t["y"]).to_numpy().reshape(-1, width)
+        y[f[f >= 0]] = values[f >= 0]
+        energy = float(values[f < 0][0, 0])
     weight = energy / max(q.energy(), 1e-30) if energy else 1.0
     return nystroem(y + weight * q.transposed_times(q.times(start)), start, rank)
 
@@ -369,22 +441,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-class Index:
-    """The pieces of each key word, with its number of places in them."""
-
-    def __init__(self, q: Queries):
-        held = [np.unique(q.number[p.keys], return_counts=True) for p in q.pieces]
-        f = np.concatenate([f for f, _ in held])
-        piece = np.repeat(np.arange(len(held)), [len(f) for f, _ in held])
-        order = np.argsort(f, kind="stable")
-        self.piece, self.times = piece[order], np.concatenate([n for _, n in held])[order]
-        self.first = np.searchsorted(f[order], np.arange(len(q.keys) + 1))
-        self.needed = np.array([p.needed for p in q.pieces])
-
-    def candidates(self, region: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Regions and pieces that share enough, from the different key words
-        ``f`` of each region, sorted by region."""
-        n = len(self.needed)
+class Search:
+    """What a task needs to find a block of items: the latent basis, the pieces
+    in it, and the pieces of each key word with its number of places in them."""
+
+    def __init__(self, q: Queries, latent: Latent):
+        self.q = q
+        self.table = (q.idf[:, None] * latent.basis).astype(np.float32)
+        self.target = _unit(q.times(latent.basis).astype(np.float32))
+        piece = np.repeat(np.arange(len(q)), np.diff(q.first))[q.is_key]
+        f = q.key_of[q.words[q.is_key]]
+        cell, times = np.unique(f * len(q) + piece, return_counts=True)
+        f, self.piece = np.divmod(cell, len(q))
+        self.times = times
+        self.first = np.searchsorted(f, np.arange(len(q.keys) + 1))
+        # How many of the key words, with repeats, a copy and a paraphrase have at least.
+        n = np.bincount(piece, minlength=len(q))
+        short = np.diff(q.first) < q.limits.short
+        self.copy = np.where(short, n, np.ceil(q.limits.loose * n))
+        long = np.diff(q.first) >= 2 * q.limits.keys
+        self.paraphrase = np.where(long, np.ceil(n / 3), np.inf)
+
+    def candidates(self, region: np.ndarray, f: np.ndarray, latent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Regions, pieces and cosines of the candidates, from the different key
+        words ``f`` of each region, sorted by region, and the latent vectors of
+        all passages. A candidate by its cosine that lacks key words which the
+        confirmation asks for is left out here already."""
+        n = len(self.copy)
         start = np.flatnonzero(np.diff(region, prepend=-1))
         count = np.diff(self.first)[f]
         total = np.concatenate([[0], np.cumsum(count)])
@@ -397,55 +480,58 @@ class Index:
             own = np.repeat(np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), count[a:b])
             at = np.arange(total[b] - total[a]) + np.repeat(self.first[f[a:b]] - (total[a:b] - total[a]), count[a:b])
             shared = np.bincount(own * n + self.piece[at], self.times[at], (hi - lo) * n).reshape(hi - lo, n)
-            i, k = np.nonzero(shared >= self.needed)
-            yield region[start[lo + i]], k
+            near = latent[region[start[lo:hi]]] @ self.target.T
+            i, k = np.nonzero((shared >= self.copy) | ((near >= self.q.limits.near) & (shared >= self.paraphrase)))
+            yield region[start[lo + i]], k, near[i, k]
             lo = hi
 
-
-def _regions(q: Queries, p: Part) -> tuple[np.ndarray, np.ndarray]:
-    """Halves at which a passage starts, and the different key words of the
-    passage and its surroundings, sorted."""
-    f = q.number[p.word]
-    on = np.flatnonzero(f >= 0)
-    row = p.row[p.half[on]]
-    last = p.half[on] + (p.place[on] % HALF >= HALF // 2)
-    keys = []
-    for back in range(3):
-        h = last - back
-        ok = (h >= p.first_half[row]) & (h < p.first_half[row + 1])
-        keys.append(h[ok] * len(q.keys) + f[on][ok])
-    return np.divmod(np.unique(np.concatenate(keys)), len(q.keys))
-
-
-def _search(q: Queries, latent: Latent):
-    table = (q.idf[:, None] * latent.basis).astype(np.float32)
-    target = _unit(q.times(latent.basis).astype(np.float32))
-    index = Index(q)
-
-    def matches(p: Part) -> Iterator[tuple[int, int, float, int, float]]:
+    def regions(self, p: Part) -> tuple[np.ndarray, np.ndarray]:
+        """Halves at which a passage starts, and the different key words of the
+        passage and its surroundings, sorted."""
+        f = self.q.key_of[p.word]
+        on = np.flatnonzero(f >= 0)
+        row = p.row[p.half[on]]
+        last = p.half[on] + (p.place[on] % HALF >= HALF // 2)
+        keys = []
+        for back in range(3):
+            h = last - back
+            ok = (h >= p.first_half[row]) & (h < p.first_half[row + 1])
+            keys.append(h[ok] * len(self.q.keys) + f[on][ok])
+        return np.divmod(np.unique(np.concatenate(keys)), len(self.q.keys))
+
+    def passages(self, p: Part) -> np.ndarray:
+        """The unit latent vectors of the passages, one a half that begins one."""
+        half, f = self.q.weighted(p)
+        z = _project(f, half, len(p.row), self.table)
+        if len(z):
+            z[:-1] += z[1:] * (p.row[1:] == p.row[:-1])[:, None]
+        return _unit(z)
+
+    def matches(self, p: Part) -> Iterator[tuple[int, int, float, int, float]]:
         """Row, piece, common part, word place and cosine of each match."""
-        half, f = q.key_words(p)
-        if not len(f):
+        regions = self.regions(p)
+        if not len(regions[0]):
             return
-        z = _project(f, half, len(p.row), table)
-        last, region, near = -1, [], np.empty(0)
-        for halves, pieces in index.candidates(*_regions(q, p)):
-            for h, k in zip(halves.tolist(), pieces.tolist(), strict=True):
+        last, region = -1, ([], [])
+        for halves, pieces, near in self.candidates(*regions, self.passages(p)):
+            for h, k, c in zip(halves.tolist(), pieces.tolist(), near.tolist(), strict=True):
                 r = int(p.row[h])
                 at = (h - int(p.first_half[r])) * HALF
                 if h != last:
                     last, region = h, p.region(r, at)
-                    near = _unit(z[h : min(h + 2, int(p.first_half[r + 1]))].sum(axis=0, keepdims=True))[0]
-                share, ok = q.pieces[k].matches(region)
+                share, ok = self.q.piece(k).matches(*region, c)
                 if ok:
-                    yield r, k, share, at, float(near @ target[k])
+                    yield r, k, share, at, c
 
+
+def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Search(*shared.value)
         for batch in batches:
             for p in parts(batch):
                 best: dict[tuple[int, int], tuple] = {}
-                for r, k, share, at, near in matches(p):
-                    key, value = (r, q.pieces[k].item_id), (share, -at, near)
+                for r, k, share, at, near in s.matches(p):
+                    key, value = (r, int(s.q.item[k])), (share, -at, near)
                     if key not in best or value > best[key]:
                         best[key] = value
                 if not best:
@@ -462,35 +548,51 @@ def _search(q: Queries, latent: Latent):
     return run
 
 
+def _benchmarks(rows: DataFrame) -> Iterator[tuple[Vocabulary, list[list[tuple[int, str]]]]]:
+    """The items in blocks, as benchmarks of a bounded vocabulary."""
+    words, blocks = np.empty(0, np.uint64), [[]]
+
+    def add() -> None:
+        nonlocal words
+        words = np.union1d(words, vocabulary_of(blocks[-1]))
+
+    for r in rows.toLocalIterator():
+        blocks[-1].append((r[0], r[1]))
+        if len(blocks[-1]) == BLOCK_ITEMS:
+            add()
+            if len(words) > VOCABULARY:
+                yield Vocabulary(words), blocks
+                words, blocks = np.empty(0, np.uint64), []
+            blocks.append([])
+    add()
+    yield Vocabulary(words), blocks
+
+
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, limits: Limits = LIMITS
 ) -> DataFrame:
     """``doc_id, th, item_id, share, at_word, cosine``: a row for each document
-    and item that match, with the best passage (first of equals) and the part
-    of the item's piece that it has in common."""
+    and item that match, with the best passage (first of equals), the part of
+    the item's piece that it has in common, and their latent cosine."""
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     src = src.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), "text")
     schema = "doc_id long, th long, item_id long, share double, at_word int, cosine double"
-    found = docs.sparkSession.createDataFrame([], schema)
-    block: list[tuple[int, str]] = []
-
-    def search(items: list[tuple[int, str]]) -> DataFrame | None:
-        words, cut = cut_items(items)
-        if not cut:
-            return None
-        stored = materialize(src.mapInArrow(_encode(words), STORED), "leak-words")
-        queries = Queries.of(cut, *count_words(stored, len(words)))
-        latent = fit_latent(stored, queries, rank)
-        return materialize(stored.mapInArrow(_search(queries, latent), schema).dropDuplicates(["doc_id", "th", "item_id"]), "leaks")
-
+    found = spark.createDataFrame([], schema)
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").orderBy("item_id", "text")
-    for r in rows.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK_ITEMS:
-            part = search(block)
-            found, block = found if part is None else found.unionByName(part), []
-    part = search(block) if block else None
-    return found if part is None else found.unionByName(part)
+    for words, blocks in _benchmarks(rows):
+        cuts = [cut for b in blocks if (cut := cut_items(b, words, limits))]
+        if not cuts:
+            continue
+        # A vocabulary of at most VOCABULARY words and a block's more.
+        stored = materialize(src.mapInArrow(_encode(spark.sparkContext.broadcast(words)), STORED), "leak-words")
+        df, total = count_words(stored, len(words))
+        for cut in cuts:
+            q = Queries(cut, df, total, limits)
+            shared = spark.sparkContext.broadcast((q, fit_latent(stored, q, rank)))
+            part = stored.mapInArrow(_search(shared), schema).dropDuplicates(["doc_id", "th", "item_id"])
+            found = found.unionByName(materialize(part, "leaks"))
+    return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
