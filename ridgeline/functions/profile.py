@@ -45,21 +45,24 @@ def whole_or_null(values: Column) -> Column:
     return F.when(~F.exists(values, lambda x: x.isNull()), values)
 
 
-def _steps(elevation: Column) -> Column:
-    n = F.size(elevation)
-    return F.zip_with(
-        F.slice(elevation, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        F.slice(elevation, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        lambda b, a: b - a,
-    )
+def climbs(elevation: Column, flat: Column) -> Column:
+    """``gain`` and ``loss`` along a profile, in one walk over it. Steps of
+    ``MAX_STEP_M`` or more do not count; bridges and tunnels are flat."""
+    zero = F.lit(0.0)
 
+    def step(acc: Column, e: Column) -> Column:
+        d = e - acc["at"]
+        counts = F.abs(d) < MAX_STEP_M
+        return F.struct(
+            e.alias("at"),
+            F.when(counts & (d > 0), acc["gain"] + d).otherwise(acc["gain"]).alias("gain"),
+            F.when(counts & (d < 0), acc["loss"] - d).otherwise(acc["loss"]).alias("loss"),
+        )
 
-def climb(elevation: Column, flat: Column, sign: int) -> Column:
-    """Gain (sign 1) or loss (sign -1) along a profile. Steps of
-    ``MAX_STEP_M`` or more do not count; bridges and tunnels are flat."""
-    counted = F.filter(_steps(elevation), lambda d: (F.abs(d) < MAX_STEP_M) & (d * sign > 0))
-    total = F.aggregate(counted, F.lit(0.0), lambda acc, d: acc + d * sign)
-    return F.when(flat, F.lit(0.0)).otherwise(total)
+    # Before the first sample there is no step: a NULL place counts for nothing.
+    none = F.struct(F.lit(None).cast("double").alias("at"), zero.alias("gain"), zero.alias("loss"))
+    total = F.aggregate(elevation, none, step, lambda acc: F.struct(acc["gain"].alias("gain"), acc["loss"].alias("loss")))
+    return F.when(flat, F.struct(zero.alias("gain"), zero.alias("loss"))).otherwise(total)
 
 
 def array_literal(values: Column) -> Column:
@@ -71,6 +74,17 @@ def coords(lats: str = "lats", lons: str = "lons") -> Column:
     return F.transform(F.arrays_zip(lats, lons), lambda p: F.array(p[lats], p[lons]))
 
 
+def profile_plot(dists: str, eles: str) -> Column:
+    """What a plot of a route's profile needs (A11): the ``places`` of its points
+    along the way, its ``length``, and the range of heights from ``low``, a
+    tenth below the lowest, to ``high``, a tenth above the highest."""
+    # A walk that keeps the last place and appends; routes have some thousand points.
+    none = F.array().cast("array<double>")
+    places = F.aggregate(F.col(dists), none, lambda acc, d: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + d))
+    total = F.aggregate(F.col(dists), F.lit(0.0), lambda acc, d: acc + d)
+    return F.struct(places.alias("places"), total.alias("length"), (F.array_min(eles) * 0.9).alias("low"), (F.array_max(eles) * 1.1).alias("high"))
+
+
 def bounds(lats: str = "lats", lons: str = "lons") -> Column:
     return F.struct(
         F.array_min(lats).alias("min_lat"),

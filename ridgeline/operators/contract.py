@@ -8,45 +8,43 @@ from pyspark.sql import functions as F
 UNCLASSIFIED = "unclassified"
 
 
+
+def _along():
+    """Edges of a way in their order. All windows here are of this kind, so a
+    load shuffles and sorts its edges by way once."""
+    return Window.partitionBy("way_id").orderBy("way_inx")
+
+
 def way_ends(edges: DataFrame) -> DataFrame:
-    whole = Window.partitionBy("way_id")
-    return edges.withColumns(
-        {
-            "way_start_flag": (F.col("way_inx") == F.min("way_inx").over(whole)).cast("int"),
-            "way_end_flag": (F.col("way_inx") == F.max("way_inx").over(whole)).cast("int"),
-        }
-    )
+    """``way_start_flag`` where no edge of the way comes before, ``way_end_flag``
+    where none comes after."""
+    alone = lambda beside: F.when(beside("way_inx").over(_along()).isNull(), 1).otherwise(0)
+    return edges.withColumns({"way_start_flag": alone(F.lag), "way_end_flag": alone(F.lead)})
 
 
 def endpoint_flags(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Flags and elevations of both ends; the nodes are joined twice by id."""
+    """``src_node`` and ``dst_node``: if the node at that end is a mere link or
+    a dead end, and its elevation."""
+    node = F.struct((F.col("contract_flag") == 1).alias("link"), (F.col("dead_end_flag") == 1).alias("dead"), "elevation")
+    known = nodes.select("id", node.alias("node"))
     for end in ("src", "dst"):
-        there = nodes.select(
-            F.col("id").alias(end),
-            F.col("contract_flag").alias(f"{end}_contract_flag"),
-            F.col("dead_end_flag").alias(f"{end}_dead_end_flag"),
-            F.col("elevation").alias(f"{end}_elevation"),
-        )
-        edges = edges.join(there, end)
+        edges = edges.join(known.select(F.col("id").alias(end), F.col("node").alias(f"{end}_node")), end)
     return edges
 
 
 def chain_ends(edges: DataFrame) -> DataFrame:
-    """A chain begins where its way does or at a node that is no mere link."""
-    return edges.withColumns(
-        {
-            "chain_src": F.when((F.col("way_start_flag") == 1) | (F.col("src_contract_flag") == 0), F.col("src")),
-            "chain_dst": F.when((F.col("way_end_flag") == 1) | (F.col("dst_contract_flag") == 0), F.col("dst")),
-        }
-    )
+    """``chain_src`` of an edge that begins a chain: the first of its way, or
+    one from a node that is no link; ``chain_dst`` of one that ends a chain."""
+    out = edges
+    for end, flag in (("src", "way_start_flag"), ("dst", "way_end_flag")):
+        out = out.withColumn(f"chain_{end}", F.expr(f"CASE WHEN {flag} = 1 OR NOT {end}_node.link THEN {end} END"))
+    return out
 
 
 def fill_chains(edges: DataFrame) -> DataFrame:
-    """Every edge of a way gets the last start before and the next end after it.
-    One sort serves both."""
-    order = Window.partitionBy("way_id").orderBy("way_inx")
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    """Every edge of a way gets the last start before and the next end after it."""
+    before = _along().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = _along().rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return edges.withColumns(
         {
             "chain_src": F.last("chain_src", ignorenulls=True).over(before),
@@ -58,12 +56,8 @@ def fill_chains(edges: DataFrame) -> DataFrame:
 def contract_chains(edges: DataFrame) -> DataFrame:
     """One row for each (chain_src, chain_dst): sums, sets of kinds, and the
     points and distances in the order of ``way_inx``."""
-    point = F.struct(
-        "way_inx",
-        F.col("distance"),
-        F.struct(F.col("src_lat").alias("lat"), F.col("src_lon").alias("lon"), F.col("src_elevation").alias("ele"), F.col("src_dead_end_flag").alias("dead_end")).alias("s"),
-        F.struct(F.col("dst_lat").alias("lat"), F.col("dst_lon").alias("lon"), F.col("dst_elevation").alias("ele"), F.col("dst_dead_end_flag").alias("dead_end")).alias("d"),
-    )
+    place = lambda end: F.struct(F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lon").alias("lon"), F.col(f"{end}_node.elevation").alias("ele"), F.col(f"{end}_node.dead").alias("dead_end"))
+    point = F.struct("way_inx", "distance", place("src").alias("s"), place("dst").alias("d"))
     out = edges.groupBy("chain_src", "chain_dst").agg(
         F.sum("elevation_gain").alias("elevation_gain"),
         F.sum("elevation_loss").alias("elevation_loss"),
@@ -107,10 +101,11 @@ def chains_to_edges(chains: DataFrame) -> DataFrame:
 
 
 def drop_dead_ends(edges: DataFrame) -> DataFrame:
-    """One pass: dead ends that this exposes stay."""
-    return edges.where("src_dead_end_flag = 0 AND dst_dead_end_flag = 0").drop("src_dead_end_flag", "dst_dead_end_flag")
+    """Edges that touch a dead end go, in one pass: those that this exposes stay."""
+    return edges.where("NOT (src_dead_end_flag OR dst_dead_end_flag)").drop("src_dead_end_flag", "dst_dead_end_flag")
 
 
 def contract(edges: DataFrame, flagged_nodes: DataFrame) -> DataFrame:
-    out = fill_chains(chain_ends(endpoint_flags(way_ends(edges), flagged_nodes)))
-    return drop_dead_ends(chains_to_edges(contract_chains(out)))
+    """Nodes first, then all that goes along a way: one shuffle by way."""
+    known = way_ends(endpoint_flags(edges, flagged_nodes))
+    return drop_dead_ends(chains_to_edges(contract_chains(fill_chains(chain_ends(known)))))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.profile import climb, sample_points, step_metrics, whole_or_null
+from ridgeline.functions.profile import climbs, sample_points, step_metrics, whole_or_null
 from ridgeline.schema import layer_schema, map_to_schema
 
 #: Side of the cells that tiles are cut into for the range join.
@@ -86,6 +86,21 @@ def read_tiles(elevation: DataFrame, tiles: DataFrame) -> DataFrame:
     return elevation.join(tiles.select("file_id").distinct(), "file_id", "left_semi")
 
 
+def cells_around(rows: DataFrame, elevation: DataFrame, bounds: DataFrame, low: tuple[str, str], high: tuple[str, str] | None = None) -> DataFrame:
+    """One row a cell of the tiles that rows can lie in; other tiles are not read.
+
+    Rows are boxes between two points, given by their columns, or points. Tiles
+    that overlap give a cell its lowest elevation.
+    """
+    high = high or low
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / CELL), F.floor(F.greatest(a, b) / CELL))
+    met = rows.select(*[span(F.col(a), F.col(b)).alias(c) for a, b, c in zip(low, high, ("e", "n"), strict=True)])
+    met = met.select(F.explode("e").alias("__ce"), "n").select("__ce", F.explode("n").alias("__cn")).distinct()
+    tiles = bounds.select("file_id", F.explode(span(F.col("min_easting"), F.col("max_easting") - 1)).alias("__ce"), "min_northing", "max_northing")
+    tiles = tiles.select("file_id", "__ce", F.explode(span(F.col("min_northing"), F.col("max_northing") - 1)).alias("__cn"))
+    return distinct_elevation(read_tiles(elevation, tiles.join(met, ["__ce", "__cn"], "left_semi")))
+
+
 def distinct_elevation(elevation: DataFrame) -> DataFrame:
     """One row a cell: where tiles overlap, the lowest."""
     return elevation.groupBy("easting", "northing").agg(F.min("elevation").alias("elevation"))
@@ -152,5 +167,5 @@ def drop_without_elevation(edges: DataFrame) -> DataFrame:
 
 def elevation_changes(edges: DataFrame) -> DataFrame:
     """``elevation_gain`` and ``elevation_loss`` of a profile with ``is_flat``."""
-    e, flat = F.col("elevation"), F.col("is_flat")
-    return edges.withColumns({"elevation_gain": climb(e, flat, 1), "elevation_loss": climb(e, flat, -1)})
+    out = edges.withColumn("__climb", climbs(F.col("elevation"), F.col("is_flat")))
+    return out.withColumns({"elevation_gain": F.col("__climb.gain"), "elevation_loss": F.col("__climb.loss")}).drop("__climb")

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 
 def way_edges(ways: DataFrame) -> DataFrame:
-    """A way of n nodes gives n - 1 edges, ``way_inx`` being the first's place."""
-    nodes = ways.select(
-        F.col("id").alias("way_id"),
-        *[c for c in ("tags", "timestamp") if c in ways.columns],
-        F.explode("nodes").alias("node"),
-    )
-    nodes = nodes.withColumns({"way_inx": F.col("node.index"), "src": F.col("node.nodeId")}).drop("node")
-    order = Window.partitionBy("way_id").orderBy("way_inx")
-    return nodes.withColumn("dst", F.lead("src").over(order)).where("dst IS NOT NULL")
+    """A way of n nodes gives n - 1 edges, ``way_inx`` being the first's place.
+
+    The nodes of a way lie in one row, so its edges do too: every node but the
+    last beside every node but the first. Nothing is shuffled.
+    """
+    kept = [F.col("id").alias("way_id"), *[c for c in ("tags", "timestamp") if c in ways.columns]]
+    nodes = ways.select(*kept, F.array_sort("nodes").alias("nodes"))
+    rest = F.greatest(F.size("nodes") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("nodes", F.lit(1), rest).alias("a"), F.slice("nodes", F.lit(2), rest).alias("b"))
+    names = [c for c in nodes.columns if c != "nodes"]
+    edges = nodes.select(*names, F.inline(pairs))
+    return edges.select(*names, F.col("a.index").alias("way_inx"), F.col("a.nodeId").alias("src"), F.col("b.nodeId").alias("dst")).where("dst IS NOT NULL")
 
 
 def _with_end(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
@@ -92,15 +95,15 @@ def swap_columns(df: DataFrame, a: str, b: str) -> DataFrame:
 def loaded_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with an edge, edges with both nodes, one edge a pair.
 
-    Of several edges between the same nodes the shortest stays; ties go by the
-    other columns, so the choice does not depend on the order of rows.
+    Of several edges between the same nodes the shortest stays; ties go by a
+    hash of the other columns, so the choice does not depend on the order of rows.
     """
     ids = nodes.select("id")
     inside = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
     )
-    rest = [c for c, t in edges.dtypes if c not in ("src", "dst") and not t.startswith("map")]
-    rest.sort(key=lambda c: (c != "distance", c))
-    best = Window.partitionBy("src", "dst").orderBy(*rest)
-    inside = inside.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    rest = [c for c, t in edges.dtypes if c not in ("src", "dst", "distance") and not t.startswith("map")]
+    # Aggregated in part before the shuffle; of all columns only the length and a hash are compared.
+    best = F.min_by(F.struct(*edges.columns), F.struct("distance", F.xxhash64(*rest)) if rest else F.col("distance"))
+    inside = inside.groupBy("src", "dst").agg(best.alias("e")).select("e.*")
     return used_nodes(nodes, inside), inside

@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 import os
+import sys
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -144,34 +147,54 @@ def nearest_node(nodes: DataFrame, lat: float, lon: float) -> DataFrame:
 
 
 def tag_start(nodes: DataFrame, start_id: int) -> DataFrame:
+    """Nodes with ``is_start``, true for one of them."""
     return nodes.withColumn("is_start", F.col("id") == start_id)
 
 
-def distances_to(edges: DataFrame, starts: DataFrame, max_distance: float | None = None, max_rounds: int = 10_000) -> DataFrame:
-    """``job_id, id, dist_to_start``: the shortest way along edges to the start
-    of each job (G7), as Bellman and Ford's rounds of joins and minima.
+def start_node(tagged: DataFrame) -> DataFrame:
+    """``job_id, id`` of the tagged start."""
+    return tagged.where("is_start").select(F.lit(0).cast("long").alias("job_id"), "id")
+
+
+#: Fronts of a walk that are read side by side before they are put together.
+FRONTS = 12
 
-    Only nodes whose distance fell in the last round are expanded. Distances
-    above ``max_distance`` are not followed. A round is one stored table.
+
+def _shortest(front: DataFrame, expand: Callable[[DataFrame], DataFrame], keys: list[str], name: str) -> DataFrame:
+    """The least ``dist`` of every ``keys`` that rows of ``front`` lead to.
+
+    Rounds of label correction until nothing falls any more: only the front,
+    the rows that fell in the last round, is expanded and stored; what is known
+    already is only read, and written again once in ``FRONTS`` rounds. Distances
+    are not negative, so the rounds end.
     """
+    known = [materialize(front.select(*keys, "dist"), name)]
+    least = lambda parts: reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.min("dist").alias("dist"))
+    while True:
+        step = expand(known[-1]).groupBy(*keys).agg(F.min("dist").alias("dist"))
+        # A key may be known from several rounds; the join and the minimum share one shuffle.
+        before = reduce(DataFrame.unionByName, known).withColumnRenamed("dist", "before")
+        met = step.join(before, keys, "left").groupBy(*keys).agg(F.min("dist").alias("dist"), F.min("before").alias("before"))
+        fell = materialize(met.where("before IS NULL OR dist < before").select(*keys, "dist"), name)
+        if fell.isEmpty():
+            return least(known)
+        if len(known) == FRONTS:
+            known = [materialize(least(known), name)]
+        known.append(fell)
+
+
+def distances_to(edges: DataFrame, starts: DataFrame, max_distance: float | None = None) -> DataFrame:
+    """``job_id, id, dist_to_start``: the shortest way along edges to the start
+    of each job (G7). Distances above ``max_distance`` are not followed."""
     back = edges.groupBy(F.col("dst").alias("id"), "src").agg(F.min("distance").alias("distance"))
     back = materialize(back, "back")
-    state = starts.select("job_id", "id", F.lit(0.0).alias("dist_to_start"), F.lit(True).alias("fresh"))
-    for _ in range(max_rounds):
-        step = state.where("fresh").join(back, "id").select(
-            "job_id", F.col("src").alias("id"), (F.col("dist_to_start") + F.col("distance")).alias("dist_to_start"), F.lit(False).alias("old")
-        )
-        if max_distance is not None:
-            step = step.where(F.col("dist_to_start") <= max_distance)
-        both = state.select("job_id", "id", "dist_to_start", F.lit(True).alias("old")).unionByName(step)
-        least = both.groupBy("job_id", "id").agg(
-            F.min("dist_to_start").alias("dist_to_start"), F.min(F.when(F.col("old"), F.col("dist_to_start"))).alias("before")
-        )
-        fresh = F.col("before").isNull() | (F.col("dist_to_start") < F.col("before"))
-        state = materialize(least.select("job_id", "id", "dist_to_start", fresh.alias("fresh")), "dist")
-        if state.where("fresh").isEmpty():
-            break
-    return state.select("job_id", "id", "dist_to_start")
+
+    def expand(front: DataFrame) -> DataFrame:
+        step = front.join(back, "id").select("job_id", F.col("src").alias("id"), (F.col("dist") + F.col("distance")).alias("dist"))
+        return step if max_distance is None else step.where(F.col("dist") <= max_distance)
+
+    front = starts.select("job_id", "id", F.lit(0.0).alias("dist"))
+    return _shortest(front, expand, ["job_id", "id"], "dist").withColumnRenamed("dist", "dist_to_start")
 
 
 def reachable(nodes: DataFrame, edges: DataFrame, dist: DataFrame, max_distance: float) -> tuple[DataFrame, DataFrame]:
@@ -361,28 +384,28 @@ def dissimilar_in_bins(binned: DataFrame, target: int, sign: int, most: float, k
     return ranked.join(kept, [*keys, "__rank"], "left_semi").drop("__rank")
 
 
-def return_paths(candidates: DataFrame, edges: DataFrame, n: int, max_distance: float, max_rounds: int = 200) -> DataFrame:
+def return_paths(candidates: DataFrame, edges: DataFrame, n: int, max_distance: float) -> DataFrame:
     """Candidates with a way home that avoids their own path but for its first
-    ``n`` nodes (G23); walked breadth first for all candidates at once."""
+    ``n`` nodes, and with which they stay below ``max_distance`` (G23); walked
+    for all candidates at once, until none has a shorter way anywhere."""
+    # Equal candidates of a job have the same answer.
     c = candidates.withColumn("__id", F.xxhash64("job_id", "points"))
-    step = edges.select(F.col("src").alias("at"), "dst").distinct()
-    blocked = c.select("__id", "start", F.slice("points", 1, max(n, 1)).alias("__first"), "points", F.col("cur").alias("at"))
-    seen = materialize(blocked.select("__id", "at"), "walk")
-    front, home = seen, None
-    for _ in range(max_rounds):
-        nxt = front.join(step, "at").join(blocked.drop("at"), "__id")
-        nxt = nxt.where((F.col("dst") == F.col("start")) | F.array_contains("__first", F.col("dst")) | ~F.array_contains("points", F.col("dst")))
-        nxt = nxt.select("__id", F.col("dst").alias("at"), (F.col("dst") == F.col("start")).alias("__home")).distinct()
-        nxt = materialize(nxt.join(seen, ["__id", "at"], "left_anti"), "walk")
-        if nxt.isEmpty():
-            break
-        found = nxt.where("__home").select("__id")
-        home = found if home is None else home.unionByName(found)
-        seen = materialize(seen.unionByName(nxt.select("__id", "at")), "walk")
-        front = nxt.select("__id", "at").join(home, "__id", "left_anti")
-    if home is None:
-        return candidates.limit(0)
-    return c.join(home.distinct(), "__id", "left_semi").drop("__id")
+    step = materialize(edges.groupBy(F.col("src").alias("at"), F.col("dst").alias("__dst")).agg(F.min("distance").alias("__d")), "ways-home")
+    own = c.select("__id", F.col("start").alias("__start"), F.slice("points", 1, max(n, 1)).alias("__first"), "points", F.col("dist").alias("__behind"))
+    own = materialize(own.dropDuplicates(["__id"]), "paths")
+
+    def expand(front: DataFrame) -> DataFrame:
+        # Who is home walks no further.
+        away = front.join(own, "__id").where(F.col("at") != F.col("__start")).join(step, "at")
+        free = (F.col("__dst") == F.col("__start")) | F.array_contains("__first", F.col("__dst")) | ~F.array_contains("points", F.col("__dst"))
+        total = F.col("dist") + F.col("__d")
+        nxt = away.where(free & (F.col("__behind") + total < max_distance))
+        return nxt.select("__id", F.col("__dst").alias("at"), total.alias("dist"))
+
+    # A candidate's last node may be its start only before the first step.
+    begun = c.select("__id", F.col("cur").alias("at"), F.lit(0.0).alias("dist")).dropDuplicates(["__id"])
+    reached = _shortest(begun, expand, ["__id", "at"], "walk").join(own.select("__id", F.col("__start").alias("at")), ["__id", "at"], "left_semi")
+    return c.join(reached.select("__id"), "__id", "left_semi").drop("__id")
 
 
 def bin_count(n: int, max_candidates: int, bin_size: int) -> int:
@@ -435,6 +458,13 @@ def finalise(routes: DataFrame) -> DataFrame:
     )
 
 
+def step_totals(stepped: DataFrame) -> DataFrame:
+    """``status, n, most, mean_dist``: candidates after a step, those of the
+    largest job, and the mean of their lengths (A10). A row a status."""
+    by_job = stepped.groupBy("status", "job_id").agg(F.count("*").alias("n"), F.sum("dist").alias("d"))
+    return by_job.groupBy("status").agg(F.sum("n").alias("n"), F.max("n").alias("most"), (F.sum("d") / F.sum("n")).alias("mean_dist"))
+
+
 def _attempt(starts, edges, width, config, settings, until, progress) -> DataFrame | None:
     front, done = seeds(starts), []
     size = edges.agg(F.sum(F.lit(200) + F.lit(32) * F.size("lats"))).first()[0] or 0
@@ -443,24 +473,35 @@ def _attempt(starts, edges, width, config, settings, until, progress) -> DataFra
         if time.monotonic() > until:
             raise SearchTimeout("the search took too long")
         out = materialize(take_steps(front, F.broadcast(edges) if small else edges, config, settings).where("status <> 'invalid'"), "steps")
-        by_job = out.groupBy("status", "job_id").agg(F.count("*").alias("n"), F.sum("dist").alias("d"))
-        totals = by_job.groupBy("status").agg(F.sum("n").alias("n"), F.max("n").alias("most"), (F.sum("d") / F.sum("n")).alias("d"))
-        counts = {r.status: r for r in totals.collect()}
+        counts = {r.status: r for r in step_totals(out).collect()}
         valid = counts["valid"].n if "valid" in counts else 0
         most = counts["valid"].most if valid else 0
         if "complete" in counts:
             done.append(out.where("status = 'complete'").drop("status"))
-        progress.steps.append((valid, counts["complete"].n if "complete" in counts else 0, counts["valid"].d if valid else None))
+        progress.steps.append((valid, counts["complete"].n if "complete" in counts else 0, counts["valid"].mean_dist if valid else None))
         if not valid:
             break
         # The pruning plan is short and reads a stored table; it runs with the next step.
         front = prune(out.where("status = 'valid'").drop("status"), most, width, config, settings, edges)
-    if not done:
-        return None
-    whole = done[0]
-    for d in done[1:]:
-        whole = whole.unionByName(d)
-    return whole
+    else:
+        raise SearchTimeout(f"the search took more than {settings.max_steps} steps")
+    return reduce(DataFrame.unionByName, done) if done else None
+
+
+def search_graph(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_distance: float) -> DataFrame:
+    """The edges that a loop from the start can use, with ``dist_to_start`` of
+    their ends (F16, G7), stored."""
+    dist = distances_to(edges, start, max_distance)
+    nodes, edges = reachable(nodes, edges, dist, max_distance)
+    left = nodes.select(F.col("id").alias("dst"), "dist_to_start")
+    return materialize(edges.join(left, "dst", "left"), "search-edges")
+
+
+def all_loops(edges: DataFrame, start: DataFrame, config: RouteConfig, settings: Settings | None = None) -> DataFrame | None:
+    """Every circular route of a graph as by ``search_graph``: the search with
+    a beam that is never pruned. None if there is no route."""
+    settings = settings or Settings()
+    return _attempt(start, edges, sys.maxsize, config, settings, time.monotonic() + settings.max_job_seconds, Progress())
 
 
 def find_routes(
@@ -474,12 +515,11 @@ def find_routes(
     until = time.monotonic() + settings.max_job_seconds
     nodes, edges = loaded_graph(nodes_window(nodes, config), edges_window(edges, config))
     nodes, edges = materialize(nodes, "route-nodes"), materialize(edges, "route-edges")
-    start = nearest_node(nodes, config.start_lat, config.start_lon).select(F.lit(0).cast("long").alias("job_id"), "id")
-    start = materialize(start, "start")
-    dist = distances_to(edges, start, config.max_distance)
-    nodes, edges = reachable(nodes, edges, dist, config.max_distance)
-    left = nodes.select(F.col("id").alias("dst"), "dist_to_start")
-    edges = materialize(edges.join(left, "dst", "left"), "search-edges")
+    nearest = nearest_node(nodes, config.start_lat, config.start_lon).first()
+    if nearest is None:
+        return finalise(spark.createDataFrame([], CANDIDATE))
+    start = start_node(tag_start(nodes, nearest.id))
+    edges = search_graph(edges, nodes, start, config.max_distance)
     n_edges, found = edges.count(), None
     for attempt in range(1, settings.attempts + 1):
         width = max(1, beam_width(n_edges, attempt, settings.max_candidates))

@@ -18,38 +18,26 @@ from ridgeline.operators import search as rs
 from ridgeline.operators import tags as tg
 from ridgeline.plans import ingest
 from ridgeline.runtime import materialize, scratch_path
-from ridgeline.schema import map_to_schema
-from ridgeline.sources import files
+from ridgeline.schema import layer_schema, map_to_schema
+from ridgeline.sources import files, raster, serving
 from ridgeline.sources import fixtures as fx
 
+#: Grid steps of the loops that are walked without pruning.
+LOOP_M = 800.0
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     """Register a function under its name; ``sql`` goes on from the relations
     of ``fixtures.BASE_SQL``."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = fx.sql(sql)
-        return f
-
-    return register
-
-
-def query_whole(name: str, *cuts: tuple[str, str]):
-    """Register a function that does for whole tables what the query ``name``
-    does for part of them; its oracle is that query's, with texts replaced."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        sql = ORACLE_SQL[name]
-        for cut, put in cuts:
-            assert cut in sql, cut
-            sql = sql.replace(cut, put)
-        ORACLE_SQL[f.__name__] = sql
+            whole = fx.sql(sql)
+            ORACLE_SQL[f.__name__] = whole.replace("WITH", "WITH RECURSIVE", 1) if recursive else whole
         return f
 
     return register
@@ -150,7 +138,7 @@ def s8_s9_tile_ids(spark, sf_dir):
 
 @query("SELECT file_id FROM bounds WHERE file_id NOT IN ('B', 'D')")
 def s10_x5_tiles_to_load(spark, sf_dir):
-    b = fx.bounds(spark).select("file_id")
+    b = fx.bounds(spark, sf_dir).select("file_id")
     return files.tiles_to_load(b, b.where("file_id IN ('B', 'D')"))
 
 
@@ -159,7 +147,7 @@ def s12_bounds_from_xml(spark, sf_dir):
     corner = lambda e, n: f"'<pos>', {e}, '.000000 ', {n}, '.000000</pos>'"
     corners = ", ".join(corner(e, n) for e in ("min_easting", "max_easting") for n in ("min_northing", "max_northing"))
     xml = f"concat('<r><spatRepInfo><Georect><cornerPts>', {corners}, '</cornerPts></Georect></spatRepInfo></r>')"
-    tiles = fx.bounds(spark).select("file_id", F.expr(xml).alias("xml"))
+    tiles = fx.bounds(spark, sf_dir).select("file_id", F.expr(xml).alias("xml"))
     return el.bounds_from_xml(tiles).select("file_id", "min_easting", "min_northing", "max_easting", "max_northing")
 
 
@@ -178,6 +166,17 @@ def s14_s15_s16_raster_melt(spark, sf_dir):
     return el.melt_raster(el.valid_rasters(_rasters(spark, sf_dir))[0]).select("file_id", "easting", "northing", "elevation")
 
 
+@query("""SELECT 'TS' || lpad(n_nationkey::VARCHAR, 2, '0') || 'ne' AS file_id, (n_nationkey * 5 + c)::INT AS easting, (n_nationkey * 4 + 3 - r)::INT AS northing,
+  (n_nationkey * 100 + r * 10 + c)::DOUBLE AS elevation FROM nation, range(4) t(r), range(5) u(c) WHERE n_nationkey % 5 <> 0""")
+def s11_s13_s16_s21_zipped_tiles(spark, sf_dir):
+    """Tiles as a survey sends them, zipped rasters with their boxes, read back
+    by as many tasks as there are files to share."""
+    folder = scratch_path(spark, "tiles")
+    named = _rasters(spark, sf_dir).withColumn("file_id", F.concat(F.lit("TS"), F.lpad("file_id", 2, "0"), F.lit("ne")))
+    raster.write_archives(named, folder)
+    return raster.melt_rows(raster.fitting_rows(raster.read_rasters(spark, folder))[0])
+
+
 @query("SELECT n_nationkey::VARCHAR AS file_id FROM nation WHERE n_nationkey % 5 = 0")
 def s18_rejected_rasters(spark, sf_dir):
     return el.valid_rasters(_rasters(spark, sf_dir))[1].select("file_id")
@@ -185,17 +184,17 @@ def s18_rejected_rasters(spark, sf_dir):
 
 @query("SELECT file_id, min_easting, min_northing, max_easting, max_northing FROM bounds")
 def s19_s20_merge_bounds(spark, sf_dir):
-    b = fx.bounds(spark)
+    b = fx.bounds(spark, sf_dir)
     path = scratch_path(spark, "bounds")
     el.merge_bounds(b.where("file_id < 'D'"), b.where("file_id > 'A'")).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
-@query("""SELECT e.easting, e.northing, e.elevation FROM elevation e WHERE e.easting >= 250 AND e.northing < 250""")
+@query("""SELECT e.easting, e.northing, e.elevation FROM elevation e WHERE e.easting >= 250 AND e.easting < 500 AND e.northing < 250""")
 def s17_s22_tile_pruned_read(spark, sf_dir):
     path = scratch_path(spark, "elevation")
-    fx.elevation(spark).repartition("file_id").write.partitionBy("file_id").parquet(path)
-    wanted = fx.bounds(spark).where("min_easting = 250 AND min_northing = 0")
+    fx.elevation(spark, sf_dir).repartition("file_id").write.partitionBy("file_id").parquet(path)
+    wanted = fx.bounds(spark, sf_dir).where("min_easting = 250 AND min_northing = 0")
     return el.read_tiles(spark.read.parquet(path), wanted).select("easting", "northing", "elevation")
 
 
@@ -219,10 +218,33 @@ IN_BOX = f"lat BETWEEN {_BOX[0]!r} AND {_BOX[2]!r} AND lon BETWEEN {_BOX[1]!r} A
 
 @query(f"SELECT id, easting, northing FROM nodes WHERE {IN_BOX}")
 def s24_s27_p9_node_window(spark, sf_dir):
+    root = scratch_path(spark, "serving")
     n = fx.nodes(spark, sf_dir).withColumn("ptn", geo.partition_key("lat", "lon"))
-    path = scratch_path(spark, "serving")
-    n.repartition("ptn").sortWithinPartitions("lat", "lon").write.partitionBy("ptn").parquet(path)
-    return rs.nodes_window(spark.read.parquet(path), _config()).select("id", "easting", "northing")
+    e = _edges(spark, sf_dir).drop("tags").withColumn("ptn", geo.partition_key("src_lat", "src_lon"))
+    files.serving_tables(n, e, root)
+    return rs.nodes_window(spark.read.parquet(f"{root}/nodes"), _config()).select("id", "easting", "northing")
+
+
+_SQUARE = "replace(lat::VARCHAR, '-', 'n') || '_' || replace(lon::VARCHAR, '-', 'n')"
+
+
+@query(f"""SELECT name, ptn, 'CREATE TABLE routing.' || name || '_' || ptn || ' PARTITION OF routing.' || name || ' FOR VALUES IN (' || chr(39) || ptn || chr(39) || ')' AS statement
+FROM (SELECT unnest(['nodes', 'edges']) AS name), (SELECT {_SQUARE} AS ptn FROM range(48, 61) a(lat), range(-15, 2) o(lon))""")
+def s25_partition_ddl(spark, sf_dir):
+    return serving.partition_ddl(spark)
+
+
+@query("""SELECT id, lat, lon, (id % 90)::DOUBLE AS elevation, '50_n1' AS ptn, 'COPY routing.nodes (id, lat, lon, elevation, ptn) FROM STDIN' AS statement FROM nodes""")
+def s26_copied_files(spark, sf_dir):
+    """Nodes as the database would hold them after every file was copied."""
+    n = fx.nodes(spark, sf_dir).select("id", "lat", "lon", (F.col("id") % 90).cast("double").alias("elevation"), F.lit("50_n1").alias("ptn"))
+    folder = scratch_path(spark, "copy")
+    files.export_tsv(serving.text_rows(n, "nodes"), folder)
+    loads = serving.load_scripts(spark, folder, "nodes")
+    name = lambda path: F.element_at(F.split(path, "/"), -1)
+    rows = spark.read.schema(layer_schema("optimised", "nodes")).option("sep", "\t").option("nullValue", "\\N").option("quote", "").csv(folder)
+    rows = rows.select("*", name(F.col("_metadata.file_path")).alias("file"))
+    return rows.join(loads.select(name(F.col("path")).alias("file"), "statement"), "file").drop("file")
 
 
 @query(f"""{TAGGED} SELECT src, dst, way_id, way_inx::INT AS way_inx FROM tagged JOIN nodes ON nodes.id = tagged.src
@@ -277,7 +299,56 @@ def p1_map_to_schema(spark, sf_dir):
     return map_to_schema(e, StructType.fromDDL("src long, dst long, way_id long, way_inx int, surface string, timestamp long"))
 
 
-@query()
+def _chain(rows: str, *stages: dict[str, str]) -> str:
+    """SQL that adds columns stage by stage, each seeing those before it."""
+    for stage in stages:
+        rows = f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in stage.items())} FROM {rows})"
+    return rows
+
+
+_E2, _AIRY_E2 = 2 * geo.WGS84_F - geo.WGS84_F**2, 1 - (geo.AIRY_B / geo.AIRY_A) ** 2
+_N = (geo.AIRY_A - geo.AIRY_B) / (geo.AIRY_A + geo.AIRY_B)
+_RX, _RY, _RZ = (f"radians({x}e0 / 3600)" for x in geo.SHIFT_SEC)
+_S = f"(1 + {geo.SHIFT_PPM}e0 / 1000000)"
+
+#: The shift and the projection as published, by the series' numbered terms.
+_GRID = _chain(
+    "(SELECT id, lat, lon, radians(lat) AS p, radians(lon) AS l FROM nodes)",
+    {"v": f"{geo.WGS84_A}e0 / sqrt(1 - {_E2!r} * sin(p) ** 2)"},
+    {"x": "v * cos(p) * cos(l)", "y": "v * cos(p) * sin(l)", "z": f"v * (1 - {_E2!r}) * sin(p)"},
+    {
+        "xx": f"({geo.SHIFT_M[0]}e0) + {_S} * x - ({_RZ}) * y + ({_RY}) * z",
+        "yy": f"({geo.SHIFT_M[1]}e0) + ({_RZ}) * x + {_S} * y - ({_RX}) * z",
+        "zz": f"({geo.SHIFT_M[2]}e0) - ({_RY}) * x + ({_RX}) * y + {_S} * z",
+    },
+    {"q": "sqrt(xx * xx + yy * yy)", "dl": f"atan2(yy, xx) - radians({geo.GRID_LON0}e0)", "f0": f"atan2(zz, sqrt(xx * xx + yy * yy) * (1 - {_AIRY_E2!r}))"},
+    *[{f"f{k + 1}": f"atan2(zz + {_AIRY_E2!r} * {geo.AIRY_A}e0 / sqrt(1 - {_AIRY_E2!r} * sin(f{k}) ** 2) * sin(f{k}), q)"} for k in range(6)],
+    {
+        "nu": f"{geo.AIRY_A}e0 * {geo.GRID_F0}e0 * (1 - {_AIRY_E2!r} * sin(f6) ** 2) ** -0.5",
+        "rho": f"{geo.AIRY_A}e0 * {geo.GRID_F0}e0 * (1 - {_AIRY_E2!r}) * (1 - {_AIRY_E2!r} * sin(f6) ** 2) ** -1.5",
+        "a": f"f6 - radians({geo.GRID_LAT0}e0)",
+        "b": f"f6 + radians({geo.GRID_LAT0}e0)",
+        "t": "tan(f6)",
+    },
+    {
+        "m": f"{geo.AIRY_B}e0 * {geo.GRID_F0}e0 * ((1 + {_N!r} + 5 / 4 * {_N!r} ** 2 + 5 / 4 * {_N!r} ** 3) * a - (3 * {_N!r} + 3 * {_N!r} ** 2 + 21 / 8 * {_N!r} ** 3) * sin(a) * cos(b) "
+        f"+ (15 / 8 * {_N!r} ** 2 + 15 / 8 * {_N!r} ** 3) * sin(2 * a) * cos(2 * b) - 35 / 24 * {_N!r} ** 3 * sin(3 * a) * cos(3 * b))",
+        "eta": "nu / rho - 1",
+    },
+    {
+        "i": f"m + ({geo.GRID_N0}e0)",
+        "ii": "nu / 2 * sin(f6) * cos(f6)",
+        "iii": "nu / 24 * sin(f6) * cos(f6) ** 3 * (5 - t ** 2 + 9 * eta)",
+        "iiia": "nu / 720 * sin(f6) * cos(f6) ** 5 * (61 - 58 * t ** 2 + t ** 4)",
+        "iv": "nu * cos(f6)",
+        "v5": "nu / 6 * cos(f6) ** 3 * (nu / rho - t ** 2)",
+        "vi": "nu / 120 * cos(f6) ** 5 * (5 - 18 * t ** 2 + t ** 4 + 14 * eta - 58 * t ** 2 * eta)",
+    },
+)
+
+
+@query(f"""SELECT id, lat, lon, trunc({geo.GRID_E0}e0 + iv * dl + v5 * dl ** 3 + vi * dl ** 5)::INT AS easting,
+  trunc(i + ii * dl ** 2 + iii * dl ** 4 + iiia * dl ** 6)::INT AS northing FROM {_GRID}""")
 def p2_p3_national_grid(spark, sf_dir):
     raw = fx.nodes(spark, sf_dir).select("id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "timestamp")
     return ingest.land_nodes(raw).select("id", "lat", "lon", "easting", "northing")
@@ -352,7 +423,7 @@ def f1_tag_filter(spark, sf_dir):
 
 @query(f"{PLACED.format('edges')}{SAMPLES}{PROFILES} SELECT src, dst, way_id, way_inx::INT AS way_inx FROM profiles WHERE whole")
 def f2_f15_drop_without_elevation(spark, sf_dir):
-    e = el.tag_edges(_edges(spark, sf_dir), fx.elevation(spark))
+    e = el.tag_edges(_edges(spark, sf_dir), fx.elevation(spark, sf_dir))
     return el.drop_without_elevation(e).select("src", "dst", "way_id", "way_inx")
 
 
@@ -400,7 +471,7 @@ def f13_node_flags(spark, sf_dir):
 
 @query("SELECT id, e.elevation FROM nodes JOIN elevation e USING (easting, northing)")
 def f14_u4_clear_without_elevation(spark, sf_dir):
-    return inc.clear_without_elevation(el.node_elevation(fx.nodes(spark, sf_dir), fx.elevation(spark))).select("id", "elevation")
+    return inc.clear_without_elevation(el.node_elevation(fx.nodes(spark, sf_dir), fx.elevation(spark, sf_dir))).select("id", "elevation")
 
 
 # --------------------------------------------------------------------------
@@ -414,14 +485,8 @@ def j1_j2_edge_coords(spark, sf_dir):
     return e.select("src", "dst", "way_id", "way_inx", "src_easting", "src_northing", "dst_easting", "dst_northing")
 
 
-@query("SELECT id, easting FROM nodes WHERE id IN (SELECT src FROM edges WHERE way_id % 3 = 0 UNION ALL SELECT dst FROM edges WHERE way_id % 3 = 0)")
-def j3_x1_used_nodes(spark, sf_dir):
-    e = fx.plain_edges(spark, sf_dir).where("way_id % 3 = 0")
-    return net.used_nodes(fx.nodes(spark, sf_dir), e).select("id", "easting")
-
-
 @query(f"{TAGGED} SELECT id, easting FROM nodes WHERE id IN (SELECT src FROM tagged WHERE highway = 'footway' UNION ALL SELECT dst FROM tagged WHERE highway = 'footway')")
-def j3_x1_used_nodes_of_footways(spark, sf_dir):
+def j3_x1_used_nodes(spark, sf_dir):
     e = tg.highway_and_surface(_edges(spark, sf_dir)).where("highway = 'footway'")
     return net.used_nodes(fx.nodes(spark, sf_dir), e).select("id", "easting")
 
@@ -447,28 +512,23 @@ def j5_changes(spark, sf_dir):
 
 @query("SELECT id, file_id FROM nodes JOIN bounds ON easting >= min_easting AND easting < max_easting AND northing >= min_northing AND northing < max_northing")
 def j6_node_tiles(spark, sf_dir):
-    return el.assign_tiles(fx.nodes(spark, sf_dir), fx.bounds(spark)).select("id", "file_id")
+    return el.assign_tiles(fx.nodes(spark, sf_dir), fx.bounds(spark, sf_dir)).select("id", "file_id")
 
 
-@query(f"""{PLACED.format("(SELECT * FROM edges WHERE way_id % 50 = 7)")} SELECT DISTINCT file_id FROM placed JOIN bounds
-ON (se >= min_easting AND se < max_easting AND sn >= min_northing AND sn < max_northing) OR (de >= min_easting AND de < max_easting AND dn >= min_northing AND dn < max_northing)""")
+@query(f"""{PLACED.format("edges")}, ends AS (SELECT se AS easting, sn AS northing FROM placed UNION SELECT de, dn FROM placed)
+SELECT DISTINCT file_id FROM ends JOIN bounds ON easting >= min_easting AND easting < max_easting AND northing >= min_northing AND northing < max_northing""")
 def j7_x3_edge_tiles(spark, sf_dir):
-    return el.tiles_of_edges(_edges(spark, sf_dir).where("way_id % 50 = 7"), fx.bounds(spark))
-
-
-@query_whole("j7_x3_edge_tiles", ("(SELECT * FROM edges WHERE way_id % 50 = 7)", "edges"))
-def j7_x3_edge_tiles_whole(spark, sf_dir):
-    return el.tiles_of_edges(_edges(spark, sf_dir), fx.bounds(spark))
+    return el.tiles_of_edges(_edges(spark, sf_dir), fx.bounds(spark, sf_dir))
 
 
 @query("SELECT id, e.elevation FROM nodes LEFT JOIN elevation e USING (easting, northing)")
 def j8_node_elevation(spark, sf_dir):
-    return el.node_elevation(fx.nodes(spark, sf_dir), fx.elevation(spark)).select("id", "elevation")
+    return el.node_elevation(fx.nodes(spark, sf_dir), fx.elevation(spark, sf_dir)).select("id", "elevation")
 
 
 @query(f"{PLACED.format('edges')}{SAMPLES}{PROFILES} SELECT src, dst, way_id, way_inx::INT AS way_inx, n, CASE WHEN whole THEN check_sum END AS check_sum FROM profiles")
 def j9_a2_edge_profiles(spark, sf_dir):
-    samples = el.sample_elevation(el.explode_edges(el.edge_steps(_edges(spark, sf_dir))), fx.elevation(spark))
+    samples = el.sample_elevation(el.explode_edges(el.edge_steps(_edges(spark, sf_dir))), fx.elevation(spark, sf_dir))
     out = el.implode_edges(samples.withColumn("one", F.lit(1)), ["one"])
     # The NULL profile still says how many samples it had.
     counts = samples.groupBy("src", "dst", "way_id", "way_inx").agg(F.count("*").alias("n"))
@@ -489,20 +549,12 @@ def _flagged(spark, sf_dir):
 @query(f"{LINKS.format('edges')}{CHAINS} SELECT src, dst, way_id, way_inx::INT AS way_inx, CASE WHEN src_degree = 2 THEN 1 ELSE 0 END AS a, CASE WHEN dst_degree = 1 THEN 1 ELSE 0 END AS b FROM marked")
 def j11_endpoint_flags(spark, sf_dir):
     e = ct.endpoint_flags(fx.plain_edges(spark, sf_dir), _flagged(spark, sf_dir))
-    return e.select("src", "dst", "way_id", "way_inx", F.col("src_contract_flag").alias("a"), F.col("dst_dead_end_flag").alias("b"))
-
-
-@query("""SELECT src, dst, min(CAST(way_id AS BIGINT)) AS way_id FROM edges WHERE src IN (SELECT id FROM nodes WHERE id % 3 <> 0) AND dst IN (SELECT id FROM nodes WHERE id % 3 <> 0)
-GROUP BY src, dst""")
-def j12_loaded_graph(spark, sf_dir):
-    e = fx.plain_edges(spark, sf_dir).select("src", "dst", F.col("way_id").alias("distance"), "way_inx")
-    _, inside = net.loaded_graph(fx.nodes(spark, sf_dir).where("id % 3 <> 0"), e)
-    return inside.select("src", "dst", F.col("distance").alias("way_id"))
+    return e.select("src", "dst", "way_id", "way_inx", F.col("src_node.link").cast("int").alias("a"), F.col("dst_node.dead").cast("int").alias("b"))
 
 
 @query("""SELECT src, dst, min(CAST(way_id AS BIGINT)) AS way_id FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst
 WHERE a.easting BETWEEN 50 AND 399 AND a.northing BETWEEN 50 AND 399 AND b.easting BETWEEN 50 AND 399 AND b.northing BETWEEN 50 AND 399 GROUP BY src, dst""")
-def j12_loaded_graph_in_box(spark, sf_dir):
+def j12_loaded_graph(spark, sf_dir):
     e = fx.plain_edges(spark, sf_dir).select("src", "dst", F.col("way_id").alias("distance"), "way_inx")
     box = fx.nodes(spark, sf_dir).where("easting BETWEEN 50 AND 399 AND northing BETWEEN 50 AND 399")
     return net.loaded_graph(box, e)[1].select("src", "dst", F.col("distance").alias("way_id"))
@@ -561,7 +613,7 @@ def a3_contract_chains(spark, sf_dir):
 
 @query(f"{PLACED.format('edges')}{SAMPLES}{PROFILES} SELECT p.src, p.dst, p.way_id, p.way_inx::INT AS way_inx, CASE WHEN bridge IS NOT NULL THEN 0 ELSE gain END AS elevation_gain, CASE WHEN bridge IS NOT NULL THEN 0 ELSE loss END AS elevation_loss FROM profiles p JOIN tags USING (way_id) WHERE whole")
 def a4_elevation_changes(spark, sf_dir):
-    e = el.drop_without_elevation(el.tag_edges(_edges(spark, sf_dir), fx.elevation(spark)))
+    e = el.drop_without_elevation(el.tag_edges(_edges(spark, sf_dir), fx.elevation(spark, sf_dir)))
     return el.elevation_changes(tg.flag_flat(e)).select("src", "dst", "way_id", "way_inx", "elevation_gain", "elevation_loss")
 
 
@@ -604,14 +656,28 @@ def a9_gain_potential(spark, sf_dir):
     return w.select("way_id", pf.gain_potential("g", "l").alias("potential"), F.round(pf.gain_ratio("g", "l", "d"), 9).alias("ratio"))
 
 
-@query("SELECT way_id, way_inx::INT AS way_inx, sum(src % 11) OVER (PARTITION BY way_id ORDER BY way_inx)::BIGINT AS running, count(*) OVER () AS pending FROM edges")
-def a10_a11_a12_running_distance(spark, sf_dir):
+@query("""SELECT way_id, way_inx::INT AS way_inx, sum(src % 11) OVER (PARTITION BY way_id ORDER BY way_inx)::BIGINT AS running,
+  (SELECT count(*) FROM edges) AS pending FROM edges""")
+def a12_running_distance(spark, sf_dir):
     from pyspark.sql import Window
 
     e = fx.plain_edges(spark, sf_dir)
     order = Window.partitionBy("way_id").orderBy("way_inx").rowsBetween(Window.unboundedPreceding, 0)
-    total = e.agg(F.count("*").alias("pending"))
-    return e.select("way_id", "way_inx", F.sum(F.col("src") % 11).over(order).alias("running")).join(F.broadcast(total))
+    return e.select("way_id", "way_inx", F.sum(F.col("src") % 11).over(order).alias("running"), e.agg(F.count("*")).scalar().alias("pending"))
+
+
+@query("""SELECT way_id, sum(node % 70)::DOUBLE AS length, round(0.9 * min(node % 90), 9)::DOUBLE AS low, round(1.1 * max(node % 90), 9)::DOUBLE AS high,
+  string_agg(place::VARCHAR, ',' ORDER BY way_inx) AS places
+FROM (SELECT *, sum(node % 70) OVER (PARTITION BY way_id ORDER BY way_inx)::BIGINT AS place FROM way_nodes) GROUP BY way_id""")
+def a11_profile_plot(spark, sf_dir):
+    w = fx.ways(spark, sf_dir).select(
+        F.col("id").alias("way_id"),
+        F.expr("transform(nodes, n -> cast(n.nodeId % 90 as double))").alias("eles"),
+        F.expr("transform(nodes, n -> cast(n.nodeId % 70 as double))").alias("dists"),
+    )
+    plot = w.select("way_id", pf.profile_plot("dists", "eles").alias("plot"))
+    places = F.array_join(F.transform("plot.places", lambda x: x.cast("long").cast("string")), ",")
+    return plot.select("way_id", "plot.length", F.round("plot.low", 9).alias("low"), F.round("plot.high", 9).alias("high"), places.alias("places"))
 
 
 # --------------------------------------------------------------------------
@@ -642,13 +708,13 @@ def w4_fill_chains(spark, sf_dir):
 
 _CANDS_SQL = """, c AS (
   SELECT way_id, way_id::VARCHAR AS p, avg(node % 90) AS lat, avg(node % 70) AS lon, sum(node % 1500)::DOUBLE AS dist, (count(*) * 13 % 29)::DOUBLE AS gain
-  FROM way_nodes WHERE way_id % 3 = 0 GROUP BY way_id
+  FROM way_nodes GROUP BY way_id
 ), x AS (SELECT *, (row_number() OVER (ORDER BY lat, p) - 1) // 256 AS x_bin FROM c),
 y AS (SELECT *, (row_number() OVER (PARTITION BY x_bin ORDER BY lon, p) - 1) // 64 AS y_bin FROM x)"""
 
 
-def _cands(spark, sf_dir, ways="id % 3 = 0"):
-    w = fx.ways(spark, sf_dir).where(ways)
+def _cands(spark, sf_dir):
+    w = fx.ways(spark, sf_dir)
     return w.select(
         F.lit(0).cast("long").alias("job_id"),
         F.col("id").alias("way_id"),
@@ -672,17 +738,6 @@ def w6_t2_t4_best_in_bins(spark, sf_dir):
     return rs.best_in_bins(binned, 5, 1).select("way_id", "x_bin", "y_bin")
 
 
-@query_whole("w5_g19_g20_bins", (" WHERE way_id % 3 = 0", ""))
-def w5_g19_g20_bins_whole(spark, sf_dir):
-    return rs.bin_candidates(_cands(spark, sf_dir, "true"), 1024, rs.Settings()).select("way_id", "x_bin", "y_bin")
-
-
-@query_whole("w6_t2_t4_best_in_bins", (" WHERE way_id % 3 = 0", ""))
-def w6_t2_t4_best_in_bins_whole(spark, sf_dir):
-    binned = rs.bin_candidates(_cands(spark, sf_dir, "true"), 1024, rs.Settings())
-    return rs.best_in_bins(binned, 5, 1).select("way_id", "x_bin", "y_bin")
-
-
 # --------------------------------------------------------------------------
 # sorts and sets
 
@@ -731,65 +786,79 @@ def x4_jaccard(spark, sf_dir):
 # geodesy and search
 
 
-@query()
+_F, _A, _B = geo.WGS84_F, geo.WGS84_A, geo.WGS84_A * (1 - geo.WGS84_F)
+
+#: Vincenty's inverse formula as published, seven rounds of it.
+_VINCENTY = _chain(
+    """(SELECT src, dst, way_id, way_inx, a.lat AS lat1, b.lat AS lat2, radians(b.lon - a.lon) AS big_l
+  FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst)""",
+    {"u1": f"atan((1 - {_F!r}) * tan(radians(lat1)))", "u2": f"atan((1 - {_F!r}) * tan(radians(lat2)))", "r0": "big_l"},
+    *[
+        stage
+        for k in range(7)
+        for stage in (
+            {
+                f"ss{k}": f"sqrt((cos(u2) * sin(r{k})) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(r{k})) ** 2)",
+                f"cs{k}": f"sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(r{k})",
+            },
+            {f"sg{k}": f"atan2(ss{k}, cs{k})", f"sa{k}": f"coalesce(cos(u1) * cos(u2) * sin(r{k}) / nullif(ss{k}, 0), 0)"},
+            {f"ca{k}": f"1 - sa{k} ** 2"},
+            {f"cm{k}": f"coalesce(cs{k} - 2 * sin(u1) * sin(u2) / nullif(ca{k}, 0), 0)", f"cc{k}": f"{_F!r} / 16 * ca{k} * (4 + {_F!r} * (4 - 3 * ca{k}))"},
+            {f"r{k + 1}": f"big_l + (1 - cc{k}) * {_F!r} * sa{k} * (sg{k} + cc{k} * ss{k} * (cm{k} + cc{k} * cs{k} * (2 * cm{k} ** 2 - 1)))"},
+        )
+    ],
+    {"uu": f"ca6 * {(_A * _A - _B * _B) / (_B * _B)!r}"},
+    {"big_a": "1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu)))", "big_b": "uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu)))"},
+    {"ds": "big_b * ss6 * (cm6 + big_b / 4 * (cs6 * (2 * cm6 ** 2 - 1) - big_b / 6 * cm6 * (4 * ss6 ** 2 - 3) * (4 * cm6 ** 2 - 3)))"},
+)
+
+
+@query(f"SELECT src, dst, way_id, way_inx::INT AS way_inx, round({_B!r} * big_a * (sg6 - ds), 4) AS distance FROM {_VINCENTY}")
 def g3_edge_length(spark, sf_dir):
     e = _edges(spark, sf_dir)
     e = geo.with_geodesic(e.drop("tags"), "src_lat", "src_lon", "dst_lat", "dst_lon")
-    return e.select("src", "dst", "way_id", "way_inx", F.round("distance", 6).alias("distance"))
+    return e.select("src", "dst", "way_id", "way_inx", F.round("distance", 4).alias("distance"))
 
 
-def _search_edges(spark, sf_dir, ways):
-    """Some of the ways as a graph with lengths in grid steps."""
-    e = _simple(spark, sf_dir).where(ways)
-    one = net.loaded_graph(fx.nodes(spark, sf_dir), e.select("src", "dst", "distance"))[1]
-    return one
+def _search_edges(spark, sf_dir):
+    """All ways as a graph with lengths in grid steps."""
+    e = _simple(spark, sf_dir).select("src", "dst", "distance")
+    return net.loaded_graph(fx.nodes(spark, sf_dir), e)[1]
 
 
-_HOPS = """, g AS (SELECT src, dst, min(d) AS distance FROM (
-  SELECT src, dst, (abs((dst * 37) % 499 - (src * 37) % 499) + abs((dst * 91) % 491 - (src * 91) % 491))::DOUBLE AS d FROM edges WHERE way_id % 4 = 1) GROUP BY src, dst
-), s AS (SELECT dst AS id FROM g GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
-walk(id, dist) AS (
+#: The shortest edge of each pair, the node where most of them end, and the
+#: least distance to it of every node: rows are kept by node, so it ends.
+_HOPS = """, g AS MATERIALIZED (SELECT src, dst, min(abs((dst * 37) % 499 - (src * 37) % 499) + abs((dst * 91) % 491 - (src * 91) % 491))::DOUBLE AS distance
+  FROM edges GROUP BY src, dst
+), s AS MATERIALIZED (SELECT dst AS id FROM g GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+walk(id, dist) USING KEY (id) AS (
   SELECT id, 0::DOUBLE FROM s
   UNION
-  SELECT g.src, walk.dist + g.distance FROM walk JOIN g ON g.dst = walk.id WHERE walk.dist + g.distance <= 900
+  SELECT n.id, n.dist FROM (SELECT g.src AS id, min(walk.dist + g.distance) AS dist FROM walk JOIN g ON g.dst = walk.id GROUP BY g.src) n
+  LEFT JOIN recurring.walk k ON k.id = n.id WHERE n.dist <= 900 AND (k.dist IS NULL OR n.dist < k.dist)
 )"""
 
 
-@query(f"{_HOPS} SELECT id, min(dist) AS dist_to_start FROM walk GROUP BY id")
+@query(f"{_HOPS} SELECT id, dist AS dist_to_start FROM walk", recursive=True)
 def g7_g8_distance_to_start(spark, sf_dir):
-    return _from_busiest(spark, sf_dir, "way_id % 4 = 1")[1].select("id", "dist_to_start")
+    return _from_busiest(spark, sf_dir)[1].select("id", "dist_to_start")
 
 
-def _from_busiest(spark, sf_dir, ways):
+def _from_busiest(spark, sf_dir):
     """Edges, and distances to the node where most of them end."""
-    e = materialize(_search_edges(spark, sf_dir, ways), "search")
-    start = e.groupBy("dst").count().orderBy(F.col("count").desc(), "dst").limit(1).select(F.lit(0).cast("long").alias("job_id"), F.col("dst").alias("id"))
-    return e, rs.distances_to(e, start, 900.0)
+    e = materialize(_search_edges(spark, sf_dir), "search")
+    return e, rs.distances_to(e, _busiest(spark, sf_dir, e), 900.0)
 
 
-ORACLE_SQL["g7_g8_distance_to_start"] = ORACLE_SQL["g7_g8_distance_to_start"].replace("WITH", "WITH RECURSIVE", 1)
+def _busiest(spark, sf_dir, edges):
+    """The node where most edges end, as a search begins with it."""
+    top = edges.groupBy("dst").count().orderBy(F.col("count").desc(), "dst").first()
+    return rs.start_node(rs.tag_start(fx.nodes(spark, sf_dir), top.dst if top else -1))
 
 
-@query(f"{_HOPS}, near AS (SELECT id, min(dist) AS d FROM walk GROUP BY id HAVING min(dist) <= 450) SELECT src, dst FROM g WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)")
+@query(f"{_HOPS}, near AS (SELECT id FROM walk WHERE dist <= 450) SELECT src, dst FROM g WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)", recursive=True)
 def f16_reachable(spark, sf_dir):
-    e, dist = _from_busiest(spark, sf_dir, "way_id % 4 = 1")
-    return rs.reachable(fx.nodes(spark, sf_dir), e, dist, 900.0)[1].select("src", "dst")
-
-
-ORACLE_SQL["f16_reachable"] = ORACLE_SQL["f16_reachable"].replace("WITH", "WITH RECURSIVE", 1)
-
-
-# Over all ways; recursive SQL enumerates walks, so these are tested by brute force.
-
-
-@query()
-def g7_g8_distance_to_start_whole(spark, sf_dir):
-    return _from_busiest(spark, sf_dir, "true")[1].select("id", "dist_to_start")
-
-
-@query()
-def f16_reachable_whole(spark, sf_dir):
-    e, dist = _from_busiest(spark, sf_dir, "true")
+    e, dist = _from_busiest(spark, sf_dir)
     return rs.reachable(fx.nodes(spark, sf_dir), e, dist, 900.0)[1].select("src", "dst")
 
 
@@ -827,17 +896,9 @@ def g4_g5_g6_g26_bounding_box(spark, sf_dir):
 @query("""SELECT way_id, step, CASE WHEN dst = pts[1] THEN false
   WHEN len(pts) * 100 >= 300 AND len(pts) >= 2 AND list_contains(pts[1:2], dst) AND NOT list_contains(pts[len(pts) - 1:len(pts)], dst) THEN false
   ELSE list_contains(pts, dst) END AS overlaps
-FROM (SELECT way_id, list(node ORDER BY way_inx) AS pts FROM way_nodes GROUP BY way_id) w, (SELECT unnest([1, 2, 3, 4]) AS step),
-LATERAL (SELECT coalesce(pts[step], -1) AS dst)""")
+FROM (SELECT way_id, pts, unnest(range(1, len(pts) + 1))::INT AS step, unnest(pts) AS dst
+  FROM (SELECT way_id, list(node ORDER BY way_inx) AS pts FROM way_nodes GROUP BY way_id))""")
 def g10_overlap(spark, sf_dir):
-    w = fx.ways(spark, sf_dir).select(F.col("id").alias("way_id"), F.expr("transform(nodes, n -> n.nodeId)").alias("points"))
-    w = w.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(4))))
-    w = w.withColumns({"dst": F.expr("coalesce(try_element_at(points, step), -1L)"), "dist": (F.size("points") * 100).cast("double")})
-    return w.select("way_id", "step", rs.overlaps("points", "dst", "dist", 300.0, 2).alias("overlaps"))
-
-
-@query_whole("g10_overlap", ("(SELECT unnest([1, 2, 3, 4]) AS step)", "(SELECT DISTINCT way_inx::INT AS step FROM way_nodes)"), ("AS dst)", "AS dst) WHERE step <= len(pts)"))
-def g10_overlap_whole(spark, sf_dir):
     w = fx.ways(spark, sf_dir).select(F.col("id").alias("way_id"), F.expr("transform(nodes, n -> n.nodeId)").alias("points"))
     w = w.select("way_id", "points", F.posexplode("points").alias("at", "dst"), (F.size("points") * 100).cast("double").alias("dist"))
     return w.select("way_id", (F.col("at") + 1).alias("step"), rs.overlaps("points", "dst", "dist", 300.0, 2).alias("overlaps"))
@@ -855,42 +916,84 @@ def g11_g12_g27_completion(spark, sf_dir):
     return w.select("way_id", ok.alias("surfaces_ok"), (ok & F.col("dist").between(cfg.min_distance, cfg.max_distance)).alias("complete"))
 
 
-_ROUND = """, g AS (SELECT src, dst, min(d) AS distance FROM (
+#: The graph of all ways, in both directions, the shortest edge of each pair.
+_TWO_WAY = """, two_way AS MATERIALIZED (
   SELECT src, dst, (abs((dst * 37) % 499 - (src * 37) % 499) + abs((dst * 91) % 491 - (src * 91) % 491))::DOUBLE AS d FROM edges
-  UNION ALL SELECT dst, src, (abs((dst * 37) % 499 - (src * 37) % 499) + abs((dst * 91) % 491 - (src * 91) % 491))::DOUBLE AS d FROM edges) GROUP BY src, dst
-), one AS (SELECT src AS start, dst AS cur, distance AS dist FROM g WHERE src < 100 AND distance + (dst % 11) * 10 <= 625)
-SELECT one.start, one.cur AS via, g.dst AS cur, one.dist + g.distance AS dist,
+), g AS MATERIALIZED (
+  SELECT src, dst, min(d) AS distance FROM (SELECT src, dst, d FROM two_way UNION ALL SELECT dst, src, d FROM two_way) GROUP BY src, dst
+)"""
+
+_STEPS = f"""{_TWO_WAY}, one AS MATERIALIZED (SELECT src AS start, dst AS cur, distance AS dist FROM g WHERE distance + (dst % 11) * 10 <= 625),
+two AS (SELECT one.start, one.cur AS via, g.dst AS cur, one.dist + g.distance AS dist,
   CASE WHEN one.dist + g.distance + CASE WHEN g.dst = one.start THEN 0 ELSE (g.dst % 11) * 10 END > 625 THEN 'invalid'
        WHEN g.dst = one.start THEN CASE WHEN one.dist + g.distance >= 400 THEN 'complete' ELSE 'invalid' END ELSE 'valid' END AS status
-FROM one JOIN g ON g.src = one.cur"""
+FROM one JOIN g ON g.src = one.cur)"""
 
 
-@query(_ROUND)
-def g9_g13_g14_g25_j13_two_steps(spark, sf_dir):
-    return _two_steps(spark, sf_dir, "src < 100")
+def _two_way(spark, sf_dir):
+    e = _simple(spark, sf_dir).select("src", "dst", "distance")
+    return e.union(e.select("dst", "src", "distance")).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+
 
+def _with_geometry(edges):
+    """Stand-ins for the columns of an edge that a search carries along."""
+    line = F.array(F.lit(0.0), F.lit(1.0))
+    flat = {"elevation_gain": (F.col("src") % 7).cast("double"), "elevation_loss": (F.col("dst") % 5).cast("double")}
+    return edges.withColumns({**flat, "surface": F.lit("grass"), **{c: line for c in ("lats", "lons", "eles", "dists")}})
 
-@query_whole("g9_g13_g14_g25_j13_two_steps", ("src < 100 AND ", ""))
-def g9_g13_g14_g25_j13_two_steps_whole(spark, sf_dir):
-    return _two_steps(spark, sf_dir, "true")
 
+@query(f"{_STEPS} SELECT * FROM two")
+def g9_g13_g14_g25_j13_two_steps(spark, sf_dir):
+    return _two_steps(spark, sf_dir).select("start", F.element_at("points", -2).alias("via"), "cur", "dist", "status")
 
-def _two_steps(spark, sf_dir, starts):
+
+def _two_steps(spark, sf_dir):
     cfg = rs.RouteConfig(0.0, 0.0, 500.0, distance_tolerance=0.25)
-    e = _simple(spark, sf_dir).select("src", "dst", "distance")
-    e = e.union(e.select("dst", "src", "distance")).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
-    ends = F.array(F.lit(0.0), F.lit(1.0))
-    e = e.withColumns(
-        {
-            "elevation_gain": F.lit(0.0), "elevation_loss": F.lit(0.0), "surface": F.lit("grass"),
-            "dist_to_start": ((F.col("dst") % 11) * 10).cast("double"), **{c: ends for c in ("lats", "lons", "eles", "dists")},
-        }
-    )
+    e = _with_geometry(_two_way(spark, sf_dir)).withColumn("dist_to_start", ((F.col("dst") % 11) * 10).cast("double"))
     e = materialize(e, "two-steps")
-    starts = e.where(starts).select(F.col("src").alias("job_id"), F.col("src").alias("id")).distinct()
+    starts = e.select(F.col("src").alias("job_id"), F.col("src").alias("id")).distinct()
     one = rs.take_steps(rs.seeds(starts), e, cfg, rs.Settings()).where("status = 'valid'").drop("status")
-    two = rs.take_steps(one, e, cfg, rs.Settings())
-    return two.select("start", F.element_at("points", -2).alias("via"), "cur", "dist", "status")
+    return rs.take_steps(one, e, cfg, rs.Settings())
+
+
+@query(f"{_STEPS} SELECT status, count(*) AS n, round(avg(dist), 6) AS mean_dist FROM two GROUP BY status")
+def a10_progress(spark, sf_dir):
+    out = rs.step_totals(_two_steps(spark, sf_dir))
+    return out.select("status", "n", F.round("mean_dist", 6).alias("mean_dist"))
+
+
+_LOOP = rs.RouteConfig(0.0, 0.0, LOOP_M, distance_tolerance=0.25)
+_LO, _HI = repr(_LOOP.min_distance), repr(_LOOP.max_distance)
+
+#: Every circular route from the node where most edges end, by walking all of them.
+_LOOPS = f"""{_TWO_WAY}, s AS MATERIALIZED (SELECT dst AS id FROM g GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+home(id, dist) USING KEY (id) AS (
+  SELECT id, 0::DOUBLE FROM s
+  UNION
+  SELECT n.id, n.dist FROM (SELECT g.src AS id, min(home.dist + g.distance) AS dist FROM home JOIN g ON g.dst = home.id GROUP BY g.src) n
+  LEFT JOIN recurring.home k ON k.id = n.id WHERE n.dist <= {_HI} AND (k.dist IS NULL OR n.dist < k.dist)
+), near AS MATERIALIZED (SELECT id, dist FROM home WHERE dist <= {_HI} / 2),
+e AS MATERIALIZED (SELECT g.*, b.dist AS back FROM g JOIN near a ON a.id = g.src JOIN near b ON b.id = g.dst),
+walk(start, cur, pts, dist, gain, loss) AS (
+  SELECT id, id, [id], 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM s
+  UNION ALL
+  SELECT start, e.dst, list_append(pts, e.dst), walk.dist + e.distance, gain + e.src % 7, loss + e.dst % 5 FROM walk JOIN e ON e.src = cur
+  WHERE (len(pts) = 1 OR cur <> start) AND walk.dist + e.distance + e.back <= {_HI}
+    AND (e.dst = start OR NOT list_contains(pts, e.dst)
+         OR (walk.dist >= {_LO} AND len(pts) >= 3 AND list_contains(pts[1:3], e.dst) AND NOT list_contains(pts[len(pts) - 2:len(pts)], e.dst)))
+    AND (e.dst <> start OR walk.dist + e.distance >= {_LO})
+)
+SELECT array_to_string(pts, ',') AS points, dist, gain, loss FROM walk WHERE len(pts) > 1 AND cur = start"""
+
+
+@query(_LOOPS, recursive=True)
+def g7_g9_g14_g16_g25_all_loops(spark, sf_dir):
+    e = materialize(_two_way(spark, sf_dir), "two-way")
+    start = _busiest(spark, sf_dir, e)
+    e = rs.search_graph(e, fx.nodes(spark, sf_dir), start, _LOOP.max_distance)
+    out = rs.all_loops(materialize(_with_geometry(e), "loop-edges"), start, _LOOP)
+    out = spark.createDataFrame([], rs.CANDIDATE) if out is None else out
+    return out.select(F.array_join("points", ",").alias("points"), "dist", "gain", "loss")
 
 
 @query("SELECT n_nationkey::INT AS n_edges, a::INT AS attempt, least(n_nationkey * a * a, 64)::INT AS width FROM nation, range(1, 4) t(a)")
@@ -899,9 +1002,6 @@ def g15_g17_beam_width(spark, sf_dir):
     return spark.createDataFrame(rows, "n_edges int, attempt int, width int")
 
 
-_STEP_CONFIG = rs.RouteConfig(50.2, -1.7, 500.0, distance_tolerance=0.25)
-
-
 def _lattice(spark, sf_dir):
     """A grid of as many streets as customers allow: a graph with many loops."""
     n = fx.table(spark, sf_dir, "customer").count()
@@ -925,22 +1025,6 @@ def _lattice(spark, sf_dir):
     )
 
 
-@query()
-def g9_g13_j13_first_steps(spark, sf_dir):
-    _, e = _lattice(spark, sf_dir)
-    start = spark.createDataFrame([(0, 0), (1, 7)], "job_id long, id long")
-    e = e.withColumn("dist_to_start", F.lit(100.0))
-    return _three(e, start)
-
-
-def _three(e, start):
-    front = rs.seeds(start)
-    for k in range(3):
-        out = rs.take_steps(front, e, _STEP_CONFIG, rs.Settings())
-        front = out.where("status = 'valid'").drop("status") if k < 2 else out
-    return front.select("job_id", "cur", F.array_join("points", ",").alias("points"), "dist", "gain", "loss", "status")
-
-
 def _loop_config(mode: str = "hilly", **restricted) -> rs.RouteConfig:
     """A loop on the network, whose ways go far: a step is 40 km on average."""
     return rs.RouteConfig(50.2, -1.7, 100_000.0, mode, 0.25, **restricted)
@@ -981,6 +1065,19 @@ def u1_u2_u3_u6_refresh(spark, sf_dir):
     return table.read().select("src", "dst", "way_id", "timestamp")
 
 
+@query(f"""{_KEYED} SELECT src, dst, way_id, timestamp FROM landed l WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.src = l.src AND k.dst = l.dst AND k.timestamp >= l.timestamp)
+UNION ALL SELECT k.src, k.dst, k.way_id, k.timestamp FROM kept k JOIN landed l USING (src, dst) WHERE k.timestamp >= l.timestamp""")
+def u2_u3_partitions(spark, sf_dir):
+    """The same load as a change of the partitions that it touches."""
+    landed, staged = _keyed(fx.plain_edges(spark, sf_dir)), _keyed(fx.staged_edges(spark, sf_dir))
+    part = F.expr("concat((src * 37) % 499 div 50, '_', (src * 91) % 491 div 50)")
+    table = inc.SnapshotTable(spark, scratch_path(spark, "parts"), staged.schema, part)
+    base = table.write(staged)
+    now = table.read()
+    table.change(["src", "dst"], inc.changes(landed, now, ["src", "dst"]), inc.removals(now, landed, ["src", "dst"]), base)
+    return table.read().select("src", "dst", "way_id", "timestamp")
+
+
 @query(f"{_KEYED} SELECT src, dst FROM kept WHERE src > 0")
 def u3_delete(spark, sf_dir):
     staged = _keyed(fx.staged_edges(spark, sf_dir))
@@ -989,7 +1086,7 @@ def u3_delete(spark, sf_dir):
 
 @query("SELECT string_agg(file_id, ',' ORDER BY file_id) AS manifest FROM bounds")
 def u5_s2_manifest(spark, sf_dir):
-    now = files.manifest(fx.bounds(spark))
+    now = files.manifest(fx.bounds(spark, sf_dir))
     path = scratch_path(spark, "manifest")
     text = now.first().manifest
     assert files.changed(spark, path, text)
@@ -1002,10 +1099,10 @@ def u5_s2_manifest(spark, sf_dir):
 # whole plans
 
 
-_SANE = f"""{TAGGED}{FLAGS}{PLACED.format('edges')}{SAMPLES}{PROFILES}, sane AS (
+_SANE = f"""{TAGGED}{FLAGS}{PLACED.format('edges')}{SAMPLES}{PROFILES}, sane AS MATERIALIZED (
   SELECT f.src, f.dst, f.way_id, f.way_inx, f.highway, f.surface, f.oneway, CASE WHEN bridge IS NOT NULL THEN 0 ELSE gain END AS g, CASE WHEN bridge IS NOT NULL THEN 0 ELSE loss END AS l
   FROM flagged f JOIN profiles p USING (src, dst, way_id, way_inx) WHERE whole AND {ACCESS} AND {SAFE}
-), sane_both AS (
+), sane_both AS MATERIALIZED (
   SELECT src, dst, way_id, way_inx, highway, surface, g, l FROM sane UNION ALL
   SELECT dst, src, -way_id, -way_inx, highway, surface, l, g FROM sane WHERE oneway IS NULL OR oneway = 'no'
 )"""
@@ -1013,14 +1110,15 @@ _SANE = f"""{TAGGED}{FLAGS}{PLACED.format('edges')}{SAMPLES}{PROFILES}, sane AS
 
 @query(f"{_SANE} SELECT src, dst, way_id, way_inx::INT AS way_inx, highway, surface, g AS elevation_gain, l AS elevation_loss FROM sane_both")
 def plan_sanitised_edges(spark, sf_dir):
-    e = ingest.stage_edges(_edges(spark, sf_dir), fx.elevation(spark))
+    e = ingest.stage_edges(_edges(spark, sf_dir), fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir))
     out = ingest.sanitise_edges(e, F.lit(1.0))
     return out.select("src", "dst", "way_id", "way_inx", "highway", "surface", "elevation_gain", "elevation_loss")
 
 
 def _optimised(spark, sf_dir, metres=False):
-    n = ingest.stage_nodes(fx.nodes(spark, sf_dir), fx.elevation(spark))
-    e = ingest.sanitise_edges(ingest.stage_edges(_edges(spark, sf_dir), fx.elevation(spark)), None if metres else F.lit(1.0))
+    cells, tiles = fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir)
+    n = ingest.stage_nodes(fx.nodes(spark, sf_dir), cells, tiles)
+    e = ingest.sanitise_edges(ingest.stage_edges(_edges(spark, sf_dir), cells, tiles), None if metres else F.lit(1.0))
     e = materialize(e, "sanitised")
     return ingest.optimise(ingest.sanitise_nodes(n, e), e)
 

@@ -6,6 +6,8 @@ same. The SQL texts give the same relations to DuckDB.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,12 +88,24 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(ids, "id").select("id", "lat", "lon", "easting", "northing", "timestamp")
 
 
-def elevation(spark: SparkSession) -> DataFrame:
-    """A 500 by 500 grid without its north-eastern corner, by tile."""
-    grid = spark.range(250_000).select((F.col("id") % 500).cast("int").alias("easting"), F.floor(F.col("id") / 500).cast("int").alias("northing"))
-    grid = grid.where("NOT (easting >= 400 AND northing >= 400)")
+#: Order lines for which the raster grows by a square of ``SIDE`` metres each way.
+LINES, SIDE = 15_000, 500
+
+
+def squares(spark: SparkSession, sf_dir: str) -> int:
+    """How many squares wide the raster is: its area grows with the tables."""
+    return max(1, math.ceil(math.sqrt(table(spark, sf_dir, "lineitem").count() / LINES)))
+
+
+def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by tile. All ways lie in the first square, which lacks its
+    north-eastern corner; the country around it only a load without pruning reads."""
+    side = SIDE * squares(spark, sf_dir)
+    grid = spark.range(side * side).select((F.col("id") % side).cast("int").alias("easting"), F.expr(f"cast(id div {side} as int)").alias("northing"))
+    grid = grid.where("NOT (easting BETWEEN 400 AND 499 AND northing BETWEEN 400 AND 499)")
     tile = F.expr(
-        "CASE WHEN northing < 250 THEN CASE WHEN easting < 250 THEN 'A' ELSE 'B' END "
+        f"CASE WHEN easting >= {SIDE} OR northing >= {SIDE} THEN concat('X', easting div {SIDE}, '_', northing div {SIDE}) "
+        "WHEN northing < 250 THEN CASE WHEN easting < 250 THEN 'A' ELSE 'B' END "
         "WHEN easting < 250 THEN 'C' WHEN easting < 400 THEN 'D' ELSE 'E' END"
     )
     return grid.select("easting", "northing", F.expr("cast(((easting * 2 + northing * 3) % 1000) div 10 as double)").alias("elevation"), tile.alias("file_id"))
@@ -100,8 +114,10 @@ def elevation(spark: SparkSession) -> DataFrame:
 BOUNDS = [("A", 0, 0, 250, 250), ("B", 250, 0, 500, 250), ("C", 0, 250, 250, 500), ("D", 250, 250, 400, 500), ("E", 400, 250, 500, 400)]
 
 
-def bounds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BOUNDS, "file_id string, min_easting int, min_northing int, max_easting int, max_northing int")
+def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = squares(spark, sf_dir)
+    around = [(f"X{i}_{j}", i * SIDE, j * SIDE, (i + 1) * SIDE, (j + 1) * SIDE) for i in range(k) for j in range(k) if i or j]
+    return spark.createDataFrame(BOUNDS + around, "file_id string, min_easting int, min_northing int, max_easting int, max_northing int")
 
 
 def staged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +169,17 @@ nodes AS (
 ),
 ways AS (SELECT DISTINCT way_id FROM way_nodes),
 tags AS (SELECT way_id, {tag_sql("way_id")} FROM ways),
+squares AS (SELECT greatest(1, ceil(sqrt(count(*) / {LINES}.0)))::INT AS k FROM lineitem),
 elevation AS (
   SELECT e::INT AS easting, n::INT AS northing, (((e * 2 + n * 3) % 1000) // 10)::DOUBLE AS elevation
-  FROM range(500) t(e), range(500) u(n) WHERE NOT (e >= 400 AND n >= 400)
+  FROM (SELECT unnest(range(k * {SIDE})) AS e FROM squares), (SELECT unnest(range(k * {SIDE})) AS n FROM squares)
+  WHERE NOT (e BETWEEN 400 AND 499 AND n BETWEEN 400 AND 499)
 ),
 bounds AS (
   SELECT * FROM (VALUES {", ".join(str(b) for b in BOUNDS)}) t(file_id, min_easting, min_northing, max_easting, max_northing)
+  UNION ALL
+  SELECT 'X' || i || '_' || j, (i * {SIDE})::INT, (j * {SIDE})::INT, ((i + 1) * {SIDE})::INT, ((j + 1) * {SIDE})::INT
+  FROM (SELECT unnest(range(k)) AS i FROM squares), (SELECT unnest(range(k)) AS j FROM squares) WHERE i + j > 0
 ),
 staged AS (
   SELECT src, dst, way_id, way_inx, timestamp - CASE WHEN way_id % 10 = 1 THEN 1 ELSE 0 END AS timestamp FROM edges WHERE way_id % 10 <> 0

@@ -1,8 +1,9 @@
 """The incremental load as a stream: new landing files update a staged table.
 
-Landing files are read as a file stream; each micro-batch is one upsert, by the
-same operators as the batch load, into the next snapshot of the staged table.
-Removals need the whole landing state, so they are left to batch runs.
+Landing files are read as a file stream; each micro-batch is one change, by the
+same operators as the batch load, into the next version of the staged table. A
+batch costs the partitions that its rows lie in, and old versions go as new ones
+come. Removals need the whole landing state, so they are left to batch runs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ridgeline.operators.incremental import SnapshotTable, changes, upsert
+from ridgeline.operators.incremental import SnapshotTable, changes
+from ridgeline.runtime import materialize
+
+#: Versions that readers of the staged table may still be reading.
+KEEP = 3
 
 
 def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,10 +33,12 @@ def upsert_batch(table: SnapshotTable, keys: list[str], tag: Callable[[DataFrame
     staged already and changes nothing."""
 
     def run(batch: DataFrame, _: int) -> None:
+        base = max(table.versions(), default=0)
         staged = table.read()
-        updates = tag(changes(newest(batch, keys), staged, keys)).select(staged.columns)
+        updates = materialize(tag(changes(newest(batch, keys), staged, keys)).select(staged.columns), "batch")
         if not updates.isEmpty():
-            table.write(upsert(staged, updates, keys))
+            table.change(keys, updates, base=base)
+            table.vacuum(KEEP)
 
     return run
 

@@ -48,3 +48,14 @@ def test_way_end_flags(spark):
     df = spark.createDataFrame([(1, 1, 5), (2, 2, 0), (3, 2, 1), (4, 3, -2), (5, 3, -1), (6, 3, 0)], "id int, way_id long, way_inx int")
     got = {r.id: (r.way_start_flag, r.way_end_flag) for r in ct.way_ends(df).collect()}
     assert got == {1: (1, 1), 2: (1, 0), 3: (0, 1), 4: (1, 0), 5: (0, 0), 6: (0, 1)}
+
+
+def test_one_shuffle_by_way(spark):
+    """After the nodes are joined, everything along a way shares one exchange
+    and one sort."""
+    e = edges(spark, [(1, 2, 1, 0), (2, 3, 1, 1), (3, 1, 2, 0)])
+    flagged = ct.endpoint_flags(e, nodes(spark, range(1, 4)).selectExpr("*", "1 AS contract_flag", "0 AS dead_end_flag"))
+    stored = spark.createDataFrame(flagged.collect(), flagged.schema)
+    plan = ct.fill_chains(ct.chain_ends(ct.way_ends(stored)))._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("+- == Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(way_id") == 1 and plan.count("Sort [way_id") == 1

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,50 @@ def test_snapshots(spark, tmp_path):
         t.read(1)
 
 
+def test_two_writers_of_one_version(spark, tmp_path):
+    """The second of two writers that began with one version fails, and nothing
+    that either stored is lost or half seen."""
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    t = inc.SnapshotTable(spark, f"{tmp_path}/snap", rows(1).schema)
+    base = t.write(rows(1))
+    assert t.write(t.read().unionByName(rows(2)), base=base) == 2
+    with pytest.raises(inc.ConcurrentWrite):
+        t.write(rows(1, 3), base=base)
+    with pytest.raises(inc.ConcurrentWrite):
+        t.change(["id"], rows(3), base=base)
+    assert t.versions() == [1, 2] and sorted(r.id for r in t.read().collect()) == [1, 2]
+    assert t.change(["id"], rows(3)) == 3 and sorted(r.id for r in t.read().collect()) == [1, 2, 3]
+    t.vacuum()
+    assert t.versions() == [3] and t.read().count() == 3
+    left = [n for n in os.listdir(f"{tmp_path}/snap") if n.startswith("data-")]
+    assert len(left) == 1
+
+
+def test_a_change_rewrites_what_it_touches(spark, tmp_path):
+    data = [(i, i * 10, f"p {i % 5}") for i in range(50)] + [(50, 0, None)]
+    df = spark.createDataFrame(data, "id long, v long, place string")
+    t = inc.SnapshotTable(spark, f"{tmp_path}/parts", df.schema, F.col("place"))
+    t.write(df)
+    before = t.partitions()
+    assert len(before) == 6
+    # One row changes, one moves, one is new, one goes.
+    updates = spark.createDataFrame([(1, -1, "p 1"), (6, -6, "p 2"), (99, 99, "p 9")], df.schema)
+    t.change(["id"], updates, spark.createDataFrame([(11,)], "id long"))
+    after = t.partitions()
+    assert {p for p in before if before[p] != after[p]} == {"__part=p 1", "__part=p 2"}
+    want = {i: (v, p) for i, v, p in data} | {1: (-1, "p 1"), 6: (-6, "p 2"), 99: (99, "p 9")}
+    del want[11]
+    assert {r.id: (r.v, r.place) for r in t.read().collect()} == want
+    assert {r.id for r in t.read(1).collect()} == set(range(51))
+    # A partition without rows is no longer listed, and nothing to do is no version.
+    t.change(["id"], updates.limit(0), spark.createDataFrame([(99,), (50,)], "id long"))
+    assert len(t.partitions()) == 5
+    assert t.change(["id"], updates.limit(0), spark.createDataFrame([(12345,)], "id long")) == 3
+    t.vacuum()
+    del want[99], want[50]
+    assert {r.id: (r.v, r.place) for r in t.read().collect()} == want
+
+
 def test_spatial_chunk_is_stable(spark):
     df = spark.createDataFrame([(i, 1, (i * 7919) % 20000, (i * 104729) % 20000) for i in range(500)], NODES)
     a = [r.id for r in inc.spatial_chunk(df, ["id"], 100).collect()]

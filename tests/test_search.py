@@ -1,3 +1,7 @@
+import math
+from functools import reduce
+from operator import add
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,13 +106,29 @@ def test_distances(spark):
 
 
 def test_return_paths(spark):
-    e = spark.createDataFrame([(2, 3), (3, 0), (5, 1), (1, 0), (7, 8)], "src long, dst long")
-    rows = [(0, 0, 2, [0, 1, 2]), (1, 0, 5, [0, 1, 5]), (2, 0, 7, [0, 1, 7])]
-    c = spark.createDataFrame(rows, "job_id long, start long, cur long, points array<long>")
+    e = spark.createDataFrame([(2, 3, 1.0), (3, 0, 1.0), (5, 1, 1.0), (1, 0, 1.0), (7, 8, 1.0)], "src long, dst long, distance double")
+    rows = [(0, 0, 2, [0, 1, 2], 2.0), (1, 0, 5, [0, 1, 5], 2.0), (2, 0, 7, [0, 1, 7], 2.0)]
+    c = spark.createDataFrame(rows, "job_id long, start long, cur long, points array<long>, dist double")
     assert sorted(r.job_id for r in rs.return_paths(c, e, 1, 100.0).collect()) == [0]
     assert sorted(r.job_id for r in rs.return_paths(c, e, 2, 100.0).collect()) == [0, 1]
 
 
+def test_return_paths_are_short_enough(spark):
+    """A loop of six kilometres is no way home for a route of 1.5."""
+    ring = [(i, (i + 1) % 6, 1000.0) for i in range(6)] + [(1, 9, 10.0), (9, 0, 10.0)]
+    e = spark.createDataFrame(ring, "src long, dst long, distance double")
+    c = spark.createDataFrame([(0, 0, 1, [0, 1], 1000.0), (1, 0, 3, [0, 1, 2, 3], 3000.0)], "job_id long, start long, cur long, points array<long>, dist double")
+    got = lambda most: sorted(r.job_id for r in rs.return_paths(c, e, 1, most).collect())
+    assert got(1500.0) == [0] and got(1020.0) == [] and got(6000.0) == [0] and got(6000.1) == [0, 1]
+
+
+def test_a_long_way_home_is_walked_to_its_end(spark):
+    n = 40
+    e = spark.createDataFrame([(i, (i + 1) % n, 1.0) for i in range(n)], "src long, dst long, distance double")
+    c = spark.createDataFrame([(0, 0, 1, [0, 1], 1.0)], "job_id long, start long, cur long, points array<long>, dist double")
+    assert rs.return_paths(c, e, 1, n + 1.0).count() == 1 and rs.return_paths(c, e, 1, float(n)).count() == 0
+
+
 @pytest.mark.parametrize("mode,strategy", [("hilly", "fuzzy"), ("flat", "naive")])
 def test_search_finds_loops(spark, mode, strategy):
     n, e = _lattice(spark, "/root/testdata/sf0.001")
@@ -128,6 +148,97 @@ def test_search_finds_loops(spark, mode, strategy):
     assert ratio == sorted(ratio, reverse=mode == "hilly")
 
 
+def beam(nodes, edges, cfg, settings):
+    """The pruned search in plain Python, step by step; the completed routes.
+
+    ``edges`` as the search has them, with the distance home of their ends.
+    """
+    start = min(nodes, key=lambda n: ((n.lat - cfg.start_lat) ** 2 + ((n.lon - cfg.start_lon) * math.cos(math.radians(cfg.start_lat))) ** 2, n.id)).id
+    out = {}
+    for e in edges:
+        out.setdefault(e.src, []).append(e)
+    width = min(len(edges), settings.max_candidates)
+    front, done = [((start,), 0.0, 0.0, [], [])], []
+    while front:
+        valid = []
+        for points, dist, gain, lats, lons in front:
+            for e in out.get(points[-1], []):
+                first, recent = points[:3], points[-3:]
+                nearly = dist >= cfg.min_distance and len(points) >= 3 and e.dst in first and e.dst not in recent
+                total = dist + e.distance
+                if e.dst != start and e.dst in points and not nearly:
+                    continue
+                home = 0.0 if e.dst == start else e.dist_to_start
+                if home is None or total + home > cfg.max_distance:
+                    continue
+                row = (points + (e.dst,), total, gain + e.elevation_gain, lats + e.lats, lons + e.lons)
+                if e.dst != start:
+                    valid.append(row)
+                elif cfg.min_distance <= total <= cfg.max_distance:
+                    done.append(row)
+        front = valid if len(valid) <= width else pruned(valid, width, cfg, settings)
+    return {p: (d, g) for p, d, g, *_ in done}
+
+
+def pruned(rows, width, cfg, settings):
+    text = lambda r: "[" + ", ".join(map(str, r[0])) + "]"
+    middle = lambda x: reduce(add, x) / len(x)  # noqa: E731 - sum() rounds otherwise
+    bins = math.ceil(width / settings.bin_size)
+    across = math.ceil(math.sqrt(bins))
+    stripe = settings.bin_size * math.ceil(bins / across)
+    rows = sorted(rows, key=lambda r: (middle(r[3]), text(r)))
+    stripes = [sorted(rows[i : i + stripe], key=lambda r: (middle(r[4]), text(r))) for i in range(0, len(rows), stripe)]
+    bins = [s[i : i + settings.bin_size] for s in stripes for i in range(0, len(s), settings.bin_size)]
+    target = max(1, width // len(bins))
+    best = lambda r: (-(r[1] // 1000), -int(cfg.sign * r[2]), text(r))
+    kept = []
+    for b in bins:
+        b = sorted(b, key=best)
+        kept += b[:target] if settings.pruning_strategy == "naive" else unlike(b, target, settings.pruning_threshold)
+    return kept
+
+
+def unlike(rows, target, most):
+    """The best rows that are not too much like better ones, the limit rising
+    from 0.7 by 0.1 while there are too few."""
+    if len(rows) <= target:
+        return rows
+    kept, rest, limit = [rows[0]], rows[1:], 0.7
+    while True:
+        again = []
+        for r in rest:
+            a = set(r[0])
+
+            def alike(k, a=a):
+                b = set(k[0])
+                sizes = sorted((len(a), len(b)))
+                return sizes[0] < sizes[1] * limit or sizes[1] > sizes[0] * (2 - limit) or len(a & b) > limit * len(a | b)
+
+            if len(kept) < target and not any(alike(k) for k in kept):
+                kept.append(r)
+            else:
+                again.append(r)
+        if len(kept) >= target or limit >= most:
+            return kept
+        rest, limit = again, min(limit + 0.1, most)
+
+
+@pytest.mark.parametrize("mode,strategy,most", [("hilly", "naive", 64), ("flat", "naive", 40), ("hilly", "fuzzy", 64), ("flat", "fuzzy", 100)])
+def test_pruned_search_against_plain_python(spark, mode, strategy, most):
+    """The beam keeps just the candidates that a plain search keeps (G16-G18,
+    G20, G21)."""
+    n, e = _lattice(spark, "/root/testdata/sf0.001")
+    cfg = rs.RouteConfig(50.205, -1.69, 900.0, mode, 0.15)
+    settings = rs.Settings(max_candidates=most, bin_size=16, max_routes=10_000, display_threshold=1.0, pruning_strategy=strategy)
+    nodes, edges = rs.loaded_graph(rs.nodes_window(n, cfg), rs.edges_window(e, cfg))
+    start = rs.start_node(rs.tag_start(nodes, rs.nearest_node(nodes, cfg.start_lat, cfg.start_lon).first().id))
+    graph = rs.search_graph(edges, nodes, start, cfg.max_distance)
+    want = beam(nodes.collect(), graph.collect(), cfg, settings)
+    found = rs._attempt(start, graph, most, cfg, settings, float("inf"), rs.Progress())
+    got = {tuple(r.points): (r.dist, r.gain) for r in found.collect()}
+    assert got == want and len(want) > 5
+
+
 def test_no_route_and_timeout(spark):
     n, e = _lattice(spark, "/root/testdata/sf0.001")
     far = rs.RouteConfig(50.205, -1.69, 150.0, distance_tolerance=0.01)

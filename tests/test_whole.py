@@ -46,7 +46,7 @@ def test_tiles_of_every_way(spark, tmp_path):
     at = lambda n: next(f for f, a, b, c, d in fx.BOUNDS if a <= place(n)[0] < c and b <= place(n)[1] < d)
     want = {at(n) for nodes in ways.values() for n in nodes}
     assert {at(8), at(12)} < want
-    assert {r.file_id for r in run(spark, save(spark, tmp_path, ways), "j7_x3_edge_tiles_whole")} == want
+    assert {r.file_id for r in run(spark, save(spark, tmp_path, ways), "j7_x3_edge_tiles")} == want
 
 
 def lengths(ways):
@@ -67,13 +67,11 @@ def test_distances_over_every_way(spark, town):
         for (a, b), d in edges.items():
             if b in dist and dist[b] + d <= min(900.0, dist.get(a, 900.0)):
                 dist[a] = dist[b] + d
-    got = {r.id: r.dist_to_start for r in run(spark, sf_dir, "g7_g8_distance_to_start_whole")}
+    got = {r.id: r.dist_to_start for r in run(spark, sf_dir, "g7_g8_distance_to_start")}
     assert got == dist
-    part = {r.id: r.dist_to_start for r in run(spark, sf_dir, "g7_g8_distance_to_start")}
-    assert got != part
     near = {n for n, d in dist.items() if d <= 450}
     want = {(a, b) for a, b in edges if a in near and b in near}
-    assert {tuple(r) for r in run(spark, sf_dir, "f16_reachable_whole")} == want
+    assert {tuple(r) for r in run(spark, sf_dir, "f16_reachable")} == want
 
 
 def test_every_way_has_a_bin(spark, town):
@@ -83,12 +81,12 @@ def test_every_way_has_a_bin(spark, town):
     assert len(by_lat) <= 256  # one stripe
     by_lon = sorted(ways, key=lambda w: (mean(w, 70), str(w)))
     bins = {w: (0, i // 64) for i, w in enumerate(by_lon)}
-    assert {r.way_id: (r.x_bin, r.y_bin) for r in run(spark, sf_dir, "w5_g19_g20_bins_whole")} == bins
+    assert {r.way_id: (r.x_bin, r.y_bin) for r in run(spark, sf_dir, "w5_g19_g20_bins")} == bins
     want = set()
     for b in set(bins.values()):
         rank = lambda w: (-(sum(n % 1500 for n in ways[w]) // 1000), -(len(ways[w]) * 13 % 29), str(w))
         want |= set(sorted((w for w in bins if bins[w] == b), key=rank)[:5])
-    assert {r.way_id for r in run(spark, sf_dir, "w6_t2_t4_best_in_bins_whole")} == want
+    assert {r.way_id for r in run(spark, sf_dir, "w6_t2_t4_best_in_bins")} == want
 
 
 def test_steps_from_every_node(spark, town):
@@ -96,7 +94,7 @@ def test_steps_from_every_node(spark, town):
     both = lengths(ways) | {(b, a): d for (a, b), d in lengths(ways).items()}
     one = {(a, b): d for (a, b), d in both.items() if d + b % 11 * 10 <= 625}
     want = {(a, b, c) for a, b in one for (x, c) in both if x == b}
-    got = run(spark, sf_dir, "g9_g13_g14_g25_j13_two_steps_whole")
+    got = run(spark, sf_dir, "g9_g13_g14_g25_j13_two_steps")
     assert sorted((r.start, r.via, r.cur) for r in got) == sorted(want) and max(r.start for r in got) >= 100
 
 
@@ -107,20 +105,20 @@ def test_every_point_of_a_way(spark, town):
         nearly = len(p) * 100 >= 300 and len(p) >= 2 and d in p[:2] and d not in p[-2:]
         return d != p[0] and not nearly
 
-    got = {(r.way_id, r.step): r.overlaps for r in run(spark, sf_dir, "g10_overlap_whole")}
+    got = {(r.way_id, r.step): r.overlaps for r in run(spark, sf_dir, "g10_overlap")}
     assert got == {(w, i + 1): overlap(p, d) for w, p in ways.items() for i, d in enumerate(p)}
 
 
 def test_semi_joins_by_attributes(spark, town):
     sf_dir, ways = town
     foot = {n for a, b, w in steps(ways) if w % 5 == 0 for n in (a, b)}
-    assert {r.id for r in run(spark, sf_dir, "j3_x1_used_nodes_of_footways")} == foot
+    assert {r.id for r in run(spark, sf_dir, "j3_x1_used_nodes")} == foot
     inside = lambda n: all(50 <= x <= 399 for x in place(n))
     want = defaultdict(lambda: 10**9)
     for a, b, w in steps(ways):
         if inside(a) and inside(b):
             want[a, b] = min(want[a, b], w)
-    assert {(r.src, r.dst): r.way_id for r in run(spark, sf_dir, "j12_loaded_graph_in_box")} == want
+    assert {(r.src, r.dst): r.way_id for r in run(spark, sf_dir, "j12_loaded_graph")} == want
 
 
 def loops(nodes, edges, cfg, surfaces, overlap=3):
