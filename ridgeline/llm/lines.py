@@ -39,6 +39,7 @@ def _windows(span: int):
             row, line, key = [], [], []
 
             def flush(batch=batch):
+                # The lists of the rows so far; a very long text gives several batches.
                 take = pa.array(row, pa.int64())
                 k = np.frombuffer(b"".join(key), dtype=np.int64).reshape(-1, 2)
                 return pa.record_batch(
@@ -49,14 +50,18 @@ def _windows(span: int):
             for r in range(batch.num_rows):
                 if not batch.column(2)[r].is_valid:
                     continue
-                lines = raw[offsets[r] : offsets[r + 1]].tobytes().split(b"\n")
-                for i in range(len(lines) - span + 1):
+                # A window is one stretch of the text, so no line is cut out of it.
+                text = memoryview(raw[offsets[r] : offsets[r + 1]])
+                ends = np.flatnonzero(raw[offsets[r] : offsets[r + 1]] == 10)
+                starts = np.concatenate([[0], ends + 1])
+                ends = np.append(ends, len(text))
+                for i in range(len(starts) - span + 1):
                     row.append(r)
                     line.append(i)
-                    key.append(hashlib.blake2b(b"\n".join(lines[i : i + span]), digest_size=16).digest())
-                if len(row) > 50_000:
-                    yield flush()
-                    row, line, key = [], [], []
+                    key.append(hashlib.blake2b(text[starts[i] : ends[i + span - 1]], digest_size=16).digest())
+                    if len(row) > 50_000:
+                        yield flush()
+                        row, line, key = [], [], []
             if row:
                 yield flush()
 
