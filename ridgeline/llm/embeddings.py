@@ -23,6 +23,7 @@ of its component within the tile; pairs are never emitted. Equal vectors of a
 label are one vector with a count before they meet, so a large group of copies
 costs one row. Distinct vectors are told apart by a number of their own, not by
 their id, so an id that occurs twice, also under two labels, joins nothing.
+Equality is that of 128 bits of hashes of the label and the components.
 
 Defined results: vectors that are null, empty, zero, or that hold null or
 non-finite components, and rows with a null label or id, link with nothing and
@@ -225,7 +226,7 @@ def _quantiser(kind: str):
     """Numbers of distinct vectors with their codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["label", "full", "rep", "copies", "vid", "dim"]
+        names = ["label", "full", "rep", "copies", "vid", "dim", "k1", "k2"]
         for batch in batches:
             full = batch.column(1).to_pylist()
             code, scale, error = [b""] * len(full), np.zeros(len(full), np.float32), np.zeros(len(full), np.float32)
@@ -259,12 +260,18 @@ def near_vectors(
         F.col(label_col).cast("string").alias("label"),
         F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"),
     )
-    packed = materialize(src.mapInArrow(_packer(kind), "vec_id long, label string, full binary"), "vectors")
-    live = "vec_id IS NOT NULL AND label IS NOT NULL AND full IS NOT NULL"
-    one = packed.where(live).groupBy("label", "full").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    packed = src.mapInArrow(_packer(kind), "vec_id long, label string, full binary")
+    live = F.expr("vec_id IS NOT NULL AND label IS NOT NULL AND full IS NOT NULL")
+    # Equal vectors of a label meet by 128 bits, so the vectors themselves travel once.
+    key = ["k1", "k2"]
+    packed = packed.withColumns({"k1": F.when(live, F.xxhash64("label", "full")), "k2": F.when(live, F.xxhash64(F.lit(7), "full", "label"))})
+    packed = materialize(packed, "vectors")
+    one = packed.where(live).groupBy(*key).agg(
+        F.first("label").alias("label"), F.first("full").alias("full"), F.min("vec_id").alias("rep"), F.count("*").alias("copies")
+    )
     # The number is stored with its vector, so no later task sees another one.
-    one = one.select("label", "full", "rep", "copies", F.monotonically_increasing_id().alias("vid"), F.length("full").alias("dim"))
-    schema = "label string, full binary, rep long, copies long, vid long, dim int, code binary, scale float, error float"
+    one = one.select("label", "full", "rep", "copies", F.monotonically_increasing_id().alias("vid"), F.length("full").alias("dim"), *key)
+    schema = "label string, full binary, rep long, copies long, vid long, dim int, k1 long, k2 long, code binary, scale float, error float"
     one = materialize(one.mapInArrow(_quantiser(kind), schema), "distinct-vectors")
 
     sizes = one.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
@@ -277,13 +284,13 @@ def near_vectors(
         "'i', least(t, block), 'j', greatest(t, block), "
         "'side', CASE WHEN t = block THEN 1 WHEN block < t THEN 0 ELSE 2 END))"
     )
-    key = ["label", "dim", "i", "j"]
-    tiled = placed.select(*key[:2], "vid", "copies", "code", "scale", "error", F.explode(tile).alias("t"))
-    tiled = tiled.select(*key[:2], "t.i", "t.j", "t.side", "vid", "copies", "code", "scale", "error")
+    tiles = ["label", "dim", "i", "j"]
+    tiled = placed.select("label", "dim", "vid", "copies", "code", "scale", "error", F.explode(tile).alias("t"))
+    tiled = tiled.select("label", "dim", "t.i", "t.j", "t.side", "vid", "copies", "code", "scale", "error")
     links = "vid long, links long, head long"
-    coarse = materialize(tiled.groupBy(*key).applyInPandas(_coarse(threshold), f"{links}, open boolean, i int, j int, side int"), "tiles")
-    again = coarse.where("open").select("vid", "i", "j", "side").join(one.drop("rep"), "vid")
-    fine = materialize(again.groupBy(*key).applyInPandas(_fine(threshold, kind), links), "open-tiles")
+    coarse = materialize(tiled.groupBy(*tiles).applyInPandas(_coarse(threshold), f"{links}, open boolean, i int, j int, side int"), "tiles")
+    again = coarse.where("open").select("vid", "i", "j", "side").join(one.drop("rep", "k1", "k2"), "vid")
+    fine = materialize(again.groupBy(*tiles).applyInPandas(_fine(threshold, kind), links), "open-tiles")
 
     found = coarse.where("links > 0").select("vid", "links", "head").unionByName(fine)
     comp = connected_components(found.select(F.col("vid").alias("a"), F.col("head").alias("b")))
@@ -292,13 +299,13 @@ def near_vectors(
     placed = placed.select("vid", "rep", F.coalesce("component", "vid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     placed = materialize(placed, "placed")
     least = materialize(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    known = one.select("label", "full", "vid").join(placed.join(least, "component").select("vid", "n_links", "component_id"), "vid")
-    known = known.select("label", "full", "n_links", "component_id")
-    return packed.join(known, ["label", "full"], "left").select(
+    known = one.select("vid", *key).join(placed.join(least, "component").select("vid", "n_links", "component_id"), "vid").drop("vid")
+    out = packed.select("vec_id", live.alias("live"), *key).join(known, key, "left")
+    return out.select(
         "vec_id",
-        F.when(F.expr(live), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.expr(live), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
-        F.coalesce(F.when(F.expr(live), F.col("component_id") == F.col("vec_id")), F.lit(True)).alias("kept"),
+        F.when(F.col("live"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("live"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
+        F.coalesce(F.when(F.col("live"), F.col("component_id") == F.col("vec_id")), F.lit(True)).alias("kept"),
     )
 
 
