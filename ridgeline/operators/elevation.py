@@ -3,6 +3,8 @@ P8, P11, G2, A2, A4, F2, F14, F15)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,15 +152,113 @@ def implode_edges(samples: DataFrame, carry: list[str]) -> DataFrame:
     return out.withColumn("elevation", whole_or_null(F.col("elevation")))
 
 
-def tag_edges(edges: DataFrame, elevation: DataFrame) -> DataFrame:
-    """Edges with their elevation profile."""
-    narrow = edges.select(
-        "src", "dst", "way_id", "way_inx", "src_easting", "src_northing", "dst_easting", "dst_northing"
+#: Side of the squares in which edges meet the raster, metres.
+SQUARE = 128
+#: Edges of a square that are sampled at once.
+_EDGES = 1 << 15
+_KEY = ["src", "dst", "way_id", "way_inx"]
+_PART = "src long, dst long, way_id long, way_inx int, first int, missing boolean, heights array<double>"
+
+
+def edge_squares(edges: DataFrame) -> DataFrame:
+    """A row for each edge with ``edge_steps`` and each square, ``be, bn``, that
+    its samples can lie in: column by column of squares, the rows that the line
+    crosses there, with half a metre more for rounding."""
+    se, sn, de, dn = (F.col(f"{end}_{c}") for end in ("src", "dst") for c in ("easting", "northing"))
+    squares = lambda a, b: F.sequence(F.floor(a / SQUARE).cast("int"), F.floor(b / SQUARE).cast("int"))
+    out = edges.select("*", F.explode(squares(F.least(se, de), F.greatest(se, de))).alias("be"))
+
+    def at(e):
+        """Northing where the line passes an easting, at most where it ends."""
+        e = F.greatest(F.least(se, de), F.least(F.greatest(se, de), e))
+        return sn + (dn - sn) * F.coalesce(F.try_divide(e - se, de - se), F.lit(0.0))
+
+    into, out_of = at(F.col("be") * SQUARE - 0.5), at(F.col("be") * SQUARE + (SQUARE - 0.5))
+    # A line from south to north stays in one column, from end to end.
+    low = F.when(se == de, F.least(sn, dn)).otherwise(F.least(into, out_of)) - 0.5
+    high = F.when(se == de, F.greatest(sn, dn)).otherwise(F.greatest(into, out_of)) + 0.5
+    return out.select("*", F.explode(squares(low, high)).alias("bn"))
+
+
+def _half_up(x: np.ndarray) -> np.ndarray:
+    """Rounded to whole numbers, halves away from zero, as ``round`` does."""
+    whole = np.trunc(x)
+    return (whole + np.where(np.abs(x - whole) >= 0.5, np.sign(x), 0.0)).astype(np.int64)
+
+
+def _sampled(columns: dict[str, np.ndarray], be: int, bn: int, grid: np.ndarray) -> pa.Table:
+    """The stretch of each edge whose samples lie in a square, with its heights."""
+    n = columns["edge_steps"].astype(np.int64)
+    edge = np.repeat(np.arange(len(n)), n)
+    inx = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
+    steps = np.maximum(n - 1, 1)[edge]
+    last = inx == n[edge] - 1
+
+    def along(a: str, b: str) -> np.ndarray:
+        a, b = columns[a].astype(np.int64)[edge], columns[b].astype(np.int64)[edge]
+        return _half_up(np.where(inx == 0, a, np.where(last, b, a + (b - a) / steps * inx)))
+
+    e, h = along("src_easting", "dst_easting") - be * SQUARE, along("src_northing", "dst_northing") - bn * SQUARE
+    inside = (e >= 0) & (e < SQUARE) & (h >= 0) & (h < SQUARE)
+    edge, inx, value = edge[inside], inx[inside], grid[e[inside], h[inside]]
+    # Along a line both coordinates only grow or only fall, so a stretch has no gaps.
+    first = np.flatnonzero(np.diff(edge, prepend=-1))
+    known = np.isfinite(value)
+    missing = np.bincount(np.cumsum(np.diff(edge, prepend=-1) > 0) - 1, ~known, len(first)) > 0 if len(edge) else np.empty(0, dtype=bool)
+    offsets = np.append(first, len(edge)).astype(np.int32)
+    heights = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value, mask=~known))
+    rows = edge[first]
+    return pa.table(
+        [*[pa.array(columns[k][rows]) for k in _KEY], pa.array(inx[first].astype(np.int32)), pa.array(missing), heights],
+        names=[f.split()[0] for f in _PART.split(", ")],
     )
-    samples = sample_elevation(explode_edges(edge_steps(narrow)), elevation)
-    keys = ["src", "dst", "way_id", "way_inx"]
-    # Tags and coordinates do not travel with every sample; they join again.
-    return edges.join(implode_edges(samples, []), keys)
+
+
+def _heights(key: tuple, edges: pa.Table, cells: pa.Table) -> pa.Table:
+    """Edges and raster cells of one square; of a cell that is there more than
+    once the lowest counts."""
+    be, bn = (k.as_py() for k in key)
+    names = [*_KEY, "edge_steps", "src_easting", "src_northing", "dst_easting", "dst_northing"]
+    grid = np.full((SQUARE, SQUARE), np.inf)
+    if cells.num_rows:
+        e, n, h = (cells[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("easting", "northing", "elevation"))
+        np.minimum.at(grid, (e - be * SQUARE, n - bn * SQUARE), np.where(np.isnan(h), np.inf, h))
+    columns = {c: edges[c].combine_chunks().to_numpy() if edges.num_rows else np.empty(0, np.int64) for c in names}
+    parts = [_sampled({c: v[i : i + _EDGES] for c, v in columns.items()}, be, bn, grid) for i in range(0, max(1, edges.num_rows), _EDGES)]
+    return pa.concat_tables(parts).cast(_PART_SCHEMA)
+
+
+_PART_SCHEMA = pa.schema(
+    [("src", pa.int64()), ("dst", pa.int64()), ("way_id", pa.int64()), ("way_inx", pa.int32()), ("first", pa.int32()), ("missing", pa.bool_()), ("heights", pa.list_(pa.float64()))]
+)
+
+
+def profiles(edges: DataFrame, elevation: DataFrame) -> DataFrame:
+    """``src, dst, way_id, way_inx, elevation``: the profile of each edge, NULL
+    if a sample has no elevation.
+
+    Edges meet the raster by square, each as one narrow row a square that it
+    crosses; its samples come into being beside the square's cells, and leave as
+    a stretch of the profile. So what is shuffled goes with the edges and the
+    cells around them, not with the samples, and cells of squares without an
+    edge stay where they are.
+    """
+    placed = edge_squares(edge_steps(edges.select(*_KEY, *[f"{end}_{c}" for end in ("src", "dst") for c in ("easting", "northing")])))
+    placed = placed.drop("edge_size", "edge_size_h", "edge_size_v")
+    square = {"be": F.floor(F.col("easting") / SQUARE).cast("int"), "bn": F.floor(F.col("northing") / SQUARE).cast("int")}
+    cells = elevation.select("easting", "northing", "elevation").withColumns(square)
+    cells = cells.join(placed.select("be", "bn").distinct(), ["be", "bn"], "left_semi")
+    parts = placed.groupBy("be", "bn").cogroup(cells.groupBy("be", "bn")).applyInArrow(_heights, _PART)
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("first", "heights"))), lambda p: p["heights"]))
+    return parts.groupBy(*_KEY).agg(F.max("missing").alias("missing"), whole.alias("elevation")).select(
+        *_KEY, F.when(~F.col("missing"), F.col("elevation")).alias("elevation")
+    )
+
+
+def tag_edges(edges: DataFrame, elevation: DataFrame) -> DataFrame:
+    """Edges with their elevation profile. Tags and coordinates do not travel
+    with the samples; they join again."""
+    return edges.join(profiles(edges, elevation), _KEY)
 
 
 def drop_without_elevation(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ridgeline.operators import tags as tg
 from ridgeline.plans import ingest
 from ridgeline.runtime import materialize, scratch_path
 from ridgeline.schema import layer_schema, map_to_schema
-from ridgeline.sources import files, raster, serving
+from ridgeline.sources import files, pbf, raster, serving
 from ridgeline.sources import fixtures as fx
 
 #: Grid steps of the loops that are walked without pruning.
@@ -47,6 +47,16 @@ def _edges(spark, sf_dir):
     return fx.edges(spark, sf_dir)
 
 
+def _cells_along(spark, sf_dir, edges):
+    """The raster of the tiles that edges cross."""
+    return el.cells_around(edges, fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir), ("src_easting", "src_northing"), ("dst_easting", "dst_northing"))
+
+
+def _placed_nodes(spark, sf_dir):
+    n = fx.nodes(spark, sf_dir)
+    return el.node_elevation(n, el.cells_around(n, fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir), ("easting", "northing")))
+
+
 # Pieces of SQL that several oracles share.
 
 TAGGED = ", tagged AS (SELECT e.*, t.* EXCLUDE (way_id) FROM edges e JOIN tags t USING (way_id))"
@@ -113,6 +123,20 @@ def s4_read_raw_ways(spark, sf_dir):
     return ways.select(F.col("id").alias("way_id"), F.size("nodes").cast("long").alias("n_nodes"), total.alias("check_sum"))
 
 
+@query("SELECT way_id, count(*) AS n_nodes, sum(way_inx * (node % 1009))::BIGINT AS check_sum, any_value(highway) AS highway FROM way_nodes JOIN tags USING (way_id) GROUP BY way_id")
+def s1_binary_extract(spark, sf_dir):
+    """The ways written as a binary extract and read back, blob by blob."""
+    folder = scratch_path(spark, "extract")
+    pair = lambda t: F.struct(t["key"].cast("binary").alias("key"), t["value"].cast("binary").alias("value"))
+    none = F.array().cast(pbf.TAGS)
+    nodes = fx.nodes(spark, sf_dir).select("id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "timestamp", none.alias("tags"))
+    ways = fx.ways(spark, sf_dir).select("id", F.transform(F.map_entries("tags"), pair).alias("tags"), "timestamp", "nodes")
+    pbf.write_extract(nodes, ways, folder)
+    back = tg.unpack_tags(pbf.read_extract(spark, folder)[1])
+    total = F.aggregate("nodes", F.lit(0).cast("long"), lambda a, n: a + (n["index"] + 1) * (n["nodeId"] % 1009))
+    return back.select(F.col("id").alias("way_id"), F.size("nodes").cast("long").alias("n_nodes"), total.alias("check_sum"), pf.tag("highway").alias("highway"))
+
+
 @query("SELECT id, easting, northing, timestamp FROM nodes")
 def s5_s6_parquet_round_trip(spark, sf_dir):
     root = scratch_path(spark, "layers")
@@ -423,8 +447,8 @@ def f1_tag_filter(spark, sf_dir):
 
 @query(f"{PLACED.format('edges')}{SAMPLES}{PROFILES} SELECT src, dst, way_id, way_inx::INT AS way_inx FROM profiles WHERE whole")
 def f2_f15_drop_without_elevation(spark, sf_dir):
-    e = el.tag_edges(_edges(spark, sf_dir), fx.elevation(spark, sf_dir))
-    return el.drop_without_elevation(e).select("src", "dst", "way_id", "way_inx")
+    e = _edges(spark, sf_dir)
+    return el.drop_without_elevation(el.tag_edges(e, _cells_along(spark, sf_dir, e))).select("src", "dst", "way_id", "way_inx")
 
 
 @query(f"{TAGGED}{FLAGS} SELECT way_id, way_inx::INT AS way_inx, explicit_footway, separate_footway FROM flagged")
@@ -471,7 +495,7 @@ def f13_node_flags(spark, sf_dir):
 
 @query("SELECT id, e.elevation FROM nodes JOIN elevation e USING (easting, northing)")
 def f14_u4_clear_without_elevation(spark, sf_dir):
-    return inc.clear_without_elevation(el.node_elevation(fx.nodes(spark, sf_dir), fx.elevation(spark, sf_dir))).select("id", "elevation")
+    return inc.clear_without_elevation(_placed_nodes(spark, sf_dir)).select("id", "elevation")
 
 
 # --------------------------------------------------------------------------
@@ -523,12 +547,13 @@ def j7_x3_edge_tiles(spark, sf_dir):
 
 @query("SELECT id, e.elevation FROM nodes LEFT JOIN elevation e USING (easting, northing)")
 def j8_node_elevation(spark, sf_dir):
-    return el.node_elevation(fx.nodes(spark, sf_dir), fx.elevation(spark, sf_dir)).select("id", "elevation")
+    return _placed_nodes(spark, sf_dir).select("id", "elevation")
 
 
 @query(f"{PLACED.format('edges')}{SAMPLES}{PROFILES} SELECT src, dst, way_id, way_inx::INT AS way_inx, n, CASE WHEN whole THEN check_sum END AS check_sum FROM profiles")
 def j9_a2_edge_profiles(spark, sf_dir):
-    samples = el.sample_elevation(el.explode_edges(el.edge_steps(_edges(spark, sf_dir))), fx.elevation(spark, sf_dir))
+    e = _edges(spark, sf_dir)
+    samples = el.sample_elevation(el.explode_edges(el.edge_steps(e)), _cells_along(spark, sf_dir, e))
     out = el.implode_edges(samples.withColumn("one", F.lit(1)), ["one"])
     # The NULL profile still says how many samples it had.
     counts = samples.groupBy("src", "dst", "way_id", "way_inx").agg(F.count("*").alias("n"))
@@ -613,7 +638,8 @@ def a3_contract_chains(spark, sf_dir):
 
 @query(f"{PLACED.format('edges')}{SAMPLES}{PROFILES} SELECT p.src, p.dst, p.way_id, p.way_inx::INT AS way_inx, CASE WHEN bridge IS NOT NULL THEN 0 ELSE gain END AS elevation_gain, CASE WHEN bridge IS NOT NULL THEN 0 ELSE loss END AS elevation_loss FROM profiles p JOIN tags USING (way_id) WHERE whole")
 def a4_elevation_changes(spark, sf_dir):
-    e = el.drop_without_elevation(el.tag_edges(_edges(spark, sf_dir), fx.elevation(spark, sf_dir)))
+    e = _edges(spark, sf_dir)
+    e = el.drop_without_elevation(el.tag_edges(e, _cells_along(spark, sf_dir, e)))
     return el.elevation_changes(tg.flag_flat(e)).select("src", "dst", "way_id", "way_inx", "elevation_gain", "elevation_loss")
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,21 @@ def test_expressions(spark):
     ).first()
     assert r.lit == "{1.0,NULL,2.5}" and r.a == {"a": 3.0} and r.b == {"a": 1.0, "unclassified": 2.0}
     assert r.card == "12.3 km, 1,234 m" and r.w is None
+
+
+def test_profiles_against_samples(spark):
+    """Profiles by square are those of every sample joined with its cell, across
+    squares, in all directions, west and south of zero too."""
+    rnd = random.Random(3)
+    cells = [(e, n, float((e * 7 + n * 13) % 97)) for e in range(-200, 300, 1) for n in range(-150, 150) if not (50 <= e < 60 and 20 <= n < 40)]
+    elevation = spark.createDataFrame(cells + [(0, 0, None), (1, 1, -5.0)], "easting int, northing int, elevation double")
+    at = lambda: (rnd.randrange(-200, 300), rnd.randrange(-150, 150))
+    rows = [(i, i + 1, i % 3, i, *at(), *at()) for i in range(400)]
+    rows += [(900, 901, 1, 1, 5, -140, 5, 140), (902, 903, 1, 1, -190, 7, 290, 7), (904, 905, 1, 1, 127, 127, 129, 129), (906, 907, 1, 1, 5, 5, 5, 5), (908, 909, 1, 1, 9000, 0, 9100, 0), (910, 911, 1, 1, -128, -128, 128, 128)]
+    edges = spark.createDataFrame(rows, "src long, dst long, way_id long, way_inx int, src_easting int, src_northing int, dst_easting int, dst_northing int")
+    samples = el.sample_elevation(el.explode_edges(el.edge_steps(edges)), el.distinct_elevation(elevation))
+    want = {(r.src, r.way_inx): r.elevation for r in el.implode_edges(samples, []).collect()}
+    got = {(r.src, r.way_inx): r.elevation for r in el.profiles(edges.repartition(3), elevation).collect()}
+    assert got == want and sum(v is None for v in want.values()) > 5 and len(want) == 406
+    assert el.profiles(edges.limit(0), elevation).count() == 0
+    assert all(r.elevation is None for r in el.profiles(edges, elevation.limit(0)).collect())
