@@ -5,14 +5,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.profile import climbs, sample_points, step_metrics, whole_or_null
+from ridgeline.runtime import materialize
 from ridgeline.schema import layer_schema, map_to_schema
 
 #: Side of the cells that tiles are cut into for the range join.
 CELL = 1000
+#: Side of the squares in which edges meet the raster, metres.
+SQUARE = 128
 
 
 def bounds_from_xml(tiles: DataFrame, xml: str = "xml") -> DataFrame:
@@ -82,25 +85,46 @@ def tiles_of_edges(edges: DataFrame, bounds: DataFrame) -> DataFrame:
     return assign_tiles(ends, bounds).select("file_id").distinct()
 
 
+#: So many tile ids, counted first, are broadcast to the raster that they prune.
+FEW = 100_000
+
+
+def _few(df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored, to be broadcast if it has no more than ``FEW`` narrow rows."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def read_tiles(elevation: DataFrame, tiles: DataFrame) -> DataFrame:
     """The elevation of the named tiles. On a table partitioned by ``file_id``
     Spark prunes partitions at run time from the join's other side."""
-    return elevation.join(tiles.select("file_id").distinct(), "file_id", "left_semi")
+    return elevation.join(_few(tiles.select("file_id").distinct(), "tile-ids"), "file_id", "left_semi")
 
 
-def cells_around(rows: DataFrame, elevation: DataFrame, bounds: DataFrame, low: tuple[str, str], high: tuple[str, str] | None = None) -> DataFrame:
-    """One row a cell of the tiles that rows can lie in; other tiles are not read.
-
-    Rows are boxes between two points, given by their columns, or points. Tiles
-    that overlap give a cell its lowest elevation.
-    """
-    high = high or low
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / CELL), F.floor(F.greatest(a, b) / CELL))
-    met = rows.select(*[span(F.col(a), F.col(b)).alias(c) for a, b, c in zip(low, high, ("e", "n"), strict=True)])
-    met = met.select(F.explode("e").alias("__ce"), "n").select("__ce", F.explode("n").alias("__cn")).distinct()
+def cells_around(squares: DataFrame, elevation: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One row a cell of the ``squares``, ``be, bn``; tiles that hold none of
+    them are not read. Tiles that overlap give a cell its lowest elevation."""
+    squares = _few(squares.distinct(), "squares")
+    span = lambda a, b: F.sequence(F.floor(a / CELL), F.floor(b / CELL))
+    over = lambda c: span(F.col(c) * SQUARE, F.col(c) * SQUARE + (SQUARE - 1))
+    met = squares.select(F.explode(over("be")).alias("__ce"), "bn").select("__ce", F.explode(over("bn")).alias("__cn")).distinct()
     tiles = bounds.select("file_id", F.explode(span(F.col("min_easting"), F.col("max_easting") - 1)).alias("__ce"), "min_northing", "max_northing")
     tiles = tiles.select("file_id", "__ce", F.explode(span(F.col("min_northing"), F.col("max_northing") - 1)).alias("__cn"))
-    return distinct_elevation(read_tiles(elevation, tiles.join(met, ["__ce", "__cn"], "left_semi")))
+    cells = read_tiles(elevation, tiles.join(met, ["__ce", "__cn"], "left_semi"))
+    return distinct_elevation(cells.withColumns(_square("easting", "northing")).join(squares, ["be", "bn"], "left_semi"))
+
+
+def _square(e: str, n: str) -> dict[str, Column]:
+    """The square of a point."""
+    return {"be": F.floor(F.col(e) / SQUARE).cast("int"), "bn": F.floor(F.col(n) / SQUARE).cast("int")}
+
+
+def squares_of_points(points: DataFrame) -> DataFrame:
+    return points.select([c.alias(k) for k, c in _square("easting", "northing").items()])
+
+
+def squares_of_edges(edges: DataFrame) -> DataFrame:
+    return edge_squares(edges.select(*[f"{end}_{c}" for end in ("src", "dst") for c in ("easting", "northing")])).select("be", "bn")
 
 
 def distinct_elevation(elevation: DataFrame) -> DataFrame:
@@ -152,8 +176,6 @@ def implode_edges(samples: DataFrame, carry: list[str]) -> DataFrame:
     return out.withColumn("elevation", whole_or_null(F.col("elevation")))
 
 
-#: Side of the squares in which edges meet the raster, metres.
-SQUARE = 128
 #: Edges of a square that are sampled at once.
 _EDGES = 1 << 15
 _KEY = ["src", "dst", "way_id", "way_inx"]
@@ -240,14 +262,11 @@ def profiles(edges: DataFrame, elevation: DataFrame) -> DataFrame:
     Edges meet the raster by square, each as one narrow row a square that it
     crosses; its samples come into being beside the square's cells, and leave as
     a stretch of the profile. So what is shuffled goes with the edges and the
-    cells around them, not with the samples, and cells of squares without an
-    edge stay where they are.
+    cells, which ``cells_around`` has cut to the squares, not with the samples.
     """
     placed = edge_squares(edge_steps(edges.select(*_KEY, *[f"{end}_{c}" for end in ("src", "dst") for c in ("easting", "northing")])))
     placed = placed.drop("edge_size", "edge_size_h", "edge_size_v")
-    square = {"be": F.floor(F.col("easting") / SQUARE).cast("int"), "bn": F.floor(F.col("northing") / SQUARE).cast("int")}
-    cells = elevation.select("easting", "northing", "elevation").withColumns(square)
-    cells = cells.join(placed.select("be", "bn").distinct(), ["be", "bn"], "left_semi")
+    cells = elevation.select("easting", "northing", "elevation").withColumns(_square("easting", "northing"))
     parts = placed.groupBy("be", "bn").cogroup(cells.groupBy("be", "bn")).applyInArrow(_heights, _PART)
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("first", "heights"))), lambda p: p["heights"]))
     return parts.groupBy(*_KEY).agg(F.max("missing").alias("missing"), whole.alias("elevation")).select(

@@ -169,17 +169,16 @@ def _shortest(front: DataFrame, expand: Callable[[DataFrame], DataFrame], keys:
     are not negative, so the rounds end.
     """
     known = [materialize(front.select(*keys, "dist"), name)]
-    least = lambda parts: reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.min("dist").alias("dist"))
+    every = lambda: reduce(DataFrame.unionByName, known)
     while True:
-        step = expand(known[-1]).groupBy(*keys).agg(F.min("dist").alias("dist"))
-        # A key may be known from several rounds; the join and the minimum share one shuffle.
-        before = reduce(DataFrame.unionByName, known).withColumnRenamed("dist", "before")
-        met = step.join(before, keys, "left").groupBy(*keys).agg(F.min("dist").alias("dist"), F.min("before").alias("before"))
-        fell = materialize(met.where("before IS NULL OR dist < before").select(*keys, "dist"), name)
+        # What is known and what is new meet in one aggregate; only what fell is stored.
+        both = every().withColumn("__old", F.lit(True)).unionByName(expand(known[-1]).withColumn("__old", F.lit(False)))
+        least = both.groupBy(*keys).agg(F.min("dist").alias("dist"), F.min(F.when(F.col("__old"), F.col("dist"))).alias("__before"))
+        fell = materialize(least.where("__before IS NULL OR dist < __before").select(*keys, "dist"), name)
         if fell.isEmpty():
-            return least(known)
+            return every().groupBy(*keys).agg(F.min("dist").alias("dist"))
         if len(known) == FRONTS:
-            known = [materialize(least(known), name)]
+            known = [materialize(every().groupBy(*keys).agg(F.min("dist").alias("dist")), name)]
         known.append(fell)
 
 

@@ -47,14 +47,19 @@ def _edges(spark, sf_dir):
     return fx.edges(spark, sf_dir)
 
 
+def _landed(spark, sf_dir):
+    """The landed edges as a load finds them: stored."""
+    return materialize(_edges(spark, sf_dir), "landed")
+
+
 def _cells_along(spark, sf_dir, edges):
     """The raster of the tiles that edges cross."""
-    return el.cells_around(edges, fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir), ("src_easting", "src_northing"), ("dst_easting", "dst_northing"))
+    return el.cells_around(el.squares_of_edges(edges), fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir))
 
 
 def _placed_nodes(spark, sf_dir):
     n = fx.nodes(spark, sf_dir)
-    return el.node_elevation(n, el.cells_around(n, fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir), ("easting", "northing")))
+    return el.node_elevation(n, el.cells_around(el.squares_of_points(n), fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir)))
 
 
 # Pieces of SQL that several oracles share.
@@ -638,7 +643,7 @@ def a3_contract_chains(spark, sf_dir):
 
 @query(f"{PLACED.format('edges')}{SAMPLES}{PROFILES} SELECT p.src, p.dst, p.way_id, p.way_inx::INT AS way_inx, CASE WHEN bridge IS NOT NULL THEN 0 ELSE gain END AS elevation_gain, CASE WHEN bridge IS NOT NULL THEN 0 ELSE loss END AS elevation_loss FROM profiles p JOIN tags USING (way_id) WHERE whole")
 def a4_elevation_changes(spark, sf_dir):
-    e = _edges(spark, sf_dir)
+    e = _landed(spark, sf_dir)
     e = el.drop_without_elevation(el.tag_edges(e, _cells_along(spark, sf_dir, e)))
     return el.elevation_changes(tg.flag_flat(e)).select("src", "dst", "way_id", "way_inx", "elevation_gain", "elevation_loss")
 
@@ -1136,7 +1141,7 @@ _SANE = f"""{TAGGED}{FLAGS}{PLACED.format('edges')}{SAMPLES}{PROFILES}, sane AS
 
 @query(f"{_SANE} SELECT src, dst, way_id, way_inx::INT AS way_inx, highway, surface, g AS elevation_gain, l AS elevation_loss FROM sane_both")
 def plan_sanitised_edges(spark, sf_dir):
-    e = ingest.stage_edges(_edges(spark, sf_dir), fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir))
+    e = ingest.stage_edges(_landed(spark, sf_dir), fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir))
     out = ingest.sanitise_edges(e, F.lit(1.0))
     return out.select("src", "dst", "way_id", "way_inx", "highway", "surface", "elevation_gain", "elevation_loss")
 
@@ -1144,7 +1149,8 @@ def plan_sanitised_edges(spark, sf_dir):
 def _optimised(spark, sf_dir, metres=False):
     cells, tiles = fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir)
     n = ingest.stage_nodes(fx.nodes(spark, sf_dir), cells, tiles)
-    e = ingest.sanitise_edges(ingest.stage_edges(_edges(spark, sf_dir), cells, tiles), None if metres else F.lit(1.0))
+    e = materialize(ingest.stage_edges(_landed(spark, sf_dir), cells, tiles), "staged")
+    e = ingest.sanitise_edges(e, None if metres else F.lit(1.0))
     e = materialize(e, "sanitised")
     return ingest.optimise(ingest.sanitise_nodes(n, e), e)
 

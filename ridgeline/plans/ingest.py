@@ -26,13 +26,13 @@ def land_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def stage_nodes(nodes: DataFrame, cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """Nodes with elevations; of the raster only the tiles around them are read."""
-    near = elevation.cells_around(nodes, cells, bounds, ("easting", "northing"))
+    near = elevation.cells_around(elevation.squares_of_points(nodes), cells, bounds)
     return map_to_schema(elevation.node_elevation(nodes, near), layer_schema("staging", "nodes"))
 
 
 def stage_edges(edges: DataFrame, cells: DataFrame, bounds: DataFrame) -> DataFrame:
     """Edges with profiles; of the raster only the tiles that they cross are read."""
-    near = elevation.cells_around(edges, cells, bounds, ("src_easting", "src_northing"), ("dst_easting", "dst_northing"))
+    near = elevation.cells_around(elevation.squares_of_edges(edges), cells, bounds)
     return map_to_schema(elevation.tag_edges(edges, near), layer_schema("staging", "edges"))
 
 

@@ -92,23 +92,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES, SIDE = 15_000, 500
 
 
-def squares(spark: SparkSession, sf_dir: str) -> int:
-    """How many squares wide the raster is: its area grows with the tables."""
-    return max(1, math.ceil(math.sqrt(table(spark, sf_dir, "lineitem").count() / LINES)))
+_squares: dict[str, int] = {}
 
 
-def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells by tile. All ways lie in the first square, which lacks its
-    north-eastern corner; the country around it only a load without pruning reads."""
-    side = SIDE * squares(spark, sf_dir)
-    grid = spark.range(side * side).select((F.col("id") % side).cast("int").alias("easting"), F.expr(f"cast(id div {side} as int)").alias("northing"))
-    grid = grid.where("NOT (easting BETWEEN 400 AND 499 AND northing BETWEEN 400 AND 499)")
-    tile = F.expr(
-        f"CASE WHEN easting >= {SIDE} OR northing >= {SIDE} THEN concat('X', easting div {SIDE}, '_', northing div {SIDE}) "
-        "WHEN northing < 250 THEN CASE WHEN easting < 250 THEN 'A' ELSE 'B' END "
-        "WHEN easting < 250 THEN 'C' WHEN easting < 400 THEN 'D' ELSE 'E' END"
-    )
-    return grid.select("easting", "northing", F.expr("cast(((easting * 2 + northing * 3) % 1000) div 10 as double)").alias("elevation"), tile.alias("file_id"))
+def squares(spark: SparkSession, sf_dir: str) -> int:
+    """How many squares wide the raster is: its area grows with the tables."""
+    if sf_dir not in _squares:
+        _squares[sf_dir] = max(1, math.ceil(math.sqrt(table(spark, sf_dir, "lineitem").count() / LINES)))
+    return _squares[sf_dir]
 
 
 BOUNDS = [("A", 0, 0, 250, 250), ("B", 250, 0, 500, 250), ("C", 0, 250, 250, 500), ("D", 250, 250, 400, 500), ("E", 400, 250, 500, 400)]
@@ -120,6 +111,17 @@ def bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(BOUNDS + around, "file_id string, min_easting int, min_northing int, max_easting int, max_northing int")
 
 
+def elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by tile. All ways lie in the first square, which lacks its
+    north-eastern corner; the country around it only a load without pruning
+    makes: a join on ``file_id`` passes to the tiles, as with a table
+    partitioned by them."""
+    line = lambda a, b: F.sequence(F.col(a), F.col(b) - 1)
+    rows = bounds(spark, sf_dir).select("file_id", "min_easting", "max_easting", F.explode(line("min_northing", "max_northing")).alias("northing"))
+    cells = rows.select("file_id", "northing", F.explode(line("min_easting", "max_easting")).alias("easting"))
+    return cells.select("easting", "northing", F.expr("cast(((easting * 2 + northing * 3) % 1000) div 10 as double)").alias("elevation"), "file_id")
+
+
 def staged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An older state: every tenth way missing, every tenth older, and some
     edges that are no longer landed."""

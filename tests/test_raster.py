@@ -163,10 +163,10 @@ def test_overlapping_tiles_give_a_cell_once(spark):
     elevation = spark.createDataFrame(cells, "file_id string, easting int, northing int, elevation double")
     bounds = spark.createDataFrame([("a", 0, 0, 20, 20), ("b", 10, 0, 30, 20), ("far", 0, 5000, 9, 5001)], "file_id string, min_easting int, min_northing int, max_easting int, max_northing int")
     nodes = spark.createDataFrame([(1, 5, 5), (2, 15, 5), (3, 25, 5), (4, 999, 999)], "id long, easting int, northing int")
-    near = el.cells_around(nodes, elevation, bounds, ("easting", "northing"))
+    near = el.cells_around(el.squares_of_points(nodes), elevation, bounds)
     assert near.count() == 600
     got = el.node_elevation(nodes, near).collect()
     assert sorted((r.id, r.elevation) for r in got) == [(1, 1.0), (2, 1.0), (3, 3.0), (4, None)]
     edges = spark.createDataFrame([(1, 3, 1, 0, 5, 5, 25, 5)], "src long, dst long, way_id long, way_inx int, src_easting int, src_northing int, dst_easting int, dst_northing int")
-    along = el.cells_around(edges, elevation, bounds, ("src_easting", "src_northing"), ("dst_easting", "dst_northing"))
+    along = el.cells_around(el.squares_of_edges(edges), elevation, bounds)
     assert [r.elevation for r in el.tag_edges(edges, along).collect()] == [[1.0, 1.0, 3.0]]
