@@ -220,3 +220,12 @@ def mix_sources(
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).drop("source")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets alone: ``source, source_size, target``, a row a source."""
+    docs = read_table(spark, sf_dir, "documents")
+    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(
+        F.sum(F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")).alias("source_size"), F.count("*").alias("rows")
+    )
+    return source_targets(sizes).select("source", "source_size", F.round("target", 3).alias("target"))

@@ -86,3 +86,50 @@ SELECT d.doc_id, {counts},
        sha256(coalesce({joined.replace(')', f') FILTER (WHERE ord < {n_base})')}, '')) AS base_sha256, coalesce({joined}, '') AS spans
 FROM documents d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id
 """
+
+
+#: Sources by the share at which they are full; the first that is not full at
+#: the share of itself and all after it ends the resharing.
+MIX_TARGETS = f"""
+WITH s AS (
+  SELECT source, sum(len({_WORDS.format("coalesce(text, '')")}))::BIGINT AS source_size FROM documents GROUP BY source
+),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
+o AS (SELECT *, 3.0::DOUBLE * source_size / w AS full_at, sum(source_size) OVER () AS total FROM w),
+c AS (
+  SELECT *, (total - 3.0::DOUBLE * (sum(source_size) OVER before - source_size)) / (sum(w) OVER () - (sum(w) OVER before - w)) AS share
+  FROM o WINDOW before AS (ORDER BY full_at, encode(source) NULLS LAST ROWS UNBOUNDED PRECEDING)
+),
+f AS (SELECT max(share) FILTER (WHERE share <= full_at) AS share, max(full_at) AS top FROM c)
+SELECT source, source_size, round(least(w * coalesce(f.share, f.top), 3.0::DOUBLE * source_size), 3) AS target FROM w, f
+"""
+
+
+def _pii(kind: str, order: int, pattern: str, fits: str) -> str:
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {order} AS ord, (upto - length(x))::INT AS a, upto::INT AS z FROM (
+    SELECT doc_id, x, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, regexp_replace(x, '[^0-9]', '', 'g') AS d FROM (
+      SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (
+        SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM t))
+  ) WHERE i % 2 = 0 AND {fits}"""
+
+
+_LUHN = (
+    "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN d[i]::INT * 2 - "
+    "CASE WHEN d[i]::INT > 4 THEN 9 ELSE 0 END ELSE d[i]::INT END)) % 10 = 0"
+)
+_PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(x, '.'), lambda q: length(ltrim(q, '0')) > 3 OR try_cast(right(q, 4) AS INT) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length(d) BETWEEN 13 AND 19 AND {_LUHN}"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+)
+_SPANS = "string_agg(kind || ':' || a || ':' || z, ',' ORDER BY ord, a)"
+
+PII_BASE = f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+found AS ({" UNION ALL ".join(_pii(k, i, p, f) for i, (k, p, f) in enumerate(_PII))})
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in _PII)},
+       sha256(coalesce({_SPANS}, '')) AS base_sha256
+FROM documents d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id
+"""

@@ -455,3 +455,8 @@ def _redact(text: str, spans: list) -> str:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents"), train()).drop("redacted")
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the base formats alone."""
+    return op8_pii(spark, sf_dir).drop("spans")
