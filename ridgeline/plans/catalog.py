@@ -769,6 +769,19 @@ def w6_t2_t4_best_in_bins(spark, sf_dir):
     return rs.best_in_bins(binned, 5, 1).select("way_id", "x_bin", "y_bin")
 
 
+#: Candidates that pruning leaves, and rows of a stripe and of a bin for them.
+_KEEP, (_STRIPE, _BIN) = 512, rs.bin_shape(512, 64)
+
+
+@query(f"""{_CANDS_SQL.replace("// 256", f"// {_STRIPE}").replace("// 64", f"// {_BIN}")}, n AS (SELECT count(*) AS n FROM c),
+room AS (SELECT n, CASE WHEN n <= {_KEEP} THEN n ELSE greatest(1, {_KEEP} // ((n // {_STRIPE}) * {-(-_STRIPE // _BIN)} + (n % {_STRIPE} + {_BIN - 1}) // {_BIN})) END AS room FROM n)
+SELECT way_id FROM (SELECT way_id, row_number() OVER (PARTITION BY x_bin, y_bin ORDER BY floor(dist / 1000) DESC, trunc(gain)::INT DESC, p) AS place FROM y), room WHERE place <= room""")
+def g15_g18_g20_pruned(spark, sf_dir):
+    """The ways as candidates of one job, pruned to a beam of ``_KEEP``."""
+    c = materialize(_cands(spark, sf_dir), "candidates")
+    return rs.prune(c, c.count(), _KEEP, _config(), rs.Settings(pruning_strategy="naive")).select("way_id")
+
+
 # --------------------------------------------------------------------------
 # sorts and sets
 
@@ -996,35 +1009,65 @@ def a10_progress(spark, sf_dir):
 _LOOP = rs.RouteConfig(0.0, 0.0, LOOP_M, distance_tolerance=0.25)
 _LO, _HI = repr(_LOOP.min_distance), repr(_LOOP.max_distance)
 
-#: Every circular route from the node where most edges end, by walking all of them.
-_LOOPS = f"""{_TWO_WAY}, s AS MATERIALIZED (SELECT dst AS id FROM g GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+#: What a search from the node where most edges end can use, and its steps.
+_GRAPH = f"""{_TWO_WAY}, s AS MATERIALIZED (SELECT dst AS id FROM g GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
 home(id, dist) USING KEY (id) AS (
   SELECT id, 0::DOUBLE FROM s
   UNION
   SELECT n.id, n.dist FROM (SELECT g.src AS id, min(home.dist + g.distance) AS dist FROM home JOIN g ON g.dst = home.id GROUP BY g.src) n
   LEFT JOIN recurring.home k ON k.id = n.id WHERE n.dist <= {_HI} AND (k.dist IS NULL OR n.dist < k.dist)
 ), near AS MATERIALIZED (SELECT id, dist FROM home WHERE dist <= {_HI} / 2),
-e AS MATERIALIZED (SELECT g.*, b.dist AS back FROM g JOIN near a ON a.id = g.src JOIN near b ON b.id = g.dst),
-walk(start, cur, pts, dist, gain, loss) AS (
+e AS MATERIALIZED (SELECT g.*, b.dist AS back FROM g JOIN near a ON a.id = g.src JOIN near b ON b.id = g.dst)"""
+
+_WALK = f"""walk(start, cur, pts, dist, gain, loss) AS (
   SELECT id, id, [id], 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM s
   UNION ALL
   SELECT start, e.dst, list_append(pts, e.dst), walk.dist + e.distance, gain + e.src % 7, loss + e.dst % 5 FROM walk JOIN e ON e.src = cur
-  WHERE (len(pts) = 1 OR cur <> start) AND walk.dist + e.distance + e.back <= {_HI}
+  WHERE (len(pts) = 1 OR cur <> start) AND walk.dist + e.distance + e.back <= {_HI} {{0}}
     AND (e.dst = start OR NOT list_contains(pts, e.dst)
          OR (walk.dist >= {_LO} AND len(pts) >= 3 AND list_contains(pts[1:3], e.dst) AND NOT list_contains(pts[len(pts) - 2:len(pts)], e.dst)))
     AND (e.dst <> start OR walk.dist + e.distance >= {_LO})
-)
-SELECT array_to_string(pts, ',') AS points, dist, gain, loss FROM walk WHERE len(pts) > 1 AND cur = start"""
+)"""
+
+#: Every circular route, by walking all of them.
+_LOOPS = f"{_GRAPH}, {_WALK.format('')} SELECT array_to_string(pts, ',') AS points, dist, gain, loss FROM walk WHERE len(pts) > 1 AND cur = start"
 
 
 @query(_LOOPS, recursive=True)
 def g7_g9_g14_g16_g25_all_loops(spark, sf_dir):
+    start, e = _loop_graph(spark, sf_dir)
+    out = rs.all_loops(e, start, _LOOP)
+    out = spark.createDataFrame([], rs.CANDIDATE) if out is None else out
+    return out.select(F.array_join("points", ",").alias("points"), "dist", "gain", "loss")
+
+
+def _loop_graph(spark, sf_dir):
+    """Where the loops begin, and the edges that they can use."""
     e = materialize(_two_way(spark, sf_dir), "two-way")
     start = _busiest(spark, sf_dir, e)
     e = rs.search_graph(e, fx.nodes(spark, sf_dir), start, _LOOP.max_distance)
-    out = rs.all_loops(materialize(_with_geometry(e), "loop-edges"), start, _LOOP)
-    out = spark.createDataFrame([], rs.CANDIDATE) if out is None else out
-    return out.select(F.array_join("points", ",").alias("points"), "dist", "gain", "loss")
+    return start, materialize(_with_geometry(e), "loop-edges")
+
+
+@query(f"""{_GRAPH}, {_WALK.format("AND len(pts) < 4")},
+cands AS MATERIALIZED (SELECT row_number() OVER () AS cid, * FROM walk WHERE len(pts) = 4 AND cur <> start),
+way(cid, at_node, dist) USING KEY (cid, at_node) AS (
+  SELECT cid, cur, 0::DOUBLE FROM cands
+  UNION
+  SELECT n.cid, n.id, n.dist FROM (
+    SELECT way.cid, e.dst AS id, min(way.dist + e.distance) AS dist FROM way JOIN cands c ON c.cid = way.cid JOIN e ON e.src = way.at_node
+    WHERE way.at_node <> c.start AND (e.dst = c.start OR NOT list_contains(c.pts, e.dst)) AND c.dist + way.dist + e.distance < {_HI}
+    GROUP BY way.cid, e.dst
+  ) n LEFT JOIN recurring.way k ON k.cid = n.cid AND k.at_node = n.id WHERE k.dist IS NULL OR n.dist < k.dist
+)
+SELECT array_to_string(pts, ',') AS points, c.dist FROM cands c JOIN way ON way.cid = c.cid AND way.at_node = c.start""", recursive=True)
+def g23_return_paths(spark, sf_dir):
+    """Of the candidates after three steps, those that get home by another way."""
+    start, e = _loop_graph(spark, sf_dir)
+    front = rs.seeds(start)
+    for _ in range(3):
+        front = materialize(rs.take_steps(front, e, _LOOP, rs.Settings()).where("status = 'valid'").drop("status"), "steps")
+    return rs.return_paths(front, e, 1, _LOOP.max_distance).select(F.array_join("points", ",").alias("points"), "dist")
 
 
 @query("SELECT n_nationkey::INT AS n_edges, a::INT AS attempt, least(n_nationkey * a * a, 64)::INT AS width FROM nation, range(1, 4) t(a)")

@@ -245,3 +245,25 @@ def test_no_route_and_timeout(spark):
     assert rs.find_routes(spark, n, e, far, rs.Settings(max_candidates=8)).count() == 0
     with pytest.raises(rs.SearchTimeout):
         rs.find_routes(spark, n, e, rs.RouteConfig(50.205, -1.69, 800.0), rs.Settings(max_job_seconds=0.0))
+
+
+def test_wider_beams_only_without_a_route(spark, monkeypatch):
+    """An attempt that completes nothing is followed by one with a beam
+    four and nine times as wide, up to the cap; the first routes end it."""
+    n, e = _lattice(spark, "/root/testdata/sf0.001")
+    cfg = rs.RouteConfig(50.205, -1.69, 800.0)
+    run, widths = rs._attempt, []
+
+    def attempt(after):
+        def f(start, edges, width, *rest):
+            widths.append(width)
+            return run(start, edges, width, *rest) if len(widths) > after else None
+
+        return f
+
+    for after, cap, most in ((0, 10**6, 1), (1, 10**6, 2), (5, 10**6, 3), (5, 1, 1)):
+        widths.clear()
+        monkeypatch.setattr(rs, "_attempt", attempt(after))
+        found = rs.find_routes(spark, n, e, cfg, rs.Settings(max_candidates=cap, max_routes=4, pruning_strategy="naive", max_steps=40)).count()
+        assert len(widths) == most and (found > 0) == (after < most)
+        assert widths == [min(widths[0] * k * k, cap) for k in range(1, most + 1)]
