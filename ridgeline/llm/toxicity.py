@@ -169,30 +169,35 @@ class Lexicon:
         ]
 
 
-Cut = tuple[frozenset[str], frozenset[str]]
-
-
-def cut_words(raw: bytes) -> Cut:
-    """The different words of a text and their beginnings."""
-    words = frozenset(_core(w) for w in set(_text(raw).split())) - {""}
-    return words, frozenset(w[:k] for w in words for k in STEMS if len(w) >= k)
-
-
-def learn_lexicon(texts: list[Cut], y: np.ndarray, least: int = 3, odds: float = 6.0) -> Lexicon:
-    """Words and stems that occur in several toxic texts and hardly elsewhere."""
+class Counted:
+    """The different words of texts, and their beginnings, as numbers: some
+    bytes each, where sets of strings would take a hundred times the text."""
+
+    def __init__(self, texts: list[bytes]):
+        numbers: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.rows: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        for raw in texts:
+            words = {_core(w) for w in set(_text(raw).split())} - {""}
+            for items, number, rows in zip((words, {w[:k] for w in words for k in STEMS if len(w) >= k}), numbers, self.rows, strict=True):
+                rows.append(np.fromiter((number.setdefault(w, len(number)) for w in items), np.int32, len(items)))
+        self.names = tuple(list(n) for n in numbers)
+
+    def texts_with(self, kind: int, at: np.ndarray) -> np.ndarray:
+        """In how many of the texts ``at`` each word, or beginning, occurs."""
+        rows = [self.rows[kind][i] for i in at]
+        return np.bincount(np.concatenate([*rows, np.empty(0, np.int32)]), minlength=len(self.names[kind]))
+
+
+def learn_lexicon(counted: Counted, y: np.ndarray, at: np.ndarray, least: int = 3, odds: float = 6.0) -> Lexicon:
+    """Words and stems that occur in several toxic texts, of the texts ``at``,
+    and hardly in the others."""
     out = Lexicon()
-    n_toxic = max(int(y.sum()), 1)
-    n_clean = max(len(y) - int(y.sum()), 1)
+    toxic, clean = at[y[at] > 0], at[y[at] <= 0]
     for kind, into in ((0, out.words), (1, out.stems)):
-        toxic, clean = Counter(), Counter()
-        for cut, label in zip(texts, y, strict=True):
-            (toxic if label else clean).update(cut[kind])
-        scored = []
-        for w, c in toxic.items():
-            if c >= least:
-                ratio = ((c + 0.1) / n_toxic) / ((clean[w] + 0.5) / n_clean)
-                if ratio >= odds:
-                    scored.append((float(np.log(ratio)) * min(c, 50), w, float(np.log(ratio))))
+        c = counted.texts_with(kind, toxic)
+        ratio = ((c + 0.1) / max(len(toxic), 1)) / ((counted.texts_with(kind, clean) + 0.5) / max(len(clean), 1))
+        names = counted.names[kind]
+        scored = [(float(np.log(ratio[i])) * min(int(c[i]), 50), names[i], float(np.log(ratio[i]))) for i in np.flatnonzero((c >= least) & (ratio >= odds))]
         for _, w, weight in sorted(scored, reverse=True)[:MAX_LEXICON]:
             into[w] = weight
     return out
@@ -219,18 +224,19 @@ def fit(texts: list[bytes], y: np.ndarray) -> Model:
     if not len(y) or y.min() == y.max():
         iso = Isotonic(np.zeros(1), np.full(1, 0.5 if not len(y) else (y.sum() + 0.5) / (len(y) + 1)))
         return Model(Lexicon(), Booster().fit(np.zeros((0, 1)), y[:0]), iso)
-    fold = np.arange(len(y)) % 3
-    cut = [cut_words(t) for t in texts]
+    every = np.arange(len(y))
+    fold = every % 3
+    counted = Counted(texts)
     x = np.zeros((len(y), len(FEATURES)))
     for f in range(3):
-        other = fold != f
-        lexicon = learn_lexicon([c for c, o in zip(cut, other, strict=True) if o], y[other])
-        x[~other] = [lexicon.features(t) for t, o in zip(texts, other, strict=True) if not o]
+        lexicon = learn_lexicon(counted, y, every[fold != f])
+        for i in every[fold == f]:
+            x[i] = lexicon.features(texts[i])
     margin = np.zeros(len(y))
     for f in range(3):
         margin[fold == f] = Booster().fit(x[fold != f], y[fold != f]).margin(x[fold == f])
     calibration = Isotonic().fit(margin, y)
-    return Model(learn_lexicon(cut, y), Booster().fit(x, y), calibration)
+    return Model(learn_lexicon(counted, y, every), Booster().fit(x, y), calibration)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
