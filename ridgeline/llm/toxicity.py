@@ -50,7 +50,7 @@ STEMS = (4, 5, 6)
 MAX_LEXICON = 3000
 NEAR = 6
 #: Words whose judgement a task keeps.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 300_000
 _LEET = str.maketrans("013457@$!", "oleastasi")
 _EDGE = ".,;:!?\"'()[]{}<>|*#%&$-_~/\\“”„«»‘’‚‹›¡¿…–—"
 _ODD = re.compile(r"[^\W\d_][0-9@$*!#]+[^\W\d_]")
@@ -82,7 +82,9 @@ class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        self._known: dict[str, tuple | None] = {}
+        self._known: dict[str, tuple] = {}
+        self._plain: set[str] = set()
+        self._heads = {s[: STEMS[0]] for s in self.stems}
 
     def __getstate__(self):
         return {"words": self.words, "stems": self.stems}
@@ -94,12 +96,16 @@ class Lexicon:
         """What a word counts for, or None if for nothing: its core, and whether
         it is a seed word, its learned weight, its stem's weight, if it is
         obfuscated, obfuscates a known word, is second person, in capitals."""
-        core = _core(word)
+        core = word.strip(_EDGE).lower()
         seed, weight = core in SEED_LEXICON, self.words.get(core)
         stem, odd, leet = None, False, False
-        if weight is None:
-            stem = next((self.stems[core[:k]] for k in STEMS if len(core) >= k and core[:k] in self.stems), None)
-        if not seed and weight is None and stem is None and _ODD.search(core):
+        # Stems of all lengths begin with one of these.
+        if weight is None and core[: STEMS[0]] in self._heads:
+            for k in STEMS:
+                stem = self.stems.get(core[:k]) if len(core) >= k else None
+                if stem is not None:
+                    break
+        if not (seed or weight is not None or stem is not None or core.isalpha()) and _ODD.search(core):
             odd = True
             plain = core.translate(_LEET)
             leet = plain in SEED_LEXICON or plain in self.words
@@ -112,53 +118,51 @@ class Lexicon:
         text = _text(raw)
         split = text.split()
         n = len(split)
-        known = self._known
-        if len(known) > KNOWN_WORDS:
+        known, plain = self._known, self._plain
+        if len(known) + len(plain) > KNOWN_WORDS:
             known.clear()
-        hits, seed, learned, stems, leet, you = set(), 0, 0, 0, 0, 0
-        strength, top, odd, capitals = 0.0, 0.0, 0, 0
-        hit_words, you_words = set(), set()
-        for w, c in Counter(split).items():
-            try:
-                found = known[w]
-            except KeyError:
-                found = known[w] = self.judge(w)
-            if found is None:
-                continue
-            core, is_seed, weight, stem, is_odd, is_leet, is_you, capital = found
-            if is_seed:
-                seed += c
+            plain.clear()
+        # Most words are known to count for nothing and are looked at no further.
+        found = {}
+        for w in set(split) - plain:
+            judged = known.get(w)
+            if judged is None:
+                judged = self.judge(w)
+                if judged is None:
+                    plain.add(w)
+                    continue
+                known[w] = judged
+            found[w] = judged
+        places = [(i, found[w]) for i, w in enumerate(split) if w in found] if found else []
+        hits, seed, learned, stems, leet, you, near = set(), 0, 0, 0, 0, 0, 0
+        strength, top, odd, capitals, last = 0.0, 0.0, 0, 0, -NEAR - 1
+        pending: list[int] = []
+        for i, (core, is_seed, weight, stem, is_odd, is_leet, is_you, capital) in places:
+            seed += is_seed
             if weight is not None:
-                learned += c
+                learned += 1
             elif stem is not None:
-                stems += c
+                stems += 1
                 weight = stem
             if weight is not None:
-                strength += c * weight
+                strength += weight
                 top = max(top, weight)
-            odd += c * is_odd
-            leet += c * is_leet
-            if is_seed or weight is not None or is_leet:
+            odd += is_odd
+            leet += is_leet
+            capitals += capital
+            hit = is_seed or weight is not None or is_leet
+            if hit:
                 hits.add(core)
-                hit_words.add(w)
             if is_you:
-                you += c
-                you_words.add(w)
-            capitals += c * capital
-        near = 0
-        if hit_words and you_words:
-            last = -NEAR - 1
-            pending: list[int] = []
-            for i, w in enumerate(split):
-                if w in you_words:
-                    last = i
-                    near += sum(i - j <= NEAR for j in pending)
-                    pending = []
-                elif w in hit_words:
-                    if i - last <= NEAR:
-                        near += 1
-                    else:
-                        pending.append(i)
+                you += 1
+                last = i
+                near += sum(i - j <= NEAR for j in pending)
+                pending.clear()
+            elif hit:
+                if i - last <= NEAR:
+                    near += 1
+                else:
+                    pending.append(i)
         marks = sum(text.count(p) for p in ".,;:?!")
         exclaims = text.count("!")
         d = max(n, 1)
@@ -191,16 +195,16 @@ class Counted:
 def learn_lexicon(counted: Counted, y: np.ndarray, at: np.ndarray, least: int = 3, odds: float = 6.0) -> Lexicon:
     """Words and stems that occur in several toxic texts, of the texts ``at``,
     and hardly in the others."""
-    out = Lexicon()
     toxic, clean = at[y[at] > 0], at[y[at] <= 0]
-    for kind, into in ((0, out.words), (1, out.stems)):
+    words, stems = {}, {}
+    for kind, into in ((0, words), (1, stems)):
         c = counted.texts_with(kind, toxic)
         ratio = ((c + 0.1) / max(len(toxic), 1)) / ((counted.texts_with(kind, clean) + 0.5) / max(len(clean), 1))
         names = counted.names[kind]
         scored = [(float(np.log(ratio[i])) * min(int(c[i]), 50), names[i], float(np.log(ratio[i]))) for i in np.flatnonzero((c >= least) & (ratio >= odds))]
         for _, w, weight in sorted(scored, reverse=True)[:MAX_LEXICON]:
             into[w] = weight
-    return out
+    return Lexicon(words, stems)
 
 
 @dataclass
