@@ -163,23 +163,23 @@ FRONTS = 12
 def _shortest(front: DataFrame, expand: Callable[[DataFrame], DataFrame], keys: list[str], name: str) -> DataFrame:
     """The least ``dist`` of every ``keys`` that rows of ``front`` lead to.
 
-    Rounds of label correction until nothing falls any more: only the front,
-    the rows that fell in the last round, is expanded and stored; what is known
+    Rounds of label correction until nothing comes down any more: only the front,
+    the rows that came down in the last round, is expanded and stored; what is known
     already is only read, and written again once in ``FRONTS`` rounds. Distances
     are not negative, so the rounds end.
     """
     known = [materialize(front.select(*keys, "dist"), name)]
     every = lambda: reduce(DataFrame.unionByName, known)
     while True:
-        # What is known and what is new meet in one aggregate; only what fell is stored.
+        # What is known and what is new meet in one aggregate; only what is lower is stored.
         both = every().withColumn("__old", F.lit(True)).unionByName(expand(known[-1]).withColumn("__old", F.lit(False)))
         least = both.groupBy(*keys).agg(F.min("dist").alias("dist"), F.min(F.when(F.col("__old"), F.col("dist"))).alias("__before"))
-        fell = materialize(least.where("__before IS NULL OR dist < __before").select(*keys, "dist"), name)
-        if fell.isEmpty():
+        lower = materialize(least.where("__before IS NULL OR dist < __before").select(*keys, "dist"), name)
+        if lower.isEmpty():
             return every().groupBy(*keys).agg(F.min("dist").alias("dist"))
         if len(known) == FRONTS:
             known = [materialize(every().groupBy(*keys).agg(F.min("dist").alias("dist")), name)]
-        known.append(fell)
+        known.append(lower)
 
 
 def distances_to(edges: DataFrame, starts: DataFrame, max_distance: float | None = None) -> DataFrame:

@@ -1107,7 +1107,7 @@ def _loop_config(mode: str = "hilly", **restricted) -> rs.RouteConfig:
 def _network(spark, sf_dir):
     """The optimised tables with the lengths of edges in metres."""
     n, e = _optimised(spark, sf_dir, metres=True)
-    return materialize(n, "network-nodes"), materialize(e, "network-edges")
+    return materialize(n, "network-nodes"), e
 
 
 @query()

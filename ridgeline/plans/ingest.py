@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ridgeline.functions.geo import partition_key, with_geodesic, with_national_grid
 from ridgeline.operators import contract, elevation, network, tags
+from ridgeline.runtime import materialize
 from ridgeline.schema import layer_schema, map_to_schema
 
 
@@ -54,9 +55,10 @@ def sanitise_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def optimise(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contracted nodes and edges with partition keys."""
+    """Contracted nodes and edges with partition keys. The edges are stored, as
+    the nodes come out of them too."""
     flagged = network.node_flags(network.add_degrees(nodes, edges))
     out = contract.contract(edges, flagged).withColumn("ptn", partition_key("src_lat", "src_lon"))
-    out = map_to_schema(out, layer_schema("optimised", "edges"))
+    out = materialize(map_to_schema(out, layer_schema("optimised", "edges")), "optimised-edges")
     kept = network.used_nodes(nodes, out).withColumn("ptn", partition_key("lat", "lon"))
     return map_to_schema(kept, layer_schema("optimised", "nodes")), out
