@@ -45,24 +45,19 @@ def whole_or_null(values: Column) -> Column:
     return F.when(~F.exists(values, lambda x: x.isNull()), values)
 
 
-def climbs(elevation: Column, flat: Column) -> Column:
-    """``gain`` and ``loss`` along a profile, in one walk over it. Steps of
-    ``MAX_STEP_M`` or more do not count; bridges and tunnels are flat."""
-    zero = F.lit(0.0)
-
-    def step(acc: Column, e: Column) -> Column:
-        d = e - acc["at"]
-        counts = F.abs(d) < MAX_STEP_M
-        return F.struct(
-            e.alias("at"),
-            F.when(counts & (d > 0), acc["gain"] + d).otherwise(acc["gain"]).alias("gain"),
-            F.when(counts & (d < 0), acc["loss"] - d).otherwise(acc["loss"]).alias("loss"),
-        )
-
-    # Before the first sample there is no step: a NULL place counts for nothing.
-    none = F.struct(F.lit(None).cast("double").alias("at"), zero.alias("gain"), zero.alias("loss"))
-    total = F.aggregate(elevation, none, step, lambda acc: F.struct(acc["gain"].alias("gain"), acc["loss"].alias("loss")))
-    return F.when(flat, F.struct(zero.alias("gain"), zero.alias("loss"))).otherwise(total)
+def counted_steps(elevation: Column) -> Column:
+    """Differences between neighbouring samples, without those of
+    ``MAX_STEP_M`` or more."""
+    rest = F.greatest(F.size(elevation) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(elevation, F.lit(2), rest), F.slice(elevation, F.lit(1), rest), lambda b, a: b - a)
+    return F.filter(steps, lambda d: F.abs(d) < MAX_STEP_M)
+
+
+def climb(steps: Column, flat: Column, sign: int) -> Column:
+    """Gain (sign 1) or loss (sign -1) over steps; bridges and tunnels are flat.
+    A sum of plain doubles: a pair of sums would cost an object a step."""
+    total = F.aggregate(steps, F.lit(0.0), lambda acc, d: acc + F.greatest(d * sign, F.lit(0.0)))
+    return F.when(flat, F.lit(0.0)).otherwise(total)
 
 
 def array_literal(values: Column) -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions.profile import climbs, sample_points, step_metrics, whole_or_null
+from ridgeline.functions.profile import climb, counted_steps, sample_points, step_metrics, whole_or_null
 from ridgeline.runtime import materialize
 from ridgeline.schema import layer_schema, map_to_schema
 
@@ -286,5 +286,6 @@ def drop_without_elevation(edges: DataFrame) -> DataFrame:
 
 def elevation_changes(edges: DataFrame) -> DataFrame:
     """``elevation_gain`` and ``elevation_loss`` of a profile with ``is_flat``."""
-    out = edges.withColumn("__climb", climbs(F.col("elevation"), F.col("is_flat")))
-    return out.withColumns({"elevation_gain": F.col("__climb.gain"), "elevation_loss": F.col("__climb.loss")}).drop("__climb")
+    out = edges.withColumn("__steps", counted_steps(F.col("elevation")))
+    both = {"elevation_gain": climb(F.col("__steps"), F.col("is_flat"), 1), "elevation_loss": climb(F.col("__steps"), F.col("is_flat"), -1)}
+    return out.withColumns(both).drop("__steps")

@@ -1192,8 +1192,7 @@ def plan_sanitised_edges(spark, sf_dir):
 def _optimised(spark, sf_dir, metres=False):
     cells, tiles = fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir)
     n = ingest.stage_nodes(fx.nodes(spark, sf_dir), cells, tiles)
-    e = materialize(ingest.stage_edges(_landed(spark, sf_dir), cells, tiles), "staged")
-    e = ingest.sanitise_edges(e, None if metres else F.lit(1.0))
+    e = ingest.sanitise_edges(ingest.stage_edges(_landed(spark, sf_dir), cells, tiles), None if metres else F.lit(1.0))
     e = materialize(e, "sanitised")
     return ingest.optimise(ingest.sanitise_nodes(n, e), e)
 

@@ -89,7 +89,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Order lines for which the raster grows by a square of ``SIDE`` metres each way.
-LINES, SIDE = 15_000, 500
+LINES, SIDE = 30_000, 500
 
 
 _squares: dict[str, int] = {}
