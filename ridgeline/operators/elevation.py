@@ -176,7 +176,9 @@ def implode_edges(samples: DataFrame, carry: list[str]) -> DataFrame:
     return out.withColumn("elevation", whole_or_null(F.col("elevation")))
 
 
-#: Edges of a square that are sampled at once.
+#: Edges of a square, about, that go to one group: more of them go to several.
+GROUP = 1 << 17
+#: Edges of a group that are sampled at once.
 _EDGES = 1 << 15
 _KEY = ["src", "dst", "way_id", "way_inx"]
 _PART = "src long, dst long, way_id long, way_inx int, first int, missing boolean, heights array<double>"
@@ -208,17 +210,33 @@ def _half_up(x: np.ndarray) -> np.ndarray:
     return (whole + np.where(np.abs(x - whole) >= 0.5, np.sign(x), 0.0)).astype(np.int64)
 
 
+def _within(a: np.ndarray, b: np.ndarray, steps: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last place along each edge, from 0 to ``steps``, that can
+    lie in a square which begins at ``low``: a metre more than rounding needs."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ends = [(edge - a) / (b - a) * steps for edge in (low - 1.5, low + SQUARE + 0.5)]
+    level = a == b
+    first = np.where(level, 0, np.ceil(np.clip(np.minimum(*ends), 0, steps + 1)))
+    last = np.where(level, steps, np.floor(np.clip(np.maximum(*ends), -1, steps)))
+    return first.astype(np.int64), last.astype(np.int64)
+
+
 def _sampled(columns: dict[str, np.ndarray], be: int, bn: int, grid: np.ndarray) -> pa.Table:
-    """The stretch of each edge whose samples lie in a square, with its heights."""
-    n = columns["edge_steps"].astype(np.int64)
+    """The stretch of each edge whose samples lie in a square, with its heights.
+    Samples far from the square are not made, however long the edge."""
+    most = np.maximum(columns["edge_steps"].astype(np.int64) - 1, 1)
+    ends = {k: columns[k].astype(np.int64) for k in columns if k.endswith("ing")}
+    first_e, last_e = _within(ends["src_easting"], ends["dst_easting"], most, be * SQUARE)
+    first_n, last_n = _within(ends["src_northing"], ends["dst_northing"], most, bn * SQUARE)
+    low = np.maximum(first_e, first_n)
+    n = np.maximum(np.minimum(last_e, last_n) - low + 1, 0)
     edge = np.repeat(np.arange(len(n)), n)
-    inx = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
-    steps = np.maximum(n - 1, 1)[edge]
-    last = inx == n[edge] - 1
+    inx = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n - low, n)
+    steps = most[edge]
 
     def along(a: str, b: str) -> np.ndarray:
-        a, b = columns[a].astype(np.int64)[edge], columns[b].astype(np.int64)[edge]
-        return _half_up(np.where(inx == 0, a, np.where(last, b, a + (b - a) / steps * inx)))
+        a, b = ends[a][edge], ends[b][edge]
+        return _half_up(np.where(inx == 0, a, np.where(inx == steps, b, a + (b - a) / steps * inx)))
 
     e, h = along("src_easting", "dst_easting") - be * SQUARE, along("src_northing", "dst_northing") - bn * SQUARE
     inside = (e >= 0) & (e < SQUARE) & (h >= 0) & (h < SQUARE)
@@ -237,9 +255,9 @@ def _sampled(columns: dict[str, np.ndarray], be: int, bn: int, grid: np.ndarray)
 
 
 def _heights(key: tuple, edges: pa.Table, cells: pa.Table) -> pa.Table:
-    """Edges and raster cells of one square; of a cell that is there more than
-    once the lowest counts."""
-    be, bn = (k.as_py() for k in key)
+    """Edges of one square, or a deal of them, and its raster cells; of a cell that
+    is there more than once the lowest counts."""
+    be, bn, _ = (k.as_py() for k in key)
     names = [*_KEY, "edge_steps", "src_easting", "src_northing", "dst_easting", "dst_northing"]
     grid = np.full((SQUARE, SQUARE), np.inf)
     if cells.num_rows:
@@ -263,11 +281,20 @@ def profiles(edges: DataFrame, elevation: DataFrame) -> DataFrame:
     crosses; its samples come into being beside the square's cells, and leave as
     a stretch of the profile. So what is shuffled goes with the edges and the
     cells, which ``cells_around`` has cut to the squares, not with the samples.
+
+    The edges of each square are counted first. A square of more than ``GROUP``
+    is dealt over several groups, each with all of its cells, so no task holds
+    more at once however many edges cross a square.
     """
     placed = edge_squares(edge_steps(edges.select(*_KEY, *[f"{end}_{c}" for end in ("src", "dst") for c in ("easting", "northing")])))
     placed = placed.drop("edge_size", "edge_size_h", "edge_size_v")
-    cells = elevation.select("easting", "northing", "elevation").withColumns(_square("easting", "northing"))
-    parts = placed.groupBy("be", "bn").cogroup(cells.groupBy("be", "bn")).applyInArrow(_heights, _PART)
+    deals = F.ceil(F.count("*") / GROUP).cast("int")
+    dealt = _few(placed.groupBy("be", "bn").agg(deals.alias("deals")).where("deals > 1"), "crowded")
+    hand = F.pmod(F.xxhash64(*_KEY), F.coalesce("deals", F.lit(1))).cast("int")
+    placed = placed.join(dealt, ["be", "bn"], "left").withColumn("deal", hand).drop("deals")
+    cells = elevation.select("easting", "northing", "elevation").withColumns(_square("easting", "northing")).join(dealt, ["be", "bn"], "left")
+    cells = cells.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    parts = placed.groupBy("be", "bn", "deal").cogroup(cells.groupBy("be", "bn", "deal")).applyInArrow(_heights, _PART)
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("first", "heights"))), lambda p: p["heights"]))
     return parts.groupBy(*_KEY).agg(F.max("missing").alias("missing"), whole.alias("elevation")).select(
         *_KEY, F.when(~F.col("missing"), F.col("elevation")).alias("elevation")

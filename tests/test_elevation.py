@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,37 @@ def test_profiles_against_samples(spark):
     assert got == want and sum(v is None for v in want.values()) > 5 and len(want) == 406
     assert el.profiles(edges.limit(0), elevation).count() == 0
     assert all(r.elevation is None for r in el.profiles(edges, elevation.limit(0)).collect())
+
+
+def test_crowded_squares_are_dealt(spark, monkeypatch):
+    """However many edges cross a square, a group holds about ``GROUP`` of them."""
+    rnd = random.Random(5)
+    at = lambda: (rnd.randrange(100), rnd.randrange(100))
+    rows = [(i, i + 1, i % 9, i, *at(), *at()) for i in range(3000)] + [(9000, 9001, 1, 1, 300, 300, 340, 300)]
+    edges = spark.createDataFrame(rows, "src long, dst long, way_id long, way_inx int, src_easting int, src_northing int, dst_easting int, dst_northing int")
+    cells = [(e, n, float((e * 7 + n * 13) % 97)) for e in range(100) for n in range(100) if e != 50 or n > 9]
+    elevation = spark.createDataFrame(cells + [(e, 300, 1.0) for e in range(300, 341)], "easting int, northing int, elevation double")
+    heights = el._heights
+
+    def bounded(key, edges, cells):
+        assert edges.num_rows <= 600, f"{edges.num_rows} edges in a group"
+        return heights(key, edges, cells)
+
+    monkeypatch.setattr(el, "_heights", bounded)
+    monkeypatch.setattr(el, "GROUP", 300, raising=False)
+    samples = el.sample_elevation(el.explode_edges(el.edge_steps(edges)), elevation)
+    want = {(r.src, r.way_inx): r.elevation for r in el.implode_edges(samples, []).collect()}
+    got = [((r.src, r.way_inx), r.elevation) for r in el.profiles(edges, elevation).collect()]
+    assert len(got) == 3001 and dict(got) == want and sum(v is None for v in want.values()) > 5
+
+
+def test_long_edges_are_sampled_in_their_square_only():
+    n, far = 500, 400_000
+    names = [*el._KEY, "edge_steps", "src_easting", "src_northing", "dst_easting", "dst_northing"]
+    ids = np.arange(n, dtype=np.int64)
+    columns = dict(zip(names, [ids, ids, ids, ids.astype(np.int32), np.full(n, far // 5 + 1), np.full(n, -far), np.full(n, 7), np.full(n, far), np.full(n, 7)], strict=True))
+    tracemalloc.start()
+    out = el._sampled(columns, 0, 0, np.ones((el.SQUARE, el.SQUARE)))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == n and {len(h) for h in out["heights"].to_pylist()} == {13} and most < 20e6
