@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import profile as pf
 from ridgeline.operators import elevation as el
+from ridgeline.plans import catalog
 
 
 def test_step_metrics(spark):
@@ -129,3 +130,22 @@ def test_long_edges_are_sampled_in_their_square_only():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out.num_rows == n and {len(h) for h in out["heights"].to_pylist()} == {13} and most < 20e6
+
+
+#: Queries that go through profiles, each of which once held a square's edges at once.
+CROWDED = ["g21_g24_route_search_fuzzy"]
+
+
+@pytest.mark.parametrize("name", CROWDED)
+def test_queries_deal_crowded_squares(spark, monkeypatch, name):
+    """The same rows whether a square's edges make one group or many, none too large."""
+    heights, run = el._heights, lambda: sorted(map(str, catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
+    want = run()
+
+    def bounded(key, edges, cells):
+        assert edges.num_rows <= 200, f"{edges.num_rows} edges in a group"
+        return heights(key, edges, cells)
+
+    monkeypatch.setattr(el, "_heights", bounded)
+    monkeypatch.setattr(el, "GROUP", 100, raising=False)
+    assert run() == want and want
