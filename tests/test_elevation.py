@@ -133,7 +133,7 @@ def test_long_edges_are_sampled_in_their_square_only():
 
 
 #: Queries that go through profiles, each of which once held a square's edges at once.
-CROWDED = ["g21_g24_route_search_fuzzy", "plan_f12_optimised_edges", "plan_sanitised_edges", "f2_f15_drop_without_elevation"]
+CROWDED = ["g21_g24_route_search_fuzzy", "plan_f12_optimised_edges", "plan_sanitised_edges", "f2_f15_drop_without_elevation", "g16_g18_route_search_naive", "plan_optimised_nodes"]
 
 
 @pytest.mark.parametrize("name", CROWDED)
