@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.runtime import spread
+
 UNCLASSIFIED = "unclassified"
 
 
@@ -22,13 +24,13 @@ def way_ends(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"way_start_flag": alone(F.lag), "way_end_flag": alone(F.lead)})
 
 
-def endpoint_flags(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def endpoint_flags(edges: DataFrame, nodes: DataFrame, rows: int = 0) -> DataFrame:
     """``src_node`` and ``dst_node``: if the node at that end is a mere link or
     a dead end, and its elevation."""
     node = F.struct((F.col("contract_flag") == 1).alias("link"), (F.col("dead_end_flag") == 1).alias("dead"), "elevation")
     known = nodes.select("id", node.alias("node"))
     for end in ("src", "dst"):
-        edges = edges.join(known.select(F.col("id").alias(end), F.col("node").alias(f"{end}_node")), end)
+        edges = spread(edges, rows, end).join(known.select(F.col("id").alias(end), F.col("node").alias(f"{end}_node")), end)
     return edges
 
 
@@ -53,12 +55,12 @@ def fill_chains(edges: DataFrame) -> DataFrame:
     )
 
 
-def contract_chains(edges: DataFrame) -> DataFrame:
+def contract_chains(edges: DataFrame, rows: int = 0) -> DataFrame:
     """One row for each (chain_src, chain_dst): sums, sets of kinds, and the
     points and distances in the order of ``way_inx``."""
     place = lambda end: F.struct(F.col(f"{end}_lat").alias("lat"), F.col(f"{end}_lon").alias("lon"), F.col(f"{end}_node.elevation").alias("ele"), F.col(f"{end}_node.dead").alias("dead_end"))
     point = F.struct("way_inx", "distance", place("src").alias("s"), place("dst").alias("d"))
-    out = edges.groupBy("chain_src", "chain_dst").agg(
+    out = spread(edges, rows, "chain_src", "chain_dst").groupBy("chain_src", "chain_dst").agg(
         F.sum("elevation_gain").alias("elevation_gain"),
         F.sum("elevation_loss").alias("elevation_loss"),
         F.sum("distance").alias("distance"),
@@ -105,7 +107,8 @@ def drop_dead_ends(edges: DataFrame) -> DataFrame:
     return edges.where("NOT (src_dead_end_flag OR dst_dead_end_flag)").drop("src_dead_end_flag", "dst_dead_end_flag")
 
 
-def contract(edges: DataFrame, flagged_nodes: DataFrame) -> DataFrame:
-    """Nodes first, then all that goes along a way: one shuffle by way."""
-    known = way_ends(endpoint_flags(edges, flagged_nodes))
-    return drop_dead_ends(chains_to_edges(contract_chains(fill_chains(chain_ends(known)))))
+def contract(edges: DataFrame, flagged_nodes: DataFrame, rows: int = 0) -> DataFrame:
+    """Nodes first, then all that goes along a way: one shuffle by way. Many
+    edges, if they were counted as ``rows``, are spread at each shuffle."""
+    known = way_ends(spread(endpoint_flags(edges, flagged_nodes, rows), rows, "way_id"))
+    return drop_dead_ends(chains_to_edges(contract_chains(fill_chains(chain_ends(known)), rows)))

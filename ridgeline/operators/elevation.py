@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.profile import climb, counted_steps, sample_points, step_metrics, whole_or_null
-from ridgeline.runtime import materialize
+from ridgeline.runtime import materialize, spread
 from ridgeline.schema import layer_schema, map_to_schema
 
 #: Side of the cells that tiles are cut into for the range join.
@@ -284,17 +284,21 @@ def profiles(edges: DataFrame, elevation: DataFrame) -> DataFrame:
 
     The edges of each square are counted first. A square of more than ``GROUP``
     is dealt over several groups, each with all of its cells, so no task holds
-    more at once however many edges cross a square.
+    more at once however many edges cross a square. Groups and stretches are
+    spread by the same count over as many partitions as they need.
     """
     placed = edge_squares(edge_steps(edges.select(*_KEY, *[f"{end}_{c}" for end in ("src", "dst") for c in ("easting", "northing")])))
     placed = placed.drop("edge_size", "edge_size_h", "edge_size_v")
-    deals = F.ceil(F.count("*") / GROUP).cast("int")
-    dealt = _few(placed.groupBy("be", "bn").agg(deals.alias("deals")).where("deals > 1"), "crowded")
+    counted = materialize(placed.groupBy("be", "bn").agg(F.count("*").alias("n")), "counted")
+    rows = counted.agg(F.sum("n")).first()[0] or 0
+    dealt = _few(counted.select("be", "bn", F.ceil(F.col("n") / GROUP).cast("int").alias("deals")).where("deals > 1"), "crowded")
     hand = F.pmod(F.xxhash64(*_KEY), F.coalesce("deals", F.lit(1))).cast("int")
     placed = placed.join(dealt, ["be", "bn"], "left").withColumn("deal", hand).drop("deals")
     cells = elevation.select("easting", "northing", "elevation").withColumns(_square("easting", "northing")).join(dealt, ["be", "bn"], "left")
     cells = cells.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    placed = spread(placed, rows, "be", "bn", "deal")
     parts = placed.groupBy("be", "bn", "deal").cogroup(cells.groupBy("be", "bn", "deal")).applyInArrow(_heights, _PART)
+    parts = spread(parts, rows, *_KEY)
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("first", "heights"))), lambda p: p["heights"]))
     return parts.groupBy(*_KEY).agg(F.max("missing").alias("missing"), whole.alias("elevation")).select(
         *_KEY, F.when(~F.col("missing"), F.col("elevation")).alias("elevation")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.runtime import spread
+
 
 def way_edges(ways: DataFrame) -> DataFrame:
     """A way of n nodes gives n - 1 edges, ``way_inx`` being the first's place.
@@ -41,24 +43,25 @@ def used_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left_semi")
 
 
-def node_degrees(edges: DataFrame) -> DataFrame:
+def node_degrees(edges: DataFrame, rows: int = 0) -> DataFrame:
     """``id, in_degree, out_degree, degree``: edges in and out, and distinct
     neighbours either way.
 
     One pass over the edges sees each from both ends. They are first summed by
     pair, in part before the shuffle, so no distinct aggregate expands rows.
+    Many edges, if they were counted as ``rows``, are spread by node first.
     """
     seen = lambda a, b, i: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(i).alias("i"), F.lit(1 - i).alias("o"))
     pairs = edges.select(F.inline(F.array(seen("src", "dst", 0), seen("dst", "src", 1))))
-    by_pair = pairs.groupBy("id", "other").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    by_pair = spread(pairs, 2 * rows, "id").groupBy("id", "other").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     return by_pair.groupBy("id").agg(
         F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("other").alias("degree")
     )
 
 
-def add_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def add_degrees(nodes: DataFrame, edges: DataFrame, rows: int = 0) -> DataFrame:
     """Nodes with their degrees; nodes without an edge go."""
-    return nodes.join(node_degrees(edges), "id")
+    return nodes.join(node_degrees(edges, rows), "id")
 
 
 def node_flags(nodes: DataFrame) -> DataFrame:

@@ -56,9 +56,10 @@ def sanitise_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def optimise(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contracted nodes and edges with partition keys. The edges are stored, as
-    the nodes come out of them too."""
-    flagged = network.node_flags(network.add_degrees(nodes, edges))
-    out = contract.contract(edges, flagged).withColumn("ptn", partition_key("src_lat", "src_lon"))
+    the nodes come out of them too; ``edges``, which are counted, should be."""
+    rows = edges.count()
+    flagged = network.node_flags(network.add_degrees(nodes, edges, rows))
+    out = contract.contract(edges, flagged, rows).withColumn("ptn", partition_key("src_lat", "src_lon"))
     out = materialize(map_to_schema(out, layer_schema("optimised", "edges")), "optimised-edges")
     kept = network.used_nodes(nodes, out).withColumn("ptn", partition_key("lat", "lon"))
     return map_to_schema(kept, layer_schema("optimised", "nodes")), out

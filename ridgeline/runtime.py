@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -45,6 +46,21 @@ def store_uri(spark: SparkSession, folder: str) -> str:
     return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
+#: Rows of a large table, about, that one shuffle partition holds.
+ROWS = 1 << 18
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of so many counted ``rows``, dealt by ``keys`` over partitions of
+    about ``ROWS`` each; as it is where the session's own number is enough.
+
+    A fetched block, a sort and what it spills then keep their size however many
+    rows there are and however few partitions the session asks for.
+    """
+    n = math.ceil(rows / ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 

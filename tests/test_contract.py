@@ -59,3 +59,23 @@ def test_one_shuffle_by_way(spark):
     plan = ct.fill_chains(ct.chain_ends(ct.way_ends(stored)))._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("+- == Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning(way_id") == 1 and plan.count("Sort [way_id") == 1
+
+
+def test_many_edges_are_spread(spark, monkeypatch):
+    """Partitions go with the counted edges, and the result does not."""
+    pairs = [(i, i + 1, i // 40, i) for i in range(1, 400)] + [(i, i + 7, 1000 + i, 0) for i in range(1, 393, 13)]
+    n, e = nodes(spark, range(1, 401)), edges(spark, pairs)
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = [rows(df) for df in ingest.optimise(n, e)]
+    before, dealt = spark.conf.get("spark.sql.shuffle.partitions"), []
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    monkeypatch.setattr("ridgeline.runtime.ROWS", 50, raising=False)
+    frame = type(e)
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *keys: dealt.append((n, keys)) or repartition(self, n, *keys))
+    try:
+        spread = [rows(df) for df in ingest.optimise(n, e)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spread == whole and len(whole[1]) > 20
+    assert {keys for _, keys in dealt} == {("id",), ("src",), ("dst",), ("way_id",), ("chain_src", "chain_dst")} and min(n for n, _ in dealt) >= 8

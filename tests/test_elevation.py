@@ -1,4 +1,5 @@
 import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -149,3 +150,33 @@ def test_queries_deal_crowded_squares(spark, monkeypatch, name):
     monkeypatch.setattr(el, "_heights", bounded)
     monkeypatch.setattr(el, "GROUP", 100, raising=False)
     assert run() == want and want
+
+
+@pytest.fixture
+def few_partitions(spark, monkeypatch):
+    """A session that asks for two partitions, and partitions of 500 rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    monkeypatch.setattr("ridgeline.runtime.ROWS", 500, raising=False)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def dealt_over(df):
+    """The least number of partitions of a shuffle by a key in the plan."""
+    return min(int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_many_edges_are_spread(spark, few_partitions):
+    """Partitions go with the counted edges, not with the session's number."""
+    rnd = random.Random(6)
+    at = lambda: (rnd.randrange(300), rnd.randrange(300))
+    rows = [(i, i + 1, i % 9, i, *at(), *at()) for i in range(2000)]
+    edges = spark.createDataFrame(rows, "src long, dst long, way_id long, way_inx int, src_easting int, src_northing int, dst_easting int, dst_northing int")
+    elevation = spark.createDataFrame([(e, n, float((e * 7 + n * 13) % 97)) for e in range(300) for n in range(300) if e != 50 or n > 99], "easting int, northing int, elevation double")
+    samples = el.sample_elevation(el.explode_edges(el.edge_steps(edges)), elevation)
+    want = {(r.src, r.way_inx): r.elevation for r in el.implode_edges(samples, []).collect()}
+    out = el.tag_edges(edges, elevation)
+    assert dealt_over(out) >= 4
+    got = [((r.src, r.way_inx), r.elevation) for r in out.collect()]
+    assert len(got) == 2000 and dict(got) == want
