@@ -3,6 +3,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,19 @@ def test_many_edges_are_spread(spark, few_partitions):
     assert dealt_over(out) >= 4
     got = [((r.src, r.way_inx), r.elevation) for r in out.collect()]
     assert len(got) == 2000 and dict(got) == want
+
+
+def test_a_group_is_sampled_in_small_deals():
+    """What sampling a group holds besides its edges and profiles stays small."""
+    n = 1 << 15
+    ids = np.arange(n, dtype=np.int64)
+    flat = {"src": ids, "dst": ids, "way_id": ids, "way_inx": ids.astype(np.int32), "edge_steps": np.full(n, 13)}
+    ends = {"src_easting": 1, "src_northing": 2, "dst_easting": 120, "dst_northing": 100}
+    edges = pa.table(flat | {c: np.full(n, v, dtype=np.int64) for c, v in ends.items()})
+    square = np.arange(el.SQUARE)
+    cells = pa.table({"easting": np.repeat(square, el.SQUARE), "northing": np.tile(square, el.SQUARE), "elevation": np.ones(el.SQUARE**2)})
+    tracemalloc.start()
+    out = el._heights((pa.scalar(0), pa.scalar(0), pa.scalar(0)), edges, cells)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == n and {len(h) for h in out["heights"].to_pylist()} == {13} and most < 25e6
