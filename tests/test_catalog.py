@@ -49,3 +49,20 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["id", "in_degree", "out_degree", "degree"] and df.count() == 20
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["plan_sanitised_edges"])
+def test_spread_rows(spark, monkeypatch, name):
+    """Over many partitions, as many rows are, a query gives the same rows."""
+    rows = lambda: sorted(map(str, catalog.QUERIES[name](spark, SF).collect()))
+    whole, dealt = rows(), []
+    before, frame = spark.conf.get("spark.sql.shuffle.partitions"), type(spark.range(0))
+    repartition = frame.repartition
+    monkeypatch.setattr("ridgeline.runtime.ROWS", 1000, raising=False)
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *keys: dealt.append((n, keys)) or repartition(self, n, *keys))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        assert rows() == whole and whole
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert ("be", "bn", "deal") in {keys for _, keys in dealt} and min(n for n, _ in dealt) > 2

@@ -192,6 +192,7 @@ def test_a_group_is_sampled_in_small_deals():
     edges = pa.table(flat | {c: np.full(n, v, dtype=np.int64) for c, v in ends.items()})
     square = np.arange(el.SQUARE)
     cells = pa.table({"easting": np.repeat(square, el.SQUARE), "northing": np.tile(square, el.SQUARE), "elevation": np.ones(el.SQUARE**2)})
+    el._heights((pa.scalar(0), pa.scalar(0), pa.scalar(0)), edges[:9], cells)  # modules that Arrow loads late do not count
     tracemalloc.start()
     out = el._heights((pa.scalar(0), pa.scalar(0), pa.scalar(0)), edges, cells)
     most = tracemalloc.get_traced_memory()[1]
