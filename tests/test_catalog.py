@@ -51,7 +51,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["g16_g18_route_search_naive", "plan_sanitised_edges"])
+@pytest.mark.parametrize("name", ["g16_g18_route_search_naive", "plan_optimised_nodes", "plan_sanitised_edges"])
 def test_spread_rows(spark, monkeypatch, name):
     """Over many partitions, as many rows are, a query gives the same rows."""
     rows = lambda: sorted(map(str, catalog.QUERIES[name](spark, SF).collect()))
