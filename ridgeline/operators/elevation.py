@@ -177,7 +177,7 @@ def implode_edges(samples: DataFrame, carry: list[str]) -> DataFrame:
 
 
 #: Edges of a square, about, that go to one group: more of them go to several.
-GROUP = 1 << 17
+GROUP = 1 << 16
 #: Edges of a group that are sampled at once.
 _EDGES = 1 << 13
 _KEY = ["src", "dst", "way_id", "way_inx"]

@@ -1184,16 +1184,14 @@ _SANE = f"""{TAGGED}{FLAGS}{PLACED.format('edges')}{SAMPLES}{PROFILES}, sane AS
 
 @query(f"{_SANE} SELECT src, dst, way_id, way_inx::INT AS way_inx, highway, surface, g AS elevation_gain, l AS elevation_loss FROM sane_both")
 def plan_sanitised_edges(spark, sf_dir):
-    e = ingest.stage_edges(_landed(spark, sf_dir), fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir))
-    out = ingest.sanitise_edges(e, F.lit(1.0))
+    out = ingest.load_edges(_edges(spark, sf_dir), fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir), F.lit(1.0))
     return out.select("src", "dst", "way_id", "way_inx", "highway", "surface", "elevation_gain", "elevation_loss")
 
 
 def _optimised(spark, sf_dir, metres=False):
     cells, tiles = fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir)
     n = ingest.stage_nodes(fx.nodes(spark, sf_dir), cells, tiles)
-    e = ingest.sanitise_edges(ingest.stage_edges(_landed(spark, sf_dir), cells, tiles), None if metres else F.lit(1.0))
-    e = materialize(e, "sanitised")
+    e = materialize(ingest.load_edges(_edges(spark, sf_dir), cells, tiles, None if metres else F.lit(1.0)), "sanitised")
     return ingest.optimise(ingest.sanitise_nodes(n, e), e)
 
 

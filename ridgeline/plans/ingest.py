@@ -37,19 +37,38 @@ def stage_edges(edges: DataFrame, cells: DataFrame, bounds: DataFrame) -> DataFr
     return map_to_schema(elevation.tag_edges(edges, near), layer_schema("staging", "edges"))
 
 
-def sanitise_edges(edges: DataFrame, distance=None) -> DataFrame:
-    """Safe, accessible edges with climb and length, in both directions."""
-    out = elevation.drop_without_elevation(edges)
-    out = tags.drop_unsafe(tags.keep_accessible(tags.flag_footways(out)))
-    out = elevation.elevation_changes(tags.flag_flat(out))
+def safe_edges(edges: DataFrame) -> DataFrame:
+    """Edges that the rules of access and safety keep, with what later layers
+    need of the tags in place of them. The rules look at tags alone."""
+    out = tags.drop_unsafe(tags.keep_accessible(tags.flag_footways(edges)))
+    out = tags.highway_and_surface(tags.flag_oneway(tags.flag_flat(out)))
+    return out.drop("tags", "timestamp", "explicit_footway", "separate_footway")
+
+
+def _climbed(edges: DataFrame, distance) -> DataFrame:
+    """Safe edges with profiles: their climb and length, in both directions."""
+    out = elevation.elevation_changes(elevation.drop_without_elevation(edges)).drop("elevation")
     if distance is None:
         out = with_geodesic(out, "src_lat", "src_lon", "dst_lat", "dst_lon", "distance")
     else:
         out = out.withColumn("distance", distance)
-    out = tags.highway_and_surface(tags.flag_oneway(out)).drop("elevation", "tags", "timestamp")
     return map_to_schema(network.reverse_edges(out), layer_schema("sanitised", "edges"))
 
 
+def sanitise_edges(edges: DataFrame, distance=None) -> DataFrame:
+    """Staged edges that are safe and accessible, with climb and length, in both directions."""
+    return _climbed(safe_edges(edges), distance)
+
+
+def load_edges(edges: DataFrame, cells: DataFrame, bounds: DataFrame, distance=None) -> DataFrame:
+    """Landed edges to sanitised ones, the same rows as staged and sanitised one
+    after the other. What the rules drop gets no profile, and no tags are dealt
+    or sorted; what they keep is stored once, narrow."""
+    kept = materialize(safe_edges(edges), "safe")
+    near = elevation.cells_around(elevation.squares_of_edges(kept), cells, bounds)
+    return _climbed(elevation.tag_edges(kept, near), distance)
+
+
 def sanitise_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return map_to_schema(network.used_nodes(nodes, edges), layer_schema("sanitised", "nodes"))
 

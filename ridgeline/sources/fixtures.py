@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline.runtime import spread
+
 EASTING, NORTHING = "(({0}) * 37) % 499", "(({0}) * 91) % 491"
 
 
@@ -18,12 +20,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_lines: dict[str, int] = {}
+
+
+def lines(spark: SparkSession, sf_dir: str) -> int:
+    """How many order lines there are."""
+    if sf_dir not in _lines:
+        _lines[sf_dir] = table(spark, sf_dir, "lineitem").count()
+    return _lines[sf_dir]
+
+
 def way_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    """Lines are dealt by ``way_id`` once, and lie so for whatever goes along a way."""
+    order = Window.partitionBy("way_id").orderBy("l_linenumber", "part", "l_suppkey", "l_extendedprice", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("long").alias("way_id"),
+        F.col("l_orderkey").cast("long").alias("way_id"), F.col("l_partkey").cast("long").alias("part"),
+        "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate",
+    )
+    rows = spread(rows, lines(spark, sf_dir), "way_id").select(
+        "way_id",
         F.row_number().over(order).alias("way_inx"),
-        F.col("l_partkey").cast("long").alias("part"),
+        "part",
         (F.unix_date(F.col("l_shipdate").cast("date")).cast("long") * 86400).alias("shipped"),
     )
     node = F.when(F.col("part") % 4 == 0, F.col("part")).otherwise(1000000 + F.col("way_id") * 100 + F.col("way_inx"))
@@ -98,7 +115,7 @@ _squares: dict[str, int] = {}
 def squares(spark: SparkSession, sf_dir: str) -> int:
     """How many squares wide the raster is: its area grows with the tables."""
     if sf_dir not in _squares:
-        _squares[sf_dir] = max(1, math.ceil(math.sqrt(table(spark, sf_dir, "lineitem").count() / LINES)))
+        _squares[sf_dir] = max(1, math.ceil(math.sqrt(lines(spark, sf_dir) / LINES)))
     return _squares[sf_dir]
 
 

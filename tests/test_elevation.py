@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import profile as pf
 from ridgeline.operators import elevation as el
-from ridgeline.plans import catalog
+from ridgeline.operators import tags
+from ridgeline.plans import catalog, ingest
+from ridgeline.sources import fixtures as fx
 
 
 def test_step_metrics(spark):
@@ -198,3 +200,23 @@ def test_a_group_is_sampled_in_small_deals():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert out.num_rows == n and {len(h) for h in out["heights"].to_pylist()} == {13} and most < 25e6
+
+
+def test_only_safe_edges_are_sampled(spark, monkeypatch):
+    """What the rules drop gets no profile, tags do not travel, and the rows are
+    those of all edges staged and then sanitised."""
+    sf, given, profiles = "/root/testdata/sf0.001", [], el.profiles
+    edges, cells, tiles = fx.edges(spark, sf), fx.elevation(spark, sf), fx.bounds(spark, sf)
+    want = ingest.sanitise_edges(ingest.stage_edges(edges, cells, tiles), F.lit(1.0))
+    names = ["src", "dst", "way_id", "way_inx", "highway", "surface", "elevation_gain", "elevation_loss"]
+    want = sorted(map(str, want.select(*names).collect()))
+    monkeypatch.setattr(el, "profiles", lambda e, *rest: given.append(e) or profiles(e, *rest))
+    assert sorted(map(str, catalog.QUERIES["plan_sanitised_edges"](spark, sf).collect())) == want and want
+    safe = tags.drop_unsafe(tags.keep_accessible(tags.flag_footways(edges))).count()
+    assert [e.count() for e in given] == [safe] and safe < edges.count() and "tags" not in given[0].columns
+
+
+def test_ways_are_dealt_once(spark):
+    """Both windows along a way share a shuffle, which goes with the lines."""
+    plan = fx.plain_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
