@@ -132,9 +132,10 @@ def distinct_elevation(elevation: DataFrame) -> DataFrame:
     return elevation.groupBy("easting", "northing").agg(F.min("elevation").alias("elevation"))
 
 
-def node_elevation(nodes: DataFrame, elevation: DataFrame) -> DataFrame:
-    """Nodes with the elevation of their cell, NULL where there is none."""
-    return nodes.join(elevation.select("easting", "northing", "elevation"), ["easting", "northing"], "left")
+def node_elevation(nodes: DataFrame, elevation: DataFrame, rows: int = 0) -> DataFrame:
+    """Nodes with the elevation of their cell, NULL where there is none. Many
+    nodes, if they were counted as ``rows``, are spread by cell."""
+    return spread(nodes, rows, "easting", "northing").join(elevation.select("easting", "northing", "elevation"), ["easting", "northing"], "left")
 
 
 def edge_steps(edges: DataFrame) -> DataFrame:

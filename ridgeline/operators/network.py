@@ -36,11 +36,12 @@ def edge_end_coords(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return _with_end(edges, nodes, "dst")
 
 
-def used_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def used_nodes(nodes: DataFrame, edges: DataFrame, rows: int = 0) -> DataFrame:
     """Nodes at an end of an edge: a semi join, so the ends need no distinct.
-    Both ends come out of one pass over the edges."""
+    Both ends come out of one pass over the edges. Many edges, if they were
+    counted as ``rows``, are spread by node."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    return nodes.join(ends, "id", "left_semi")
+    return nodes.join(spread(ends, 2 * rows, "id"), "id", "left_semi")
 
 
 def node_degrees(edges: DataFrame, rows: int = 0) -> DataFrame:

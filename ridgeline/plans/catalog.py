@@ -1190,9 +1190,8 @@ def plan_sanitised_edges(spark, sf_dir):
 
 def _optimised(spark, sf_dir, metres=False):
     cells, tiles = fx.elevation(spark, sf_dir), fx.bounds(spark, sf_dir)
-    n = ingest.stage_nodes(fx.nodes(spark, sf_dir), cells, tiles)
     e = materialize(ingest.load_edges(_edges(spark, sf_dir), cells, tiles, None if metres else F.lit(1.0)), "sanitised")
-    return ingest.optimise(ingest.sanitise_nodes(n, e), e)
+    return ingest.optimise(ingest.load_nodes(fx.nodes(spark, sf_dir), e, cells, tiles), e)
 
 
 _OPT = f"""{_SANE}{LINKS.format('sane_both')}{CHAINS.replace('FROM edges e', 'FROM sane_both e')}, opt AS (

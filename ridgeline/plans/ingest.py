@@ -25,10 +25,11 @@ def land_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_to_schema(edges, layer_schema("landing", "edges"))
 
 
-def stage_nodes(nodes: DataFrame, cells: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Nodes with elevations; of the raster only the tiles around them are read."""
+def stage_nodes(nodes: DataFrame, cells: DataFrame, bounds: DataFrame, rows: int = 0) -> DataFrame:
+    """Nodes, if counted ``rows`` of them, with elevations; of the raster only
+    the tiles around them are read."""
     near = elevation.cells_around(elevation.squares_of_points(nodes), cells, bounds)
-    return map_to_schema(elevation.node_elevation(nodes, near), layer_schema("staging", "nodes"))
+    return map_to_schema(elevation.node_elevation(nodes, near, rows), layer_schema("staging", "nodes"))
 
 
 def stage_edges(edges: DataFrame, cells: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -73,6 +74,15 @@ def sanitise_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return map_to_schema(network.used_nodes(nodes, edges), layer_schema("sanitised", "nodes"))
 
 
+def load_nodes(nodes: DataFrame, edges: DataFrame, cells: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Landed nodes to sanitised ones, the same rows as staged and sanitised one
+    after the other. Those without one of the sanitised ``edges`` go first; the
+    others are stored, for the load of the edges reads them again and again."""
+    used = materialize(network.used_nodes(nodes, edges, edges.count()), "used")
+    staged = stage_nodes(used, cells, bounds, used.count())
+    return materialize(map_to_schema(staged, layer_schema("sanitised", "nodes")), "sanitised-nodes")
+
+
 def optimise(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contracted nodes and edges with partition keys. The edges are stored, as
     the nodes come out of them too; ``edges``, which are counted, should be."""

@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ridgeline.plans import catalog
+from ridgeline.operators import elevation as el
+from ridgeline.plans import catalog, ingest
+from ridgeline.sources import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +68,19 @@ def test_spread_rows(spark, monkeypatch, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert ("be", "bn", "deal") in {keys for _, keys in dealt} and min(n for n, _ in dealt) > 2
+
+
+@pytest.mark.parametrize("name", ["plan_optimised_nodes"])
+def test_nodes_are_loaded_once(spark, monkeypatch, name):
+    """Only nodes of sanitised edges get an elevation, and the loaded nodes are
+    read where they are stored, not made again out of the lines."""
+    given, loaded, placed, optimise = [], [], el.node_elevation, ingest.optimise
+    monkeypatch.setattr(el, "node_elevation", lambda n, *rest: given.append(n) or placed(n, *rest))
+    monkeypatch.setattr(ingest, "optimise", lambda n, e: loaded.append((n, e)) or optimise(n, e))
+    assert catalog.QUERIES[name](spark, SF).count() > 0
+    (used,), ((nodes, edges),) = given, loaded
+    ends = edges.select("src").union(edges.select("dst")).distinct().count()
+    assert used.count() == nodes.count() == ends < fx.nodes(spark, SF).count()
+    assert "lineitem" not in "".join(nodes.inputFiles())
+    want = ingest.sanitise_nodes(ingest.stage_nodes(fx.nodes(spark, SF), fx.elevation(spark, SF), fx.bounds(spark, SF)), edges)
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, want.collect()))
