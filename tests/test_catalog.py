@@ -70,7 +70,7 @@ def test_spread_rows(spark, monkeypatch, name):
     assert ("be", "bn", "deal") in {keys for _, keys in dealt} and min(n for n, _ in dealt) > 2
 
 
-@pytest.mark.parametrize("name", ["plan_optimised_nodes"])
+@pytest.mark.parametrize("name", ["plan_optimised_nodes", "g16_g18_route_search_naive"])
 def test_nodes_are_loaded_once(spark, monkeypatch, name):
     """Only nodes of sanitised edges get an elevation, and the loaded nodes are
     read where they are stored, not made again out of the lines."""
