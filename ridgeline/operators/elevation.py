@@ -134,8 +134,10 @@ def distinct_elevation(elevation: DataFrame) -> DataFrame:
 
 def node_elevation(nodes: DataFrame, elevation: DataFrame, rows: int = 0) -> DataFrame:
     """Nodes with the elevation of their cell, NULL where there is none. Many
-    nodes, if they were counted as ``rows``, are spread by cell."""
-    return spread(nodes, rows, "easting", "northing").join(elevation.select("easting", "northing", "elevation"), ["easting", "northing"], "left")
+    nodes, if they were counted as ``rows``, are spread by cell, and the cells
+    with them, which may lie so over fewer partitions."""
+    cell = ["easting", "northing"]
+    return spread(nodes, rows, *cell).join(spread(elevation.select(*cell, "elevation"), rows, *cell), cell, "left")
 
 
 def edge_steps(edges: DataFrame) -> DataFrame:

@@ -185,6 +185,23 @@ def test_many_edges_are_spread(spark, few_partitions):
     assert len(got) == 2000 and dict(got) == want
 
 
+def test_nodes_are_spread_with_their_cells(spark, few_partitions):
+    """Cells that lie by place already, over few partitions, do not bring the
+    spread nodes back to as few."""
+    nodes = spark.range(4001).selectExpr("id", "cast(id % 90 as int) AS easting", "cast(id % 70 as int) AS northing")
+    cells = spark.range(3600).selectExpr("cast(id div 60 as int) AS easting", "cast(id % 60 as int) AS northing", "cast(id as double) AS elevation")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = el.node_elevation(nodes, el.distinct_elevation(cells), 4001)
+        assert placed.rdd.getNumPartitions() == 9
+        at = {r.id: r.elevation for r in placed.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    known = lambda i: i % 90 < 60 and i % 70 < 60
+    assert at == {i: float(i % 90 * 60 + i % 70) if known(i) else None for i in range(4001)}
+
+
 def test_a_group_is_sampled_in_small_deals():
     """What sampling a group holds besides its edges and profiles stays small."""
     n = 1 << 15
